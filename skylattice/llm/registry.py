@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, token_store
+from . import chat, fingerprints, language, mixing, packing, quality, token_store
 from .common import read, tokenizer_path
 
 
@@ -14,6 +15,23 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_probe(read(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_windows(turns))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", language.held_out(4, 2))
+    model = language.learn(docs.where(~F.col("held_out")))
+    return language.identify(docs, model, ("doc_id", "held_out"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", language.held_out(5, 0))
+    model = quality.learn(docs.where(~F.col("held_out")), read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, ("doc_id", "held_out"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -22,5 +40,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_store, op7_mixing, op8_packing)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_neighbours(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_store, op4_chat_windows, op5_language, op6_quality, op7_mixing, op8_packing, op10_fingerprints)}
 ORACLES: dict[str, str] = {"op7_mixing": mixing.SQL}
