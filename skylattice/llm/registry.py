@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, language, mixing, near_dedup, packing, quality, token_store
+from . import chat, fingerprints, html_text, language, mixing, near_dedup, packing, quality, token_store
 from .common import read, tokenizer_path
 
 
@@ -15,6 +15,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -48,5 +52,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_neighbours(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op3_token_store, op4_chat_windows, op5_language, op6_quality, op7_mixing, op8_packing, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_store, op4_chat_windows, op5_language, op6_quality, op7_mixing, op8_packing, op10_fingerprints)}
 ORACLES: dict[str, str] = {"op7_mixing": mixing.SQL}
