@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import gc
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -25,6 +26,19 @@ _PRETOKEN = {
     False: re.compile(f"{_LETTER}+|{_SHORT}|{_NUMBER}|{_OTHER}+"),
     True: re.compile(rf" ?{_LETTER}+|{_SHORT}| ?{_NUMBER}+| ?{_OTHER}+|\s+(?!\S)|\s+"),
 }
+_ENDS = frozenset(".,;:!?")
+_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def _plain(text: str) -> bool:
+    """Whether _DIRECT finds nothing; fast where Latin-1 holds the text."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _DIRECT.search(text)
+    return "<|" not in text and not any(c in text for c in _ODD)
+
+
 _loaded: dict[tuple[str, bool, int], ChunkEncoder] = {}
 
 
@@ -70,11 +84,18 @@ class ChunkEncoder:
         cut, known, new = _PRETOKEN[self.keep_blanks].findall, self.known, self._pretoken
         flat, sizes = [], []
         for k in keys:
+            before = len(flat)
             # a key with a blank in front is the head of a text; see _pieces
             raw = (k[1:] if k[:1] == " " else " " + k) if self.keep_blanks else k.lower()
-            before = len(flat)
-            for piece in cut(raw):
-                flat += known.get(piece) or new(piece)
+            bare = k if self.keep_blanks else raw
+            if bare.isalpha():  # one pretoken, with the blank before it
+                flat += known.get(raw) or new(raw)
+            elif bare[-1:] in _ENDS and bare[:-1].isalpha():
+                flat += known.get(raw[:-1]) or new(raw[:-1])
+                flat += known.get(raw[-1]) or new(raw[-1])
+            else:
+                for piece in cut(raw):
+                    flat += known.get(piece) or new(piece)
             sizes.append(len(flat) - before)
         at, end = len(self.slot), self.used + len(flat)
         while at + len(keys) > len(self.begin):
@@ -91,7 +112,7 @@ class ChunkEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """Keys of a text's pieces; None if the cut isn't safe."""
-        if _DIRECT.search(text) or self.keep_blanks and ("  " in text or "\n " in text):
+        if not _plain(text) or self.keep_blanks and ("  " in text or "\n " in text):
             return None
         parts = text.split(" ")
         if self.keep_blanks:
@@ -107,8 +128,11 @@ class ChunkEncoder:
             self._reset()
         cut = [self._pieces(t) for t in texts]
         keys = [k for parts in cut if parts for k in parts]
-        self._learn([k for k in set(keys) if k not in self.slot])
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
+        slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(unknown := np.flatnonzero(slots < 0)):
+            new = [keys[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            slots[unknown] = np.fromiter(map(self.slot.__getitem__, new), np.int64, len(new))
         sizes = self.length[slots]
         total = int(sizes.sum())
         ends = np.cumsum(sizes)
