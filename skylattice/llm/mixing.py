@@ -51,44 +51,68 @@ def _below(binned: DataFrame, keys: list[str], bin_col: str) -> DataFrame:
     return per.withColumn("before", F.coalesce(F.sum("in_bin").over(before), F.lit(0)))
 
 
-def mix(docs: DataFrame, seed: int = 7, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs(doc_id, text, source).
+def _binned(docs: DataFrame, seed: int) -> DataFrame:
+    """docs and the two levels of each row's sampling bin, _b1 and _b2."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return docs.withColumn("_b1", F.substring(h, 1, LEVEL)).withColumn("_b2", F.substring(h, LEVEL + 1, LEVEL))
 
-    A source that gets e epochs repeats each document floor(e) times; one more repetition goes to
-    the documents with the smallest seeded hashes, up to where the words taken come nearest to the
-    target. The place of that cut comes from word sums of hash bins on two levels, so no source's
-    rows are ever sorted or brought together; a bin (one of 16.7 million) is taken whole or not at all.
 
-    Null text: size 0, taken 0. Null source: a source of its own, named last. Repeated rows share
-    a hash and so the decision. Empty input: empty result. Other columns are ignored."""
-    slim = docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
-    ).select("doc_id", "source", "size", F.substring("h", 1, LEVEL).alias("b1"), F.substring("h", LEVEL + 1, LEVEL).alias("b2"))
-    slim = written(slim, "mix-sizes")
+def decisions(slim: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """A row for each source of slim(source, size, _b1, _b2): _source, source_size, target, whole repetitions,
+    and the bins _e1 and _e2 up to which documents come once more. It is written, so its size is known before it is joined."""
     goals = source_targets(slim, max_epochs)
     goals = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goals = written(goals.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
 
-    def goal(df: DataFrame, *extra: str) -> DataFrame:
-        g = goals.select(F.col("source").alias("g_source"), "source_size", "target", "whole", "part")
+    def goal(df: DataFrame) -> DataFrame:
+        g = goals.select(F.col("source").alias("g_source"), "part")
         return df.join(g, df["source"].eqNullSafe(g["g_source"])).drop("g_source")
 
     # the first-level bin in which the part ends: the last that starts at or below it
-    coarse = goal(_below(slim, ["source"], "b1")).where(F.col("before") <= F.col("part"))
-    edge = coarse.groupBy("source").agg(F.max_by(F.struct("b1", "before"), "b1").alias("e")).select(F.col("source").alias("e_source"), F.col("e.b1").alias("e_b1"), F.col("e.before").alias("e_before"))
-    inside = slim.join(edge, slim["source"].eqNullSafe(edge["e_source"]) & (slim["b1"] == edge["e_b1"]))
-    fine = goal(_below(inside, ["source", "e_before"], "b2"))
+    coarse = goal(_below(slim, ["source"], "_b1")).where(F.col("before") <= F.col("part"))
+    edge = coarse.groupBy("source").agg(F.max_by(F.struct("_b1", "before"), "_b1").alias("e")).select(F.col("source").alias("_source"), F.col("e._b1").alias("_e1"), F.col("e.before").alias("e_before"))
+    inside = slim.join(edge, slim["source"].eqNullSafe(edge["_source"]) & (slim["_b1"] == edge["_e1"]))
+    fine = goal(_below(inside, ["source", "e_before"], "_b2"))
     nearest = F.col("e_before") + F.col("before") + F.col("in_bin") / 2 <= F.col("part")
-    cut = edge.join(
-        fine.where(nearest).groupBy(F.col("source").alias("c_source")).agg(F.max("b2").alias("e_b2")),
-        F.col("e_source").eqNullSafe(F.col("c_source")), "left",
-    ).select("e_source", "e_b1", F.coalesce("e_b2", F.lit("")).alias("e_b2"))
-    joined = goal(slim)
-    joined = joined.join(cut, joined["source"].eqNullSafe(cut["e_source"]), "left")
-    once_more = (F.col("b1") < F.col("e_b1")) | ((F.col("b1") == F.col("e_b1")) & (F.col("b2") <= F.col("e_b2")))
-    taken = F.col("size") * (F.col("whole") + F.when(once_more, 1).otherwise(0))
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    last = fine.where(nearest).groupBy(F.col("source").alias("c_source")).agg(F.max("_b2").alias("_e2"))
+    cut = edge.join(last, F.col("_source").eqNullSafe(F.col("c_source")), "left").select("_source", "_e1", F.coalesce("_e2", F.lit("")).alias("_e2"))
+    return written(goals.join(cut, goals["source"].eqNullSafe(cut["_source"]), "left").select(F.col("source").alias("_source"), "source_size", "target", "whole", "_e1", "_e2"), "mix-decisions")
+
+
+def _times():
+    once_more = (F.col("_b1") < F.col("_e1")) | ((F.col("_b1") == F.col("_e1")) & (F.col("_b2") <= F.col("_e2")))
+    return F.col("whole") + F.when(once_more, 1).otherwise(0)
+
+
+def _slim(docs: DataFrame, seed: int) -> DataFrame:
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return written(_binned(sized, seed), "mix-sizes")
+
+
+def mix(docs: DataFrame, seed: int = 7, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of docs(doc_id, text, source).
+
+    A source that gets e epochs repeats each document floor(e) times; one more repetition goes to
+    the documents with the smallest seeded hashes, up to where the words taken come nearest to the
+    target. The place of that cut comes from word sums of hash bins on two levels, so no source's
+    rows are ever sorted or brought together; a bin (one of 16.7 million) is taken whole or not at all.
+
+    Null text: size 0, taken 0. Null source: a source of its own, named last. Repeated rows share
+    a hash and so the decision. Empty input: empty result. Other columns are ignored."""
+    slim = _slim(docs, seed)
+    by = decisions(slim, max_epochs)
+    joined = slim.join(by, slim["source"].eqNullSafe(by["_source"]))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, seed: int = 7, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mixture takes it."""
+    by = decisions(_slim(docs, seed), max_epochs).select("_source", "whole", "_e1", "_e2")
+    by = by.select(*[F.col(c).alias("_mix" + c) for c in by.columns])
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("source").alias("_s"), "doc_id")
+    times = _binned(held, seed).join(by, F.col("_s").eqNullSafe(F.col("_mix_source"))).select("_row", "_b1", "_b2", F.col("_mixwhole").alias("whole"), F.col("_mix_e1").alias("_e1"), F.col("_mix_e2").alias("_e2"))
+    out = times.select("_row", F.explode(F.array_repeat(F.lit(0), _times().cast("int"))))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 #: The same rows in SQL; bins of both levels at once.
