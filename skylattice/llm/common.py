@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -62,3 +64,17 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def kept_rows(docs: DataFrame, good: Callable[[list[str | None]], list[bool]], rows: int = 256) -> DataFrame:
+    """The rows of docs, all columns, whose `text` is good."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                yield part.filter(pa.array(good(part.column(at).to_pylist()), pa.bool_()))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

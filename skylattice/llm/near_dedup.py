@@ -206,8 +206,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, node, class_id) for every row of docs(doc_id, text): class_id is the least doc_id of all
-    texts that chains of links reach; a link joins texts with a shingle similarity of `similar` or more.
+    """(doc_id, node, group, class_id) for every row of docs(doc_id, text): class_id is the least doc_id of
+    all texts that chains of links reach, which are a group; a link joins texts with a shingle similarity of `similar` or more.
 
     Texts of equal words are one node. A bucket's nodes are first compared with its most central node (the one
     whose buckets hold the most nodes), then with a sixteenth of its nodes, then with all that are
@@ -248,11 +248,30 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             labels = _merged(labels, links)
         elif round_ == 0:
             continue
-    nodes = distinct.select("node", "least")
+    nodes = distinct.select("node", F.col("node").alias("group"), F.col("least").alias("class_id"))
     if labels is not None:
-        named = nodes.join(labels, "node").groupBy("label").agg(F.min("least").alias("class_id"))
-        labels = written(labels.join(named, "label").select("node", "class_id"), "dedup-classes")
-        nodes = nodes.join(labels, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"))
-    else:
-        nodes = nodes.select("node", F.col("least").alias("class_id"))
-    return signed.select("doc_id", "node").join(written(nodes, "dedup-named"), "node").select("doc_id", "node", "class_id")
+        named = distinct.join(labels, "node").groupBy("label").agg(F.min("least").alias("least"))
+        classes = written(labels.join(named, "label").select("node", "label", F.col("least").alias("named")), "dedup-classes")
+        nodes = nodes.join(classes, "node", "left").select("node", F.coalesce("label", "group").alias("group"), F.coalesce("named", "class_id").alias("class_id"))
+    return signed.select("doc_id", "node").join(written(nodes, "dedup-named"), "node").select("doc_id", "node", "group", "class_id")
+
+
+def representatives(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The rows of docs, all columns, that stand for their groups: one each, that of the least doc_id.
+
+    Among rows of that doc_id the least node goes first; of rows that repeat in both, one stays."""
+    rows = written(near_classes(docs, similar), "dedup-rows")
+    last = F.coalesce("doc_id", F.lit(2**63 - 1))
+    chosen = rows.groupBy("group").agg(F.min(F.struct(last.alias("k"), F.col("doc_id").alias("doc"), F.col("node").alias("of"))).alias("c")).select("c.doc", "c.of")
+    chosen = written(chosen, "dedup-chosen")
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc"]), "left_semi")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    found = held.join(chosen, F.col("doc_id").eqNullSafe(F.col("doc"))).select("row", "text", "of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_node((t or "").encode("utf-8", "surrogatepass").split()) == n for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.bool_()))
+
+    one = found.mapInArrow(run, found.schema).groupBy("of", F.col("row.doc_id").alias("doc")).agg(F.first("row").alias("row"))
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
