@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import retrieval_queries, sequence_queries, text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval_queries.QUERIES | sequence_queries.QUERIES | text_queries.QUERIES
+ORACLES: dict[str, str] = retrieval_queries.ORACLES | sequence_queries.ORACLES | text_queries.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return QUERIES["hybrid_kis"](spark, sf_dir)
