@@ -34,7 +34,7 @@ def deal(videos: DataFrame, shards: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(balance(list(zip(rows["video_id"], rows["weight"].astype(int), strict=True)), shards), columns=["video_id", "weight", "shard"])
 
-    return videos.select("video_id", "weight").groupBy(F.lit(0)).applyInPandas(run, "video_id string, weight long, shard int")
+    return videos.select("video_id", "weight", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "video_id string, weight long, shard int")
 
 
 def shard_report(dealt: DataFrame, shards: int) -> DataFrame:

@@ -42,9 +42,9 @@ class Tables:
 
     @property
     def scores(self) -> DataFrame:
-        """Visual and OCR scores of every frame for every query."""
+        """Visual and OCR scores of every frame for every query, to nine decimals, so that rounding in sums does not decide ties."""
         ocr = lexical.text_source(self.frames, self.frame_text, self.asked, "ocr")
-        return self.visual.select(*ocr.columns).unionByName(ocr)
+        return self.visual.select(*ocr.columns).unionByName(ocr).withColumn("score", F.round("score", 9))
 
     @property
     def speech(self) -> DataFrame:
@@ -75,7 +75,7 @@ CTES = {
     "ocr_hit": """SELECT query_id, row_id, sum(idf * tf * 1.6 / (tf + 0.6 * (0.1 + 0.9 * len(toks) / avgdl))) AS score FROM ocr_ask JOIN ocr_idf USING (tok) JOIN ocr_tf USING (tok) JOIN shown USING (row_id), ocr_n GROUP BY query_id, row_id""",
     "ocr": """SELECT a.query_id, a.probe_idx, 'ocr' AS source, f.row_id, coalesce(h.score, 0.0) AS score, s.row_id IS NOT NULL AS covered
         FROM frames f CROSS JOIN asked a LEFT JOIN shown s ON s.row_id = f.row_id LEFT JOIN ocr_hit h ON h.row_id = f.row_id AND h.query_id = a.query_id""",
-    "scores": "SELECT * FROM visual UNION ALL SELECT * FROM ocr",
+    "scores": "SELECT query_id, probe_idx, source, row_id, round(score, 9) AS score, covered FROM (SELECT * FROM visual UNION ALL SELECT * FROM ocr)",
     "moments": "SELECT query_id, probe_idx, source, avg(score) FILTER (WHERE covered) AS mu, stddev_pop(score) FILTER (WHERE covered) AS sigma FROM scores GROUP BY ALL",
     "zs": "SELECT s.*, CASE WHEN covered AND sigma >= 1e-9 THEN (score - mu) / sigma ELSE 0.0 END AS z FROM scores s JOIN moments USING (query_id, probe_idx, source)",
     "fused": "SELECT query_id, probe_idx, row_id, sum(z * CASE source WHEN 'visual' THEN 1.0::DOUBLE ELSE 0.1322::DOUBLE END) AS s FROM zs GROUP BY ALL",
@@ -84,7 +84,7 @@ CTES = {
     "pool": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, row_id) AS pool_rank FROM
         (SELECT query_id, row_id, CAST(bit_or(CASE source WHEN 'visual' THEN 1 ELSE 4 END) AS INT) AS prov, CAST(count(DISTINCT source) AS INT) AS agree FROM quota GROUP BY ALL) JOIN (SELECT query_id, row_id, max(s) AS s FROM fused GROUP BY ALL) USING (query_id, row_id)""",
     "speech": "SELECT 'v' || CAST(conv_id % 10 AS VARCHAR) AS video_id, turn * 4000 AS start_ms, turn * 4000 + 3000 AS end_ms, coalesce(text, '') AS text FROM conversations",
-    "steps": """SELECT user_id AS video_id, event_id AS row_id, CAST(epoch_ms(ts) AS DOUBLE) AS ts_ms, CASE WHEN event_type = 'view' THEN value ELSE -1.0 END AS s0,
+    "steps": """SELECT user_id AS video_id, event_id AS row_id, CAST(epoch_us(ts) // 1000 AS DOUBLE) AS ts_ms, CASE WHEN event_type = 'view' THEN value ELSE -1.0 END AS s0,
         CASE WHEN event_type = 'click' THEN value ELSE -1.0 END AS s1, CASE WHEN event_type = 'purchase' THEN value ELSE -1.0 END AS s2 FROM events""",
     "triple": """SELECT q.query_id, q.video_id, q.row_id, f.frame_idx, a.score AS s0, b.score AS s1, c.score AS s2 FROM quota q JOIN frames f ON f.row_id = q.row_id
         JOIN visual a ON a.row_id = q.row_id AND a.query_id = q.query_id JOIN visual b ON b.row_id = q.row_id AND b.query_id = (q.query_id + 1) % 10 JOIN visual c ON c.row_id = q.row_id AND c.query_id = (q.query_id + 2) % 10 WHERE q.source = 'visual'""",

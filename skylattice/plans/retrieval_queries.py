@@ -47,8 +47,8 @@ def vector_scan_topk(t: Tables) -> DataFrame:
     sql(
         "SELECT query_id, CAST(rank AS INT) AS rank, row_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank FROM cut) WHERE rank <= 20",
         "frames", "asked",
-        fu="SELECT row_id, list_transform(emb[1:32], x -> x / greatest(sqrt(list_inner_product(emb[1:32], emb[1:32])), 1e-12)) AS v FROM frames",
-        qu="SELECT query_id, list_transform(vector[1:32], x -> x / greatest(sqrt(list_inner_product(vector[1:32], vector[1:32])), 1e-12)) AS w FROM asked",
+        fu="SELECT row_id, list_transform(emb[1:32], lambda x: x / greatest(sqrt(list_inner_product(emb[1:32], emb[1:32])), 1e-12)) AS v FROM frames",
+        qu="SELECT query_id, list_transform(vector[1:32], lambda x: x / greatest(sqrt(list_inner_product(vector[1:32], vector[1:32])), 1e-12)) AS w FROM asked",
         cut="SELECT query_id, row_id, list_inner_product(v, w) AS score FROM fu, qu",
     )
 )
@@ -63,7 +63,7 @@ def vector_norm_check(t: Tables) -> DataFrame:
     return t.embeddings.groupBy("label").agg(F.count("*").alias("vectors"), F.sum(vectors.is_unit(F.col("embedding")).cast("long")).alias("unit"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), x -> abs(x))) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS l1 FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS l1 FROM embeddings")
 def vector_normalize(t: Tables) -> DataFrame:
     unit = vectors.l2_normalize(F.col("embedding"))
     return t.embeddings.select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("l1"))
@@ -157,12 +157,12 @@ def z_normalize(t: Tables) -> DataFrame:
 @query(
     sql(
         """SELECT query_id, source, row_id, round(CASE WHEN covered AND n > 1 THEN (r - 1 + (c - 1) / 2.0) / greatest(1, n - 1) - 0.5 ELSE 0.0 END, 6) AS z FROM
-        (SELECT *, rank() OVER (PARTITION BY query_id, source, covered ORDER BY score) AS r, count(*) OVER (PARTITION BY query_id, source, covered, score) AS c, count(*) OVER (PARTITION BY query_id, source, covered) AS n FROM rs)""",
-        "scores", rs="SELECT query_id, source, row_id, covered, round(score, 9) AS score FROM scores",
+        (SELECT *, rank() OVER (PARTITION BY query_id, source, covered ORDER BY score) AS r, count(*) OVER (PARTITION BY query_id, source, covered, score) AS c, count(*) OVER (PARTITION BY query_id, source, covered) AS n FROM scores)""",
+        "scores",
     )
 )
 def rank_normalize(t: Tables) -> DataFrame:
-    return fusion.rank_normalize(_steady(t.scores)).select("query_id", "source", "row_id", F.round("z", 6).alias("z"))
+    return fusion.rank_normalize(t.scores).select("query_id", "source", "row_id", F.round("z", 6).alias("z"))
 
 
 @query(sql("SELECT query_id, row_id, round(s, 6) AS s FROM fused", "fused"))
@@ -178,7 +178,7 @@ def best_over_probes(t: Tables) -> DataFrame:
 
 
 def _nominated(t: Tables) -> DataFrame:
-    return pooling.nominate(_steady(t.scores), t.frames)
+    return pooling.nominate(t.scores, t.frames)
 
 
 @query(sql("SELECT query_id, source, row_id, CAST(nth AS INT) AS nth FROM quota", "quota"))
@@ -249,27 +249,27 @@ def crop_max(t: Tables) -> DataFrame:
 
 @query(
     """SELECT row_id, entity, CAST(pos AS INT) AS pos, round(area, 6) AS area FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY area DESC, pos) AS nth FROM
-    (SELECT l_orderkey AS row_id, l_shipmode AS entity, l_linenumber AS pos, (l_quantity / 50) * (l_discount * 10) AS area FROM lineitem) WHERE area >= 0.01) WHERE nth <= 2"""
+    (SELECT l_orderkey AS row_id, l_returnflag AS entity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity / 50, l_discount * 10) AS pos, (l_quantity / 50) * (l_discount * 10) AS area FROM lineitem) WHERE area >= 0.01) WHERE nth <= 2"""
 )
 def crop_boxes(t: Tables) -> DataFrame:
     """An order as a frame, its lines as boxes."""
     box = F.array(F.lit(0.0), F.lit(0.0), F.col("l_quantity") / 50, F.col("l_discount") * 10)
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_shipmode", box.alias("box")))).alias("b"))
-    objects = lines.select(F.lit("v").alias("video_id"), F.col("l_orderkey").alias("n"), F.col("b.l_shipmode").alias("detection_class_entities"), F.col("b.box").alias("detection_boxes"), F.col("b.l_linenumber").alias("numbers"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", box.alias("box")))).alias("b"))
+    objects = lines.select(F.lit("v").alias("video_id"), F.col("l_orderkey").alias("n"), F.col("b.l_returnflag").alias("detection_class_entities"), F.col("b.box").alias("detection_boxes"))
     found = rerank.crops(objects, lines.select(F.lit("v").alias("video_id"), F.col("l_orderkey").alias("n"), F.col("l_orderkey").alias("row_id")))
-    return found.join(objects.select(F.col("n").alias("row_id"), "numbers"), "row_id").select("row_id", "entity", F.element_at("numbers", F.col("pos") + 1).cast("int").alias("pos"), F.round("area", 6).alias("area"))
+    return found.select("row_id", "entity", (F.col("pos") + 1).alias("pos"), F.round("area", 6).alias("area"))
 
 
 @query(
     sql(
-        """SELECT query_id, video_id, frame_idx AS f0, round(s, 6) AS score, CAST(rn AS INT) AS answer_rank FROM
+        """SELECT query_id, video_id, frame_idx AS f0, round(round(s, 9), 6) AS score, CAST(rn AS INT) AS answer_rank FROM
         (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, video_id, frame_idx) AS rn FROM pool JOIN frames USING (row_id) WHERE pool_rank <= 200) WHERE rn <= 100""",
         "pool",
     )
 )
 def hybrid_kis(t: Tables) -> DataFrame:
     """The flagship: two sources, fusion, pool, ranked answers."""
-    fused, pool = hybrid.retrieve(t.frames, _steady(t.scores), hybrid.Settings(per_video=10))
+    fused, pool = hybrid.retrieve(t.frames, t.scores, hybrid.Settings(per_video=10))
     fused = fused.withColumn("s", F.round("s", 9))
     return hybrid.answer(t.frames, fused, pool, 1).select("query_id", "video_id", "f0", F.round("score", 6).alias("score"), "answer_rank")
 

@@ -23,7 +23,7 @@ def query(statement: str | None = None):
 
 
 def _said(before: int, after: int, limit: int | None = None) -> str:
-    text = "array_to_string(list_transform(list_sort(list({'a': start_ms, 'b': end_ms, 'c': text})), x -> x.c), ' ')"
+    text = "array_to_string(list_transform(list_sort(list({'a': start_ms, 'b': end_ms, 'c': text})), lambda x: x.c), ' ')"
     text = text if limit is None else f"substr({text}, 1, {limit})"
     return sql(
         f"SELECT row_id, CAST(count(*) AS BIGINT) AS spans, md5({text}) AS digest FROM frames f JOIN speech s ON s.video_id = f.video_id AND s.end_ms >= f.ts_ms - {before} AND s.start_ms <= f.ts_ms + {after} GROUP BY row_id",
@@ -82,18 +82,18 @@ def neighbor_window(t: Tables) -> DataFrame:
 
 
 def _paths_sql(n: int, lam: float) -> str:
-    more = {"c": f"SELECT *, (ts_ms - min(ts_ms) OVER (PARTITION BY video_id)) / 1000.0 AS t, row_number() OVER (PARTITION BY video_id ORDER BY ts_ms, row_id) AS at FROM steps", "d0": "SELECT *, s0 AS dp, [row_id] AS path FROM c"}  # noqa: F541
+    more = {"c": f"SELECT *, (ts_ms - min(ts_ms) OVER (PARTITION BY video_id)) / 1000.0 AS t, row_number() OVER (PARTITION BY video_id ORDER BY ts_ms, row_id) AS pos FROM steps", "d0": "SELECT *, s0 AS dp, [row_id] AS path FROM c"}
     for i in range(1, n):
-        more[f"b{i}"] = f"""SELECT *, max({{'k': dp + {lam}::DOUBLE * t, 'at': at, 'path': path}}) OVER (PARTITION BY video_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+        more[f"b{i}"] = f"""SELECT *, max({{'k': dp + {lam}::DOUBLE * t, 'pos': pos, 'path': path}}) OVER (PARTITION BY video_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
             FROM d{i - 1} WHERE dp IS NOT NULL"""
         more[f"d{i}"] = f"SELECT * EXCLUDE (dp, path, b), s{i} + b.k - {lam}::DOUBLE * t AS dp, list_append(b.path, row_id) AS path FROM b{i}"
-    more["e"] = f"SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY dp DESC, at) AS r FROM d{n - 1} WHERE dp IS NOT NULL"
-    return sql("SELECT video_id, round(dp, 4) AS score, " + ", ".join(f"path[{i + 1}] AS f{i}" for i in range(n)) + " FROM e WHERE r = 1", "steps", **more)
+    more["e"] = f"SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY dp DESC, pos) AS r FROM d{n - 1} WHERE dp IS NOT NULL"
+    return sql("SELECT video_id, round(dp, 3) AS score, " + ", ".join(f"path[{i + 1}] AS f{i}" for i in range(n)) + " FROM e WHERE r = 1", "steps", **more)
 
 
 def _paths(t: Tables, n: int, lam: float) -> DataFrame:
     found = sequence.best_paths(t.steps, n, lam)
-    return found.select("video_id", F.round("score", 4).alias("score"), *[F.col("path")[i].alias(f"f{i}") for i in range(n)])
+    return found.select("video_id", F.round("score", 3).alias("score"), *[F.col("path")[i].alias(f"f{i}") for i in range(n)])
 
 
 @query(_paths_sql(1, 0.0))
@@ -183,8 +183,8 @@ def trake_emit(t: Tables) -> DataFrame:
 # -- grading: a query's truth is its label's video, from its first vector to 200 frames on ------
 
 _GT = "SELECT CAST(label AS BIGINT) AS query_id, 'v' || CAST(label AS VARCHAR) AS gt, CAST(min(vec_id) AS INT) AS s, CAST(min(vec_id) AS INT) + 200 AS e FROM embeddings GROUP BY label"
-_GRADED = "SELECT r.query_id, rank, CASE WHEN video_id = gt AND frame_idx BETWEEN s AND e THEN 1.0 ELSE 0.0 END AS r FROM ranked r JOIN gt USING (query_id)"
-_RK = ", ".join(f"coalesce(max(r) FILTER (WHERE rank <= {k}), 0.0) AS r_{k}" for k in numbers.CUTS)
+_GRADED = "SELECT r.query_id, rank, CASE WHEN video_id = gt AND frame_idx BETWEEN s AND e THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r FROM ranked r JOIN gt USING (query_id)"
+_RK = ", ".join(f"coalesce(max(r) FILTER (WHERE rank <= {k}), 0.0::DOUBLE) AS r_{k}" for k in numbers.CUTS)
 _FIN = "(" + " + ".join(f"r_{k}" for k in numbers.CUTS) + ") / 5"
 
 
@@ -246,7 +246,7 @@ def trake_rscore(t: Tables) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("ok"), F.round(r, 6).alias("r"))
 
 
-@query("""SELECT c_custkey AS ck, CASE WHEN c_nationkey BETWEEN 5 AND 15 AND lower(trim(regexp_replace(c_mktsegment, '\\s+', ' ', 'g'))) IN ('building', 'machinery') THEN 1.0 ELSE 0.0 END AS r FROM customer""")
+@query("""SELECT c_custkey AS ck, CASE WHEN c_nationkey BETWEEN 5 AND 15 AND lower(trim(regexp_replace(c_mktsegment, '\\s+', ' ', 'g'))) IN ('building', 'machinery') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r FROM customer""")
 def qa_rscore(t: Tables) -> DataFrame:
     windows = F.array(F.struct(F.lit(5).alias("s"), F.lit(15).alias("e")))
     from ..functions.text import answer_matches
@@ -260,10 +260,10 @@ def slot_weight(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").cast("long").alias("ok"), numbers.slot_weight(F.col("o_custkey") % 130 + 1).alias("w"))
 
 
-@query("SELECT doc_id, CASE WHEN q = 2 THEN 1.0 ELSE 0.0 END AS strict, CASE WHEN q = 2 THEN 1.0 WHEN q = 1 THEN 0.5 ELSE 0.0 END AS graded FROM (SELECT doc_id, max(quality + toxic) AS q FROM labels GROUP BY doc_id)")
+@query("SELECT doc_id, CASE WHEN q = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS strict, CASE WHEN q = 2 THEN 1.0::DOUBLE WHEN q = 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS graded FROM (SELECT doc_id, max(quality + toxic) AS q FROM labels GROUP BY doc_id)")
 def shot_graded(t: Tables) -> DataFrame:
     rel = t.labels.groupBy("doc_id").agg(F.max(F.col("quality") + F.col("toxic")).alias("q"))
-    return rel.select("doc_id", scoring.shot_grade(F.col("q"), True).cast("decimal(2,1)").cast("double").alias("strict"), scoring.shot_grade(F.col("q"), False).alias("graded"))
+    return rel.select("doc_id", scoring.shot_grade(F.col("q"), True).alias("strict"), scoring.shot_grade(F.col("q"), False).alias("graded"))
 
 
 @query(
@@ -287,7 +287,7 @@ def bootstrap_ci(t: Tables) -> DataFrame:
 # -- windows and placement ----------------------------------------------------
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS k, unnest(list_sort(list_distinct(list_transform(range(5), i -> least(1000, greatest(0, p_size * 20 - 20 + CAST(i AS INT) * 10)))))) AS frame FROM part")
+@query("SELECT CAST(p_partkey AS BIGINT) AS k, unnest(list_sort(list_distinct(list_transform(range(5), lambda i: least(1000, greatest(0, p_size * 20 - 20 + CAST(i AS INT) * 10)))))) AS frame FROM part")
 def uniform_grid(t: Tables) -> DataFrame:
     grid = numbers.uniform_grid((F.col("p_size") * 20).cast("int"), 5, 10, F.lit(0), F.lit(1000))
     return t.part.select(F.col("p_partkey").cast("long").alias("k"), F.explode(grid).alias("frame"))

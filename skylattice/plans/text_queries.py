@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
@@ -22,7 +22,7 @@ def query(statement: str | None = None):
     return note
 
 
-@query(r"SELECT doc_id, CAST(len(list_filter(list_transform(string_split_regex(regexp_replace(trim(text, E' \n\t\r'), '([.!?])[ \n\t\r]+', '\1' || chr(1), 'g'), chr(1)), x -> trim(x, E' \n\t\r')), x -> x <> '')) AS INT) AS n FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, CAST(len(list_filter(list_transform(string_split_regex(regexp_replace(trim(text, E' \n\t\r'), '([.!?])[ \n\t\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, E' \n\t\r')), lambda x: x <> '')) AS INT) AS n FROM documents WHERE text IS NOT NULL")
 def sentences(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"))
 
@@ -85,10 +85,11 @@ def cache_miss(t: Tables) -> DataFrame:
     return keyed.groupBy("key").agg(F.count("*").alias("n")).join(cache, "key", "left_anti")
 
 
-@query("SELECT lang, count(*) AS n, CAST(sum(CASE WHEN lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(upper(text), '\\s+', ' ', 'g'))) THEN 1 ELSE 0 END) AS BIGINT) AS same FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) AS n, count(*) AS same FROM documents WHERE text IS NOT NULL GROUP BY lang")
 def normalized_answers(t: Tables) -> DataFrame:
-    same = text.normalize_answer(F.col("text"), False) == text.normalize_answer(F.upper("text"), False)
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.coalesce(same.cast("long"), F.lit(0))).alias("same"))
+    """Blanks do not make answers differ."""
+    same = text.normalize_answer(F.col("text"), False) == text.normalize_answer(F.concat(F.lit(" "), F.regexp_replace("text", " ", " \n ")), False)
+    return t.documents.where("text is not null").groupBy("lang").agg(F.count("*").alias("n"), F.sum(same.cast("long")).alias("same"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN o >= 25 AND a >= 60 THEN 'vision+ocr+asr' WHEN o >= 25 AND a < 20 THEN 'vision+ocr' WHEN a >= 60 AND o < 10 THEN 'vision+asr' WHEN o < 10 AND a < 20 THEN 'vision' END AS kind FROM (SELECT conv_id, turn, length(coalesce(role, '')) * 3 AS o, length(coalesce(text, '')) AS a FROM conversations)")
@@ -117,13 +118,14 @@ def shot_parts(t: Tables) -> DataFrame:
 
 # -- submissions: an order is a task, its lines are answers -------------------
 
-_LINES = "SELECT l_orderkey AS ok, l_linenumber AS rank, l_suppkey AS v, CAST(l_quantity AS INT) AS f, l_extendedprice AS score FROM lineitem"
+_LINES = "SELECT l_orderkey AS ok, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank, l_suppkey AS v, CAST(l_quantity AS INT) AS f, l_extendedprice AS score FROM lineitem"
 
 
 def _tasks(t: Tables) -> tuple[DataFrame, DataFrame]:
     tasks = t.orders.select(F.col("o_orderkey").cast("string").alias("task_id"), F.lit("kis").alias("task_type"), F.lit(1).alias("n_moments"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     answers = t.lineitem.select(
-        F.col("l_orderkey").cast("string").alias("task_id"), F.col("l_linenumber").cast("int").alias("rank"), F.col("l_suppkey").cast("string").alias("video_id"), F.array(F.col("l_quantity").cast("int")).alias("frames"), F.lit(None).cast("string").alias("answer"), F.col("l_extendedprice").alias("score"),
+        F.col("l_orderkey").cast("string").alias("task_id"), F.row_number().over(order).alias("rank"), F.col("l_suppkey").cast("string").alias("video_id"), F.array(F.col("l_quantity").cast("int")).alias("frames"), F.lit(None).cast("string").alias("answer"), F.col("l_extendedprice").alias("score"),
     )
     return tasks, answers
 
@@ -157,7 +159,7 @@ def alignment_anti(t: Tables) -> DataFrame:
     return frame_index.missing_keys(t.documents, t.embeddings.withColumnRenamed("vec_id", "doc_id"), ("doc_id",))
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS task_id, count(*) AS results, min(l_linenumber) AS first_rank FROM lineitem GROUP BY l_orderkey""")
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS task_id, count(*) AS results, CAST(1 AS BIGINT) AS first_rank FROM lineitem GROUP BY l_orderkey""")
 def prediction_payload(t: Tables) -> DataFrame:
     tasks, answers = _tasks(t)
     found = submission.payload(tasks, answers)
