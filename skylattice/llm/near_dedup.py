@@ -23,6 +23,10 @@ from .components import components
 SHINGLE, SIMILAR = 5, 0.8
 #: A pair at 0.8 shares no band with a probability of 6e-6.
 BANDS, ROWS = 40, 6
+#: A pair is compared by its texts unless its estimate is five standard errors below the threshold.
+ERRORS = 5.0
+#: Members of a bucket that are compared at once; larger buckets are cut into blocks and all pairs of blocks.
+BLOCK = 512
 REGISTERS = BANDS * ROWS
 
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -129,6 +133,19 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """A byte of each register: enough to estimate a similarity before texts are fetched."""
+    return (_mix(np.ascontiguousarray(signature).view(np.uint32).astype(_U) + _U(1)) >> _U(56)).astype(np.uint8)
+
+
+def alike(sketch_a: np.ndarray, sketch_b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each row of a to each of b; bytes agree by chance once in 256."""
+    out = np.empty((len(sketch_a), len(sketch_b)))
+    for i, row in enumerate(sketch_a):
+        out[i] = (sketch_b == row).sum(axis=1)
+    return (out / sketch_a.shape[1] - 1 / 256) / (1 - 1 / 256)
+
+
 def multiset_similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard of two texts' shingles, from the words themselves."""
 
@@ -159,14 +176,19 @@ def _signed(docs: DataFrame) -> DataFrame:
                     size += len(texts[hi] or "")
                     hi += 1
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[lo:hi]]
-                keys = band_keys(signatures(raw))
+                signed = signatures(raw)
+                keys, sketch = band_keys(signed), sketches(signed)
                 words = [r.split() for r in raw]
                 nodes = [_node(w) for w in words]
                 bands = [k if w else k[:0] for k, w in zip(keys, words, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                weight = [len(w) if len(w) < SHINGLE else len(w) - SHINGLE + 1 for w in words]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(weight, pa.int64())],
+                    ["doc_id", "node", "bands", "sketch", "weight"],
+                )
                 lo = hi
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, bands array<long>, sketch binary, weight long")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -181,10 +203,8 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select("node", "text").mapInArrow(run, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels(node, label) after links(a, b) join components."""
-    if labels is None:
-        return components(links, "dedup-components")
     one, two = (labels.select(F.col("node").alias(n), F.col("label").alias(m)) for n, m in (("a", "la"), ("b", "lb")))
     between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     higher = components(between, "dedup-components").select(F.col("node").alias("old"), F.col("label").alias("new"))
@@ -205,54 +225,102 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _candidates(members: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of members(bucket, node, label, n, sketch, weight) of one bucket and two labels whose
+    weights and sketches allow the similarity. A task holds two blocks of a bucket at a time."""
+    least = similar - ERRORS * (similar * (1 - similar) / REGISTERS) ** 0.5
+
+    def pairs(label, node, side, sketch, weight) -> tuple[np.ndarray, np.ndarray]:
+        two = side.any()  # a block against another, or against itself
+        names, size = np.unique(label, return_counts=True)
+        odd = label != names[size.argmax()]  # the largest component is not compared with itself
+        left = np.flatnonzero(odd)
+        found = [np.zeros((0, 2), np.int64)]
+        for lo in range(0, len(left), 256):
+            i = left[lo : lo + 256]
+            good = (label[i, None] != label[None, :]) & (np.minimum(weight[i, None], weight[None, :]) >= similar * np.maximum(weight[i, None], weight[None, :]))
+            good &= (side[i, None] != side[None, :]) if two else True
+            good &= ~odd[None, :] | (i[:, None] < np.arange(len(label))[None, :])
+            some = good.any(axis=1)
+            if some.any():
+                good[some] &= alike(sketch[i[some]], sketch) >= least
+                x, y = np.nonzero(good)
+                found.append(np.stack([node[i[x]], node[y]], axis=1))
+        both = np.concatenate(found)
+        return both.min(axis=1), both.max(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def work(t: pa.Table) -> pa.RecordBatch:
+            columns = [t.column(c).to_numpy() for c in ("bucket", "i", "j", "label", "node", "side", "weight")]
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            key = np.stack(columns[:3])
+            edges = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True]]))
+            a, b = [], []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi - lo > 1:
+                    x, y = pairs(columns[3][lo:hi], columns[4][lo:hi], columns[5][lo:hi], sketch[lo:hi], columns[6][lo:hi])
+                    a.append(x)
+                    b.append(y)
+            none = [np.zeros(0, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + a)), pa.array(np.concatenate(none + b))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            last = [held.column(c)[-1].as_py() for c in ("bucket", "i", "j")]
+            same = np.logical_and.reduce([held.column(c).to_numpy() == v for c, v in zip(("bucket", "i", "j"), last, strict=True)])
+            cut = int(np.flatnonzero(same)[0])  # the last group may go on in the next batch
+            if cut:
+                yield work(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield work(held)
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "node", (F.col("own") > F.col("other")).cast("int").alias("side"), "weight", "sketch")
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, node, group, class_id) for every row of docs(doc_id, text): class_id is the least doc_id of
     all texts that chains of links reach, which are a group; a link joins texts with a shingle similarity of `similar` or more.
 
-    Texts of equal words are one node. A bucket's nodes are first compared with its most central node (the one
-    whose buckets hold the most nodes), then with a sixteenth of its nodes, then with all that are
-    left; each time only where components differ. So large groups of near copies cost a comparison
-    a member and bucket, and every pair of different components that shares a bucket is looked at in the end.
+    Texts of equal words are one node. A bucket's nodes are first compared with its most central node (the one whose
+    buckets hold the most nodes): large groups of near copies join by one comparison a member and bucket.
+    Then, in the buckets that still hold several components, every pair of nodes of different components is
+    looked at by weight and sketch, in blocks, and the likely ones by their texts.
 
     Null and empty texts are one node without links to others; null doc_ids join classes but do not name
     them, unless there is no other. Texts below five words are alike only if equal. Other columns are ignored."""
     signed = written(_signed(docs), "dedup-signed")
-    distinct = written(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "dedup-nodes")
+    distinct = written(signed.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("bands", "sketch", "weight")]), "dedup-nodes")
     members = distinct.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(members.join(shared, "bucket"), "dedup-members")
+    texts = written(_texts_of(docs, members.select("node").distinct().join(distinct.select("node", "least"), "node")), "dedup-texts")
     central = members.groupBy("node").agg(F.sum("n").alias("central"))
     members = written(members.join(central, "node"), "dedup-members")
-    texts = written(_texts_of(docs, members.select("node").distinct().join(distinct.select("node", "least"), "node")), "dedup-texts")
-    labels: DataFrame | None = None
-    tried: DataFrame | None = None
-    for round_ in range(3):
-        now = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if labels is not None:
-            mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-            now = written(now.join(mixed, "bucket"), "dedup-members")
-        if round_ == 0:
-            lead = now.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("central", "node")).alias("l"))
-            lead = lead.select("bucket", F.col("l.node").alias("to"), F.col("l.label").alias("to_label"))
-        else:
-            lead = now.select("bucket", F.col("node").alias("to"), F.col("label").alias("to_label"), "n")
-            lead = (lead.where(F.pmod(F.xxhash64("to", "bucket"), F.lit(16)) == 0) if round_ == 1 else lead).drop("n")
-        met = now.join(lead, "bucket").where("label <> to_label" if round_ < 2 else "label <> to_label and node < to")
-        pairs = met.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "dedup-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = written(_verified(pairs, texts, similar), "dedup-links")
-        if not links.isEmpty():
-            labels = _merged(labels, links)
-        elif round_ == 0:
-            continue
+    lead = members.groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("to"))
+    pairs = members.join(lead, "bucket").where("node <> to").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+    tried = written(pairs, "dedup-pairs")
+    labels = components(written(_verified(tried, texts, similar), "dedup-links"), "dedup-components")
+    now = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket", "n")
+    now = written(now.join(mixed, "bucket"), "dedup-mixed").join(distinct.select("node", "sketch", "weight"), "node")
+    pairs = written(_candidates(now, similar).join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
+    links = written(_verified(pairs, texts, similar), "dedup-links")
+    if not links.isEmpty():
+        labels = _merged(labels, links)
     nodes = distinct.select("node", F.col("node").alias("group"), F.col("least").alias("class_id"))
-    if labels is not None:
-        named = distinct.join(labels, "node").groupBy("label").agg(F.min("least").alias("least"))
-        classes = written(labels.join(named, "label").select("node", "label", F.col("least").alias("named")), "dedup-classes")
-        nodes = nodes.join(classes, "node", "left").select("node", F.coalesce("label", "group").alias("group"), F.coalesce("named", "class_id").alias("class_id"))
+    named = distinct.join(labels, "node").groupBy("label").agg(F.min("least").alias("least"))
+    classes = written(labels.join(named, "label").select("node", "label", F.col("least").alias("named")), "dedup-classes")
+    nodes = nodes.join(classes, "node", "left").select("node", F.coalesce("label", "group").alias("group"), F.coalesce("named", "class_id").alias("class_id"))
     return signed.select("doc_id", "node").join(written(nodes, "dedup-named"), "node").select("doc_id", "node", "group", "class_id")
 
 
