@@ -9,7 +9,7 @@ the earliest. Two registers agree with the probability of the weighted Jaccard s
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -27,6 +27,8 @@ BANDS, ROWS = 40, 6
 ERRORS = 5.0
 #: Members of a bucket that are compared at once; larger buckets are cut into blocks and all pairs of blocks.
 BLOCK = 512
+#: The same for texts.
+TEXT_BLOCK = 128
 REGISTERS = BANDS * ROWS
 
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -146,14 +148,14 @@ def alike(sketch_a: np.ndarray, sketch_b: np.ndarray) -> np.ndarray:
     return (out / sketch_a.shape[1] - 1 / 256) / (1 - 1 / 256)
 
 
-def multiset_similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard of two texts' shingles, from the words themselves."""
+def shingle_bag(raw: bytes) -> Counter:
+    words = raw.split()
+    return Counter(tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))) if words else Counter()
 
-    def bag(raw: bytes) -> Counter:
-        words = raw.split()
-        return Counter(tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))) if words else Counter()
 
-    x, y = bag(a), bag(b)
+def multiset_similarity(a: bytes, b: bytes) -> float:
+    """Weighted Jaccard of two texts' shingles, from the words themselves."""
+    x, y = shingle_bag(a), shingle_bag(b)
     both = sum(min(n, y[k]) for k, n in x.items() if k in y)
     all_ = sum(x.values()) + sum(y.values()) - both
     return both / all_ if all_ else 1.0
@@ -225,66 +227,118 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _candidates(members: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b) of members(bucket, node, label, n, sketch, weight) of one bucket and two labels whose
-    weights and sketches allow the similarity. A task holds two blocks of a bucket at a time."""
-    least = similar - ERRORS * (similar * (1 - similar) / REGISTERS) ** 0.5
+def _block_groups(members: DataFrame, key: str, size: int, columns: list[str]) -> DataFrame:
+    """members(key, node, n, ...) dealt into groups (key, i, j): the blocks of a key's members against
+    themselves and each other, `size` members a block. `side` tells the two blocks of a group apart."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", (F.col("own") > F.col("other")).cast("int").alias("side"), *columns)
+    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
 
-    def pairs(label, node, side, sketch, weight) -> tuple[np.ndarray, np.ndarray]:
-        two = side.any()  # a block against another, or against itself
-        names, size = np.unique(label, return_counts=True)
-        odd = label != names[size.argmax()]  # the largest component is not compared with itself
-        left = np.flatnonzero(odd)
-        found = [np.zeros((0, 2), np.int64)]
-        for lo in range(0, len(left), 256):
-            i = left[lo : lo + 256]
-            good = (label[i, None] != label[None, :]) & (np.minimum(weight[i, None], weight[None, :]) >= similar * np.maximum(weight[i, None], weight[None, :]))
-            good &= (side[i, None] != side[None, :]) if two else True
-            good &= ~odd[None, :] | (i[:, None] < np.arange(len(label))[None, :])
-            some = good.any(axis=1)
-            if some.any():
-                good[some] &= alike(sketch[i[some]], sketch) >= least
-                x, y = np.nonzero(good)
-                found.append(np.stack([node[i[x]], node[y]], axis=1))
-        both = np.concatenate(found)
-        return both.min(axis=1), both.max(axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def work(t: pa.Table) -> pa.RecordBatch:
-            columns = [t.column(c).to_numpy() for c in ("bucket", "i", "j", "label", "node", "side", "weight")]
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            key = np.stack(columns[:3])
-            edges = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True]]))
-            a, b = [], []
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi - lo > 1:
-                    x, y = pairs(columns[3][lo:hi], columns[4][lo:hi], columns[5][lo:hi], sketch[lo:hi], columns[6][lo:hi])
-                    a.append(x)
-                    b.append(y)
-            none = [np.zeros(0, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + a)), pa.array(np.concatenate(none + b))], ["a", "b"])
+def _by_group(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that work finds in each group of rows with the same (key, i, j), which stand together."""
+    held = None
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+    def found(t: pa.Table) -> pa.RecordBatch:
+        names = np.stack([t.column(c).to_numpy() for c in (key, "i", "j")])
+        edges = np.flatnonzero(np.concatenate([[True], (names[:, 1:] != names[:, :-1]).any(axis=0), [True]])).tolist()
+        parts = [work(t.slice(lo, hi - lo)) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if hi - lo > 1]
+        none = [np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + [p[k] for p in parts])) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            last = [held.column(c)[-1].as_py() for c in ("bucket", "i", "j")]
-            same = np.logical_and.reduce([held.column(c).to_numpy() == v for c, v in zip(("bucket", "i", "j"), last, strict=True)])
-            cut = int(np.flatnonzero(same)[0])  # the last group may go on in the next batch
-            if cut:
-                yield work(held.slice(0, cut))
+            last = np.logical_and.reduce([held.column(c).to_numpy() == held.column(c)[-1].as_py() for c in (key, "i", "j")])
+            if cut := int(last.argmax()):  # the last group may go on in the next batch
+                yield found(held.slice(0, cut))
                 held = held.slice(cut)
-        if held is not None:
-            yield work(held)
+    if held is not None:
+        yield found(held)
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric adjacency."""
+    new, out = np.ones(len(near), bool), []
+    for root in np.flatnonzero(near.any(axis=1)).tolist():
+        if new[root]:
+            new[root] = False
+            front = [root]
+            while front:
+                reach = near[front] & new
+                found = np.flatnonzero(reach.any(axis=0))
+                out += [(front[k], y) for y, k in zip(found.tolist(), reach[:, found].argmax(axis=0).tolist(), strict=True)]
+                new[found] = False
+                front = found.tolist()
+    return out
+
+
+def _likely(members: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) that span what may be alike: nodes of one bucket in members(bucket, node, n, label, sketch,
+    weight) with different labels, whose weights and sketches allow the similarity. Fewer links than members a group."""
+    least = similar - ERRORS * (similar * (1 - similar) / REGISTERS) ** 0.5
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "node", (F.col("own") > F.col("other")).cast("int").alias("side"), "weight", "sketch")
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(run, "a long, b long").distinct()
+    def work(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, label, side, weight = (t.column(c).to_numpy() for c in ("node", "label", "side", "weight"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        names, size = np.unique(label, return_counts=True)
+        near = np.zeros((len(node), len(node)), bool)
+        for i in np.flatnonzero(label != names[size.argmax()]).tolist():  # the largest component is not compared with itself
+            good = (label != label[i]) & (np.minimum(weight, weight[i]) >= similar * np.maximum(weight, weight[i]))
+            if side.any():  # two blocks
+                good &= side != side[i]
+            other = np.flatnonzero(good)
+            if len(other):
+                near[i, other[alike(sketch[i : i + 1], sketch[other])[0] >= least]] = True
+        edges = np.array(_forest(near | near.T), np.int64).reshape(-1, 2)
+        return node[edges[:, 0]], node[edges[:, 1]]
+
+    dealt = _block_groups(members, "bucket", BLOCK, ["label", "sketch", "weight"])
+    return dealt.mapInArrow(lambda batches: _by_group(batches, "bucket", work), "a long, b long").distinct()
+
+
+def _exact(members: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) between different labels of members(cluster, node, n, label, text), every pair of a cluster
+    compared by its whole multisets of shingles; only links that join something new in their group are kept."""
+
+    def work(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, label, side = (t.column(c).to_numpy() for c in ("node", "label", "side"))
+        seen: dict[tuple, int] = {}
+        ids, counts = [], []
+        for text in t.column("text"):
+            bag = shingle_bag((text.as_py() or "").encode("utf-8", "surrogatepass"))
+            ids.append(np.fromiter((seen.setdefault(k, len(seen)) for k in bag), np.int64, len(bag)))
+            counts.append(np.fromiter(bag.values(), np.int64, len(bag)))
+        flat, count = np.concatenate(ids), np.concatenate(counts)
+        size = np.array(list(map(len, ids)))
+        begin = np.cumsum(size) - size
+        weight = np.add.reduceat(np.append(count, 0), begin)
+        weight[size == 0] = 0
+        group = np.unique(label, return_inverse=True)[1]
+        own = np.zeros(len(seen), np.int64)
+        out = []
+        for x in range(len(node) - 1):
+            other = np.flatnonzero((group[x + 1 :] != group[x]) & (np.minimum(weight[x + 1 :], weight[x]) >= similar * np.maximum(weight[x + 1 :], weight[x]))) + x + 1
+            if side.any():
+                other = other[side[other] != side[x]]
+            if not len(other) or not size[x]:
+                continue
+            own[ids[x]] = counts[x]
+            where = np.repeat(begin[other] - np.cumsum(size[other]) + size[other], size[other]) + np.arange(size[other].sum())
+            both = np.add.reduceat(np.minimum(own[flat[where]], count[where]), np.cumsum(size[other]) - size[other])
+            own[ids[x]] = 0
+            for y in other[both >= similar * (weight[x] + weight[other] - both)].tolist():
+                if group[y] != group[x]:
+                    group[group == group[y]] = group[x]
+                    out.append((node[x], node[y]))
+        edges = np.array(out, np.int64).reshape(-1, 2)
+        return edges[:, 0], edges[:, 1]
+
+    dealt = _block_groups(members, "cluster", TEXT_BLOCK, ["label", "text"])
+    return dealt.mapInArrow(lambda batches: _by_group(batches, "cluster", work), "a long, b long")
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -294,7 +348,8 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     Texts of equal words are one node. A bucket's nodes are first compared with its most central node (the one whose
     buckets hold the most nodes): large groups of near copies join by one comparison a member and bucket.
     Then, in the buckets that still hold several components, every pair of nodes of different components is
-    looked at by weight and sketch, in blocks, and the likely ones by their texts.
+    looked at by weight and sketch, in blocks; what likely pairs connect is a cluster, and all pairs of a
+    cluster are compared by their texts, in blocks. No step makes a row for each pair.
 
     Null and empty texts are one node without links to others; null doc_ids join classes but do not name
     them, unless there is no other. Texts below five words are alike only if equal. Other columns are ignored."""
@@ -312,9 +367,11 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     labels = components(written(_verified(tried, texts, similar), "dedup-links"), "dedup-components")
     now = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket", "n")
-    now = written(now.join(mixed, "bucket"), "dedup-mixed").join(distinct.select("node", "sketch", "weight"), "node")
-    pairs = written(_candidates(now, similar).join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
-    links = written(_verified(pairs, texts, similar), "dedup-links")
+    now = now.join(mixed, "bucket").join(distinct.select("node", "sketch", "weight"), "node")
+    likely = components(_likely(now, similar), "dedup-likely").select("node", F.col("label").alias("cluster"))
+    size = likely.groupBy("cluster").agg(F.count("*").alias("n"))
+    held = likely.join(size, "cluster").join(labels, "node", "left").select("cluster", "node", "n", F.coalesce("label", "node").alias("label")).join(texts, "node")
+    links = written(_exact(held, similar), "dedup-links")
     if not links.isEmpty():
         labels = _merged(labels, links)
     nodes = distinct.select("node", F.col("node").alias("group"), F.col("least").alias("class_id"))

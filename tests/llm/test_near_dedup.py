@@ -73,6 +73,7 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     base = [rng.choice(pool) for _ in range(120)]
     texts = [" ".join(_edit(base, 3, rng, pool)) for _ in range(60)]
     monkeypatch.setattr(nd, "BLOCK", 7)
+    monkeypatch.setattr(nd, "TEXT_BLOCK", 5)
     rows = list(enumerate(texts))
     got = nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.class_id) for r in got) == _classes(rows)
