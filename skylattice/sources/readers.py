@@ -46,7 +46,7 @@ def frame_table(spark: SparkSession, path: str) -> DataFrame:
 
     The header is matched by name in each file, so column order may differ."""
     names = [c.split()[0] for c in FRAMES.split(", ")]
-    lines = spark.read.text(path, wholetext=True).select(_stem().alias("video_id"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    lines = spark.read.text(path, wholetext=True).select(_stem().alias("video_id"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
     lines = lines.withColumn("lines", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""))
     table = lines.select("video_id", F.split(F.element_at("lines", 1), ",").alias("head"), F.posexplode(F.slice("lines", 2, 10_000_000)).alias("pos", "line")).withColumn("cells", F.split("line", ","))
     kinds = dict(c.split() for c in FRAMES.split(", "))

@@ -21,7 +21,7 @@ def test_ocr(spark, tmp_path):
 
 
 def test_frame_tables(spark, tmp_path):
-    put(tmp_path / "m/L1_V1.csv", "﻿\n\nn,frame_idx,fps,shot_id,shot_start_frame,shot_end_frame\n1,25,25.0,0,0,40\n2,50,25.0,0,9,99\n3,,25.0,1,,\n")
+    put(tmp_path / "m/L1_V1.csv", "\ufeff\n\nn,frame_idx,fps,shot_id,shot_start_frame,shot_end_frame\n1,25,25.0,0,0,40\n2,50,25.0,0,9,99\n3,,25.0,1,,\n")
     put(tmp_path / "m/L1_V2.csv", "fps,n,frame_idx\n10,7,30\n")
     t = readers.frame_table(spark, str(tmp_path / "m/*.csv")).cache()
     assert {(r.video_id, r.n, r.ts_ms) for r in readers.frame_times(t).collect()} == {("L1_V1", 1, 1000.0), ("L1_V1", 2, 2000.0), ("L1_V2", 7, 3000.0)}
