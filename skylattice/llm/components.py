@@ -1,4 +1,4 @@
-"""Connected components as tables; nothing of the graph reaches the driver but counts."""
+"""Connected components as tables; nothing of the graph reaches the driver but whether a link is left."""
 
 from __future__ import annotations
 
@@ -9,20 +9,28 @@ from .common import written
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label) for every node of links(a, b): label is the least node that it reaches.
-
-    Each round gives a node the least label among itself and its neighbours, then follows labels to
-    labels, so paths shorten by more than half; a round's table is written, and the rounds end when none changes."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.where("a <> b").distinct(), f"{name}-links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), name)
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
-        step = written(step, name)
-        far = step.select(F.col("node").alias("of"), F.col("to").alias("further"))
-        jumped = step.join(far, step["to"] == far["of"]).select("node", "was", F.least("to", "further").alias("label"))
-        jumped = written(jumped, name)
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> was").isEmpty():
-            return labels
+    """(node, label) for every node of links(a, b) with another end: label is the least node that it reaches.
+
+    Each round moves every node to its least neighbour, if that is less, and on to where that one moves; then links
+    are drawn anew between the places moved to. Those within one place go, so the graph shrinks by
+    more than half of its linked places a round, and the rounds end when no link is left."""
+
+    def drawn(a, b) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    edges = written(links.where("a <> b").select(*drawn("a", "b")).distinct(), f"{name}-links")
+    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    first = True
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("old")).agg(F.min("b").alias("b")).select("old", F.least("old", "b").alias("to"))
+        on = near.select(F.col("old").alias("of"), F.col("to").alias("new"))
+        moved = written(near.join(on, near["to"] == on["of"]).select("old", "new"), f"{name}-moved")
+        if first:
+            labels, first = moved.select(F.col("old").alias("node"), F.col("new").alias("label")), False
+        else:
+            labels = written(labels.join(moved, labels["label"] == moved["old"], "left").select("node", F.coalesce("new", "label").alias("label")), name)
+        one, two = (moved.select(F.col("old").alias(e), F.col("new").alias(f"to_{e}")) for e in ("a", "b"))
+        edges = edges.join(one, "a").join(two, "b").where("to_a <> to_b").select(*drawn("to_a", "to_b"))
+        edges = written(edges.distinct(), f"{name}-links")
+    return labels
