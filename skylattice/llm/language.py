@@ -89,12 +89,11 @@ def gram_shares(text: str) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
-    """Weights (last: bias) of an L2-regularised squared-hinge machine; classes weigh alike.
+    """Weights (last: bias, for a last column of ones in x) of an L2-regularised squared-hinge machine; classes weigh alike.
 
     Accelerated full-batch gradient steps from zero: the same input gives the same weights."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    bound = 2 * float(weight @ (x * x).sum(axis=1)) + penalty
+    bound = 2 * float(weight @ np.einsum("ij,ij->i", x, x)) + penalty
     w = last = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
         at = w + (w - last) * np.float32(k / (k + 3))
@@ -142,6 +141,7 @@ class Model:
 
 
 def fit(shares: np.ndarray, langs: list[str]) -> Model:
+    """shares: n-gram shares and a last column of ones, a row for each of langs; it is scaled in place."""
     names = sorted(set(langs))
     family_of = {n: _FAMILY.get(n, "other") for n in names}
     families = sorted(set(family_of.values()))
@@ -152,9 +152,9 @@ def fit(shares: np.ndarray, langs: list[str]) -> Model:
         return Model([], [], [], np.zeros((size, 0), np.float32), np.zeros(0))
     own = np.array(langs)
     # frequent n-grams vary most; dividing by the root of their share gives rarer ones a say
-    scale = 1 / np.sqrt(shares.mean(axis=0) + 1e-5)
-    x = shares * scale
-    x *= np.float32(3.0)
+    scale = (3 / np.sqrt(shares[:, :size].mean(axis=0) + 1e-5)).astype(np.float32)
+    x = shares  # scaled in place: the sample is the driver's largest object
+    x[:, :size] *= scale
     columns = []
     if len(families) == 1:
         columns.append(np.zeros(size + 1, np.float32))
@@ -165,7 +165,7 @@ def fit(shares: np.ndarray, langs: list[str]) -> Model:
         rows = np.isin(own, [members[k][a], members[k][b]])
         columns.append(_svm(x[rows], np.where(own[rows] == members[k][a], 1, -1).astype(np.float32)))
     w = np.stack(columns, axis=1)
-    return Model(families, members, pairs, (w[:-1] * scale[:, None] * 3.0).astype(np.float32), w[-1].astype(np.float64))
+    return Model(families, members, pairs, (w[:-1] * scale[:, None]).astype(np.float32), w[-1].astype(np.float64))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -177,7 +177,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return fit(np.zeros((0, 1 << BUCKETS), np.float32), [])
+        return fit(np.zeros((0, (1 << BUCKETS) + 1), np.float32), [])
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
     share = F.create_map(*[v for lang, n in sizes.items() for v in (F.lit(lang), F.lit(1.25 * sample / n + 8 / n))])[F.col("lang")]
 
@@ -196,16 +196,19 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     table = drawn.mapInArrow(count, "lang string, d double, at array<int>, share array<float>").toArrow()
     order = sorted(range(table.num_rows), key=lambda i: (table["lang"][i].as_py(), table["d"][i].as_py(), table["at"][i].values.to_numpy().tobytes()))
     took: dict[str, int] = {}
-    langs, dense = [], []
+    chosen = []
     for i in order:
         lang = table["lang"][i].as_py()
         took[lang] = took.get(lang, 0) + 1
         if took[lang] <= sample:
-            row = np.zeros(1 << BUCKETS, np.float32)
-            row[table["at"][i].values.to_numpy()] = table["share"][i].values.to_numpy()
-            langs.append(lang)
-            dense.append(row)
-    return fit(np.stack(dense) if dense else np.zeros((0, 1 << BUCKETS), np.float32), langs)
+            chosen.append(i)
+    dense = np.zeros((len(chosen), (1 << BUCKETS) + 1), np.float32)
+    dense[:, -1] = 1
+    for row, i in zip(dense, chosen, strict=True):
+        row[table["at"][i].values.to_numpy()] = table["share"][i].values.to_numpy()
+    langs = [table["lang"][i].as_py() for i in chosen]
+    del table
+    return fit(dense, langs)
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -35,7 +35,7 @@ def test_language_edges(spark):
 
 def test_prediction_does_not_depend_on_the_batch():
     texts = ["the house of the man", "das haus des mannes", "x", "élève à l'école"]
-    model = language.fit(np.stack([language.gram_shares(t) for t in texts]), ["en", "de", "en", "fr"])
+    model = language.fit(np.stack([np.append(language.gram_shares(t), np.float32(1)) for t in texts]), ["en", "de", "en", "fr"])
     together = model.predict(texts * 50)
     for i, t in enumerate(texts):
         lang, score = model.predict([t])
