@@ -115,3 +115,31 @@ def test_neighbours(spark):
             assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(_neighbours(part))
             assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert fp.against_neighbours(docs.where("false"), 3).count() == 0
+
+
+def test_whole_documents_are_queries(spark):
+    """Every document with doc_id % 20 = 0, whole, against all documents."""
+    from skylattice.llm import registry
+    from skylattice.llm.common import read
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
+    asked = [r for r in rows if r[0] % 20 == 0]
+    assert len(asked) == 10 and max(len(set(search.tokens(t))) for _, t in asked) > search.WAND_TERMS
+    got = sorted((r.query_id, r.rank, r.doc_id, round(r.score, 5)) for r in registry.QUERIES["op9_bm25_documents"](spark, sf).collect())
+    assert got == [(*r[:3], round(r[3], 5)) for r in _bm25(rows, asked, 10)]
+    assert {q for q, rank, d, _ in got if rank == 1 and rows[q][1] == dict(rows)[d]} == {q for q, _ in asked}
+
+
+def test_long_queries_add_up(spark, monkeypatch):
+    """Blocks, ties and a bound on terms that sends some queries each way."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(words, weights=[1 / (j + 1) for j in range(200)], k=rng.randint(0, 80)))) for i in range(400)]
+    rows += [(1000 + i, rows[5][1]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    queries = docs.where("doc_id % 20 = 0").selectExpr("doc_id as query_id", "text")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(search, "WAND_TERMS", 15)
+    got = sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in search.bm25_topk(docs, queries, 7).collect())
+    assert got == _bm25(rows, [r for r in rows if r[0] % 20 == 0], 7)
