@@ -143,3 +143,25 @@ def test_long_queries_add_up(spark, monkeypatch):
     monkeypatch.setattr(search, "WAND_TERMS", 15)
     got = sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in search.bm25_topk(docs, queries, 7).collect())
     assert got == _bm25(rows, [r for r in rows if r[0] % 20 == 0], 7)
+
+
+def test_words_of_any_script(spark):
+    assert search.tokens("Élan_né café 2² Straße") == ["élan", "né", "café", "2²", "straße"]
+    rows = [(1, "où est l'été"), (2, "ou est l t"), (3, "Привет, мир"), (4, "καλημέρα κόσμε"), (5, "مرحبا بالعالم"), (6, "你好 世界"), (7, "हिन्दी भाषा"), (8, "plain text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    best = {r.query_id: r.doc_id for r in search.bm25_topk(docs, docs.selectExpr("doc_id as query_id", "text")).where("rank = 1").collect()}
+    assert best == {d: d for d, _ in rows}
+
+
+def test_documents_equal_sql(spark):
+    import duckdb
+
+    from skylattice.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(f"SELECT query_id, rank, doc_id, score FROM ({registry.ORACLES['op9_bm25_documents']})").fetchall())
+    got = sorted(tuple(r) for r in registry.QUERIES["op9_bm25_documents"](spark, sf).select("query_id", "rank", "doc_id", "score").collect())
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
