@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from skylattice.llm import language, mixing, near_dedup, packing, quality
 from skylattice.llm.common import kept_rows, read, tokenizer_path, written
 
-#: A document goes if its language can't be told; a score below this is a guess.
-LEAST_LANGUAGE_SCORE = 0.2
+#: A document goes if its language can't be told: its score must be this power of a guess's, half the way from a guess to certainty in logarithms.
+LEAST_LANGUAGE_POWER = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is told from their text."""
     teach = read(spark, sf_dir, "documents").where(~language.held_out(4, 2))
     model = language.learn(teach)
+    least = {lang: guess**LEAST_LANGUAGE_POWER for lang, guess in model.guesses().items()}
 
     def told(texts: list[str | None]) -> list[bool]:
-        return [lang != language.UNDETERMINED and score >= LEAST_LANGUAGE_SCORE for lang, score in zip(*model.predict(texts), strict=True)]
+        return [lang != language.UNDETERMINED and score >= least[lang] for lang, score in zip(*model.predict(texts), strict=True)]
 
     return kept_rows(docs, told)
 

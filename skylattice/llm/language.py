@@ -113,6 +113,12 @@ class Model:
     table: np.ndarray
     bias: np.ndarray
 
+    def guesses(self) -> dict[str, float]:
+        """The score of each language for a text that no machine tells anything about: equal families, and pairs at one half.
+
+        If one language alone was learned it is 1, as every score is."""
+        return {n: (0.5 if len(names) > 1 else 1.0) / len(self.families) for names in self.members for n in names}
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         known = [has_letter(t) and bool(self.families) for t in texts]
         margins = np.zeros((0, 0))

@@ -37,3 +37,24 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     assert [n for n, _ in pipe.STAGES] == ["language ID", "quality classifier", "MinHash near-dedup", "mixing sources to target weights", "packing"]
     assert pipe.run(spark, SF).count() > 0
+
+
+UNLEARNED = [
+    "Il governo ha annunciato ieri che le nuove misure entreranno in vigore la prossima settimana, dopo una lunga discussione in parlamento.",
+    "Rząd ogłosił wczoraj, że nowe przepisy wejdą w życie w przyszłym tygodniu po długiej dyskusji w parlamencie na temat reformy emerytalnej.",
+    "Hallitus ilmoitti eilen, että uudet toimet tulevat voimaan ensi viikolla pitkän eduskunnassa käydyn keskustelun jälkeen.",
+    "Правительство объявило вчера, что новые меры вступят в силу на следующей неделе после долгого обсуждения в парламенте.",
+    "政府昨天宣布,新措施将于下周生效,此前议会进行了长时间的讨论。",
+    "xq zvk jjw qpt bnm wxz kkj qqv zzx vbn ptk xwq jkz qvx wpn zkt",
+    "kjhsdf iuwer nbxcv oiqwe zmxnc lkasj qpwoe iruty alskd jfhg zmxn cbv",
+]
+
+
+def test_language_stage_rejects_what_it_cannot_tell(spark):
+    """Texts in unlearned languages and noise go; clean held-out rows stay."""
+    sf = "/root/testdata/sf0.1"
+    held = read(spark, sf, "documents").where(language.held_out(4, 2))
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(UNLEARNED)], "doc_id long, text string")
+    kept = {r.doc_id for r in pipe.identify_language(spark, held.select("doc_id", "text").unionByName(more), sf).select("doc_id").collect()}
+    assert min(kept) >= 0
+    assert held.count() - len(kept) <= 0.002 * held.count()
