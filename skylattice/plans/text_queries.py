@@ -37,6 +37,16 @@ def probe_split(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", F.posexplode(text.split_events(marked)).alias("probe_idx", "probe"))
 
 
+_MARKED_WHOLE = "'Intro. E1: ' || text || ' e2 : second one E3:third'"
+
+
+@query(rf"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS probe_idx, trim(parts[i + 1]) AS probe FROM (SELECT doc_id, parts, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, string_split_regex(' ' || trim(regexp_replace({_MARKED_WHOLE}, '\s+', ' ', 'g')), '\s[Ee]\s*\d+\s*:') AS parts FROM documents WHERE text IS NOT NULL)) WHERE trim(parts[i + 1]) <> ''")
+def probe_split_whole(t: Tables) -> DataFrame:
+    """As probe_split, whose SQL has 40 characters of a document, with whole documents."""
+    marked = F.concat(F.lit("Intro. E1: "), F.col("text"), F.lit(" e2 : second one E3:third"))
+    return t.documents.where("text is not null").select("doc_id", F.posexplode(text.split_events(marked)).alias("probe_idx", "probe"))
+
+
 @query("SELECT item_id, CAST(2 AS INT) AS n_probes, md5('Sau đó ' || lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')) || '.') AS digest FROM benchmark WHERE trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) <> ''")
 def probe_connective(t: Tables) -> DataFrame:
     plain = F.regexp_replace("text", "[^A-Za-z ]", "")
@@ -54,6 +64,16 @@ def quoted(t: Tables) -> DataFrame:
     return t.benchmark.where(F.length(F.trim(clean)) >= 2).select("item_id", F.size(found).alias("n"), F.when(found[0] == F.trim(clean), clean).otherwise(found[0]).alias("quoted"))
 
 
+@query()
+def quoted_whole(t: Tables) -> DataFrame:
+    """As quoted, whose SQL has 30 characters of a passage, with whole passages, cut evenly into quotes of at most 80 characters."""
+    rows = t.benchmark.select("item_id", F.regexp_replace("text", "[\"“”']", "").alias("clean")).where(F.length("clean") >= 2)
+    size, n = F.length("clean"), F.ceil(F.length("clean") / 80)
+    at = lambda i: F.floor(i * size / n).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.concat(F.lit('"'), F.substring("clean", at(i) + 1, at(i + 1) - at(i)), F.lit('"')))
+    return rows.select("item_id", F.posexplode(text.quoted(F.concat(F.lit("He said "), F.array_join(pieces, " and ")))).alias("quote_idx", "quoted"))
+
+
 @query("SELECT n_nationkey AS k, 'con tàu ' || lower(n_name) || ' trên biển' AS said FROM nation")
 def declarativize(t: Tables) -> DataFrame:
     asked = F.concat(F.lit("Trong video này, có bao nhiêu con tàu "), F.lower("n_name"), F.lit(" trên biển màu gì?"))

@@ -56,3 +56,18 @@ def test_entry(spark):
 def test_plan_prunes(spark):
     plan = catalog.QUERIES["doc_lengths"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan.replace("...", "") or "doc_id" in plan
+
+
+def test_whole_texts_reach_the_operators(spark, con):
+    """Pieces of probes and quotes make up the whole text again."""
+    got = {}
+    for r in catalog.QUERIES["quoted_whole"](spark, SF).orderBy("item_id", "quote_idx").collect():
+        assert len(r.quoted) <= 80
+        got.setdefault(r.item_id, []).append(r.quoted)
+    passages = dict(con.execute("SELECT item_id, text FROM benchmark").fetchall())
+    assert {k: "".join("".join(v).split()) for k, v in got.items()} == {k: "".join(t.translate(dict.fromkeys(map(ord, "\"“”'"))).split()) for k, t in passages.items()}
+    probes = {}
+    for r in catalog.QUERIES["probe_split_whole"](spark, SF).collect():
+        probes[r.doc_id] = max(probes.get(r.doc_id, 0), len(r.probe))
+    longest = con.execute("SELECT doc_id FROM documents ORDER BY length(text) DESC LIMIT 1").fetchone()[0]
+    assert probes[longest] > 40
