@@ -76,9 +76,13 @@ class _Conversation:
         self.total += tokens
         turn = _Turn(formatted, len(head), self.total, tokens, role == self.learner)
         before = self.new[0].upto - self.new[0].tokens if self.new else 0
-        fixed = (self.system.tokens if self.system else 0) + sum(t.tokens for t in self.old)
-        if self.new and fixed + self.total - before > self.budget:
+        system = self.system.tokens if self.system else 0
+        if self.new and system + sum(t.tokens for t in self.old) + self.total - before > self.budget:
             yield self.flush()
+        if not self.new:
+            system = self.system.tokens if self.system else 0
+            while self.old and system + sum(t.tokens for t in self.old) + tokens > self.budget:
+                self.old.pop(0)
         self.new.append(turn)
         self.seen += 1
 
@@ -107,9 +111,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     """Windows (see WINDOWS) of turns(conv_id, turn, role, text), in order within each conversation.
 
     Prefix sums of the turns' estimated tokens end a window before the turn that would pass the budget; a
-    turn above the budget stands whole in a window of its own. A window after the first repeats the system
-    turn that opened the conversation and as many last turns as the history holds; `repeated` counts
-    them, and the loss covers only the learner's texts among the others, so each is learned once.
+    turn that does not fit with the system turn alone stands whole in a window with it. A window after the first
+    repeats the system turn that opened the conversation and as many last turns as the history holds and
+    leave room for the first new turn; `repeated` counts them, and the loss covers only the learner's texts among the others, so each is learned once.
 
     A task holds one window at a time, however long a conversation is. Null text or role: empty. Null conv_id: one
     conversation. Ties in turn: by role, then text. Repeated rows are turns of their own. Other columns are ignored."""

@@ -53,3 +53,12 @@ def test_probe_and_empty(spark):
     assert chat.read_back(chat.format_windows(empty)).count() == 0
     (r,) = chat.read_back(chat.format_windows(chat.with_probe(empty))).collect()
     assert r.conv_id == -1 and r.n_turns == 2 and r.loss_chars == len(chat.PROBE)
+
+
+def test_history_makes_room_for_a_new_turn(spark):
+    """Only a turn that does not fit with the system turn passes the budget, and it has no history."""
+    rows = [(1, 0, "system", "be brief")] + [(1, i, "assistant" if i % 2 == 0 else "user", "word " * (20, 220, 60, 400)[i % 4]) for i in range(1, 30)]
+    windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=300, history=120).collect()
+    over = [w for w in windows if chat.estimated_tokens(w.text) > 300]
+    assert over and all(w.repeated == 1 and w.n_turns == 2 and len(w.text) > 2000 for w in over)
+    assert sum(w.n_turns - w.repeated for w in windows) == len(rows)
