@@ -48,7 +48,7 @@ def frame_table(spark: SparkSession, path: str) -> DataFrame:
     names = [c.split()[0] for c in FRAMES.split(", ")]
     lines = spark.read.text(path, wholetext=True).select(_stem().alias("video_id"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
     lines = lines.withColumn("lines", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""))
-    table = lines.select("video_id", F.split(F.element_at("lines", 1), ",").alias("head"), F.posexplode(F.slice("lines", 2, 10_000_000)).alias("pos", "line")).withColumn("cells", F.split("line", ","))
+    table = lines.select("video_id", F.split(F.element_at("lines", 1), ",").alias("head"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("pos", "line")).withColumn("cells", F.split("line", ","))
     kinds = dict(c.split() for c in FRAMES.split(", "))
     cell = lambda name: F.when(F.array_contains(F.transform("head", lambda x: F.trim(x)), name), F.expr(f"try_cast(nullif(trim(get(cells, int(array_position(transform(head, x -> trim(x)), '{name}')) - 1)), '') as {kinds[name]})"))
     return table.select("video_id", "pos", *[cell(n).alias(n) for n in names])
@@ -143,7 +143,7 @@ def submission_files(spark: SparkSession, path: str) -> DataFrame:
     quoted = F.regexp_extract("line", r'^[^"]*,"((?:[^"]|"")*)"\s*$', 1)
     bare = F.when(quoted != "", F.regexp_replace("line", r',"(?:[^"]|"")*"\s*$', "")).otherwise(F.col("line"))
     cells = F.transform(F.split(bare, ","), lambda x: F.trim(x))
-    rest = F.slice(cells, 2, 1000)
+    rest = F.slice(cells, 2, F.size(cells))
     number = lambda x: x.rlike(r"^-?\d+$")
     last = F.element_at(cells, -1)
     answer = F.when(quoted != "", F.regexp_replace(quoted, '""', '"')).when((F.size(cells) > 1) & ~number(last), last)

@@ -95,3 +95,13 @@ def test_small_text_rules(spark):
     assert one(spark, video) == "L21_V001" and one(spark, number) == 12
     kind = lambda o, a: one(spark, t.evidence_type(F.lit("o" * o), F.lit("a" * a)))
     assert [kind(30, 70), kind(30, 5), kind(0, 70), kind(0, 0), kind(15, 0)] == ["vision+ocr+asr", "vision+ocr", "vision+asr", "vision", None]
+
+
+def test_split_events_keeps_every_mark(spark):
+    from pyspark.sql import functions as F
+
+    from skylattice.functions import text
+
+    query = " ".join(f"E{i}: event {i}" for i in range(10_050))
+    (r,) = spark.createDataFrame([(query,)], "q string").select(F.size(text.split_events(F.col("q"))).alias("n")).collect()
+    assert r.n == 10_050

@@ -93,3 +93,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "idx")).columns[-1] == "emb_head"
     writers.cache_vectors(spark.createDataFrame([("k", [1.0]), ("k", [1.0])], "key string, vector array<float>"), str(tmp_path / "cache"))
     assert readers.cached_vectors(spark, str(tmp_path / "cache")).count() == 1
+
+
+def test_every_cell_of_an_answer(spark, tmp_path):
+    from skylattice.sources import readers
+
+    (tmp_path / "task-1.csv").write_text("v1," + ",".join(map(str, range(1500))) + "\n")
+    (r,) = readers.submission_files(spark, str(tmp_path / "*.csv")).collect()
+    assert r.frames == list(range(1500))
