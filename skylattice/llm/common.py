@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 _own_dir: list[str] = []
@@ -66,15 +68,37 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def kept_rows(docs: DataFrame, good: Callable[[list[str | None]], list[bool]], rows: int = 256) -> DataFrame:
-    """The rows of docs, all columns, whose `text` is good."""
-    at = docs.columns.index("text")
+#: Characters (or bytes) of text that a step in Python holds at a time; a longer text is alone in its slice.
+SLICE = 1 << 19
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
-                yield part.filter(pa.array(good(part.column(at).to_pylist()), pa.bool_()))
+
+def cuts(sizes: list[int], rows: int = 256, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Bounds (lo, hi) of slices in order: at most `rows` items and, unless an item alone is larger, at most `size` in sum."""
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        if i > lo and (i - lo >= rows or held + n > size):
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded text in that column (see cuts); nulls count as empty."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for lo, hi in cuts(lengths, rows, size):
+        yield batch.slice(lo, hi - lo)
+
+
+def kept_rows(docs: DataFrame, good: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of docs, all columns, whose `text` is good; any other column may have any name and type.
+
+    Texts alone go to Python, and a boolean each comes back. `good` sees slices of bounded size."""
+
+    def judge(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        return pa.array([g for part in slices(batch, 0) for g in good(part.column(0).to_pylist())], pa.bool_())
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(judge, "boolean")(F.col("text")))

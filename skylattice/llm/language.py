@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import SLICE, cuts, ship, slices
 
 BUCKETS = 13  # bits of the hashed n-gram space
 ORDERS = (2, 3, 4)
@@ -69,22 +69,29 @@ def _grams(texts: list[str]) -> tuple[list[np.ndarray], list[tuple[np.ndarray, n
     return buckets, bounds
 
 
+def gram_counts(texts: list[str]) -> Iterator[np.ndarray]:
+    """For each text how often each bucket holds one of its n-grams, whole numbers. Texts are looked at a bounded slice together."""
+    size = 1 << BUCKETS
+    for lo, hi in cuts(list(map(len, texts)), 256, SLICE // 4):
+        buckets, bounds = _grams(texts[lo:hi])
+        for i in range(hi - lo):
+            spans = [(b, int(first[i]), int(last[i])) for b, (first, last) in zip(buckets, bounds, strict=True)]
+            if sum(z - a for _, a, z in spans) <= SLICE:
+                yield np.bincount(np.concatenate([b[a:z] for b, a, z in spans]), minlength=size)
+            else:  # a long text: a slice after the other
+                yield sum(np.bincount(b[k : min(z, k + SLICE)], minlength=size) for b, a, z in spans for k in range(a, z, SLICE))
+
+
 def gram_sums(texts: list[str], table: np.ndarray) -> np.ndarray:
-    """Mean of the table's rows over each text's n-grams."""
-    out, count = np.zeros((len(texts), table.shape[1]), np.float64), np.zeros(len(texts))
-    buckets, bounds = _grams(texts)
-    for b, (lo, hi) in zip(buckets, bounds, strict=True):
-        full = np.flatnonzero(hi > lo)
-        if len(full):
-            rows = np.concatenate([table[b], np.zeros((1, table.shape[1]), table.dtype)])
-            out[full] += np.add.reduceat(rows, np.stack([lo[full], hi[full]], 1).ravel(), axis=0)[::2]
-        count += hi - lo
-    return out / np.maximum(count, 1)[:, None]
+    """Mean of the table's rows over each text's n-grams; a text's row does not depend on the others."""
+    out = np.zeros((len(texts), table.shape[1]))
+    for row, counts in zip(out, gram_counts(texts), strict=True):
+        row[:] = counts.astype(np.float64) @ table / max(1, counts.sum())
+    return out
 
 
 def gram_shares(text: str) -> np.ndarray:
-    buckets, _ = _grams([text])
-    counts = np.bincount(np.concatenate(buckets), minlength=1 << BUCKETS)
+    (counts,) = gram_counts([text])
     return (counts / max(1, counts.sum())).astype(np.float32)
 
 
@@ -171,48 +178,50 @@ def fit(shares: np.ndarray, langs: list[str]) -> Model:
         rows = np.isin(own, [members[k][a], members[k][b]])
         columns.append(_svm(x[rows], np.where(own[rows] == members[k][a], 1, -1).astype(np.float32)))
     w = np.stack(columns, axis=1)
-    return Model(families, members, pairs, (w[:-1] * scale[:, None]).astype(np.float32), w[-1].astype(np.float64))
+    return Model(families, members, pairs, (w[:-1] * scale[:, None]).astype(np.float64), w[-1].astype(np.float64))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on docs(doc_id, text, lang): at most `sample` rows of each language, those with the least hashes.
+    """Fit on docs(doc_id, text, lang): at most `sample` different rows of each language, those with the least hashes of doc_id and text.
 
-    Rows with a null lang or without a letter teach nothing. n-gram shares are counted on the executors;
-    sparse rows of the sample reach the driver."""
+    Rows with a null lang or without a letter teach nothing; null and repeated doc_ids do not matter, rows equal in doc_id, text and lang
+    teach once. Other columns may have any names. n-gram shares are counted on the executors; the sample's sparse rows
+    reach the driver, and a number for each language."""
     ship(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    draw = F.xxhash64(F.lit("language"), F.col("doc_id"), F.col("text"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", draw.alias("d"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("d").alias("n")).collect()}
     if not sizes:
         return fit(np.zeros((0, (1 << BUCKETS) + 1), np.float32), [])
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
-    share = F.create_map(*[v for lang, n in sizes.items() for v in (F.lit(lang), F.lit(1.25 * sample / n + 8 / n))])[F.col("lang")]
+    share = F.create_map(*[v for lang, n in sizes.items() for v in (F.lit(lang), F.lit((1.25 * sample + 8) / max(1, n)))])[F.col("lang")]
+    place = F.pmod(F.col("d"), F.lit(1_000_003))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
-            for lang, text, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if has_letter(text):
-                    s = gram_shares(text)
-                    seen = np.flatnonzero(s)
-                    for o, v in zip(out, (lang, d, seen, s[seen]), strict=True):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.float32()))], ["lang", "d", "at", "share"])
-
-    drawn = rows.withColumn("d", draw).where(F.col("d") < share).select("lang", "text", "d")
-    table = drawn.mapInArrow(count, "lang string, d double, at array<int>, share array<float>").toArrow()
-    order = sorted(range(table.num_rows), key=lambda i: (table["lang"][i].as_py(), table["d"][i].as_py(), table["at"][i].values.to_numpy().tobytes()))
+            for part in slices(batch, 1):
+                out = [[], [], [], []]
+                for lang, text, d in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    if has_letter(text):
+                        s = gram_shares(text)
+                        seen = np.flatnonzero(s)
+                        for o, v in zip(out, (lang, d, seen, s[seen]), strict=True):
+                            o.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.float32()))], ["lang", "d", "at", "share"])
+
+    drawn = rows.where(place / 1_000_003.0 < share).groupBy("lang", "d").agg(F.min("text").alias("text")).select("lang", "text", "d")
+    table = drawn.mapInArrow(count, "lang string, d long, at array<int>, share array<float>").toArrow()
+    own, d = table["lang"].to_pylist(), table["d"].to_pylist()
     took: dict[str, int] = {}
-    chosen = []
-    for i in order:
-        lang = table["lang"][i].as_py()
-        took[lang] = took.get(lang, 0) + 1
-        if took[lang] <= sample:
-            chosen.append(i)
-    dense = np.zeros((len(chosen), (1 << BUCKETS) + 1), np.float32)
+    order = []
+    for i in sorted(range(len(own)), key=lambda i: (own[i], d[i] % 1_000_003, d[i])):
+        took[own[i]] = took.get(own[i], 0) + 1
+        if took[own[i]] <= sample:
+            order.append(i)
+    dense = np.zeros((len(order), (1 << BUCKETS) + 1), np.float32)
     dense[:, -1] = 1
-    for row, i in zip(dense, chosen, strict=True):
+    for row, i in zip(dense, order, strict=True):
         row[table["at"][i].values.to_numpy()] = table["share"][i].values.to_numpy()
-    langs = [table["lang"][i].as_py() for i in chosen]
+    langs = [own[i] for i in order]
     del table
     return fit(dense, langs)
 
@@ -226,8 +235,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for part in slices(batch, batch.num_columns - 1):
                 langs, scores = model.predict(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
 
