@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import SLICE, cuts, ship, slices, written
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -30,6 +30,8 @@ BLOCK = 512
 #: The same for texts.
 TEXT_BLOCK = 128
 REGISTERS = BANDS * ROWS
+#: Pairs of a bucket's central node that one copy of its text serves.
+SALTED = 512
 
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _U = np.uint64
@@ -161,6 +163,25 @@ def multiset_similarity(a: bytes, b: bytes) -> float:
     return both / all_ if all_ else 1.0
 
 
+def _alike_pairs(xs: list[bytes], ys: list[bytes], similar: float) -> np.ndarray:
+    """Whether the weighted Jaccard similarity of the shingles of each x and its y reaches `similar`; each different text is cut once."""
+    number: dict[bytes, int] = {}
+    pairs = [(number.setdefault(x, len(number)), number.setdefault(y, len(number))) for x, y in zip(xs, ys, strict=True)]
+    text, h, count = shingles(list(number))
+    edge = np.searchsorted(text, np.arange(len(number) + 1)).tolist()
+    weight = np.bincount(text, count, len(number))
+    out = np.zeros(len(pairs), bool)
+    for i, (x, y) in enumerate(pairs):
+        own, other = h[edge[x] : edge[x + 1]], h[edge[y] : edge[y + 1]]
+        if len(own) and len(other):
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            both = np.where(own[at] == other, np.minimum(count[edge[x] : edge[x + 1]][at], count[edge[y] : edge[y + 1]]), 0).sum()
+            out[i] = both / (weight[x] + weight[y] - both) >= similar
+        else:
+            out[i] = len(own) == len(other)
+    return out
+
+
 def _node(words: list[bytes]) -> int:
     return int.from_bytes(blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
 
@@ -170,14 +191,8 @@ def _signed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lo = 0
-            texts = batch.column(1).to_pylist()
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and hi - lo < 256 and (hi == lo or size < 1 << 20):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[lo:hi]]
+            for part in slices(batch, 1):
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 signed = signatures(raw)
                 keys, sketch = band_keys(signed), sketches(signed)
                 words = [r.split() for r in raw]
@@ -185,10 +200,9 @@ def _signed(docs: DataFrame) -> DataFrame:
                 bands = [k if w else k[:0] for k, w in zip(keys, words, strict=True)]
                 weight = [len(w) if len(w) < SHINGLE else len(w) - SHINGLE + 1 for w in words]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(weight, pa.int64())],
+                    [part.column(0), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(weight, pa.int64())],
                     ["doc_id", "node", "bands", "sketch", "weight"],
                 )
-                lo = hi
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, bands array<long>, sketch binary, weight long")
 
@@ -216,15 +230,21 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) of the pairs(of, to, salt) whose texts are alike.
+
+    `to` may stand in very many pairs: its text is laid out once for each of its salts, so its pairs are
+    spread over as many tasks. `of` stands in a pair for each of its buckets at most."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            good = [multiset_similarity(p.as_py().encode("utf-8", "surrogatepass"), q.as_py().encode("utf-8", "surrogatepass")) >= similar for p, q in zip(x, y, strict=True)]
-            kept = pa.array(good)
-            yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], ["a", "b"])
+            x, y = ([t.encode("utf-8", "surrogatepass") for t in batch.column(i).to_pylist()] for i in (2, 3))
+            for lo, hi in cuts([len(p) + len(q) for p, q in zip(x, y, strict=True)], 512, 2 * SLICE):
+                part = batch.slice(lo, hi - lo).filter(pa.array(_alike_pairs(x[lo:hi], y[lo:hi], similar)))
+                yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"])
 
-    one, two = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    own = texts.select(F.col("node").alias("of"), F.col("text").alias("x"))
+    hubs = pairs.select("to", "salt").distinct().join(texts.select(F.col("node").alias("to"), F.col("text").alias("y")), "to")
+    return pairs.join(own, "of").join(hubs, ["to", "salt"]).select("of", "to", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _block_groups(members: DataFrame, key: str, size: int, columns: list[str]) -> DataFrame:
@@ -276,10 +296,10 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _likely(members: DataFrame, similar: float) -> DataFrame:
+def _likely(members: DataFrame, similar: float, errors: float | None) -> DataFrame:
     """Links (a, b) that span what may be alike: nodes of one bucket in members(bucket, node, n, label, sketch,
     weight) with different labels, whose weights and sketches allow the similarity. Fewer links than members a group."""
-    least = similar - ERRORS * (similar * (1 - similar) / REGISTERS) ** 0.5
+    least = -1.0 if errors is None else similar - errors * (similar * (1 - similar) / REGISTERS) ** 0.5
 
     def work(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, label, side, weight = (t.column(c).to_numpy() for c in ("node", "label", "side", "weight"))
@@ -306,17 +326,16 @@ def _exact(members: DataFrame, similar: float) -> DataFrame:
 
     def work(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, label, side = (t.column(c).to_numpy() for c in ("node", "label", "side"))
-        seen: dict[tuple, int] = {}
-        ids, counts = [], []
-        for text in t.column("text"):
-            bag = shingle_bag((text.as_py() or "").encode("utf-8", "surrogatepass"))
-            ids.append(np.fromiter((seen.setdefault(k, len(seen)) for k in bag), np.int64, len(bag)))
-            counts.append(np.fromiter(bag.values(), np.int64, len(bag)))
-        flat, count = np.concatenate(ids), np.concatenate(counts)
-        size = np.array(list(map(len, ids)))
+        raw = [(text or "").encode("utf-8", "surrogatepass") for text in t.column("text").to_pylist()]
+        parts = []
+        for lo, hi in cuts(list(map(len, raw))):
+            of, h, count = shingles(raw[lo:hi])
+            parts.append((of + lo, h, count))
+        of, h, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+        seen, flat = np.unique(h, return_inverse=True)
+        size = np.bincount(of, minlength=len(raw))
         begin = np.cumsum(size) - size
-        weight = np.add.reduceat(np.append(count, 0), begin)
-        weight[size == 0] = 0
+        weight = np.bincount(of, count, len(raw)).astype(np.int64)
         group = np.unique(label, return_inverse=True)[1]
         own = np.zeros(len(seen), np.int64)
         out = []
@@ -326,11 +345,12 @@ def _exact(members: DataFrame, similar: float) -> DataFrame:
                 other = other[side[other] != side[x]]
             if not len(other) or not size[x]:
                 continue
-            own[ids[x]] = counts[x]
+            mine = slice(begin[x], begin[x] + size[x])
+            own[flat[mine]] = count[mine]
             where = np.repeat(begin[other] - np.cumsum(size[other]) + size[other], size[other]) + np.arange(size[other].sum())
             both = np.add.reduceat(np.minimum(own[flat[where]], count[where]), np.cumsum(size[other]) - size[other])
-            own[ids[x]] = 0
-            for y in other[both >= similar * (weight[x] + weight[other] - both)].tolist():
+            own[flat[mine]] = 0
+            for y in other[both / (weight[x] + weight[other] - both) >= similar].tolist():
                 if group[y] != group[x]:
                     group[group == group[y]] = group[x]
                     out.append((node[x], node[y]))
@@ -341,7 +361,7 @@ def _exact(members: DataFrame, similar: float) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _by_group(batches, "cluster", work), "a long, b long")
 
 
-def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def near_classes(docs: DataFrame, similar: float = SIMILAR, errors: float | None = ERRORS) -> DataFrame:
     """(doc_id, node, group, class_id) for every row of docs(doc_id, text): class_id is the least doc_id of
     all texts that chains of links reach, which are a group; a link joins texts with a shingle similarity of `similar` or more.
 
@@ -349,7 +369,8 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     buckets hold the most nodes): large groups of near copies join by one comparison a member and bucket.
     Then, in the buckets that still hold several components, every pair of nodes of different components is
     looked at by weight and sketch, in blocks; what likely pairs connect is a cluster, and all pairs of a
-    cluster are compared by their texts, in blocks. No step makes a row for each pair.
+    cluster are compared by their texts, in blocks. No step makes a row for each pair. `errors` is how many standard errors
+    below the threshold a sketch may estimate a pair that is still compared by texts; None compares whatever shares a band.
 
     Null and empty texts are one node without links to others; null doc_ids join classes but do not name
     them, unless there is no other. Texts below five words are alike only if equal. Other columns are ignored."""
@@ -362,13 +383,13 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     central = members.groupBy("node").agg(F.sum("n").alias("central"))
     members = written(members.join(central, "node"), "dedup-members")
     lead = members.groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("to"))
-    pairs = members.join(lead, "bucket").where("node <> to").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-    tried = written(pairs, "dedup-pairs")
+    pairs = members.join(lead, "bucket").where("node <> to").groupBy(F.col("node").alias("of"), "to").agg(F.max("n").alias("n"))
+    tried = written(pairs.select("of", "to", F.pmod(F.xxhash64("of"), F.ceil(F.col("n") / SALTED)).alias("salt")), "dedup-pairs")
     labels = components(written(_verified(tried, texts, similar), "dedup-links"), "dedup-components")
     now = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket", "n")
     now = now.join(mixed, "bucket").join(distinct.select("node", "sketch", "weight"), "node")
-    likely = components(_likely(now, similar), "dedup-likely").select("node", F.col("label").alias("cluster"))
+    likely = components(_likely(now, similar, errors), "dedup-likely").select("node", F.col("label").alias("cluster"))
     size = likely.groupBy("cluster").agg(F.count("*").alias("n"))
     held = likely.join(size, "cluster").join(labels, "node", "left").select("cluster", "node", "n", F.coalesce("label", "node").alias("label")).join(texts, "node")
     links = written(_exact(held, similar), "dedup-links")
@@ -384,19 +405,21 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def representatives(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs, all columns, that stand for their groups: one each, that of the least doc_id.
 
-    Among rows of that doc_id the least node goes first; of rows that repeat in both, one stays."""
+    Among rows of that doc_id the least node goes first; of rows that repeat in both, one stays. A doc_id that
+    one row has tells that row; where several have it (or none, if null), their words are looked at again."""
     rows = written(near_classes(docs, similar), "dedup-rows")
     last = F.coalesce("doc_id", F.lit(2**63 - 1))
     chosen = rows.groupBy("group").agg(F.min(F.struct(last.alias("k"), F.col("doc_id").alias("doc"), F.col("node").alias("of"))).alias("c")).select("c.doc", "c.of")
-    chosen = written(chosen, "dedup-chosen")
-    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc"]), "left_semi")
+    times = rows.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("times"))
+    chosen = written(chosen.join(times, F.col("doc").eqNullSafe(F.col("id"))).select("doc", "of", (F.col("times") == 1).alias("alone")), "dedup-chosen")
+    alone, shared = chosen.where("alone").select("doc"), chosen.where("not alone").select("doc", "of")
+    first = docs.join(alone, docs["doc_id"].eqNullSafe(alone["doc"]), "left_semi")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    found = held.join(chosen, F.col("doc_id").eqNullSafe(F.col("doc"))).select("row", "text", "of")
+    found = held.join(shared, F.col("doc_id").eqNullSafe(F.col("doc"))).select("row", "text", "of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([_node((t or "").encode("utf-8", "surrogatepass").split()) == n for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.bool_()))
 
     one = found.mapInArrow(run, found.schema).groupBy("of", F.col("row.doc_id").alias("doc")).agg(F.first("row").alias("row"))
-    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return first.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
