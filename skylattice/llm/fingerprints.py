@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import SLICE, ship, slices
 
 WINDOW = 32  # bytes of a feature
 SPAN = 32  # window positions that compete
@@ -198,7 +198,8 @@ def corpus_ranks(docs: DataFrame, column: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS + 1, np.int64)
         for batch in batches:
-            total += level_counts([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()])
+            for part in slices(batch, 0):
+                total += level_counts([(t or "").encode("utf-8", "surrogatepass") for t in part.column(0).to_pylist()])
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["level", "n"])
 
@@ -272,19 +273,20 @@ def against_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        over = False
-        for batch in batches:
+        held, over = 0, False
+        for part in (p for batch in batches for p in slices(batch, 1)):
             if over:
                 continue
-            for doc, text, ghost in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, text, ghost in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 if ghost:
                     yield answer(rows, text or "")
                     over = True
                     break
-                if len(rows) >= 128:
+                if len(rows) >= 128 or held > SLICE:
                     yield answer(rows, text or "")
-                    rows = []
+                    rows, held = [], 0
                 rows.append((doc, text or ""))
+                held += len(text or "")
 
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return _in_order(docs, parts).mapInArrow(run, PAIRED)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import leaves
-from .common import ship
+from .common import SLICE, ship, slices
 from .labeller import Labeller, label, trained
 
 TEXT = "page_id long, url string, text string, n_chars long"
@@ -29,8 +29,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, 2, size=2 * SLICE):
                 texts = [t.encode("utf-8", "replace").decode() for t in main_text(part.column(2).to_pylist(), model)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

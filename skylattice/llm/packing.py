@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .chunk_encoder import chunk_encoder
-from .common import ship
+from .common import ship, slices
 
 CAPACITY = 1024
 END_ID = 0
@@ -142,11 +142,10 @@ def pack(docs: DataFrame, tokenizer: str, keep_blanks: bool = True, capacity: in
 
         size = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 256):
-                flat, counts = encoder.encode([t or "" for t in texts[lo : lo + 256].to_pylist()])
+            for part in slices(batch, 1):
+                flat, counts = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum(counts)
-                names += ids[lo : lo + 256]
+                names += part.column(0).to_pylist()
                 held += [np.append(flat[a:b], np.uint32(end_id)) for a, b in zip(ends - counts, ends, strict=True)]
                 size += len(flat) + len(counts)
                 if size >= group_tokens:

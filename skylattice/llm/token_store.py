@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunk_encoder import chunk_encoder
-from .common import fresh_path, ship
+from .common import fresh_path, ship, slices
 
 MAGIC, RUN = b"SKDA", 512
 END_ID = 1
@@ -123,11 +123,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, keep_blanks: bool =
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 256):
-                flat, counts = encoder.encode([t or "" for t in texts[lo : lo + 256].to_pylist()])
+            for part in slices(batch, 1):
+                flat, counts = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum(counts)
-                for name, a, b in zip(ids[lo : lo + 256], ends - counts, ends, strict=True):
+                for name, a, b in zip(part.column(0).to_pylist(), ends - counts, ends, strict=True):
                     names.append(name)
                     lengths.append(int(b - a) + 1)
                     parts += [flat[a:b], np.array([end_id], np.uint32)]
