@@ -178,89 +178,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     return boost(x[order], rows["_quality"].to_numpy()[order])
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.full(len(x), self.base)
-        rows = np.arange(len(x))
-        inner = self.feature.shape[1]
-        for feature, cut, value in zip(self.feature, self.cut, self.value, strict=True):
-            at = np.zeros(len(x), np.int64)
-            while at[0] < inner if len(x) else False:
-                at = 2 * at + 1 + (x[rows, feature[at]] > cut[at])
-            total += value[at - inner]
-        return 1 / (1 + np.exp(-total))
-
-
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.12, bins: int = 64, smooth: float = 4.0) -> Forest:
-    """Second-order boosting of the logistic loss; splits are chosen on histograms of binned features."""
-    inner, leaves = 2**depth - 1, 2**depth
-    feature, cut, value = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf, np.float32), np.zeros((trees, leaves))
-    if not len(y):
-        return Forest(feature[:0], cut[:0], value[:0], 0.0)
-    prior = (y.sum() + 1) / (len(y) + 2)
-    base = float(np.log(prior / (1 - prior)))
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="nearest")).astype(np.float32) for j in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1)
-    flat = binned + np.arange(x.shape[1]) * bins
-    f = np.full(len(y), base)
-    for t in range(trees):
-        p = 1 / (1 + np.exp(-f))
-        g, h = p - y, p * (1 - p)
-        node = np.zeros(len(y), np.int64)
-        for level in range(depth):
-            for n in range(2**level - 1, 2 ** (level + 1) - 1):
-                rows = np.flatnonzero(node == n)
-                if len(rows):
-                    at = flat[rows].ravel()
-                    size = x.shape[1] * bins
-                    gs = np.bincount(at, np.repeat(g[rows], x.shape[1]), size).reshape(-1, bins).cumsum(axis=1)
-                    hs = np.bincount(at, np.repeat(h[rows], x.shape[1]), size).reshape(-1, bins).cumsum(axis=1)
-                    all_g, all_h = gs[:, -1:], hs[:, -1:]
-                    gain = gs**2 / (hs + smooth) + (all_g - gs) ** 2 / (all_h - hs + smooth) - all_g**2 / (all_h + smooth)
-                    gain[(hs < 1) | (all_h - hs < 1)] = 0
-                    j, b = np.unravel_index(int(gain.argmax()), gain.shape)
-                    if gain[j, b] > 1e-6 and b < len(edges[j]):
-                        feature[t, n], cut[t, n] = j, edges[j][b]
-                        node[rows] = 2 * n + 1 + (binned[rows, j] > b)
-                        continue
-                node[rows] = 2 * n + 1
-        leaf = node - inner
-        value[t] = -rate * np.bincount(leaf, g, leaves) / (np.bincount(leaf, h, leaves) + smooth)
-        f += value[t][leaf]
-    return Forest(feature, cut, value, base)
-
-
-def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and the statistics of every row's whole text, as array `stats`."""
-    ship(docs.sparkSession)
-    width = len(FEATURES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, batch.num_columns - 1):
-                s = statistics(part.column(part.num_columns - 1).to_pylist())
-                lists = pa.ListArray.from_arrays(np.arange(0, s.size + 1, width, dtype=np.int32), pa.array(s.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*part.schema.names[:-1], "stats"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").alias("_looked_at")).mapInArrow(run, f"{schema}, stats array<float>")
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """Fit on the rows of docs(doc_id, text) that labels(doc_id, quality) marks: at most `sample` of them.
-
-    Null and other labels than 0 and 1 teach nothing; a doc_id with several labels counts once with their mean."""
-    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    n = marks.count()
-    draw = F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
-    marks = marks.withColumn("d", draw).where(F.col("d") < (1.1 * sample + 100) / max(1, n))
-    rows = measure(docs.join(marks, "doc_id"), ("doc_id", "quality", "d")).toArrow()
-    if not rows.num_rows:
-        return boost(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))
-    x = np.stack([r.values.to_numpy(zero_copy_only=False) for r in rows["stats"]])
-    order = np.lexsort((*x.T, rows["doc_id"].to_numpy(), rows["d"].to_numpy()))[:sample]
-    return boost(x[order], rows["quality"].to_numpy()[order])
-
-
 def score(docs: DataFrame, model: Forest, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """The kept columns, score (0 to 1) and predicted (1 from the threshold up) of every row; only `text` is looked at.
 
