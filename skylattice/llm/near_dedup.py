@@ -32,6 +32,8 @@ TEXT_BLOCK = 128
 REGISTERS = BANDS * ROWS
 #: Pairs of a bucket's central node that one copy of its text serves.
 SALTED = 512
+#: Rows of two numbers that are broadcast to a join, at most.
+FEW = 200_000
 
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _U = np.uint64
@@ -413,6 +415,8 @@ def representatives(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     times = rows.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("times"))
     chosen = written(chosen.join(times, F.col("doc").eqNullSafe(F.col("id"))).select("doc", "of", (F.col("times") == 1).alias("alone")), "dedup-chosen")
     alone, shared = chosen.where("alone").select("doc"), chosen.where("not alone").select("doc", "of")
+    if shared.count() <= FEW:
+        shared = F.broadcast(shared)
     first = docs.join(alone, docs["doc_id"].eqNullSafe(alone["doc"]), "left_semi")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     found = held.join(shared, F.col("doc_id").eqNullSafe(F.col("doc"))).select("row", "text", "of")
