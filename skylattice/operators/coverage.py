@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_widths
@@ -18,41 +16,30 @@ def hit_probability(placed: DataFrame, posterior: DataFrame, length: int, by: st
     return met.select(by, F.when(F.col("total") > 0, F.col("got") / F.col("total")).otherwise(0.0).alias("p"))
 
 
-def place(weights: np.ndarray, m: int, length: int, first: int = 0) -> list[int]:
-    """At most m frames whose windows cover the greatest weight.
-
-    Windows may be taken apart from each other without loss: what overlaps can be laid side by side. So
-    the best use of j windows up to a place either skips that place or ends a window there."""
-    if m < 1 or (weights < 0).any():
-        raise ValueError("m must be positive and weights not negative")
-    if not len(weights):
-        return []
-    before, after = half_widths(length)
-    n = len(weights)
-    centres = np.arange(-after, n + before)
-    sums = np.concatenate([[0.0], np.cumsum(weights, dtype=np.float64)])
-    gain = sums[np.clip(centres + after + 1, 0, n)] - sums[np.clip(centres - before, 0, n)]
-    best = np.zeros((m + 1, len(centres) + 1))
-    behind = np.maximum(np.arange(1, len(centres) + 1) - length, 0)
-    for j in range(1, m + 1):
-        best[j, 1:] = np.maximum.accumulate(gain + best[j - 1, behind])
-    chosen, j, i = [], m, len(centres)
-    while j and i and best[j, i] > 0:
-        if best[j, i] > best[j, i - 1] or i == 1:
-            chosen.append(int(centres[i - 1]) + first)
-            i, j = int(behind[i - 1]), j - 1
-        else:
-            i -= 1
-    return sorted(chosen)
+def best_windows(posterior: DataFrame, m: int, length: int, by: str = "case_id") -> DataFrame:
+    """(by, covered, starts): at most m windows of `length` frames that cover the greatest weight, and where they start.
+
+    posterior(by, frame, weight) needs rows for frames with weight alone. A window that starts at a frame without weight can move
+    on to the next one that it covers, and one that meets the window before it to the first one beyond, and neither
+    loses anything: so windows start at rows, `length` or more apart. A row's best with j windows is its own
+    window's weight and the best with j - 1 among the rows far enough before it: m windows over one sort of each case.
+    Of equal sums the starts that are greater in order win."""
+    if m < 1:
+        raise ValueError(f"m must be positive: {m}")
+    half_widths(length)
+    weight = F.when(F.col("weight") < 0, F.raise_error("weights must not be negative").cast("double")).otherwise(F.col("weight"))
+    rows = posterior.select(by, "frame", weight.alias("weight")).where("weight > 0")
+    ahead = Window.partitionBy(by).orderBy("frame").rangeBetween(0, length - 1)
+    behind = Window.partitionBy(by).orderBy("frame").rangeBetween(Window.unboundedPreceding, -length)
+    now = rows.withColumn("own", F.sum("weight").over(ahead)).withColumn("e1", F.struct(F.col("own").alias("covered"), F.array("frame").alias("starts")))
+    for j in range(2, m + 1):
+        best = F.max(f"e{j - 1}").over(behind)
+        now = now.withColumn("b", best).withColumn(f"e{j}", F.when(F.col("b").isNotNull(), F.struct((F.col("own") + F.col("b.covered")).alias("covered"), F.concat("b.starts", F.array("frame")).alias("starts"))).otherwise(F.col("e1"))).drop("b")
+    top = F.max(F.array_max(F.array(*[f"e{j}" for j in range(1, m + 1)])))
+    return now.groupBy(by).agg(top.alias("e")).select(by, "e.covered", "e.starts")
 
 
 def optimal_placement(posterior: DataFrame, m: int, length: int, by: str = "case_id") -> DataFrame:
-    """(by, frame): the best m frames for each posterior(by, frame, weight), a row for each frame of a contiguous range."""
-    kind = dict(posterior.dtypes)[by]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        found = place(rows["weight"].to_numpy(float), m, length, int(rows["frame"].iloc[0]))
-        return pd.DataFrame({by: [rows[by].iloc[0]] * len(found), "frame": found})
-
-    return posterior.select(by, "frame", "weight").groupBy(by).applyInPandas(run, f"{by} {kind}, frame long")
+    """(by, frame): at most m frames whose windows cover the greatest weight of posterior(by, frame, weight); a case without weight has none."""
+    before, _ = half_widths(length)
+    return best_windows(posterior, m, length, by).select(by, F.explode(F.transform("starts", lambda f: (f + before).cast("long"))).alias("frame"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 #: Weights of the four sources (fixed values).
 WEIGHTS = {"visual": 1.0, "object": 0.0891, "ocr": 0.1322, "asr": 0.2128}
 LEAST_SIGMA = 1e-9
@@ -28,13 +30,19 @@ def z_normalize(scores: DataFrame) -> DataFrame:
 
 
 def rank_normalize(scores: DataFrame) -> DataFrame:
-    """Average rank of the covered rows, from -0.5 to 0.5; equal scores get equal values."""
-    by = [*_KEY, "covered"]
-    n = F.count("*").over(Window.partitionBy(*by))
-    tied = F.count("*").over(Window.partitionBy(*by, "score"))
-    rank = F.rank().over(Window.partitionBy(*by).orderBy("score")) - 1 + (tied - 1) / 2
-    z = F.when(F.col("covered") & (n > 1), rank / F.greatest(F.lit(1), n - 1) - 0.5).otherwise(0.0)
-    return scores.withColumn("z", z)
+    """Average rank of the covered rows, from -0.5 to 0.5; equal scores get equal values.
+
+    Ranks come from counts of each different score, summed up in ranges of scores: no source is sorted in one task."""
+    each = scores.where("covered").groupBy(*_KEY, "score").agg(F.count("*").alias("c"))
+    each = staged(each.repartitionByRange(*_KEY, "score").withColumn("part", F.spark_partition_id()), "score-counts")
+    per = each.groupBy(*_KEY, "part").agg(F.sum("c").alias("in_part"))
+    before = Window.partitionBy(*_KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("below", F.coalesce(F.sum("in_part").over(before), F.lit(0))).withColumn("n", F.sum("in_part").over(Window.partitionBy(*_KEY)))
+    within = Window.partitionBy(*_KEY, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("below") + F.coalesce(F.sum("c").over(within), F.lit(0))
+    z = F.when(F.col("n") > 1, (first + (F.col("c") - 1) / 2) / F.greatest(F.lit(1), F.col("n") - 1) - 0.5).otherwise(0.0)
+    ranked = each.join(per, [*_KEY, "part"]).select(*_KEY, "score", z.alias("_z"))
+    return scores.join(ranked, [*_KEY, "score"], "left").withColumn("z", F.when(F.col("covered"), F.col("_z")).otherwise(0.0)).drop("_z")
 
 
 NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {"z": z_normalize, "rank": rank_normalize}

@@ -52,3 +52,14 @@ def neighbour_windows(frames: DataFrame, default: int = 71, lo: Column | None =
     prev, nxt = F.coalesce(F.lag("frame_idx").over(order), f - default), F.coalesce(F.lead("frame_idx").over(order), f + default)
     left, right = F.floor((prev + f) / 2).cast("long"), F.floor((f + nxt) / 2).cast("long")
     return frames.withColumn("lo", left if lo is None else F.greatest(left, lo)).withColumn("hi", right if hi is None else F.least(right, hi))
+
+
+def bounded_windows(frames: DataFrame, shots: DataFrame, last: DataFrame, default: int = 71) -> DataFrame:
+    """neighbour_windows, clipped to the frame's shot in shots(video_id, n, shot_start_frame, shot_end_frame), if it has one, and to
+    the frames of its video: from 0 to before last(video_id, last_frame), or the video's last frame here."""
+    own = frames.groupBy("video_id").agg(F.max("frame_idx").alias("own_last")).join(last, "video_id", "left")
+    ends = own.select("video_id", (F.coalesce("last_frame", "own_last") - 1).alias("_end"))
+    w = neighbour_windows(frames, default).join(shots.select("video_id", "n", "shot_start_frame", "shot_end_frame"), ["video_id", "n"], "left").join(ends, "video_id")
+    lo = F.greatest(F.lit(0), F.col("lo"), F.coalesce("shot_start_frame", "lo"))
+    hi = F.least(F.col("hi"), F.coalesce("shot_end_frame", "hi"), F.col("_end"))
+    return w.select(*frames.columns, lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokenize
+from ..sources.staging import blocks, staged
 
 #: k1 and b by source (fixed values).
 PARAMETERS = {"ocr": (0.6, 0.9), "asr": (1.5, 0.0), "object": (1.5, 0.75)}
@@ -39,11 +41,13 @@ def has_text(text: Column) -> Column:
 
 
 def build(docs: DataFrame, folded: bool = False) -> LexicalIndex:
-    """Index docs(doc, text): every row with text that isn't blank counts, even without tokens."""
+    """Index docs(doc, text): every row with text that isn't blank counts, even without tokens.
+
+    Tokens are cut once, into a staged table that postings, lengths and statistics read; postings are staged too."""
     text = F.col("text") if folded else fold(F.col("text"))
-    tokens = docs.where(has_text(F.col("text"))).select("doc", tokenize(text).alias("tokens"))
+    tokens = staged(docs.where(has_text(F.col("text"))).select("doc", tokenize(text).alias("tokens")), "tokens")
     lengths = tokens.select("doc", F.size("tokens").cast("long").alias("dl"))
-    postings = tokens.select("doc", F.explode("tokens").alias("token")).groupBy("token", "doc").agg(F.count("*").alias("tf"))
+    postings = staged(tokens.select("doc", F.explode("tokens").alias("token")).groupBy("token", "doc").agg(F.count("*").alias("tf")), "postings")
     corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     n, df = F.col("n"), F.col("df")
     terms = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))
@@ -69,14 +73,15 @@ def best_hits(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def text_source(frames: DataFrame, texts: DataFrame, probes: DataFrame, source: str, k1: float | None = None, b: float | None = None) -> DataFrame:
-    """Scores of every frame for every probe from texts(row_id, text).
+def text_source(frames: DataFrame, texts: DataFrame, probes: DataFrame, source: str, k1: float | None = None, b: float | None = None, index: LexicalIndex | None = None) -> DataFrame:
+    """Scores of every frame for every probe from texts(row_id, text), or from an index of them that is there already.
 
     Frames without text are not covered; a blank probe scores zero and leaves coverage as it is."""
     own = PARAMETERS.get(source, DEFAULT)
-    index = build(texts.select(F.col("row_id").alias("doc"), "text"))
+    index = index or build(texts.select(F.col("row_id").alias("doc"), "text"))
     hits = search(index, probes, own[0] if k1 is None else k1, own[1] if b is None else b)
-    with_text = texts.where(has_text(F.col("text"))).select("row_id", F.lit(True).alias("covered"))
-    every = frames.select("row_id").join(with_text, "row_id", "left").crossJoin(F.broadcast(probes.select("query_id", "probe_idx")))
+    with_text = index.docs.select(F.col("doc").alias("row_id"), F.lit(True).alias("covered"))
+    rows = frames.select("row_id").join(with_text, "row_id", "left")
+    every = reduce(DataFrame.unionByName, [rows.crossJoin(b) for b in blocks(probes.select("query_id", "probe_idx"), ["query_id", "probe_idx"])])
     out = every.join(hits.withColumnRenamed("doc", "row_id"), ["query_id", "probe_idx", "row_id"], "left")
     return out.select("query_id", "probe_idx", F.lit(source).alias("source"), "row_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("covered", F.lit(False)).alias("covered"))

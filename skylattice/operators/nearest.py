@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from ..sources.staging import blocks
 
 
 def visual_source(frames: DataFrame, probes: DataFrame, source: str = "visual") -> DataFrame:
     """Scores of every frame(row_id, emb) for every probe(query_id, probe_idx, vector); all rows are covered.
 
-    The probes of a run are the small side: they are sent to every task that scans frames."""
-    pairs = frames.select("row_id", "emb").crossJoin(probes.select("query_id", "probe_idx", "vector"))
+    The probes of a run are the small side: they are counted and sent to every task that scans frames, in blocks of bounded size."""
+    each = blocks(probes.select("query_id", "probe_idx", "vector"), ["query_id", "probe_idx"])
+    pairs = reduce(DataFrame.unionByName, [frames.select("row_id", "emb").crossJoin(b) for b in each])
     return pairs.select("query_id", "probe_idx", F.lit(source).alias("source"), "row_id", dot(F.col("emb"), F.col("vector")).alias("score"), F.lit(True).alias("covered"))
 
 

@@ -43,3 +43,23 @@ def in_pool(rows: DataFrame, pool: DataFrame) -> DataFrame:
     """rows with a flag that tells whether the query's pool holds them."""
     mark = pool.select("query_id", "row_id", F.lit(True).alias("pooled"))
     return rows.join(mark, ["query_id", "row_id"], "left").withColumn("pooled", F.coalesce("pooled", F.lit(False)))
+
+
+def fused_first(base: DataFrame, videos: DataFrame, budget: int, per_video: int | None = None) -> DataFrame:
+    """Policy: the best `budget` rows of base(query_id, row_id, s) by themselves, at most per_video of a video."""
+    best = [F.col("s").desc(), F.col("row_id")]
+    rows = base.join(videos.select("row_id", "video_id"), "row_id")
+    if per_video is not None:
+        rows = rows.withColumn("in_video", F.row_number().over(Window.partitionBy("query_id", "video_id").orderBy(*best))).where(F.col("in_video") <= per_video)
+    return rows.withColumn("pool_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("pool_rank") <= budget).select("query_id", "row_id", "s", "pool_rank", F.lit("fused").alias("reason"))
+
+
+def rescued(base: DataFrame, nominated: DataFrame, videos: DataFrame, budget: int, core: float = 0.5) -> DataFrame:
+    """Policy: a core of the best rows by base, then rows that sources nominate and the core lacks, best nomination first, up to the
+    budget. `reason` tells fused from the source that rescued a row (of several the one that ranks it best, then by name)."""
+    kept = fused_first(base, videos, max(1, int(budget * core)))
+    more = nominated.groupBy("query_id", "row_id").agg(F.min(F.struct("nth", "source")).alias("by")).join(kept, ["query_id", "row_id"], "left_anti").join(base, ["query_id", "row_id"])
+    size = kept.groupBy("query_id").agg(F.count("*").alias("core"))
+    order = Window.partitionBy("query_id").orderBy("by.nth", F.col("s").desc(), "row_id")
+    more = more.withColumn("k", F.row_number().over(order)).join(size, "query_id").where(F.col("k") + F.col("core") <= budget)
+    return kept.unionByName(more.select("query_id", "row_id", "s", (F.col("k") + F.col("core")).cast("int").alias("pool_rank"), F.concat(F.col("by.source"), F.lit("_rescue")).alias("reason")))

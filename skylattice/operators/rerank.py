@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import BOX_LEAST, box_area
 from ..functions.vectors import dot
+from ..sources.staging import blocks
 from .fusion import fuse
 
 #: Weights of the stages, rows a model looks at, crops a frame (fixed values).
@@ -30,7 +32,8 @@ def crops(objects: DataFrame, rows: DataFrame, classes: list[str] | None = None,
 
 def crop_source(crop_vectors: DataFrame, probes: DataFrame) -> DataFrame:
     """The best crop of each row, even if all are negative; rows without crops are absent, that is, not covered."""
-    pairs = crop_vectors.crossJoin(probes.select("query_id", "probe_idx", "vector"))
+    each = blocks(probes.select("query_id", "probe_idx", "vector"), ["query_id", "probe_idx"])
+    pairs = reduce(DataFrame.unionByName, [crop_vectors.crossJoin(b) for b in each])
     return pairs.groupBy("query_id", "probe_idx", "row_id").agg(F.max(dot(F.col("vec"), F.col("vector"))).alias("score")).withColumn("source", F.lit("crop")).withColumn("covered", F.lit(True))
 
 
@@ -40,6 +43,11 @@ def shortlist(base: DataFrame, k: int = SHORTLIST) -> DataFrame:
     return base.withColumn("short_rank", F.row_number().over(order)).where(F.col("short_rank") <= k)
 
 
+def model_rows(base: DataFrame, queries: DataFrame, k: int = SHORTLIST) -> DataFrame:
+    """shortlist of the queries(query_id, kind) that a model looks at: those of a sequence are left to its alignment."""
+    return shortlist(base.join(queries.where("kind <> 'trake'").select("query_id"), "query_id", "left_semi"), k)
+
+
 def model_scores(inputs: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], source: str = "vlm") -> DataFrame:
     """Scores of a plugged-in model for inputs(query_id, probe_idx, row_id, ...), batch by batch."""
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import BUDGET, CUTS
-from ..functions.text import answer_matches
+from ..functions.text import answer_matches, shot_parts
 
 def r_score(kind: Column, video: Column, frames: Column, answer: Column, gt_video: Column, windows: Column, accepted: Column, matches: Callable[[Column, Column], Column] = answer_matches) -> Column:
     """1 or 0 for one frame (and a matching answer, if one is asked for); hits over windows for sequences.
@@ -63,21 +62,65 @@ def jitter_expectation(answers: DataFrame, windows: DataFrame, length: int) -> D
 def bootstrap_difference(pairs: DataFrame, rounds: int = 4000, seed: int = 0) -> DataFrame:
     """mean, 2.5 and 97.5 percentiles of the mean, wins and losses of pairs(query_id, delta), by `arm`.
 
-    A query set is small whatever the corpus, so an arm's differences are one group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        d = rows.sort_values("query_id")["delta"].to_numpy()
-        rng = np.random.default_rng(seed)
-        means = [d[rng.integers(0, len(d), len(d))].mean() for _ in range(rounds)]
-        lo, hi = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([{"arm": rows["arm"].iloc[0], "mean": d.mean(), "lo": lo, "hi": hi, "wins": int((d > 0).sum()), "losses": int((d < 0).sum())}])
-
-    return pairs.select("arm", "query_id", "delta").groupBy("arm").applyInPandas(run, "arm string, mean double, lo double, hi double, wins long, losses long")
+    Draw i of round r is the query that a digest of seed, r and i points to, so rounds are rows like any other and any engine draws
+    alike. An arm's queries are numbered (a query set is small whatever the corpus); `rounds` means an arm meet in the end."""
+    numbered = pairs.withColumn("at", F.row_number().over(Window.partitionBy("arm").orderBy("query_id")) - 1)
+    sizes = numbered.groupBy("arm").agg(F.count("*").alias("n"), F.avg("delta").alias("mean"), F.sum((F.col("delta") > 0).cast("long")).alias("wins"), F.sum((F.col("delta") < 0).cast("long")).alias("losses"))
+    each = sizes.select("arm", "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r")).select("arm", "n", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("i").cast("string")))
+    drawn = each.select("arm", "r", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n")).alias("at"))
+    means = drawn.join(numbered.select("arm", "at", "delta"), ["arm", "at"]).groupBy("arm", "r").agg(F.avg("delta").alias("m"))
+    ends = means.groupBy("arm").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    return sizes.join(ends, "arm").select("arm", "mean", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "wins", "losses")
 
 
 def label_precision(ranked: DataFrame, prevalence: DataFrame, k: int) -> DataFrame:
     """p_at_1, p_at_k and lift over prevalence(class, prevalence), from ranked(class, rank, hit)."""
     per = ranked.where(F.col("rank") <= k).groupBy("class").agg(F.max(F.when(F.col("rank") == 1, F.col("hit").cast("double"))).alias("p_at_1"), (F.sum(F.col("hit").cast("double")) / F.count("*")).alias("p_at_k"))
     return per.join(prevalence, "class").withColumn("lift", F.col("p_at_k") / F.greatest("prevalence", F.lit(1e-9)))
+
+
+def resolved_shots(truth: DataFrame, shots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, video_id, shot_id, relevance) of truth(query_id, shot_id, relevance) whose names are shots(video_id, shot_id), the
+    greatest relevance of a shot; and (query_id, unresolved): how many of a query's rows name no shot there is."""
+    video, number = shot_parts(F.col("shot_id"))
+    named = truth.select("query_id", video.alias("video_id"), number.alias("number"), "relevance")
+    met = named.join(shots.select("video_id", F.col("shot_id").alias("number"), F.lit(True).alias("known")).distinct(), ["video_id", "number"], "left")
+    found = met.where("known").groupBy("query_id", "video_id", F.col("number").alias("shot_id")).agg(F.max("relevance").alias("relevance"))
+    return found, met.groupBy("query_id").agg(F.sum(F.col("known").isNull().cast("long")).alias("unresolved"))
+
+
+def sweep(parts: DataFrame, grid: list[dict[str, float]], grade: Callable[[DataFrame], DataFrame], by: list[str], limit: int = BUDGET) -> DataFrame:
+    """Mean final score of each setting of weights: all in one job, with the setting as a column.
+
+    parts(*by, row_id, source, z): normalised scores of the rows of each query's pool. grade takes ranked(setting, *by, row_id, rank)
+    and gives graded(setting, *by, rank, r)."""
+    weight = F.array(*[F.create_map(*[F.lit(x) for pair in sorted(w.items()) for x in pair]) for w in grid])
+    each = parts.select(*by, "row_id", "source", "z", F.posexplode(weight).alias("setting", "w"))
+    total = each.groupBy("setting", *by, "row_id").agg(F.sum(F.coalesce(F.col("w")[F.col("source")], F.lit(0.0)) * F.col("z")).alias("s"))
+    order = Window.partitionBy("setting", *by).orderBy(F.round("s", 9).desc(), "row_id")
+    ranked = total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    hits = [F.coalesce(F.max(F.when(F.col("rank") <= k, F.col("r"))), F.lit(0.0)) for k in CUTS]
+    per = grade(ranked).groupBy("setting", *by).agg((sum(hits, F.lit(0.0)) / float(len(CUTS))).alias("final"))
+    return per.groupBy("setting").agg(F.avg("final").alias("final"))
+
+
+def funnel(nominated: DataFrame, pool: DataFrame, truth: DataFrame, budgets: tuple[int, ...] = (10, 50, 200)) -> DataFrame:
+    """A row for each query of truth(query_id, row_id): hit_{b}, whether the first b rows of pool(query_id, row_id, pool_rank) hold a true
+    one (with a perfect second stage its final score); best_rank of a true row; sources, how many nominated one; and only, the one source without
+    which none would be nominated, if there is such a source."""
+    found = pool.join(truth.select("query_id", "row_id"), ["query_id", "row_id"], "left_semi").groupBy("query_id").agg(F.min("pool_rank").alias("best_rank"))
+    by_source = nominated.join(truth.select("query_id", "row_id"), ["query_id", "row_id"], "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_set("source")).alias("s"))
+    out = truth.select("query_id").distinct().join(found, "query_id", "left").join(by_source, "query_id", "left")
+    hits = [F.coalesce(F.col("best_rank") <= b, F.lit(False)).cast("double").alias(f"hit_{b}") for b in budgets]
+    return out.select("query_id", *hits, "best_rank", F.coalesce(F.size("s"), F.lit(0)).alias("sources"), F.when(F.size("s") == 1, F.col("s")[0]).alias("only"))
+
+
+def source_overlap(nominated: DataFrame) -> DataFrame:
+    """(one, other, jaccard) of the rows that two sources nominate for the same queries."""
+    rows = nominated.select("query_id", "row_id", "source").distinct()
+    sizes = rows.groupBy("source").agg(F.count("*").alias("n"))
+    sets = rows.groupBy("query_id", "row_id").agg(F.array_sort(F.collect_set("source")).alias("s"))
+    pairs = sets.select(F.explode("s").alias("one"), "s").select("one", F.explode("s").alias("other")).where("one < other").groupBy("one", "other").agg(F.count("*").alias("both"))
+    out = pairs.join(sizes.select(F.col("source").alias("one"), F.col("n").alias("a")), "one").join(sizes.select(F.col("source").alias("other"), F.col("n").alias("b")), "other")
+    return out.select("one", "other", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("jaccard"))

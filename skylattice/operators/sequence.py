@@ -1,13 +1,14 @@
 """Ordered events: the best increasing path of frames, one frame an event.
 
 One best path a video is a chain of running maxima over a window; k best paths come
-from joins of a small pool with itself, or from a list Viterbi for each group.
+from joins of a small pool with itself, or from a best-first search in each group.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,12 @@ def best_paths(cells: DataFrame, n: int, penalty: float = 0.0, by: list[str] = _
     return now.where(F.col("_dp").isNotNull()).groupBy(*by).agg(end.alias("e")).select(*by, "e.score", "e.path")
 
 
+def ranked_paths(paths: DataFrame) -> DataFrame:
+    """best_paths with their rank among the videos of a query; equal scores in order of video."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "video_id")
+    return paths.withColumn("rank", F.row_number().over(order))
+
+
 def k_best_by_joins(pool: DataFrame, n: int, k: int | None, min_gap: int = 1, pacing: float = 0.0, by: list[str] = _GROUP) -> DataFrame:
     """(by, score, f0 ... f{n-1}, rank): the k best increasing n-tuples of pool(by, frame_idx, s0 ...), gaps of min_gap or more.
 
@@ -53,31 +60,69 @@ def k_best_by_joins(pool: DataFrame, n: int, k: int | None, min_gap: int = 1, pa
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def list_viterbi(frames: list[int], scores: list[list[float]], k: int, min_gap: int = 1, pacing: float = 0.0) -> list[tuple[float, tuple[int, ...]]]:
-    """The k best increasing tuples over strictly increasing frames; scores[i][j] is event i at frame j."""
-    if any(a >= b for a, b in zip(frames, frames[1:])):  # noqa: B905
+def best_tuples(pool: DataFrame, n: int, min_gap: int = 1, pacing: float = 0.0, by: list[str] = _GROUP) -> DataFrame:
+    """The first row of k_best_by_joins in each group, as (by, score, f0 ...), by one sort and n - 1 running maxima.
+
+    frame_idx must be distinct in a group. A row's best tuple that ends at event i joins its score to the best one of event
+    i - 1 that ends min_gap or more before; ties by the lesser frame."""
+    if min_gap < 1 or pacing < 0 or n < 1:
+        raise ValueError("n and min_gap must be positive and pacing not negative")
+    behind = Window.partitionBy(*by).orderBy("frame_idx").rangeBetween(Window.unboundedPreceding, -min_gap)
+    f = F.col("frame_idx")
+    now = pool.withColumn("_e", F.struct(F.col("s0").cast("double").alias("score"), F.array("frame_idx").alias("path")))
+    for i in range(1, n):
+        free = F.struct((F.col("_e.score") + pacing * f).alias("k"), (-f).alias("near"), F.col("_e.path").alias("path"))
+        now = now.withColumn("_b", F.max(F.when(F.col("_e").isNotNull(), free)).over(behind))
+        now = now.withColumn("_e", F.when(F.col("_b").isNotNull(), F.struct((F.col("_b.k") + F.col(f"s{i}") - pacing * f).alias("score"), F.concat("_b.path", F.array("frame_idx")).alias("path")))).drop("_b")
+    end = F.max_by("_e", F.struct(F.col("_e.score"), -f))
+    found = now.where(F.col("_e").isNotNull()).groupBy(*by).agg(end.alias("e"))
+    return found.select(*by, "e.score", *[F.col("e.path")[i].alias(f"f{i}") for i in range(n)])
+
+
+def k_best_tuples(frames: list[int], scores: list[list[float]], k: int, min_gap: int = 1, pacing: float = 0.0) -> list[tuple[float, tuple[int, ...]]]:
+    """The k best increasing tuples over strictly increasing frames; scores[i][j] is event i at frame j.
+
+    Best-first search from the last event back. reach[i][j] is the most that any tuple of events 0 to i earns that ends
+    at frame j, so what a partial tuple can still become is known exactly, and complete tuples leave the queue in order:
+    by score, then by the last frame, the one before it, and so on. Of the frames that may come
+    before, the k most promising are enough."""
+    f, s = np.asarray(frames, np.int64), np.asarray(scores, np.float64).reshape(len(scores), len(frames))
+    if (np.diff(f) <= 0).any():
         raise ValueError("frames must increase strictly")
-    key = lambda e: (-e[0], e[1][::-1])
-    table = [[(float(s), (f,))] for f, s in zip(frames, scores[0], strict=True)]
-    for row in scores[1:]:
-        # best[j]: the k best partial tuples that end at or before j, each brought forward to frame 0 of the pacing
-        nxt, ready, at = [], [], 0
-        for j, f in enumerate(frames):
-            while at < j and frames[at] <= f - min_gap:
-                ready = heapq.nsmallest(k, ready + [(s + pacing * frames[at], p) for s, p in table[at]], key=key)
-                at += 1
-            nxt.append([(s - pacing * f + row[j], (*p, f)) for s, p in ready])
-        table = nxt
-    return heapq.nsmallest(k, [e for cell in table for e in cell], key=key)
+    ends = np.searchsorted(f, f - min_gap, "right")  # how many frames may stand before each
+    reach = [s[0]]
+    for row in s[1:]:
+        most = np.concatenate([[-np.inf], np.maximum.accumulate(reach[-1] + pacing * f)]) if len(f) else np.zeros(1)
+        reach.append(row + most[ends] - pacing * f)
+
+    def promising(i: int, upto: int) -> list[int]:
+        worth = reach[i][:upto] + pacing * f[:upto]
+        order = np.lexsort((f[:upto], -worth))[:k]
+        return order[np.isfinite(worth[order])].tolist()
+
+    last = len(s) - 1
+    queue = [(-float(reach[last][j]), (int(f[j]),), last, j, 0.0) for j in np.lexsort((f, -reach[last]))[:k].tolist() if np.isfinite(reach[last][j])]
+    heapq.heapify(queue)
+    found: list[tuple[float, tuple[int, ...]]] = []
+    while queue and len(found) < k:
+        total, path, i, j, earned = heapq.heappop(queue)
+        if i == 0:
+            found.append((-total, path[::-1]))
+            continue
+        earned += float(s[i][j])
+        for p in promising(i - 1, int(ends[j])):
+            step = earned - pacing * float(f[j] - f[p])
+            heapq.heappush(queue, (-(float(reach[i - 1][p]) + step), (*path, int(f[p])), i - 1, p, step))
+    return found
 
 
 def k_best_by_groups(pool: DataFrame, n: int, k: int, min_gap: int = 1, pacing: float = 0.0, by: list[str] = _GROUP) -> DataFrame:
-    """As k_best_by_joins, by a list Viterbi in each group: work in proportion to frames, not to tuples."""
+    """As k_best_by_joins, by a best-first search in each group: work in proportion to frames and k, not to tuples."""
     names = [f"f{i}" for i in range(n)]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("frame_idx").drop_duplicates("frame_idx")
-        found = list_viterbi(rows["frame_idx"].tolist(), [rows[f"s{i}"].tolist() for i in range(n)], k, min_gap, pacing)
+        found = k_best_tuples(rows["frame_idx"].tolist(), [rows[f"s{i}"].tolist() for i in range(n)], k, min_gap, pacing)
         own = {c: rows[c].iloc[0] for c in by}
         return pd.DataFrame([own | {"score": s, "rank": r, **dict(zip(names, p, strict=True))} for r, (s, p) in enumerate(found, 1)], columns=[*by, "score", *names, "rank"])
 
@@ -86,11 +131,12 @@ def k_best_by_groups(pool: DataFrame, n: int, k: int, min_gap: int = 1, pacing:
     return pool.select(*by, "frame_idx", *[F.col(f"s{i}").cast("double").alias(f"s{i}") for i in range(n)]).groupBy(*by).applyInPandas(run, schema)
 
 
-def paced(tuples: DataFrame, n: int, decay: float) -> DataFrame:
-    """Tuples rescored after the fact by `decay` for each frame between their ends."""
+def paced(tuples: DataFrame, n: int, decay: float, by: list[str] = _GROUP) -> DataFrame:
+    """Tuples rescored after the fact by `decay` for each frame between their ends, and ranked anew; ties keep their order."""
     if decay < 0:
         raise ValueError("decay must not be negative")
-    return tuples.withColumn("score", F.col("score") - decay * (F.col(f"f{n - 1}") - F.col("f0")))
+    out = tuples.withColumn("score", F.col("score") - decay * (F.col(f"f{n - 1}") - F.col("f0")))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "rank")))
 
 
 def emit(pool: DataFrame, n: int, limit: int = 100, min_gap: int = 1, pacing: float = 0.0) -> DataFrame:
@@ -98,6 +144,6 @@ def emit(pool: DataFrame, n: int, limit: int = 100, min_gap: int = 1, pacing: fl
     each video; distinct frames first, then a global order by score, video and frames."""
     once = Window.partitionBy("query_id", "video_id", "frame_idx").orderBy(F.col("s0").desc(), "row_id")
     distinct = pool.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    found = k_best_by_joins(distinct, n, None if n == 1 else 1, min_gap, pacing)
+    found = distinct.select(*_GROUP, F.col("s0").cast("double").alias("score"), F.col("frame_idx").alias("f0")) if n == 1 else best_tuples(distinct, n, min_gap, pacing)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "video_id", *[f"f{i}" for i in range(n)])
-    return found.withColumn("answer_rank", F.row_number().over(order)).where(F.col("answer_rank") <= limit).drop("rank")
+    return found.withColumn("answer_rank", F.row_number().over(order)).where(F.col("answer_rank") <= limit)

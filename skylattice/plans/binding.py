@@ -1,50 +1,88 @@
 """The engine's concepts on the driver's tables, in DataFrames and in SQL.
 
-frame: a row of `embeddings`; its video: the label; n: its ordinal there; frame_idx: vec_id.
-text of a frame: the document of that id, if `labels` knows it. query: a label, with the label's first
-vector and the benchmark passage of that number. speech: conversation turns, four seconds each.
+frame: a row of `embeddings`; its video: the label; n: its ordinal there; frame_idx: vec_id. text on a frame: the document
+of that id. objects on a frame: the name of the part of that number. speech: conversation turns, four seconds each.
+query: a label, with the label's first vector, and the benchmark passage and the part of that number as its text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property, reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import lexical, nearest
+from ..operators import intervals, lexical, nearest
+from ..sources.staging import staged
+
+_built: dict[tuple, object] = {}
 
 
 class Tables:
+    """Tables of a folder. What one query needs several times is staged once for it; the frame table and the text
+    indexes are artifacts that are built once a session, for as long as the files they come from stay as they are."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-
-    @property
+        if name.startswith("_"):
+            raise AttributeError(name)
+        self.__dict__[name] = found = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return found
+
+    def built(self, name: str, make: Callable[[], object], *tables: str):
+        def stamp(table: str) -> tuple:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{table}.parquet")
+            status = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+            return status.getLen(), status.getModificationTime()
+
+        key = (self.spark.sparkContext.applicationId, self.dir, name, *map(stamp, tables))
+        if key not in _built:
+            _built[key] = make()
+        return _built[key]
+
+    @cached_property
     def frames(self) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-        return self.embeddings.select(F.col("vec_id").alias("row_id"), F.concat(F.lit("v"), F.col("label").cast("string")).alias("video_id"), nth.alias("n"), F.col("vec_id").cast("int").alias("frame_idx"), (F.col("vec_id") * 40.0).alias("ts_ms"), F.col("embedding").alias("emb"))
+        def make() -> DataFrame:
+            nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+            return staged(self.embeddings.select(F.col("vec_id").alias("row_id"), F.concat(F.lit("v"), F.col("label").cast("string")).alias("video_id"), nth.alias("n"), F.col("vec_id").cast("int").alias("frame_idx"), (F.col("vec_id") * 40.0).alias("ts_ms"), F.col("embedding").alias("emb")), "frames")
 
-    @property
+        return self.built("frames", make, "embeddings")
+
+    @cached_property
     def asked(self) -> DataFrame:
         """probes(query_id, probe_idx, text, vector), one for each label."""
         first = self.embeddings.groupBy(F.col("label").cast("long").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
-        return first.join(self.benchmark.select(F.col("item_id").alias("query_id"), "text"), "query_id", "left").select("query_id", F.lit(0).alias("probe_idx"), F.coalesce("text", F.lit("")).alias("text"), "vector")
-
-    @property
-    def frame_text(self) -> DataFrame:
-        known = self.documents.join(self.labels.select("doc_id"), "doc_id", "left_semi")
-        return known.join(self.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("row_id"), "text")
+        text = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("p_name", F.lit("")))
+        named = first.join(self.benchmark.select(F.col("item_id").alias("query_id"), "text"), "query_id", "left").join(self.part.select(F.col("p_partkey").alias("query_id"), "p_name"), "query_id", "left")
+        return staged(named.select("query_id", F.lit(0).alias("probe_idx"), text.alias("text"), "vector"), "asked")
+
+    def texts(self, source: str) -> DataFrame:
+        """(row_id, text) of the frames, as a source has it."""
+        if source == "ocr":
+            return self.documents.select(F.col("doc_id").alias("row_id"), "text").join(self.frames.select("row_id"), "row_id", "left_semi")
+        if source == "asr":
+            return intervals.window_text(self.frames.select("row_id", "video_id", "ts_ms"), self.speech)
+        return self.part.select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("text")).join(self.frames.select("row_id"), "row_id", "left_semi")
+
+    def index(self, source: str) -> lexical.LexicalIndex:
+        tables = {"ocr": ["documents"], "asr": ["conversations"], "object": ["part"]}[source]
+        return self.built(f"index-{source}", lambda: lexical.build(self.texts(source).select(F.col("row_id").alias("doc"), "text")), "embeddings", *tables)
 
     @property
     def visual(self) -> DataFrame:
         return nearest.visual_source(self.frames, self.asked)
 
-    @property
+    def text_scores(self, source: str) -> DataFrame:
+        return lexical.text_source(self.frames, None, self.asked, source, index=self.index(source))
+
+    @cached_property
     def scores(self) -> DataFrame:
-        """Visual and OCR scores of every frame for every query, to nine decimals, so that rounding in sums does not decide ties."""
-        ocr = lexical.text_source(self.frames, self.frame_text, self.asked, "ocr")
-        return self.visual.select(*ocr.columns).unionByName(ocr).withColumn("score", F.round("score", 9))
+        """Scores of every frame for every query by four sources, to nine decimals, so that rounding in sums does not decide ties."""
+        each = [self.visual, *map(self.text_scores, ("ocr", "asr", "object"))]
+        return staged(reduce(DataFrame.unionByName, each).withColumn("score", F.round("score", 9)), "scores")
 
     @property
     def speech(self) -> DataFrame:
@@ -59,40 +97,56 @@ class Tables:
         return self.events.select(F.lit(0).alias("query_id"), F.col("user_id").alias("video_id"), F.col("event_id").alias("row_id"), ms.alias("ts_ms"), *s)
 
 
+_TOKENS = "regexp_extract_all(replace(lower(strip_accents(text)), 'đ', 'd'), '[a-z0-9]+')"
+
+
+def _text_source(name: str, texts: str, k1: float, b: float) -> dict[str, str]:
+    """Expressions of a text source over texts(row_id, text): those of its index, and its scores of every frame."""
+    return {
+        f"{name}_docs": f"SELECT row_id, {_TOKENS} AS toks FROM ({texts}) WHERE trim(coalesce(text, '')) <> ''",
+        f"{name}_tf": f"SELECT row_id, tok, count(*) AS tf FROM (SELECT row_id, unnest(toks) AS tok FROM {name}_docs) GROUP BY ALL",
+        f"{name}_n": f"SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM {name}_docs",
+        f"{name}_idf": f"SELECT tok, ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM {name}_tf, {name}_n GROUP BY tok",
+        f"{name}_hit": f"SELECT query_id, row_id, sum(idf * tf * {k1 + 1} / (tf + {k1} * ({1 - b} + {b} * len(toks) / avgdl))) AS score FROM asked_toks JOIN {name}_idf USING (tok) JOIN {name}_tf USING (tok) JOIN {name}_docs USING (row_id), {name}_n GROUP BY query_id, row_id",
+        name: f"""SELECT a.query_id, a.probe_idx, '{name}' AS source, f.row_id, coalesce(h.score, 0.0) AS score, s.row_id IS NOT NULL AS covered
+            FROM frames f CROSS JOIN asked a LEFT JOIN {name}_docs s ON s.row_id = f.row_id LEFT JOIN {name}_hit h ON h.row_id = f.row_id AND h.query_id = a.query_id""",
+    }
+
+
 #: Common table expressions by name, each after the ones it needs.
 CTES = {
     "frames": """SELECT vec_id AS row_id, 'v' || CAST(label AS VARCHAR) AS video_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS n,
         CAST(vec_id AS INT) AS frame_idx, CAST(vec_id AS DOUBLE) * 40.0 AS ts_ms, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings""",
-    "asked": """SELECT query_id, 0 AS probe_idx, coalesce(text, '') AS text, vector FROM
-        (SELECT CAST(label AS BIGINT) AS query_id, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS vector FROM embeddings GROUP BY label) LEFT JOIN (SELECT item_id AS query_id, text FROM benchmark) USING (query_id)""",
+    "asked": """SELECT query_id, 0 AS probe_idx, coalesce(text, '') || ' ' || coalesce(p_name, '') AS text, vector FROM
+        (SELECT CAST(label AS BIGINT) AS query_id, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS vector FROM embeddings GROUP BY label) LEFT JOIN (SELECT item_id AS query_id, text FROM benchmark) USING (query_id) LEFT JOIN (SELECT p_partkey AS query_id, p_name FROM part) USING (query_id)""",
     "visual": "SELECT query_id, probe_idx, 'visual' AS source, row_id, list_inner_product(emb, vector) AS score, true AS covered FROM frames, asked",
     "docs": "SELECT doc_id AS row_id, text, regexp_extract_all(replace(lower(strip_accents(text)), 'đ', 'd'), '[a-z0-9]+') AS toks FROM documents WHERE trim(coalesce(text, '')) <> ''",
-    "shown": "SELECT * FROM docs WHERE row_id IN (SELECT doc_id FROM labels) AND row_id IN (SELECT vec_id FROM embeddings)",
-    "ocr_tf": "SELECT row_id, tok, count(*) AS tf FROM (SELECT row_id, unnest(toks) AS tok FROM shown) GROUP BY ALL",
-    "ocr_n": "SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM shown",
-    "ocr_idf": "SELECT tok, ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM ocr_tf, ocr_n GROUP BY tok",
-    "ocr_ask": "SELECT DISTINCT query_id, unnest(regexp_extract_all(replace(lower(strip_accents(text)), 'đ', 'd'), '[a-z0-9]+')) AS tok FROM asked",
-    "ocr_hit": """SELECT query_id, row_id, sum(idf * tf * 1.6 / (tf + 0.6 * (0.1 + 0.9 * len(toks) / avgdl))) AS score FROM ocr_ask JOIN ocr_idf USING (tok) JOIN ocr_tf USING (tok) JOIN shown USING (row_id), ocr_n GROUP BY query_id, row_id""",
-    "ocr": """SELECT a.query_id, a.probe_idx, 'ocr' AS source, f.row_id, coalesce(h.score, 0.0) AS score, s.row_id IS NOT NULL AS covered
-        FROM frames f CROSS JOIN asked a LEFT JOIN shown s ON s.row_id = f.row_id LEFT JOIN ocr_hit h ON h.row_id = f.row_id AND h.query_id = a.query_id""",
-    "scores": "SELECT query_id, probe_idx, source, row_id, round(score, 9) AS score, covered FROM (SELECT * FROM visual UNION ALL SELECT * FROM ocr)",
+    "asked_toks": f"SELECT DISTINCT query_id, unnest({_TOKENS}) AS tok FROM asked",
+    "speech": "SELECT 'v' || CAST(conv_id % 10 AS VARCHAR) AS video_id, turn * 4000 AS start_ms, turn * 4000 + 3000 AS end_ms, coalesce(text, '') AS text FROM conversations",
+    "around": "SELECT row_id, array_to_string(list_transform(list_sort(list({'a': start_ms, 'b': end_ms, 'c': text})), lambda x: x.c), ' ') AS text FROM frames f JOIN speech s ON s.video_id = f.video_id AND s.end_ms >= f.ts_ms - 5000 AND s.start_ms <= f.ts_ms + 5000 GROUP BY row_id",
+    **_text_source("ocr", "SELECT doc_id AS row_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)", *lexical.PARAMETERS["ocr"]),
+    **_text_source("asr", "SELECT * FROM around", *lexical.PARAMETERS["asr"]),
+    **_text_source("object", "SELECT p_partkey AS row_id, p_name AS text FROM part WHERE p_partkey IN (SELECT vec_id FROM embeddings)", *lexical.PARAMETERS["object"]),
+    "scores": "SELECT query_id, probe_idx, source, row_id, round(score, 9) AS score, covered FROM (SELECT * FROM visual UNION ALL SELECT * FROM ocr UNION ALL SELECT * FROM asr UNION ALL SELECT * FROM object)",
     "moments": "SELECT query_id, probe_idx, source, avg(score) FILTER (WHERE covered) AS mu, stddev_pop(score) FILTER (WHERE covered) AS sigma FROM scores GROUP BY ALL",
     "zs": "SELECT s.*, CASE WHEN covered AND sigma >= 1e-9 THEN (score - mu) / sigma ELSE 0.0 END AS z FROM scores s JOIN moments USING (query_id, probe_idx, source)",
-    "fused": "SELECT query_id, probe_idx, row_id, sum(z * CASE source WHEN 'visual' THEN 1.0::DOUBLE ELSE 0.1322::DOUBLE END) AS s FROM zs GROUP BY ALL",
+    "fused": "SELECT query_id, probe_idx, row_id, sum(z * CASE source WHEN 'visual' THEN 1.0::DOUBLE WHEN 'object' THEN 0.0891::DOUBLE WHEN 'ocr' THEN 0.1322::DOUBLE ELSE 0.2128::DOUBLE END) AS s FROM zs GROUP BY ALL",
     "quota": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, row_id) AS nth FROM
         (SELECT s.*, video_id, row_number() OVER (PARTITION BY query_id, source, video_id ORDER BY round(score, 9) DESC, s.row_id) AS inv FROM scores s JOIN frames f ON f.row_id = s.row_id WHERE covered AND score > 0) WHERE inv <= 10) WHERE nth <= 40""",
+    "vquota": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS nth FROM
+        (SELECT s.*, video_id, row_number() OVER (PARTITION BY query_id, video_id ORDER BY round(score, 9) DESC, s.row_id) AS inv FROM visual s JOIN frames f ON f.row_id = s.row_id WHERE score > 0) WHERE inv <= 10) WHERE nth <= 40""",
     "pool": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, row_id) AS pool_rank FROM
-        (SELECT query_id, row_id, CAST(bit_or(CASE source WHEN 'visual' THEN 1 ELSE 4 END) AS INT) AS prov, CAST(count(DISTINCT source) AS INT) AS agree FROM quota GROUP BY ALL) JOIN (SELECT query_id, row_id, max(s) AS s FROM fused GROUP BY ALL) USING (query_id, row_id)""",
-    "speech": "SELECT 'v' || CAST(conv_id % 10 AS VARCHAR) AS video_id, turn * 4000 AS start_ms, turn * 4000 + 3000 AS end_ms, coalesce(text, '') AS text FROM conversations",
+        (SELECT query_id, row_id, CAST(bit_or(CASE source WHEN 'visual' THEN 1 WHEN 'object' THEN 2 WHEN 'ocr' THEN 4 ELSE 8 END) AS INT) AS prov, CAST(count(DISTINCT source) AS INT) AS agree FROM quota GROUP BY ALL) JOIN (SELECT query_id, row_id, max(s) AS s FROM fused GROUP BY ALL) USING (query_id, row_id)""",
     "steps": """SELECT user_id AS video_id, event_id AS row_id, CAST(epoch_us(ts) // 1000 AS DOUBLE) AS ts_ms, CASE WHEN event_type = 'view' THEN value ELSE -1.0 END AS s0,
         CASE WHEN event_type = 'click' THEN value ELSE -1.0 END AS s1, CASE WHEN event_type = 'purchase' THEN value ELSE -1.0 END AS s2 FROM events""",
-    "triple": """SELECT q.query_id, q.video_id, q.row_id, f.frame_idx, a.score AS s0, b.score AS s1, c.score AS s2 FROM quota q JOIN frames f ON f.row_id = q.row_id
-        JOIN visual a ON a.row_id = q.row_id AND a.query_id = q.query_id JOIN visual b ON b.row_id = q.row_id AND b.query_id = (q.query_id + 1) % 10 JOIN visual c ON c.row_id = q.row_id AND c.query_id = (q.query_id + 2) % 10 WHERE q.source = 'visual'""",
+    "triple": """SELECT q.query_id, q.video_id, q.row_id, f.frame_idx, a.score AS s0, b.score AS s1, c.score AS s2 FROM vquota q JOIN frames f ON f.row_id = q.row_id
+        JOIN visual a ON a.row_id = q.row_id AND a.query_id = q.query_id JOIN visual b ON b.row_id = q.row_id AND b.query_id = (q.query_id + 1) % 10 JOIN visual c ON c.row_id = q.row_id AND c.query_id = (q.query_id + 2) % 10""",
     "ranked": "SELECT query_id, row_id, video_id, frame_idx, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS INT) AS rank FROM visual JOIN frames USING (row_id)",
 }
 _NEEDS = {
-    "visual": ["frames", "asked"], "shown": ["docs"], "ocr_tf": ["shown"], "ocr_n": ["shown"], "ocr_idf": ["ocr_tf", "ocr_n"], "ocr_ask": ["asked"], "ocr_hit": ["ocr_ask", "ocr_idf"], "ocr": ["ocr_hit", "frames"], "scores": ["visual", "ocr"],
-    "moments": ["scores"], "zs": ["moments"], "fused": ["zs"], "quota": ["scores"], "pool": ["quota", "fused"], "triple": ["quota"], "ranked": ["visual"],
+    "visual": ["frames", "asked"], "asked_toks": ["asked"], "around": ["frames", "speech"], "asr_docs": ["around"], "scores": ["visual", "ocr", "asr", "object"],
+    **{f"{x}_{y}": n for x in ("ocr", "asr", "object") for y, n in (("tf", [f"{x}_docs"]), ("n", [f"{x}_docs"]), ("idf", [f"{x}_tf", f"{x}_n"]), ("hit", ["asked_toks", f"{x}_idf"]))}, **{x: [f"{x}_hit", "frames"] for x in ("ocr", "asr", "object")},
+    "moments": ["scores"], "zs": ["moments"], "fused": ["zs"], "quota": ["scores"], "pool": ["quota", "fused"], "triple": ["vquota"], "vquota": ["visual"], "ranked": ["visual"],
 }
 
 

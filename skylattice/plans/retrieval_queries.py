@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..operators import frame_index, fusion, lexical, nearest, pooling, rerank, sequence
+from ..sources.staging import staged
 from . import hybrid
 from .binding import Tables, sql
 
@@ -88,7 +89,7 @@ def looks_unfolded(t: Tables) -> DataFrame:
 
 
 def _index(t: Tables) -> lexical.LexicalIndex:
-    return lexical.build(t.documents.select(F.col("doc_id").alias("doc"), "text"))
+    return t.built("index-documents", lambda: lexical.build(t.documents.select(F.col("doc_id").alias("doc"), "text")), "documents")
 
 
 @query(sql("SELECT count(*) AS n, round(avg(len(toks)), 6) AS avgdl FROM docs", "docs"))
@@ -141,7 +142,7 @@ def bm25_params_asr(t: Tables) -> DataFrame:
 
 @query(sql("SELECT query_id, row_id, round(score, 6) AS score, covered FROM ocr", "ocr"))
 def text_source(t: Tables) -> DataFrame:
-    return lexical.text_source(t.frames, t.frame_text, t.asked, "ocr").select("query_id", "row_id", F.round("score", 6).alias("score"), "covered")
+    return t.text_scores("ocr").select("query_id", "row_id", F.round("score", 6).alias("score"), "covered")
 
 
 @query(sql("SELECT source, round(avg(CAST(covered AS INT)), 6) AS coverage FROM scores GROUP BY source", "scores"))
@@ -177,6 +178,13 @@ def best_over_probes(t: Tables) -> DataFrame:
     return fusion.best_over_probes(one).select("row_id", F.round("s", 6).alias("s"))
 
 
+def _fused(t: Tables) -> DataFrame:
+    """Fused scores of all frames, staged once for a query that reads them several times."""
+    if "_fused" not in t.__dict__:
+        t.__dict__["_fused"] = staged(fusion.fuse(t.scores), "fused")
+    return t.__dict__["_fused"]
+
+
 def _nominated(t: Tables) -> DataFrame:
     return pooling.nominate(t.scores, t.frames)
 
@@ -192,7 +200,7 @@ def pool_counts(t: Tables) -> DataFrame:
 
 
 def _pool(t: Tables, cap: int | None) -> DataFrame:
-    base = fusion.best_over_probes(fusion.fuse(t.scores)).withColumn("s", F.round("s", 9))
+    base = fusion.best_over_probes(_fused(t)).withColumn("s", F.round("s", 9))
     return pooling.union_pool(_nominated(t), base, cap)
 
 
@@ -208,7 +216,7 @@ def pool_cap(t: Tables) -> DataFrame:
 
 @query(sql("SELECT query_id, count(*) AS rows_all, count(*) FILTER (WHERE row_id IN (SELECT p.row_id FROM pool p WHERE p.query_id = f.query_id)) AS pooled FROM fused f GROUP BY query_id", "pool"))
 def pool_mask(t: Tables) -> DataFrame:
-    flagged = pooling.in_pool(fusion.best_over_probes(fusion.fuse(t.scores)), _pool(t, None))
+    flagged = pooling.in_pool(fusion.best_over_probes(_fused(t)), _pool(t, None))
     return flagged.groupBy("query_id").agg(F.count("*").alias("rows_all"), F.sum(F.col("pooled").cast("long")).alias("pooled"))
 
 
@@ -220,7 +228,7 @@ def pool_sizes(t: Tables) -> DataFrame:
 
 @query(sql("SELECT query_id, row_id, CAST(rn AS INT) AS short_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, row_id) AS rn FROM fused) WHERE rn <= 160", "fused"))
 def vlm_shortlist(t: Tables) -> DataFrame:
-    base = fusion.best_over_probes(fusion.fuse(t.scores)).withColumn("s", F.round("s", 9))
+    base = fusion.best_over_probes(_fused(t)).withColumn("s", F.round("s", 9))
     return rerank.shortlist(base).select("query_id", "row_id", "short_rank")
 
 
@@ -237,7 +245,7 @@ _VLM = "SELECT p.query_id, p.row_id, CAST((p.row_id * 7 + p.query_id) % 11 AS DO
 def rerank_combine(t: Tables) -> DataFrame:
     """A stand-in model scores the pool; its scores join those of all frames."""
     seen = _pool(t, None).select("query_id", F.lit(0).alias("probe_idx"), F.lit("vlm").alias("source"), "row_id", (((F.col("row_id") * 7 + F.col("query_id")) % 11).cast("double") / 10).alias("score"), F.lit(True).alias("covered"))
-    return rerank.combine(fusion.fuse(t.scores), seen).select("query_id", "row_id", F.round("s", 6).alias("s"))
+    return rerank.combine(_fused(t), seen).select("query_id", "row_id", F.round("s", 6).alias("s"))
 
 
 @query(sql("SELECT query_id, row_id, round(greatest(list_inner_product(emb, vector), list_inner_product(list_reverse(emb), vector)), 6) AS score FROM frames, asked", "frames", "asked"))
@@ -268,7 +276,7 @@ def crop_boxes(t: Tables) -> DataFrame:
     )
 )
 def hybrid_kis(t: Tables) -> DataFrame:
-    """The flagship: two sources, fusion, pool, ranked answers."""
+    """The flagship: vectors, text, speech and objects, fusion, pool, ranked answers."""
     fused, pool = hybrid.retrieve(t.frames, t.scores, hybrid.Settings(per_video=10))
     fused = fused.withColumn("s", F.round("s", 9))
     return hybrid.answer(t.frames, fused, pool, 1).select("query_id", "video_id", "f0", F.round("score", 6).alias("score"), "answer_rank")

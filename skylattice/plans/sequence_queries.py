@@ -127,13 +127,12 @@ def triples(t: Tables) -> DataFrame:
     return out
 
 
-def _tuples_sql(n: int, k: int, gap: int = 1, pacing: float = 0.0, decay: float = 0.0) -> str:
+def _tuples_sql(n: int, k: int, gap: int = 1, pacing: float = 0.0) -> str:
     names, score = [f"f{i}" for i in range(n)], "a0.s0" + "".join(f" + a{i}.s{i} - {pacing}::DOUBLE * (a{i}.frame_idx - a{i - 1}.frame_idx)" for i in range(1, n))
     joins = "triple a0" + "".join(f" JOIN triple a{i} ON a{i}.query_id = a0.query_id AND a{i}.video_id = a0.video_id AND a{i}.frame_idx >= a{i - 1}.frame_idx + {gap}" for i in range(1, n))
     tup = "SELECT a0.query_id, a0.video_id, " + ", ".join(f"a{i}.frame_idx AS f{i}" for i in range(n)) + f", {score} AS score FROM {joins}"
     order = "round(score, 9) DESC, " + ", ".join(reversed(names))
-    out = f"round(score - {decay}::DOUBLE * (f{n - 1} - f0), 6)" if decay else "round(score, 6)"
-    return sql(f"SELECT query_id, video_id, {', '.join(names)}, {out} AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY {order}) AS rank FROM tup) WHERE rank <= {k}", "triple", tup=tup)
+    return sql(f"SELECT query_id, video_id, {', '.join(names)}, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY {order}) AS rank FROM tup) WHERE rank <= {k}", "triple", tup=tup)
 
 
 def _best(found: DataFrame, n: int) -> DataFrame:
@@ -165,7 +164,12 @@ def kbest_viterbi(t: Tables) -> DataFrame:
     return _best(sequence.k_best_by_groups(triples(t), 3, 3), 3)
 
 
-@query(_tuples_sql(2, 5, decay=0.001))
+@query(
+    sql(
+        "SELECT query_id, video_id, f0, f1, round(paced, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id, video_id ORDER BY paced DESC, rank) AS INT) AS rank FROM (SELECT *, score - 0.001::DOUBLE * (f1 - f0) AS paced FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY round(score, 9) DESC, f1, f0) AS rank FROM tup) WHERE rank <= 5)",
+        "triple", tup="SELECT a0.query_id, a0.video_id, a0.frame_idx AS f0, a1.frame_idx AS f1, a0.s0 + a1.s1 AS score FROM triple a0 JOIN triple a1 ON a1.query_id = a0.query_id AND a1.video_id = a0.video_id AND a1.frame_idx > a0.frame_idx",
+    )
+)
 def pacing_posthoc(t: Tables) -> DataFrame:
     return _best(sequence.paced(sequence.k_best_by_joins(triples(t), 2, 5), 2, 0.001), 2)
 
@@ -194,9 +198,10 @@ def _truth(t: Tables) -> DataFrame:
 
 
 def _ranked(t: Tables) -> DataFrame:
-    scores = t.visual.withColumn("score", F.round("score", 9))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "row_id")
-    return scores.withColumn("rank", F.row_number().over(order)).join(t.frames.select("row_id", "video_id", "frame_idx"), "row_id")
+    from ..operators import nearest
+
+    best = nearest.top_k(t.visual.withColumn("score", F.round("score", 9)), numbers.BUDGET)
+    return best.join(t.frames.select("row_id", "video_id", "frame_idx"), "row_id")
 
 
 def _graded(t: Tables) -> DataFrame:
@@ -278,10 +283,18 @@ def jitter_expectation(t: Tables) -> DataFrame:
     return scoring.jitter_expectation(_ranked(t).select("query_id", "rank", "video_id", "frame_idx"), windows, 11).select("query_id", F.round("final", 6).alias("final"))
 
 
-@query()
+@query(
+    sql(
+        """SELECT 'final against 0.5' AS arm, mean, round(quantile_cont(m, 0.025), 9) AS lo, round(quantile_cont(m, 0.975), 9) AS hi, wins, losses FROM
+        (SELECT r, avg(delta) AS m FROM (SELECT r, CAST('0x' || substr(md5('0:' || r || ':' || i), 1, 8) AS BIGINT) % (SELECT n FROM sizes) AS place FROM (SELECT unnest(range(4000)) AS r), (SELECT unnest(range((SELECT n FROM sizes))) AS i)) JOIN d USING (place) GROUP BY r),
+        (SELECT round(avg(delta), 9) AS mean, count(*) FILTER (WHERE delta > 0) AS wins, count(*) FILTER (WHERE delta < 0) AS losses FROM d) GROUP BY mean, wins, losses""",
+        "ranked", gt=_GT, graded=_GRADED, d=f"SELECT row_number() OVER (ORDER BY query_id) - 1 AS place, delta FROM (SELECT query_id, {_FIN} - 0.5::DOUBLE AS delta FROM (SELECT query_id, {_RK} FROM graded WHERE rank <= 100 GROUP BY query_id))", sizes="SELECT count(*) AS n FROM d",
+    )
+)
 def bootstrap_ci(t: Tables) -> DataFrame:
     table = scoring.recall_table(_graded(t), _truth(t))
-    return scoring.bootstrap_difference(table.select(F.lit("final against 0.5").alias("arm"), "query_id", (F.col("final") - 0.5).alias("delta")))
+    found = scoring.bootstrap_difference(table.select(F.lit("final against 0.5").alias("arm"), "query_id", (F.col("final") - 0.5).alias("delta")))
+    return found.select("arm", *[F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")], "wins", "losses")
 
 
 # -- windows and placement ----------------------------------------------------
@@ -326,20 +339,40 @@ def hit_probability(t: Tables) -> DataFrame:
     return coverage.hit_probability(placed, _posterior(t), 3).select("case_id", F.round("p", 6).alias("p"))
 
 
-@query()
+#: Weights in hundredths, so that sums are whole and ties are ties.
+_CENTS = "SELECT case_id, frame, CAST(round(weight * 100) AS BIGINT) AS weight FROM p"
+
+
+def _rounds_sql(m: int, length: int) -> dict[str, str]:
+    out = {"c": _CENTS, "e1": f"SELECT *, {{'covered': own, 'starts': [frame]}} AS e FROM (SELECT *, CAST(sum(weight) OVER (PARTITION BY case_id ORDER BY frame RANGE BETWEEN CURRENT ROW AND {length - 1} FOLLOWING) AS BIGINT) AS own FROM c WHERE weight > 0)"}
+    for j in range(2, m + 1):
+        out[f"e{j}"] = f"""SELECT * EXCLUDE (b, e), CASE WHEN b IS NULL THEN {{'covered': own, 'starts': [frame]}} ELSE {{'covered': own + b.covered, 'starts': list_append(b.starts, frame)}} END AS e
+            FROM (SELECT *, max(e) OVER (PARTITION BY case_id ORDER BY frame RANGE BETWEEN UNBOUNDED PRECEDING AND {length} PRECEDING) AS b FROM e{j - 1})"""
+    return out
+
+
+@query(
+    sql(
+        "SELECT case_id, unnest(list_transform(e.starts, lambda f: f + 1)) AS frame FROM (SELECT case_id, max(e) AS e FROM (SELECT case_id, e FROM e1 UNION ALL SELECT case_id, e FROM e2 UNION ALL SELECT case_id, e FROM e3) GROUP BY case_id)",
+        p=_POSTERIOR, **_rounds_sql(3, 4),
+    )
+)
 def optimal_placement(t: Tables) -> DataFrame:
-    hours = t.spark.range(24).select(F.col("id").alias("frame"))
-    full = t.events.select(F.col("user_id").alias("case_id")).distinct().crossJoin(F.broadcast(hours)).join(_posterior(t), ["case_id", "frame"], "left").fillna(0.0, ["weight"])
-    return coverage.optimal_placement(full, 3, 4)
+    cents = _posterior(t).withColumn("weight", F.round(F.col("weight") * 100).cast("long"))
+    return coverage.optimal_placement(cents, 3, 4)
 
 
 @query(
     sql(
-        "SELECT round(avg(list_inner_product(emb, nxt)), 6) AS within FROM (SELECT emb, lead(emb) OVER (PARTITION BY video_id ORDER BY row_id) AS nxt FROM frames) WHERE nxt IS NOT NULL", "frames",
+        """SELECT round(avg(c) FILTER (WHERE kind = 'within'), 6) AS within, round(avg(c) FILTER (WHERE kind = 'across'), 6) AS across, avg(c) FILTER (WHERE kind = 'within') - avg(c) FILTER (WHERE kind = 'across') > 0.05 AS passed
+        FROM (SELECT kind, list_inner_product(a.emb, b.emb) AS c FROM pairs JOIN frames a ON a.row_id = pairs.row_id JOIN frames b ON b.row_id = pairs.other)""",
+        "frames", lanes="SELECT greatest(1, (count(*) + 4095) // 4096) AS n FROM frames", ids="SELECT row_id, video_id, md5('0:' || row_id) AS draw FROM frames", dealt="SELECT *, CAST('0x' || substr(draw, 1, 8) AS BIGINT) % n AS lane FROM ids, lanes",
+        pairs="""SELECT 'within' AS kind, row_id, lead(row_id) OVER (PARTITION BY video_id ORDER BY row_id) AS other FROM ids
+            UNION ALL SELECT 'across', row_id, other FROM (SELECT row_id, video_id, lead(row_id) OVER w AS other, lead(video_id) OVER w AS v FROM dealt WINDOW w AS (PARTITION BY lane ORDER BY draw, row_id)) WHERE v <> video_id""",
     )
 )
 def temporal_cohesion(t: Tables) -> DataFrame:
-    return frame_index.temporal_cohesion(t.frames).select(F.round("within", 6).alias("within"))
+    return frame_index.temporal_cohesion(t.frames).select(F.round("within", 6).alias("within"), F.round("across", 6).alias("across"), "passed")
 
 
 @query(

@@ -87,7 +87,10 @@ def query_kinds(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang", "source").agg(F.count("*").alias("n"), F.first(kind).alias("kind"))
 
 
-@query()
+@query(
+    """SELECT doc_id, xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda k: (ord(c) >> CAST(k AS INT)) & 1))),
+    lambda c, b: CASE WHEN (xor(c, CAST(b AS BIGINT)) & 1) = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, 4294967295::BIGINT), 4294967295::BIGINT) AS seed FROM documents"""
+)
 def stable_seed(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.stable_seed(F.col("doc_id").cast("string")).alias("seed"))
 
@@ -118,11 +121,17 @@ def evidence_type(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", kind.alias("kind"))
 
 
-@query()
+@query(
+    """WITH f AS (SELECT conv_id * 1000 + turn AS row_id, 'v' || conv_id AS video_id, length(coalesce(role, '')) * 3 AS o, length(coalesce(text, '')) AS a FROM conversations),
+    k AS (SELECT row_id, video_id, md5('7:' || row_id) AS draw, CASE WHEN o >= 25 AND a >= 60 THEN 'vision+ocr+asr' WHEN o >= 25 AND a < 20 THEN 'vision+ocr' WHEN a >= 60 AND o < 10 THEN 'vision+asr' WHEN o < 10 AND a < 20 THEN 'vision' END AS query_type FROM f),
+    v AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY draw, row_id) AS i FROM k WHERE query_type IS NOT NULL AND video_id NOT IN ('v1', 'v2'))
+    SELECT row_id, video_id, query_type FROM (SELECT *, row_number() OVER (PARTITION BY query_type ORDER BY draw, row_id) AS n FROM v WHERE i <= 2) WHERE n <= 10"""
+)
 def evidence_sample(t: Tables) -> DataFrame:
     kind = text.evidence_type(F.repeat("role", F.lit(3)), F.col("text"))
     frames = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.concat(F.lit("v"), F.col("conv_id").cast("string")).alias("video_id"), kind.alias("query_type"))
-    return frame_index.sample_by_evidence(frames, 40, 7)
+    banned = t.spark.createDataFrame([("v1",), ("v2",)], "video_id string")
+    return frame_index.sample_by_evidence(frames, 40, 7, banned).select("row_id", "video_id", "query_type")
 
 
 @query("SELECT p_partkey AS k, 'một ' || p_name AS said FROM part")
@@ -194,14 +203,22 @@ def _videos(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.col("o_custkey").cast("string").alias("video_id")).agg(F.count("*").alias("weight"))
 
 
-@query()
+_LPT = """WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY weight DESC, video_id) AS i, video_id, weight FROM (SELECT CAST(o_custkey AS VARCHAR) AS video_id, count(*) AS weight FROM orders GROUP BY o_custkey)),
+    deal AS (SELECT 0::BIGINT AS i, list_transform(range(10), lambda x: 0::BIGINT) AS loads, NULL::VARCHAR AS video_id, 0::BIGINT AS weight, 0::BIGINT AS slot
+    UNION ALL SELECT n.i, list_transform(n.loads, lambda x, k: CASE WHEN k = n.slot THEN x + n.weight ELSE x END), n.video_id, n.weight, n.slot FROM (SELECT v.i, d.loads, v.video_id, v.weight, CAST(list_position(d.loads, list_min(d.loads)) AS BIGINT) AS slot FROM deal d JOIN v ON v.i = d.i + 1) n)"""
+
+
+@query(f"{_LPT} SELECT video_id, weight, CAST(slot - 1 AS INT) AS shard FROM deal WHERE i > 0")
 def lpt_shards(t: Tables) -> DataFrame:
     return planning.deal(_videos(t), 10)
 
 
-@query()
+@query(
+    f"""{_LPT} SELECT 10::BIGINT AS shards, min(x) AS least, max(x) AS most, avg(x) AS mean, round(max(x) / avg(x), 9) AS imbalance, round(4.0 / 3 - 1.0 / 30, 9) AS bound FROM (SELECT unnest(loads) AS x FROM deal WHERE i = (SELECT max(i) FROM deal))"""
+)
 def shard_report(t: Tables) -> DataFrame:
-    return planning.shard_report(planning.deal(_videos(t), 10), 10)
+    found = planning.shard_report(planning.deal(_videos(t), 10), 10)
+    return found.withColumn("imbalance", F.round("imbalance", 9)).withColumn("bound", F.round("bound", 9))
 
 
 @query("SELECT o_custkey AS video, count(*) AS frames FROM orders GROUP BY o_custkey")

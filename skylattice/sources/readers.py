@@ -18,9 +18,9 @@ SHOT_TRUTH = (
 
 
 def _stem(depth: int = 0) -> Column:
-    """File name without its ending, or the name of a folder above it."""
-    part = F.element_at(F.split(F.input_file_name(), "/"), -1 - depth)
-    return F.regexp_replace(part, r"\.[^.]*$", "") if depth == 0 else part
+    """File name without its ending, or the name of a folder above it, of which `column=value` gives the value."""
+    part = F.url_decode(F.replace(F.element_at(F.split(F.input_file_name(), "/"), -1 - depth), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(part, r"\.[^.]*$", "") if depth == 0 else F.regexp_replace(part, "^[^=]*=", "")
 
 
 def ocr_text(spark: SparkSession, path: str, field: str = "text_ascii_folded") -> DataFrame:
@@ -41,12 +41,12 @@ def shot_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OCR).json(path).where(F.col("shot_id").isNotNull()).select("video_id", "n", "shot_id")
 
 
-def frame_table(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of the frame CSVs and the video_id from the file's name; byte-order marks and blank lines are skipped.
+def frame_table(spark: SparkSession, path: str, depth: int = 0) -> DataFrame:
+    """All columns of the frame CSVs and the video_id from the file's name, or that of a folder above it (depth 1); byte-order marks and blank lines are skipped.
 
     The header is matched by name in each file, so column order may differ."""
     names = [c.split()[0] for c in FRAMES.split(", ")]
-    lines = spark.read.text(path, wholetext=True).select(_stem().alias("video_id"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
+    lines = spark.read.text(path, wholetext=True).select(_stem(depth).alias("video_id"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
     lines = lines.withColumn("lines", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""))
     table = lines.select("video_id", F.split(F.element_at("lines", 1), ",").alias("head"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("pos", "line")).withColumn("cells", F.split("line", ","))
     kinds = dict(c.split() for c in FRAMES.split(", "))
@@ -77,9 +77,10 @@ def shot_frames(frames: DataFrame) -> DataFrame:
     return rows.groupBy("video_id", "shot_id").agg(first.alias("f")).select("video_id", "shot_id", "f.start", "f.end")
 
 
-def object_records(spark: SparkSession, root: str) -> DataFrame:
-    """Detector records with keys from the path root/video/n.json."""
-    return spark.read.schema(OBJECTS).option("multiLine", True).json(f"{root}/*/*.json").withColumn("video_id", _stem(1)).withColumn("n", _stem().cast("int"))
+def object_records(spark: SparkSession, root: str, depth: int = 0) -> DataFrame:
+    """Detector records with keys from the path root/video/n.json, or from folders root/video/n/ (depth 1)."""
+    read = spark.read.schema(OBJECTS).option("multiLine", True).json(f"{root}/*/*" + ("/*" * depth if depth else ".json"))
+    return read.withColumn("video_id", _stem(depth + 1)).withColumn("n", _stem(depth).cast("int"))
 
 
 def object_text(records: DataFrame) -> DataFrame:
@@ -101,9 +102,9 @@ def speech(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("video_id", "s.start_ms", "s.end_ms", F.trim("s.text").alias("text")).where(F.col("text") != "")
 
 
-def query_files(spark: SparkSession, path: str) -> DataFrame:
+def query_files(spark: SparkSession, path: str, depth: int = 0) -> DataFrame:
     """queries(query_id, text, kind) from a folder of text files; empty ones are skipped."""
-    rows = spark.read.text(path, wholetext=True).select(_stem().alias("query_id"), squeezed(F.col("value")).alias("text")).where(F.col("text") != "")
+    rows = spark.read.text(path, wholetext=True).select(_stem(depth).alias("query_id"), squeezed(F.col("value")).alias("text")).where(F.col("text") != "")
     return rows.withColumn("kind", query_kind(F.col("query_id"), F.col("text")))
 
 
@@ -137,9 +138,9 @@ def image_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     return keyed.groupBy("video_id", "n").agg(F.min_by("path", "root").alias("path"))
 
 
-def submission_files(spark: SparkSession, path: str) -> DataFrame:
+def submission_files(spark: SparkSession, path: str, depth: int = 0) -> DataFrame:
     """(task_id, rank, video_id, frames, answer): numeric cells are frames, a last cell that isn't a number is an answer."""
-    rows = spark.read.text(path, wholetext=True).select(_stem().alias("task_id"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    rows = spark.read.text(path, wholetext=True).select(_stem(depth).alias("task_id"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
     quoted = F.regexp_extract("line", r'^[^"]*,"((?:[^"]|"")*)"\s*$', 1)
     bare = F.when(quoted != "", F.regexp_replace("line", r',"(?:[^"]|"")*"\s*$', "")).otherwise(F.col("line"))
     cells = F.transform(F.split(bare, ","), lambda x: F.trim(x))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,33 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def git_state(root: str) -> dict[str, str | None]:
+    """Branch and commit of a working copy, read from its files; null where there is none."""
+    git = Path(root) / ".git"
+    try:
+        head = (git / "HEAD").read_text().strip()
+    except OSError:
+        return {"branch": None, "commit": None}
+    if not head.startswith("ref: "):
+        return {"branch": None, "commit": head}
+    name = head[5:]
+    packed = (git / "packed-refs").read_text().splitlines() if (git / "packed-refs").exists() else []
+    commit = (git / name).read_text().strip() if (git / name).exists() else next((x.split()[0] for x in packed if x.endswith(" " + name)), None)
+    return {"branch": name.removeprefix("refs/heads/"), "commit": commit}
+
+
+def manifest(spark: SparkSession, artifacts: str, path: str, root: str) -> None:
+    """Every file of the artifacts with size and digest, and the state of the working copy, a JSON object a line."""
+    state = git_state(root)
+    provenance(spark, artifacts).select("*", F.lit(state["branch"]).alias("branch"), F.lit(state["commit"]).alias("commit")).write.mode("overwrite").json(path)
+
+
+def eval_report(tables: dict[str, DataFrame], path: str) -> None:
+    """Result tables of an evaluation by name, a JSON object for each row."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def verified(found: DataFrame, stated: DataFrame) -> DataFrame:
     """stated(path, sha256) with status: verified, not_applicable (nothing is stated) or unverifiable (no such file, or it differs)."""
     met = stated.join(found.select("path", F.col("sha256").alias("own")), "path", "left")

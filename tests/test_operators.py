@@ -193,19 +193,20 @@ def test_k_best(spark):
         assert tuples(k_best(pool(spark, [0, 1, 2], [[1, 1, 1]] * 2), 2, 3, min_gap=100), 2) == []
 
 
-def test_viterbi_equals_enumeration():
+def test_best_first_equals_enumeration():
     rng = random.Random(4)
     for _ in range(150):
         m, n, k, gap, lam = rng.randint(1, 8), rng.randint(1, 4), rng.randint(1, 6), rng.randint(1, 4), rng.choice([0, 0.25])
         fs = sorted(rng.sample(range(20), m))
         s = [[rng.randint(0, 2) for _ in fs] for _ in range(n)]
         every = [(sum(s[i][j] for i, j in enumerate(p)) - lam * (fs[p[-1]] - fs[p[0]]), tuple(fs[j] for j in p)) for p in itertools.combinations(range(m), n) if all(fs[b] - fs[a] >= gap for a, b in itertools.pairwise(p))]
-        assert sequence.list_viterbi(fs, s, k, gap, lam) == sorted(every, key=lambda e: (-e[0], e[1][::-1]))[:k]
+        assert sequence.k_best_tuples(fs, s, k, gap, lam) == sorted(every, key=lambda e: (-e[0], e[1][::-1]))[:k]
 
 
 def test_pacing_and_emit(spark):
-    t = spark.createDataFrame([(0, "A", 10, 25, 50, 2.0)], "query_id int, video_id string, f0 int, f1 int, f2 int, score double")
-    assert math.isclose(sequence.paced(t, 3, 0.1).first().score, 2.0 - 4.0)
+    t = spark.createDataFrame([(0, "A", 10, 25, 50, 2.0, 1), (0, "A", 10, 11, 12, 1.5, 2), (0, "A", 10, 15, 50, 2.0, 3)], "query_id int, video_id string, f0 int, f1 int, f2 int, score double, rank int")
+    got = sequence.paced(t, 3, 0.1).orderBy("rank").collect()
+    assert [r.f1 for r in got] == [11, 25, 15] and math.isclose(got[1].score, 2.0 - 4.0)
     p = spark.createDataFrame([(0, v, i, f, float(s)) for i, (v, f, s) in enumerate([("A", 10, 9), ("A", 20, 8), ("A", 30, 7), ("B", 40, 1), ("A", 10, 5)])], "query_id int, video_id string, row_id int, frame_idx int, s0 double")
     assert [r.video_id for r in sequence.emit(p, 1).orderBy("answer_rank").collect()] == ["A", "A", "A", "B"]
 
@@ -262,14 +263,31 @@ def test_bootstrap(spark):
     assert r.lo < r.mean < r.hi and r.wins == 60 and r.losses == 30
 
 
+def test_best_tuples_lead_the_k_best(spark):
+    rng = random.Random(8)
+    rows = [(0, v, f, *[float(rng.randint(0, 3)) for _ in range(3)]) for v in "ABCDE" for f in sorted(rng.sample(range(30), rng.randint(1, 9)))]
+    p = spark.createDataFrame(rows, "query_id int, video_id string, frame_idx int, s0 double, s1 double, s2 double")
+    for gap, pacing in ((1, 0.0), (4, 0.25)):
+        got = {r.video_id: (r.score, r.f0, r.f1, r.f2) for r in sequence.best_tuples(p, 3, gap, pacing).collect()}
+        assert got == {r.video_id: (r.score, r.f0, r.f1, r.f2) for r in sequence.k_best_by_joins(p, 3, 1, gap, pacing).collect()}
+
+
 def test_placement(spark):
     rng = np.random.default_rng(5)
-    for _ in range(40):
-        p, m, length = rng.integers(0, 5, rng.integers(1, 9)).astype(float), int(rng.integers(1, 4)), int(rng.integers(1, 5))
-        cover = lambda fs, p=p, length=length: sum(p[i] for i in range(len(p)) if any(f - (length - 1) // 2 <= i <= f + length // 2 for f in fs))
-        every = range(-5, len(p) + 5)
-        assert math.isclose(cover(coverage.place(p, m, length)), max(cover(c) for c in itertools.combinations(every, m)))
-    assert coverage.place(np.zeros(0), 2, 3) == []
+    cases = {c: rng.integers(0, 5, rng.integers(1, 9)).astype(float) for c in range(12)}
+    post = spark.createDataFrame([(c, i, float(w)) for c, p in cases.items() for i, w in enumerate(p)], "case_id int, frame int, weight double").cache()
+    for m, length in itertools.product((1, 2, 3), (1, 3, 4)):
+        found = {c: [] for c in cases}
+        for r in coverage.optimal_placement(post, m, length).collect():
+            found[r.case_id].append(r.frame)
+        for c, p in cases.items():
+            cover = lambda fs, p=p, length=length: sum(p[i] for i in range(len(p)) if any(f - (length - 1) // 2 <= i <= f + length // 2 for f in fs))
+            assert len(found[c]) <= m and math.isclose(cover(found[c]), max(cover(s) for s in itertools.combinations(range(-5, len(p) + 5), m)))
+    with pytest.raises(ValueError):
+        coverage.optimal_placement(post, 0, 3)
+    assert coverage.optimal_placement(post.where("weight < 0"), 2, 3).count() == 0
+    with pytest.raises(Exception, match="negative"):
+        coverage.optimal_placement(post.withColumn("weight", -F.col("weight")), 2, 3).collect()
     post = spark.createDataFrame([(1, i, 1.0) for i in range(20)], "case_id int, frame int, weight double")
     placed = spark.createDataFrame([(1, f) for f in (5, 10, 15, 19)], "case_id int, frame int")
     assert math.isclose(coverage.hit_probability(placed, post, 5).first().p, 0.85)
