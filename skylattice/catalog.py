@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import retrieval_queries, sequence_queries, text_queries
+from .plans import model_queries, retrieval_queries, sequence_queries, source_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval_queries.QUERIES | sequence_queries.QUERIES | text_queries.QUERIES
-ORACLES: dict[str, str] = retrieval_queries.ORACLES | sequence_queries.ORACLES | text_queries.ORACLES
+_MODULES = (retrieval_queries, sequence_queries, text_queries, source_queries, model_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: statement for m in _MODULES for name, statement in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals, lexical, nearest
-from ..sources.staging import staged
+from ..sources.staging import fresh_path, staged
 
 _built: dict[tuple, object] = {}
 
@@ -69,7 +69,7 @@ class Tables:
 
     def index(self, source: str) -> lexical.LexicalIndex:
         tables = {"ocr": ["documents"], "asr": ["conversations"], "object": ["part"]}[source]
-        return self.built(f"index-{source}", lambda: lexical.build(self.texts(source).select(F.col("row_id").alias("doc"), "text")), "embeddings", *tables)
+        return self.built(f"index-{source}", lambda: lexical.build(self.texts(source).select(F.col("row_id").alias("doc"), "text")).write(fresh_path(self.spark, f"index-{source}")), "embeddings", *tables)
 
     @property
     def visual(self) -> DataFrame:

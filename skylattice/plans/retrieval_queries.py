@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..operators import frame_index, fusion, lexical, nearest, pooling, rerank, sequence
-from ..sources.staging import staged
+from ..sources.staging import fresh_path, staged
 from . import hybrid
 from .binding import Tables, sql
 
@@ -89,7 +89,7 @@ def looks_unfolded(t: Tables) -> DataFrame:
 
 
 def _index(t: Tables) -> lexical.LexicalIndex:
-    return t.built("index-documents", lambda: lexical.build(t.documents.select(F.col("doc_id").alias("doc"), "text")), "documents")
+    return t.built("index-documents", lambda: lexical.build(t.documents.select(F.col("doc_id").alias("doc"), "text")).write(fresh_path(t.spark, "index-documents")), "documents")
 
 
 @query(sql("SELECT count(*) AS n, round(avg(len(toks)), 6) AS avgdl FROM docs", "docs"))
