@@ -37,14 +37,14 @@ class LetterEncoder:
 
 
 _COUNTS = "list_transform(string_split('abcdefgh', ''), lambda c: CAST(len(lower(text)) - len(replace(lower(text), c, '')) AS DOUBLE))"
-_L1 = "round(list_sum(list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12))), 4)"
+_L1 = "round(list_sum(list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-12))), 2)"
 
 
 @query(f"SELECT doc_id, {_L1} AS l1 FROM (SELECT doc_id, {_COUNTS} AS v FROM documents WHERE text IS NOT NULL)")
 def encode_texts(t: Tables) -> DataFrame:
     """Whole texts through an encoder."""
     out = models.encoded(t.documents.select("doc_id", "text"), "text", LetterEncoder, LetterEncoder.dim)
-    return out.select("doc_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("l1"))
+    return out.select("doc_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 2).alias("l1"))
 
 
 @query(f"SELECT key, {_L1} AS l1 FROM (SELECT left(sha1(text), 16) AS key, any_value({_COUNTS}) AS v FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE source = 'src0' AND text IS NOT NULL) GROUP BY text)")
@@ -52,7 +52,7 @@ def encode_missing(t: Tables) -> DataFrame:
     """Different texts that a cache filled by one source lacks go through the encoder."""
     keyed = t.documents.where("text is not null").select("source", text.cache_key(F.col("text")).alias("key"), "text")
     out = models.encode_missing(keyed, keyed.where("source = 'src0'").select("key").distinct(), LetterEncoder, LetterEncoder.dim)
-    return out.select("key", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("l1"))
+    return out.select("key", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 2).alias("l1"))
 
 
 @query(
