@@ -55,15 +55,9 @@ def op9_bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_topk(docs, asked).withColumn("score", F.round("score", 6))
 
 
-def op9_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: the benchmark passages whose item_id is divisible by 20, against all documents; words of a-z and 0-9 only, as in the SQL."""
-    asked = read(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
-    return search.bm25_topk(read(spark, sf_dir, "documents"), asked, cut=search.ascii_tokens).withColumn("score", F.round("score", 6))
-
-
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_neighbours(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_store, op4_chat_windows, op5_language, op6_quality, op7_mixing, op8_packing, op9_bm25_documents, op9_bm25_topk, op10_fingerprints)}
-ORACLES: dict[str, str] = {"op7_mixing": mixing.SQL, "op9_bm25_documents": search.DOCUMENTS_SQL, "op9_bm25_topk": search.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_store, op4_chat_windows, op5_language, op6_quality, op7_mixing, op8_packing, op9_bm25_documents, op10_fingerprints)}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.SQL, "op9_bm25_documents": search.SQL}

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from skylattice.llm import fingerprints as fp
 from skylattice.llm import search
@@ -11,18 +12,21 @@ from skylattice.llm import search
 
 def _bm25(rows, asked, k):
     docs = [(-(2**63) if d is None else d, search.tokens(t)) for d, t in rows]
+    merged = {}
+    for q, text in asked:
+        merged.setdefault(q, set()).update(search.tokens(text))
     n, mean = len(docs), sum(len(t) for _, t in docs) / len(docs)
     df = Counter(w for _, t in docs for w in set(t))
     out = []
-    for q, text in asked:
+    for q, terms in merged.items():
         scores = []
         for d, t in docs:
             tf = Counter(t)
-            s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in sorted(set(search.tokens(text))) if tf[w])
+            s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in sorted(terms) if tf[w])
             if s > 0:
                 scores.append((round(-s, 9), d))
-        out += [(q, i, d, round(-s, 6)) for i, (s, d) in enumerate(sorted(scores)[:k], 1)]
-    return sorted(out)
+        out += [(q, i, None if d == -(2**63) else d, round(-s, 6)) for i, (s, d) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=str)
 
 
 def test_search_equals_brute_force(spark, monkeypatch):
@@ -30,16 +34,56 @@ def test_search_equals_brute_force(spark, monkeypatch):
     words = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(rng.choices(words, weights=[1 / (j + 1) for j in range(300)], k=rng.randint(0, 60)))) for i in range(900)]
     rows += [(1000, rows[5][1]), (1001, rows[5][1]), (5, rows[5][1]), (None, "w1 w299"), (1002, None), (1003, ""), (1004, "w3 " * 30_000)]
-    asked = [(1, rows[5][1]), (2, "w0 w1 w2 w3"), (3, "unknown"), (4, ""), (5, None), (6, " ".join(words))]
+    asked = [(1, rows[5][1]), (2, "w0 w1 w2 w3"), (3, "unknown"), (4, ""), (5, None), (6, " ".join(words)), (7, "w5"), (7, "w5"), (7, "w6 w5"), (None, "w2"), (None, "w4 w7")]
+    asked += [(100 + i, " ".join(rng.choices(words, k=120))) for i in range(40)]
     docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, score int")
     queries = spark.createDataFrame(asked, "query_id long, text string")
-    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
-    got = sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in search.bm25_topk(docs.repartition(5), queries, 7).collect())
-    assert got == _bm25(rows, asked, 7)
+    want = _bm25(rows, asked, 7)
+    for terms, wand, together, chunk in ((10**6, 64, 256, 256), (700, 20, 7, 16), (10**6, 0, 16, 64)):
+        for name, value in (("PASS_TERMS", terms), ("WAND_TERMS", wand), ("TOGETHER", together), ("CHUNK", chunk), ("SHARD_TOKENS", 3000)):
+            monkeypatch.setattr(search, name, value)
+        got = [(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in search.bm25_topk(docs.repartition(5), queries, 7).collect()]
+        assert sorted(got, key=str) == want
     assert search.bm25_topk(docs.where("false"), queries).count() == 0
     assert search.bm25_topk(docs, queries.where("false")).count() == 0
 
 
+def test_shards_meet_queries_exactly(monkeypatch):
+    """Long and short queries against shards one after the other, for several sizes of blocks, against all scores."""
+    rng = np.random.default_rng(3)
+    weights = 1 / np.arange(1, 1501)
+    shards, every = [], []
+    for shard in range(3):
+        lengths = rng.integers(0, 90, 700)
+        words = rng.choice(1500, lengths.sum(), p=weights / weights.sum())
+        spelled, number = np.unique(words, return_inverse=True)
+        names = (np.arange(700) * 3 + shard).tolist()
+        rows = pa.Table.from_batches([search._shard_rows(shard, {f"w{w}": i for i, w in enumerate(spelled)}, number.astype(np.int64), lengths, names)])
+        shards.append(rows.append_column("ids", pa.array([[int(t[1:]) * 7 for t in ts] for ts in rows["terms"].to_pylist()], pa.list_(pa.int64()))))
+        every += [(name, words[hi - n : hi]) for name, n, hi in zip(names, lengths, np.cumsum(lengths), strict=True)]
+    mean = sum(len(w) for _, w in every) / len(every)
+    df = np.bincount(np.concatenate([np.unique(w) for _, w in every]), minlength=1500)
+    idf = np.log(1 + (len(every) - df + 0.5) / (df + 0.5))
+    part = np.zeros((len(every), 1500))
+    for i, (_, w) in enumerate(every):
+        tf = np.bincount(w, minlength=1500)
+        part[i] = np.where(tf, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean)), 0)
+    asked = [np.unique(rng.choice(1500, n, p=weights / weights.sum())) for n in rng.integers(1, 400, 60)]
+    queries = search._Pass(list(range(60)), np.concatenate([[0], np.cumsum([len(a) for a in asked])]), np.concatenate(asked).astype(np.int32), np.arange(1500) * 7, idf)
+    names = np.array([n for n, _ in every])
+    for wand, together, chunk, dense in ((64, 256, 256, 1 / 32), (20, 7, 16, 0.2), (0, 16, 64, 2.0), (0, 64, 32, 0.0)):
+        for name, value in (("WAND_TERMS", wand), ("TOGETHER", together), ("CHUNK", chunk), ("DENSE", dense)):
+            monkeypatch.setattr(search, name, value)
+        best = search._Best(60, 10)
+        for rows in shards:
+            search._Shard(rows, queries, mean).answer(queries, best)
+        for i, a in enumerate(asked):
+            score = np.round(part[:, a].sum(axis=1), 9)
+            order = [j for j in np.lexsort((names, -score))[:10] if score[j] > 0]
+            assert best.doc[i][best.score[i] > 0].tolist() == names[order].tolist()
+            assert np.allclose(best.score[i][best.score[i] > 0], score[order], atol=2e-9)
+
+
 def test_wand_skips_but_is_exact():
     rng = np.random.default_rng(7)
     names = rng.permutation(5000)
@@ -126,8 +170,8 @@ def test_whole_documents_are_queries(spark):
     rows = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
     asked = [r for r in rows if r[0] % 20 == 0]
     assert len(asked) == 10 and max(len(set(search.tokens(t))) for _, t in asked) > search.WAND_TERMS
-    got = sorted((r.query_id, r.rank, r.doc_id, round(r.score, 5)) for r in registry.QUERIES["op9_bm25_documents"](spark, sf).collect())
-    assert got == [(*r[:3], round(r[3], 5)) for r in _bm25(rows, asked, 10)]
+    got = sorted(((r.query_id, r.rank, r.doc_id, round(r.score, 5)) for r in registry.QUERIES["op9_bm25_documents"](spark, sf).collect()), key=str)
+    assert got == sorted([(*r[:3], round(r[3], 5)) for r in _bm25(rows, asked, 10)], key=str)
     assert {q for q, rank, d, _ in got if rank == 1 and rows[q][1] == dict(rows)[d]} == {q for q, _ in asked}
 
 
@@ -139,9 +183,9 @@ def test_long_queries_add_up(spark, monkeypatch):
     rows += [(1000 + i, rows[5][1]) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     queries = docs.where("doc_id % 20 = 0").selectExpr("doc_id as query_id", "text")
-    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(search, "PASS_TERMS", 300)
     monkeypatch.setattr(search, "WAND_TERMS", 15)
-    got = sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in search.bm25_topk(docs, queries, 7).collect())
+    got = sorted(((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in search.bm25_topk(docs, queries, 7).collect()), key=str)
     assert got == _bm25(rows, [r for r in rows if r[0] % 20 == 0], 7)
 
 
