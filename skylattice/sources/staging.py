@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -30,7 +31,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
     if app not in _written:
         _written[app] = (spark, [])
-        atexit.register(clear, spark)
+        atexit.register(_at_exit, spark)
     path = f"{shared_dir(spark)}/skylattice-staged/{app}/{name}-{uuid.uuid4().hex}"
     _written[app][1].append(path)
     return path
@@ -50,6 +51,11 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+        clear(spark)
+
+
 def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """One small file by name, wherever the path is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
