@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .chunk_encoder import chunk_encoder
+from .common import ship, slices
 
 BUDGET, HISTORY = 512, 128
 #: Marks of this template, and control strings of common ones; none survives unescaped in a text.
@@ -44,6 +45,7 @@ def parse(window: str) -> list[tuple[str, str, int, int]]:
 
 
 def estimated_tokens(formatted: str) -> int:
+    """UTF-8 bytes / 4, for want of a tokenizer."""
     return -(-len(formatted.encode("utf-8", "surrogatepass")) // 4)
 
 
@@ -69,10 +71,7 @@ class _Conversation:
     windows: int = 0
     seen: int = 0
 
-    def add(self, role: str, text: str) -> Iterator[dict]:
-        head = OPEN + escape_role(role) + CLOSE
-        formatted = head + escape(text) + END
-        tokens = estimated_tokens(formatted)
+    def add(self, role: str, head: str, formatted: str, tokens: int) -> Iterator[dict]:
         self.total += tokens
         turn = _Turn(formatted, len(head), self.total, tokens, role == self.learner)
         before = self.new[0].upto - self.new[0].tokens if self.new else 0
@@ -107,10 +106,26 @@ class _Conversation:
         return self.new[-1].upto
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, learner: str = "assistant") -> DataFrame:
+def _counter(tokenizer: str | None) -> Callable[[list[str], list[str]], list[int]]:
+    """Tokens of each turn, from its head and its escaped text: those of head, text and end, each by itself."""
+    if tokenizer is None:
+        return lambda heads, texts: [estimated_tokens(h + t + END) for h, t in zip(heads, texts, strict=True)]
+    encoder, known = chunk_encoder(tokenizer, True), {}
+
+    def count(heads: list[str], texts: list[str]) -> list[int]:
+        if len(known) > 10_000:
+            known.clear()
+        if new := [h for h in {*heads, END} if h not in known]:
+            known.update(zip(new, encoder.encode(new)[1].tolist(), strict=True))
+        return [known[h] + n + known[END] for h, n in zip(heads, encoder.encode(texts)[1].tolist(), strict=True)]
+
+    return count
+
+
+def format_windows(turns: DataFrame, tokenizer: str | None = None, budget: int = BUDGET, history: int = HISTORY, learner: str = "assistant") -> DataFrame:
     """Windows (see WINDOWS) of turns(conv_id, turn, role, text), in order within each conversation.
 
-    Prefix sums of the turns' estimated tokens end a window before the turn that would pass the budget; a
+    Prefix sums of the turns' tokens, counted by the tokenizer file (estimated without one), end a window before the turn that would pass the budget; a
     turn that does not fit with the system turn alone stands whole in a window with it. A window after the first
     repeats the system turn that opened the conversation and as many last turns as the history holds and
     leave room for the first new turn; `repeated` counts them, and the loss covers only the learner's texts among the others, so each is learned once.
@@ -122,13 +137,16 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Conversation | None = None
         out: list[dict] = []
-        for batch in batches:
-            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        count = _counter(tokenizer)
+        for part in (p for batch in batches for p in slices(batch, 2)):
+            roles, texts = [r or "" for r in part.column(1).to_pylist()], [escape(t or "") for t in part.column(2).to_pylist()]
+            heads = [OPEN + escape_role(r) + CLOSE for r in roles]
+            for conv, role, head, text, tokens in zip(part.column(0).to_pylist(), roles, heads, texts, count(heads, texts), strict=True):
                 if now is None or now.conv_id != conv:
                     if now is not None:
                         out.append(now.flush())
                     now = _Conversation(conv, budget, history, learner)
-                out += now.add(role or "", text or "")
+                out += now.add(role, head, head + text + END, tokens)
                 if len(out) >= 500:
                     yield pa.RecordBatch.from_pylist(out, _WINDOWS)
                     out = []
@@ -144,8 +162,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
 def read_back(windows: DataFrame) -> DataFrame:
     """What the windows say (see DIGEST), from their texts and masks alone.
 
-    Takes the output of format_windows, whose windows of a conversation follow each other in one partition."""
+    The windows may come from files in any order: they are dealt by conversation and sorted again."""
     ship(windows.sparkSession)
+    windows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state, out = None, None, []

@@ -11,6 +11,7 @@ as they are, for there the rules below aren't proven equal to its own.
 from __future__ import annotations
 
 import gc
+import json
 import re
 from itertools import repeat
 
@@ -26,6 +27,20 @@ _PRETOKEN = {
     False: re.compile(f"{_LETTER}+|{_SHORT}|{_NUMBER}|{_OTHER}+"),
     True: re.compile(rf" ?{_LETTER}+|{_SHORT}| ?{_NUMBER}+| ?{_OTHER}+|\s+(?!\S)|\s+"),
 }
+#: How the two kinds of vocabulary files normalise and cut (fixed values), for keep_blanks False and True; the rules here hold for them alone.
+_RULES = {
+    False: {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    },
+    True: {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+}
 _ENDS = frozenset(".,;:!?")
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
@@ -54,7 +69,9 @@ _STAND_IN = _byte_chars()
 
 class ChunkEncoder:
     """keep_blanks: the vocabulary has tokens for blanks (byte-level), so a piece
-    keeps the blank before it. limit: pieces in the memo before both memos start anew."""
+    keeps the blank before it. limit: pieces in the memo before both memos start anew.
+
+    A file with other rules than _RULES, or a model that draws at random, goes through the library text by text."""
 
     def __init__(self, path: str, keep_blanks: bool, limit: int = 600_000):
         from tokenizers import Tokenizer
@@ -62,6 +79,8 @@ class ChunkEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.keep_blanks, self.limit = keep_blanks, limit
+        said = json.loads(self.lib.to_str())
+        self.proven = all(said[k] == v for k, v in _RULES[keep_blanks].items()) and said["model"]["type"] == "BPE" and not said["model"]["dropout"] and not said["truncation"]
         self._reset()
 
     def _reset(self) -> None:
@@ -112,7 +131,7 @@ class ChunkEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """Keys of a text's pieces; None if the cut isn't safe."""
-        if not _plain(text) or self.keep_blanks and ("  " in text or "\n " in text):
+        if not self.proven or not _plain(text) or self.keep_blanks and ("  " in text or "\n " in text):
             return None
         parts = text.split(" ")
         if self.keep_blanks:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, fingerprints, html_text, language, mixing, near_dedup, packing, quality, search, token_store
-from .common import read, tokenizer_path
+from .common import read, tokenizer_path, written
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_probe(read(spark, sf_dir, "conversations"))
-    return chat.read_back(chat.format_windows(turns))
+    return chat.read_back(written(chat.format_windows(turns, tokenizer_path("byte_bpe_50k.json")), "chat-windows"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

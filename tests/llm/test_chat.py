@@ -48,6 +48,27 @@ def test_windows_keep_the_budget(spark):
     assert sum(w.n_turns - w.repeated for w in windows) == len(rows)
 
 
+def test_tokens_are_counted_by_the_library(spark):
+    """Windows of written files keep a budget of real tokens; turns are counted piece by piece."""
+    import pytest
+
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from skylattice.llm.common import written
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    turns = spark.createDataFrame(_rows(), "conv_id long, turn long, role string, text string, window int")
+    windows = written(chat.format_windows(turns, P.path("byte_bpe_50k.json"), budget=200, history=60).repartition(5), "test-windows")
+    for w in windows.collect():
+        parts = [(chat.OPEN + chat.escape_role(r) + chat.CLOSE, chat.escape(t)) for r, t, _, _ in chat.parse(w.text)]
+        total = sum(count(h) + count(t) + count(chat.END) for h, t in parts)
+        assert total <= 200 or w.n_turns - w.repeated == 1 and w.repeated <= 1
+    again = sorted(map(tuple, chat.read_back(windows).collect()), key=str)
+    assert [r[:5] for r in again] == [r[:5] for r in sorted(map(tuple, chat.read_back(chat.format_windows(turns)).collect()), key=str)]
+
+
 def test_probe_and_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_windows(empty)).count() == 0

@@ -90,3 +90,61 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, 3), (3, 9), (5, 5)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 141)) and got[9] == got[7] == 3
+
+
+def test_classes_of_a_whole_table(spark):
+    """The classes of all documents of sf0.01 against all pairs, with and without the estimate before texts are compared."""
+    from skylattice.llm.common import read
+
+    docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    raw = [(t or "").encode() for _, t in rows]
+    bags, weight = [nd.shingle_bag(r) for r in raw], [len(r.split()) for r in raw]
+    holders = {}
+    for i, bag in enumerate(bags):
+        for k in bag:
+            holders.setdefault(k, []).append(i)
+    label = list(range(len(rows)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    pairs = 0
+    for i, bag in enumerate(bags):
+        shared = Counter()
+        for k, n in bag.items():
+            for j in holders[k]:
+                if j < i:
+                    shared[j] += min(n, bags[j][k])
+        for j, both in shared.items():
+            if both / (sum(bag.values()) + sum(bags[j].values()) - both) >= nd.SIMILAR:
+                pairs += 1
+                label[top(i)] = top(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[top(i)] = min(least.get(top(i), d), d)
+    want = Counter((d, least[top(i)]) for i, (d, _) in enumerate(rows))
+    assert pairs > 50
+    for errors in (nd.ERRORS, None):
+        assert Counter((r.doc_id, r.class_id) for r in nd.near_classes(docs, errors=errors).collect()) == want
+
+
+def test_pairs_by_hashes_equal_pairs_by_words():
+    rng = random.Random(9)
+    pool = [f"w{i}" for i in range(40)]
+    texts = ["", "a", "a b", "a b c d e"] + [" ".join(rng.choices(pool, k=rng.randint(1, 60))) for _ in range(20)]
+    texts += [" ".join(_edit(t.split() or ["x"], 1, rng, pool)) for t in texts]
+    xs, ys = [x.encode() for x in texts for _ in texts], [y.encode() for _ in texts for y in texts]
+    for similar in (0.8, 0.5):
+        assert nd._alike_pairs(xs, ys, similar).tolist() == [nd.multiset_similarity(x, y) >= similar for x, y in zip(xs, ys, strict=True)]
+
+
+def test_one_bucket_of_very_many(spark):
+    """20,000 near copies of one text: no text stands in more than a bounded number of compared pairs, and all are one class."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[:60], f"x{i}", *base[61:]])) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = nd.near_classes(docs)
+    assert got.select("class_id").distinct().count() == 1

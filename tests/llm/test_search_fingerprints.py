@@ -209,3 +209,32 @@ def test_documents_equal_sql(spark):
     got = sorted(tuple(r) for r in registry.QUERIES["op9_bm25_documents"](spark, sf).select("query_id", "rank", "doc_id", "score").collect())
     assert [r[:3] for r in got] == [r[:3] for r in want]
     assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
+
+
+def test_features_and_likeness_against_a_plain_version():
+    """Which windows are features, what the chain holds and how alike two chains are, from their definitions."""
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abcdefgh ij\n") for _ in range(n)).encode() for n in (32, 33, 70, 400, 1500)]
+    rank = fp.rank_levels(fp.level_counts(texts))
+    for text, found in zip(texts, fp.features(texts, rank), strict=True):
+        x = np.frombuffer(text, np.uint8)
+        key = [(int(rank[level]), i) for i, level in enumerate(fp.entropy_levels(x))]
+        spans = max(len(key) - fp.SPAN, 0) + 1
+        wins = Counter(min(key[s : s + fp.SPAN])[1] for s in range(spans))
+        places = sorted(i for i, n in wins.items() if n >= min(fp.POPULAR, spans))
+        windows = list(dict.fromkeys(text[i : i + fp.WINDOW] for i in places))
+        assert len(found) == len(windows)
+        again = {}
+        for w, h in zip(windows, found.tolist(), strict=True):
+            assert again.setdefault(w, h) == h
+        bits = fp.chain(found)
+        for k in range(0, len(found), fp.PER_FILTER):
+            want = {(int(h) >> 11 * j) % fp.BITS for h in found[k : k + fp.PER_FILTER] for j in range(fp.HASHES)}
+            assert set(np.flatnonzero(np.unpackbits(bits[k // fp.PER_FILTER])).tolist()) == want
+    a, b = fp.fingerprint([texts[3].decode(), (texts[3][:300] + texts[4][:600]).decode()], rank)
+    row, others = np.unpackbits(a[0]).astype(int), [np.unpackbits(r).astype(int) for r in b]
+    best = 0.0
+    for o in others:
+        chance = row.sum() * o.sum() / fp.BITS
+        best = max(best, min(1.0, max(0.0, ((row & o).sum() - chance) / (min(row.sum(), o.sum()) - chance))))
+    assert len(a) == 1 and abs(fp.likeness(a, b) - best) < 1e-12

@@ -25,6 +25,20 @@ def test_memo_equals_library(name, blanks):
         assert (flat == np.concatenate(want)).all()
 
 
+def test_unknown_rules_go_through_the_library(tmp_path):
+    """A file whose pretokenizer or normaliser differs is never cut by the rules of another."""
+    import json
+
+    said = json.load(open(P.path("byte_bpe_50k.json")))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {}):
+        (tmp_path / "t.json").write_text(json.dumps(said | change))
+        e = ChunkEncoder(str(tmp_path / "t.json"), True)
+        assert e.proven == (not change)
+        texts = ["The Cat sat", "two  blanks", "x"]
+        assert (e.encode(texts)[0] == np.concatenate(e._direct(texts))).all()
+    assert not ChunkEncoder(P.path("word_bpe_49k.json"), True).proven and not ChunkEncoder(P.path("byte_bpe_50k.json"), False).proven
+
+
 def test_codes_random_access():
     rng = np.random.default_rng(2)
     for n, top in ((0, 2), (1, 2), (9, 300), (5000, 50_000), (3000, 1 << 32)):
@@ -84,6 +98,30 @@ def test_assign_covers_and_balances():
         assert len(by_seq) * 1024 - sum(lengths) < 1024
 
 
+def test_assign_takes_the_cheapest_sequence_with_room():
+    """Against a plain scan of all open sequences."""
+    rng = random.Random(4)
+    for _ in range(40):
+        lengths = [rng.choice([1, 7, 40, 90, 300, 512, 700, 1000]) for _ in range(rng.randint(1, 50))]
+        n_open = -(-sum(lengths) // 1024)
+        room, cost, want, late = [1024] * n_open, [0.0] * n_open, {}, []
+        for n, item in sorted((-n, i) for i, n in enumerate(lengths)):
+            n = -n
+            fit = [s for s in range(n_open) if room[s] >= n]
+            if not fit:
+                late.append(item)
+                continue
+            s = min(fit, key=lambda s: (cost[s], s))
+            want[item] = (s, 1024 - room[s])
+            room[s], cost[s] = room[s] - n, cost[s] + packing.LINEAR * n + packing.QUADRATIC * n * n
+        got = {}
+        for item, at, n, seq, offset in packing.assign(lengths):
+            got.setdefault(item, []).append((seq, offset))
+        assert {i: got[i][0] for i in want} == want and all(len(got[i]) == 1 for i in want)
+        for item in late:
+            assert len(got[item]) >= 1
+
+
 def test_pack(spark):
     got = packing.pack(_docs(spark).repartition(2), P.path("byte_bpe_50k.json")).collect()
     lib = ChunkEncoder(P.path("byte_bpe_50k.json"), True)
