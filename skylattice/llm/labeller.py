@@ -31,10 +31,11 @@ def _path(path: tuple[str, ...]) -> np.ndarray:
     return _path_vector[path]
 
 
-def vectors(page: list[Leaf]) -> np.ndarray:
-    """Tag-path and hashed-word vectors of a page's blocks, and a few plain measures."""
-    out = np.zeros((len(page), INPUT), np.float32)
-    for i, leaf in enumerate(page):
+def vectors(page: list[Leaf], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Tag-path and hashed-word vectors of a page's blocks lo to hi, and a few plain measures."""
+    some = page[lo:hi]
+    out = np.zeros((len(some), INPUT), np.float32)
+    for i, leaf in enumerate(some):
         words = leaf.text.split(" ")
         if len(_word_bucket) > 200_000:
             _word_bucket.clear()
@@ -48,7 +49,7 @@ def vectors(page: list[Leaf]) -> np.ndarray:
         out[i, PATH : PATH + WORDS] = np.bincount(at, minlength=WORDS) / np.sqrt(len(words))
         n = len(leaf.text)
         out[i, PATH + WORDS :] = [
-            np.log1p(len(words)) / 4, np.log1p(n) / 6, min(1, leaf.linked / n), leaf.text[-1] in ".!?…", leaf.text.count(",") * 8 / n, len(leaf.path) / 8, i / len(page), np.log1p(len(page)) / 5,
+            np.log1p(len(words)) / 4, np.log1p(n) / 6, min(1, leaf.linked / n), leaf.text[-1] in ".!?…", leaf.text.count(",") * 8 / n, len(leaf.path) / 8, (lo + i) / len(page), np.log1p(len(page)) / 5,
         ]
     return out
 
@@ -71,11 +72,11 @@ class Labeller:
             self.p[f"c{way}"] = bias
         self.p["o"], self.p["ob"] = draw(2 * HIDDEN, 1), np.zeros(1, np.float32)
 
-    def _run(self, way: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
-        """Hidden states along time; a padded step carries the state on."""
+    def _run(self, way: str, x: np.ndarray, mask: np.ndarray, keep: list | None, state: list | None = None) -> np.ndarray:
+        """Hidden states along time; a padded step carries the state on. `state` (h, c) is where to begin, and is set to where it ends."""
         n, length, _ = x.shape
         pre = x @ self.p[f"x{way}"] + self.p[f"c{way}"]
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out = np.zeros((n, length, HIDDEN), np.float32)
         for t in range(length) if way == "f" else range(length - 1, -1, -1):
             z = pre[:, t] + h @ self.p[f"h{way}"]
@@ -89,11 +90,24 @@ class Labeller:
                 keep.append((t, i, f, o, g, c, h, s, on))
             c, h = np.where(on, c2, c), np.where(on, o * s, h)
             out[:, t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def margins(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         return (np.concatenate([self._run("f", x, mask, None), self._run("b", x, mask, None)], axis=2) @ self.p["o"] + self.p["ob"])[..., 0]
 
+    def margins_of_long(self, page: list[Leaf], part: int) -> np.ndarray:
+        """Margins of one page's blocks, whose vectors are made and read a part at a time, on and back; the states go through all of it."""
+        n = len(page)
+        hidden, starts = np.zeros((n, 2 * HIDDEN), np.float32), list(range(0, n, part))
+        for k, way in enumerate("fb"):
+            state = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+            for lo in starts if way == "f" else starts[::-1]:
+                x = vectors(page, lo, lo + part)[None]
+                hidden[lo : lo + part, k * HIDDEN : (k + 1) * HIDDEN] = self._run(way, x, np.ones(x.shape[:2], bool), None, state)[0]
+        return (hidden @ self.p["o"] + self.p["ob"])[:, 0]
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         steps: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate([self._run(w, x, mask, steps[w]) for w in "fb"], axis=2)
@@ -130,11 +144,15 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def label(model: Labeller, pages: list[list[Leaf]], chunk: int = 4096) -> list[np.ndarray]:
     """True for the main blocks of each page. Pages of like length run together; one that is longer
-    than `chunk` blocks runs alone, still as one sequence."""
+    than `chunk` blocks runs alone, still as one sequence, but never as one array of vectors."""
     out = [np.zeros(len(p), bool) for p in pages]
     order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
     lo = 0
     while lo < len(order):
+        if len(pages[order[lo]]) > chunk:
+            out[order[lo]] = model.margins_of_long(pages[order[lo]], chunk) > 0
+            lo += 1
+            continue
         hi = lo + 1
         while hi < len(order) and (hi - lo + 1) * len(pages[order[hi]]) <= chunk:
             hi += 1
@@ -242,6 +260,9 @@ class _Author:
         if kind == "form":
             a, b = ("<form>", "</form>") if r.random() < 0.7 else self.named(_FORM, "div section form")
             return [a, f"<label>{self.say(1, 4, False)}</label><input>", f"<select><option>{self.say(1, 2, False)}<option>{self.say(1, 2, False)}</select>" if r.random() < 0.4 else "", f"<p>{self.say(3, 20)}</p>" if r.random() < 0.4 else "", f"<button>{self.say(1, 2, False)}</button>", b]
+        if kind == "hidden":
+            tag, how = r.choice("div div p section span ul".split()), r.choice(["hidden", 'style="display:none"', 'style="color:red; visibility: hidden"', 'class="x" hidden'])
+            return [f"<{tag} {how}>", self.say(2, 40) if r.random() < 0.5 or tag == "span" else f"<p>{self.say(2, 60)}</p>", f"</{tag}>"]
         if kind == "share":
             a, b = self.named(_SHARE, "div div ul p")
             return [a, *self.links(), b]
@@ -273,9 +294,9 @@ class _Author:
             pieces.append((body[at : at + n], True))
             at += n
             if at < len(body) and r.random() < 0.5:
-                pieces += [(self.other(r.choice(["ad", "ad", "share", "form", "notice", "side"])), False)]
+                pieces += [(self.other(r.choice(["ad", "ad", "share", "form", "notice", "side", "hidden"])), False)]
         pieces.append(([b], True))
-        back = some(["share"], 0.2) + some(["talk"], 0.4) + some(["side"], 0.4) + some(["ad", "form"], 0.25) + some(["bottom"], 0.8)
+        back = some(["share"], 0.2) + some(["talk"], 0.4) + some(["side"], 0.4) + some(["ad", "form"], 0.25) + some(["bottom"], 0.8) + some(["hidden"], 0.1)
         pieces += back + some(["notice"], 0.1)
         html = ""
         for lines, good in pieces:

@@ -41,6 +41,39 @@ def test_held_out_layouts():
     assert good / total > 0.97
 
 
+def test_hidden_text_goes():
+    body = "<p>The ship left the harbour early, as it did on most days, and nobody saw it go.</p>"
+    for how in ("hidden", 'style="display: none"', 'style="visibility:hidden"'):
+        page = f"<html><body><article><h1>A title</h1>{body}<div {how}><p>Some words that nobody is to see, and more of them.</p></div>{body}</article></body></html>"
+        assert "nobody is to see" not in html_text.main_text([page], trained())[0]
+
+
+def test_names_never_drawn(monkeypatch):
+    """Layouts whose parts have names that no training page has: tags, links and place must do."""
+    other = ["zq1", "kappa", "blk-7", "unit", "w-93", "lorem"]
+    drawn = _Author.named
+    monkeypatch.setattr(_Author, "named", lambda self, names, tags: drawn(self, other, tags))
+    author, good, total = _Author(321), 0, 0
+    for _ in range(120):
+        blocks, truth = author.page()
+        blocks = [type(b)(b.path, b.text.replace(GOOD, "").replace(BAD, ""), b.linked) for b in blocks]
+        keep = [k for k, b in enumerate(blocks) if b.text]
+        got = label(trained(), [[blocks[k] for k in keep]])[0]
+        good += sum(g == truth[k] for g, k in zip(got, keep, strict=True))
+        total += len(keep)
+    assert good / total > 0.85, good / total
+
+
+def test_long_pages_in_parts_equal_whole():
+    page = leaves("<article>" + "".join(f"<p>word {i}, and more of it.</p><ul><li><a>x{i}</a></ul>" for i in range(300)) + "</article>")
+    whole = label(trained(), [page])[0]
+    assert (label(trained(), [page], chunk=64)[0] == whole).all()
+    x, mask = padded([vectors(page)])
+    import numpy as np
+
+    assert np.allclose(trained().margins_of_long(page, 37), trained().margins(x, mask)[0], atol=1e-4)
+
+
 def test_gradients():
     import numpy as np
 
