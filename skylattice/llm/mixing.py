@@ -68,8 +68,8 @@ def decisions(slim: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
         g = goals.select(F.col("source").alias("g_source"), "part")
         return df.join(g, df["source"].eqNullSafe(g["g_source"])).drop("g_source")
 
-    # the first-level bin in which the part ends: the last that starts at or below it
-    coarse = goal(_below(slim, ["source"], "_b1")).where(F.col("before") <= F.col("part"))
+    # the first-level bin in which the part ends: the last that starts at or below it; without a part nothing comes once more, not even empty texts
+    coarse = goal(_below(slim, ["source"], "_b1")).where((F.col("part") > 0) & (F.col("before") <= F.col("part")))
     edge = coarse.groupBy("source").agg(F.max_by(F.struct("_b1", "before"), "_b1").alias("e")).select(F.col("source").alias("_source"), F.col("e._b1").alias("_e1"), F.col("e.before").alias("e_before"))
     inside = slim.join(edge, slim["source"].eqNullSafe(edge["_source"]) & (slim["_b1"] == edge["_e1"]))
     fine = goal(_below(inside, ["source", "e_before"], "_b2"))
@@ -97,6 +97,8 @@ def mix(docs: DataFrame, seed: int = 7, max_epochs: int = MAX_EPOCHS) -> DataFra
     target. The place of that cut comes from word sums of hash bins on two levels, so no source's
     rows are ever sorted or brought together; a bin (one of 16.7 million) is taken whole or not at all.
 
+    Sources meet in one task, a row each, with bins of theirs: thousands of sources are fine, not one for each document.
+
     Null text: size 0, taken 0. Null source: a source of its own, named last. Repeated rows share
     a hash and so the decision. Empty input: empty result. Other columns are ignored."""
     slim = _slim(docs, seed)

@@ -58,3 +58,30 @@ def test_language_stage_rejects_what_it_cannot_tell(spark):
     kept = {r.doc_id for r in pipe.identify_language(spark, held.select("doc_id", "text").unionByName(more), sf).select("doc_id").collect()}
     assert min(kept) >= 0
     assert held.count() - len(kept) <= 0.002 * held.count()
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing column names, empty tables: each stage as its docstring says."""
+    from pyspark.sql import functions as F
+
+    base = read(spark, SF, "documents")
+    some = [r.text for r in base.where("lang = 'en' and n_chars > 1500").orderBy("doc_id").limit(3).collect()]
+    rows = [(None, some[0], None, None, None), (900, None, "en", None, 0), (901, "", None, "src0", 0), (902, some[1], "en", "src0", 1), (902, some[1], "en", "src0", 1), (903, some[2] * 40, "en", None, 2), (None, some[0], None, None, None), (904, "12 !!", "de", "src1", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ["quality", "score", "d", "_draw", "node", "group", "row", "of", "doc", "_row", "_mix_source", "whole", "label", "n"]
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(clash)]).repartition(3)
+    first = pipe.identify_language(spark, docs, SF)
+    assert first.columns == docs.columns and Counter(r.doc_id for r in first.collect()) == {None: 2, 902: 2, 903: 1}
+    second = pipe.classify_quality(spark, first, SF)
+    assert second.columns == docs.columns and set(map(tuple, second.collect())) <= set(map(tuple, docs.collect()))
+    third = pipe.drop_near_duplicates(spark, docs, SF)
+    assert third.columns == docs.columns and Counter(r.doc_id for r in third.collect()) == {None: 1, 900: 1, 902: 1, 903: 1, 904: 1}
+    fourth = pipe.mix_sources(spark, docs, SF)
+    times = Counter(map(tuple, fourth.collect()))
+    whole = Counter(map(tuple, docs.collect()))
+    assert fourth.columns == docs.columns and set(times) <= set(whole) and all(times[r] % whole[r] == 0 and times[r] <= 3 * whole[r] for r in times)
+    fifth = pipe.pack_sequences(spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in fifth if r.start == 0) == Counter(r[0] for r in rows)
+    assert [r.doc_tokens for r in fifth if r.doc_id in (900, 901)] == [1, 1]
+    for _, stage in pipe.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0
