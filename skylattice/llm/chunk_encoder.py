@@ -78,6 +78,7 @@ class ChunkEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.model = self.lib.model
         self.keep_blanks, self.limit = keep_blanks, limit
         said = json.loads(self.lib.to_str())
         self.proven = all(said[k] == v for k, v in _RULES[keep_blanks].items()) and said["model"]["type"] == "BPE" and not said["model"]["dropout"] and not said["truncation"]
@@ -93,24 +94,29 @@ class ChunkEncoder:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pretoken(self, piece: str) -> tuple[int, ...]:
-        spelled = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_STAND_IN)
-        ids = tuple([t.id for t in self.lib.model.tokenize(spelled)])
-        self.known[piece] = ids
+        ids = self.known[piece] = tuple(self._tokenize(piece))
         return ids
 
+    def _tokenize(self, piece: str) -> list[int]:
+        if piece.isascii():  # a blank is all that is spelled otherwise in a word
+            spelled = "\u0120" + piece[1:] if piece[0] == " " and piece[1:].isalpha() else piece if piece.isalnum() else piece.translate(_STAND_IN)
+        else:
+            spelled = piece.encode().decode("latin-1").translate(_STAND_IN)
+        return [t.id for t in self.model.tokenize(spelled)]
+
     def _learn(self, keys: list[str]) -> None:
         gc.disable()  # its passes over the growing memo cost more than the learning
-        cut, known, new = _PRETOKEN[self.keep_blanks].findall, self.known, self._pretoken
+        cut, known, new, once = _PRETOKEN[self.keep_blanks].findall, self.known, self._pretoken, self._tokenize
         flat, sizes = [], []
         for k in keys:
             before = len(flat)
             # a key with a blank in front is the head of a text; see _pieces
             raw = (k[1:] if k[:1] == " " else " " + k) if self.keep_blanks else k.lower()
             bare = k if self.keep_blanks else raw
-            if bare.isalpha():  # one pretoken, with the blank before it
-                flat += known.get(raw) or new(raw)
+            if bare.isalpha():  # one pretoken, with the blank before it; the memo of pieces holds it
+                flat += once(raw)
             elif bare[-1:] in _ENDS and bare[:-1].isalpha():
-                flat += known.get(raw[:-1]) or new(raw[:-1])
+                flat += once(raw[:-1])
                 flat += known.get(raw[-1]) or new(raw[-1])
             else:
                 for piece in cut(raw):
