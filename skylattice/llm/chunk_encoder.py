@@ -73,7 +73,7 @@ class ChunkEncoder:
 
     A file with other rules than _RULES, or a model that draws at random, goes through the library text by text."""
 
-    def __init__(self, path: str, keep_blanks: bool, limit: int = 600_000):
+    def __init__(self, path: str, keep_blanks: bool, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -174,7 +174,7 @@ class ChunkEncoder:
         return flat, counts
 
 
-def chunk_encoder(path: str, keep_blanks: bool, limit: int = 600_000) -> ChunkEncoder:
+def chunk_encoder(path: str, keep_blanks: bool, limit: int = 1_000_000) -> ChunkEncoder:
     """One encoder for each worker process, kept between tasks."""
     key = (path, keep_blanks, limit)
     if key not in _loaded:
