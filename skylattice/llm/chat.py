@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_encoder import chunk_encoder
-from .common import ship, slices
+from .common import ship, slices, tidy
 
 BUDGET, HISTORY = 512, 128
 #: Marks of this template, and control strings of common ones; none survives unescaped in a text.
@@ -156,7 +156,7 @@ def format_windows(turns: DataFrame, tokenizer: str | None = None, budget: int =
             yield pa.RecordBatch.from_pylist(out, _WINDOWS)
 
     dealt = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    return dealt.select("conv_id", "role", "text").mapInArrow(tidy(run), WINDOWS)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def read_back(windows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    return windows.mapInArrow(run, DIGEST)
+    return windows.mapInArrow(tidy(run), DIGEST)
 
 
 PROBE = "</s>[INST] ok [/INST]"

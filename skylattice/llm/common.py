@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from ..sources.staging import fresh_path
 from ..sources.staging import staged as written
 
-__all__ = ["arrow_batches", "cuts", "fresh_path", "kept_rows", "read", "ship", "slices", "tokenizer_path", "written"]
+__all__ = ["arrow_batches", "cuts", "fresh_path", "kept_rows", "read", "release", "ship", "slices", "tidy", "tokenizer_path", "written"]
 ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 
@@ -79,6 +81,25 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = SLIC
         yield batch.slice(lo, hi - lo)
 
 
+def release() -> None:
+    """Give free memory of this worker back to the machine, for what runs beside and after it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only one C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and release() when a task's rows are through: workers outlive their tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def kept_rows(docs: DataFrame, good: Callable[[list[str | None]], list[bool]]) -> DataFrame:
     """The rows of docs, all columns, whose `text` is good; any other column may have any name and type.
 
@@ -86,7 +107,9 @@ def kept_rows(docs: DataFrame, good: Callable[[list[str | None]], list[bool]]) -
 
     def judge(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        return pa.array([g for part in slices(batch, 0) for g in good(part.column(0).to_pylist())], pa.bool_())
+        kept = pa.array([g for part in slices(batch, 0) for g in good(part.column(0).to_pylist())], pa.bool_())
+        release()
+        return kept
 
     ship(docs.sparkSession)
     return docs.where(F.arrow_udf(judge, "boolean")(F.col("text")))

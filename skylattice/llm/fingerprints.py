@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, ship, slices
+from .common import SLICE, ship, slices, tidy
 
 WINDOW = 32  # bytes of a feature
 SPAN = 32  # window positions that compete
@@ -204,7 +204,7 @@ def corpus_ranks(docs: DataFrame, column: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["level", "n"])
 
     counts = np.zeros(LEVELS + 1, np.int64)
-    for r in docs.select(column).mapInArrow(run, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(column).mapInArrow(tidy(run), "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
         counts[r["level"]] = r["n"]
     return rank_levels(counts)
 
@@ -289,4 +289,4 @@ def against_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 held += len(text or "")
 
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _in_order(docs, parts).mapInArrow(run, PAIRED)
+    return _in_order(docs, parts).mapInArrow(tidy(run), PAIRED)

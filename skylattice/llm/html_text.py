@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import leaves
-from .common import SLICE, ship, slices
+from .common import SLICE, ship, slices, tidy
 from .labeller import Labeller, label, trained
 
 TEXT = "page_id long, url string, text string, n_chars long"
@@ -33,4 +33,4 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
                 texts = [t.encode("utf-8", "replace").decode() for t in main_text(part.column(2).to_pylist(), model)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, TEXT)
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(run), TEXT)

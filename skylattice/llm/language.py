@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, cuts, ship, slices
+from .common import SLICE, cuts, ship, slices, tidy
 
 BUCKETS = 13  # bits of the hashed n-gram space
 ORDERS = (2, 3, 4)
@@ -209,7 +209,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.float32()))], ["lang", "d", "at", "share"])
 
     drawn = rows.where(place / 1_000_003.0 < share).groupBy("lang", "d").agg(F.min("text").alias("text")).select("lang", "text", "d")
-    table = drawn.mapInArrow(count, "lang string, d long, at array<int>, share array<float>").toArrow()
+    table = drawn.mapInArrow(tidy(count), "lang string, d long, at array<int>, share array<float>").toArrow()
     own, d = table["lang"].to_pylist(), table["d"].to_pylist()
     took: dict[str, int] = {}
     order = []
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     seen = docs.select(*keep, F.col("text").alias("_looked_at"))
-    return seen.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return seen.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")
 
 
 def held_out(folds: int, left: int):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, cuts, ship, slices, written
+from .common import SLICE, cuts, ship, slices, written, tidy
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -206,7 +206,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     ["doc_id", "node", "bands", "sketch", "weight"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, bands array<long>, sketch binary, weight long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, node long, bands array<long>, sketch binary, weight long")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.filter(kept)
 
     found = docs.select("doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("least")))
-    return found.select("node", "text").mapInArrow(run, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+    return found.select("node", "text").mapInArrow(tidy(run), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
     own = texts.select(F.col("node").alias("of"), F.col("text").alias("x"))
     hubs = pairs.select("to", "salt").distinct().join(texts.select(F.col("node").alias("to"), F.col("text").alias("y")), "to")
-    return pairs.join(own, "of").join(hubs, ["to", "salt"]).select("of", "to", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(own, "of").join(hubs, ["to", "salt"]).select("of", "to", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _block_groups(members: DataFrame, key: str, size: int, columns: list[str]) -> DataFrame:
@@ -319,7 +319,7 @@ def _likely(members: DataFrame, similar: float, errors: float | None) -> DataFra
         return node[edges[:, 0]], node[edges[:, 1]]
 
     dealt = _block_groups(members, "bucket", BLOCK, ["label", "sketch", "weight"])
-    return dealt.mapInArrow(lambda batches: _by_group(batches, "bucket", work), "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(lambda batches: _by_group(batches, "bucket", work)), "a long, b long").distinct()
 
 
 def _exact(members: DataFrame, similar: float) -> DataFrame:
@@ -360,7 +360,7 @@ def _exact(members: DataFrame, similar: float) -> DataFrame:
         return edges[:, 0], edges[:, 1]
 
     dealt = _block_groups(members, "cluster", TEXT_BLOCK, ["label", "text"])
-    return dealt.mapInArrow(lambda batches: _by_group(batches, "cluster", work), "a long, b long")
+    return dealt.mapInArrow(tidy(lambda batches: _by_group(batches, "cluster", work)), "a long, b long")
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR, errors: float | None = ERRORS) -> DataFrame:
@@ -425,5 +425,5 @@ def representatives(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([_node((t or "").encode("utf-8", "surrogatepass").split()) == n for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.bool_()))
 
-    one = found.mapInArrow(run, found.schema).groupBy("of", F.col("row.doc_id").alias("doc")).agg(F.first("row").alias("row"))
+    one = found.mapInArrow(tidy(run), found.schema).groupBy("of", F.col("row.doc_id").alias("doc")).agg(F.first("row").alias("row"))
     return first.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .chunk_encoder import chunk_encoder
-from .common import ship, slices
+from .common import ship, slices, tidy
 
 CAPACITY = 1024
 END_ID = 0
@@ -112,17 +112,18 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, keep_blanks: bool = True, capacity: int = CAPACITY, end_id: int = END_ID, group_tokens: int = 2_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, keep_blanks: bool = True, capacity: int = CAPACITY, end_id: int = END_ID, group_tokens: int = 2_000_000, memo: int = 1_000_000) -> DataFrame:
     """A row for each piece of each row of docs(doc_id, text); see PIECES.
 
     Each task packs what it scans, in groups of at least group_tokens (and the rest), so nothing is
     shuffled and a group's ids fit in memory; padding is below one sequence a group. The split of the input
     decides the groups: a task that is run again packs the same rows alike. Null text: empty (the end id alone).
-    Null and repeated doc_ids keep their rows; a document that occurs twice is packed twice."""
+    Null and repeated doc_ids keep their rows; a document that occurs twice is packed twice. `memo` is how many pieces of text a worker
+    remembers the ids of: fewer take less memory and more time, and give the same ids."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seq = chunk_encoder(tokenizer, keep_blanks), TaskContext.get().partitionId() << 32
+        encoder, seq = chunk_encoder(tokenizer, keep_blanks, memo), TaskContext.get().partitionId() << 32
         names: list[int | None] = []
         held: list[np.ndarray] = []
 
@@ -154,4 +155,4 @@ def pack(docs: DataFrame, tokenizer: str, keep_blanks: bool = True, capacity: in
         if names:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES)

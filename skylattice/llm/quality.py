@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, written
+from .common import ship, slices, written, tidy
 
 THRESHOLD = 0.3
 #: Labelled rows learned from, at most: those with the least hashes.
@@ -151,7 +151,7 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*part.schema.names[:-1], "stats"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").alias("_looked_at")).mapInArrow(run, f"{schema}, stats array<float>")
+    return docs.select(*keep, F.col("text").alias("_looked_at")).mapInArrow(tidy(run), f"{schema}, stats array<float>")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
@@ -191,4 +191,4 @@ def score(docs: DataFrame, model: Forest, keep: tuple[str, ...] = ("doc_id",), t
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*part.schema.names[:-1], "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").alias("_looked_at")).mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*keep, F.col("text").alias("_looked_at")).mapInArrow(tidy(run), f"{schema}, score double, predicted int")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunk_encoder import chunk_encoder
-from .common import fresh_path, ship, slices
+from .common import fresh_path, ship, slices, tidy
 
 MAGIC, RUN = b"SKDA", 512
 END_ID = 1
@@ -138,7 +138,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, keep_blanks: bool =
 
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("tokens", pa.int64()), ("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary())])
     ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(blocks, STORE).write.parquet(path)
+    ranged.mapInArrow(tidy(blocks), STORE).write.parquet(path)
 
 
 STORE = "shard int, block int, start long, tokens long, first_doc long, doc_ids array<long>, lengths array<long>, codes binary"
@@ -164,7 +164,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     pa.array([row["shard"]] * len(sums), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64()),
                 ], ["shard", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
-    docs = store.select("shard", "start", "doc_ids", "lengths", "codes").mapInArrow(documents, "shard int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    docs = store.select("shard", "start", "doc_ids", "lengths", "codes").mapInArrow(tidy(documents), "shard int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return docs.join(shards, F.col("shard") == F.col("of")).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
