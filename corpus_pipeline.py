@@ -13,6 +13,8 @@ from skylattice.llm.common import kept_rows, read, tokenizer_path, written
 
 #: A document goes if its language can't be told: its score must be this power of a guess's, half the way from a guess to certainty in logarithms.
 LEAST_LANGUAGE_POWER = 0.5
+#: Pieces of text that a worker remembers while it packs: five stages share its memory.
+MEMO = 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +67,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts are an end id alone; a text beyond a sequence is cut. Null doc_ids keep their rows. Ties in length go in order of
     the rows. An empty table has no pieces. Other columns than doc_id and text end here."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), memo=MEMO)
 
 
 STAGES = [
