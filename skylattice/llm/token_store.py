@@ -111,6 +111,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, keep_blanks: bool =
         names: list[int | None] = []
         lengths: list[int] = []
         parts: list[np.ndarray] = []
+        end = np.array([end_id], np.uint32)
         held = 0
 
         def flush() -> pa.RecordBatch:
@@ -129,7 +130,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, keep_blanks: bool =
                 for name, a, b in zip(part.column(0).to_pylist(), ends - counts, ends, strict=True):
                     names.append(name)
                     lengths.append(int(b - a) + 1)
-                    parts += [flat[a:b], np.array([end_id], np.uint32)]
+                    parts += [flat[a:b], end]
                     held += lengths[-1]
                     if held >= block_tokens:
                         yield flush()
@@ -156,12 +157,14 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                codes, lengths = Codes(row["codes"]), np.array(row["lengths"], np.int64)
+            shard, start, names, sizes, blobs = batch.columns
+            for i in range(batch.num_rows):
+                codes, lengths = Codes(blobs[i].as_py()), sizes[i].values.to_numpy()
                 ends = np.cumsum(lengths)
-                sums = [zlib.crc32(codes.span(a, b).astype("<u4").tobytes()) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+                raw = memoryview(codes.span(0, len(codes)).astype("<u4").tobytes())  # a block is of bounded size
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([row["shard"]] * len(sums), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64()),
+                    pa.array(np.full(len(sums), shard[i].as_py(), np.int32)), names[i].values, pa.array(start[i].as_py() + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64()),
                 ], ["shard", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
     docs = store.select("shard", "start", "doc_ids", "lengths", "codes").mapInArrow(tidy(documents), "shard int, doc_id long, inner long, n_tokens long, ids_crc32 long")
