@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, html_text, language, mixing, near_dedup, packing, quality, search, token_store
+from . import chat, fill_middle, fingerprints, html_text, language, mixing, near_dedup, packing, pieces, quality, search, spelling, token_store
 from .common import read, tokenizer_path, written
 
 
@@ -59,5 +59,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_neighbours(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_store, op4_chat_windows, op5_language, op6_quality, op7_mixing, op8_packing, op9_bm25_documents, op10_fingerprints)}
-ORACLES: dict[str, str] = {"op7_mixing": mixing.SQL, "op9_bm25_documents": search.SQL}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(read(spark, sf_dir, "documents"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_token_store, op4_chat_windows, op5_language, op6_quality, op7_mixing, op8_packing, op9_bm25_documents, op10_fingerprints, op11_fill_middle, op12_spelling, op13_pieces)}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.SQL, "op9_bm25_documents": search.SQL, "op11_fill_middle": fill_middle.SQL}
