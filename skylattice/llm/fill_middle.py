@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Units of a block.
-BLOCK = 128
+BLOCK = 256
 #: A unit is a code point.
 CODE_POINT = "."
 #: What stands before prefix, suffix and middle (fixed values).
@@ -41,16 +41,17 @@ def cut_offsets(cuts: DataFrame, unit: str = CODE_POINT) -> DataFrame:
     """(key, offsets): the code points before each cut, for every different key of cuts(key, text, ordinals array<long>).
 
     An ordinal asks for the place after so many units; 0 is the beginning. Equal keys have equal texts
-    and ordinals; repeated ones are looked at once. Only block rows, with the text of those that hold a cut, are shuffled.
+    and ordinals; repeated ones are looked at once, and go before they are shuffled. Only block rows, with the text of those that hold a cut, are shuffled.
     A key without an ordinal above 0 has no row."""
     asked = cuts.select("key", F.posexplode("ordinals").alias("which", "ordinal")).where("ordinal > 0")
-    asked = asked.select("key", "which", F.expr(f"(ordinal - 1) div {BLOCK}").alias("block"), ((F.col("ordinal") - 1) % BLOCK).alias("last")).distinct()
+    asked = asked.select("key", "which", F.expr(f"(ordinal - 1) div {BLOCK}").alias("within"), ((F.col("ordinal") - 1) % BLOCK).alias("last")).distinct()
     held = F.transform("ordinals", lambda o: F.floor((o - 1) / F.lit(BLOCK)))
     rows = cuts.select("key", held.alias("held"), F.posexplode(_blocks(F.col("text"), unit)).alias("block", "piece"))
     rows = rows.select("key", F.col("block").cast("long").alias("block"), F.length("piece").alias("chars"), F.when(F.array_contains("held", F.col("block").cast("long")), F.col("piece")).alias("piece")).distinct()
     before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.withColumn("before", F.coalesce(F.sum("chars").over(before), F.lit(0))).where(F.col("piece").isNotNull())
-    units = blocks.join(asked, ["key", "block"]).select("key", "which", "before", "last", F.posexplode(F.regexp_extract_all("piece", F.lit(_unit(unit)), F.lit(0))).alias("nth", "unit")).where("nth <= last")
+    met = blocks.join(asked, "key").where(F.col("block") - F.col("within") == 0)  # a key has as many of both as it has cuts; joined by it alone, blocks stay where they are
+    units = met.select("key", "which", "before", "last", F.posexplode(F.regexp_extract_all("piece", F.lit(_unit(unit)), F.lit(0))).alias("nth", "unit")).where("nth <= last")
     so_far = Window.partitionBy("key", "which").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     ends = units.withColumn("end", F.col("before") + F.sum(F.length("unit")).over(so_far)).where("nth = last")
     return ends.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("which", "end"))).alias("offsets"))  # as many as the key has ordinals
@@ -80,16 +81,19 @@ def fill_in_middle(docs: DataFrame, unit: str = CODE_POINT) -> DataFrame:
     rows = rows.withColumn("form", F.when((F.col("n") == 0) | marked | (h3 % 100 >= RATE), "plain").when(h4 % 100 < SUFFIX_FIRST, "spm").otherwise("psm"))
     one, two = h1 % (F.col("n") + 1), h2 % (F.col("n") + 1)
     offsets = cut_offsets(rows.where("form <> 'plain'").select("key", "text", F.array(F.least(one, two), F.greatest(one, two)).alias("ordinals")), unit)
-    placed = rows.join(offsets, "key", "left")
+    # by another spelling of the key the join has shuffles of its own, which can be split where one row repeats very often
+    offsets = offsets.select(F.hex("key").alias("of"), "offsets")
+    cut = rows.where("form <> 'plain'")
+    cut = cut.join(offsets, F.hex("key") == F.col("of"), "left")
     at = [F.coalesce(F.element_at("offsets", k), F.lit(0)).cast("long") for k in range(2)]
-    cut = placed.select("doc_id", "text", "n", "form", *[F.when(F.col("form") != "plain", c).alias(name) for name, c in (("prefix_chars", at[0]), ("middle_chars", at[1] - at[0]))])
+    cut = cut.select("doc_id", "text", "n", "form", at[0].alias("prefix_chars"), (at[1] - at[0]).alias("middle_chars"))
     p, m, text = F.col("prefix_chars").cast("int"), F.col("middle_chars").cast("int"), F.col("text")
     prefix, middle, suffix = text.substr(F.lit(1), p), text.substr(p + 1, m), text.substr(p + m + 1, F.length(text))
     spelled = {"psm": (PREFIX, prefix, SUFFIX, suffix, MIDDLE, middle), "spm": (SUFFIX, suffix, PREFIX, prefix, MIDDLE, middle)}
-    output = text
-    for form, parts in spelled.items():
-        output = F.when(F.col("form") == form, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise(output)
-    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", output.alias("output"))
+    psm, spm = (F.concat(*[F.lit(x) if isinstance(x, str) else x for x in spelled[form]]) for form in ("psm", "spm"))
+    made = cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.when(F.col("form") == "psm", psm).otherwise(spm).alias("output"))
+    none = F.lit(None).cast("long")
+    return made.unionByName(rows.where("form = 'plain'").select("doc_id", "n", "form", none.alias("prefix_chars"), none.alias("middle_chars"), F.col("text").alias("output")))
 
 
 def restored(output: Column, form: Column) -> Column:
