@@ -34,11 +34,25 @@ def test_any_text_equals_the_library(text):
 def test_long_texts_are_cut_at_words(monkeypatch):
     monkeypatch.setattr(pieces, "SLICE", 50)
     rng, p = random.Random(3), pieces.Pieces(MODEL)
-    for _ in range(100):
-        text = "".join(rng.choice(["the", " ", "  ", "quick", "\n", "é", "▁"]) for _ in range(200))
+    for k in range(100):
+        text = "".join(rng.choice(["the", " ", "  ", "quick", "\n", "é", "▁"] if k % 2 else ["the ", "of, ", "²., ", "a.b ", "\n"]) for _ in range(200))
         assert list(p.encode(text)[0]) == p.lib.encode(text)
 
 
+def test_other_vocabularies_are_cut_less(tmp_path):
+    """Pieces over letters and signs, or with a mark inside, are found: words are cut where that vocabulary allows."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    for more in (["a.", "a.b"], ["a▁b", "a▁"]):
+        model = pb.ModelProto.FromString(open(MODEL, "rb").read())
+        for k, piece in enumerate(more):
+            model.pieces.add(piece=piece, score=5.0 + k, type=1)
+        (tmp_path / "m.model").write_bytes(model.SerializeToString())
+        p = pieces.Pieces(str(tmp_path / "m.model"))
+        for text in ["a.b ca.b a b", "a a. b", "xa  b.a.b" * 40, *ODD]:
+            assert p.encode(text)[1] and list(p.encode(text)[0]) == p.lib.encode(text), text
+
+
 def test_difference_is_told_and_the_library_counts():
     p = pieces.Pieces(MODEL)
     real = p.word
