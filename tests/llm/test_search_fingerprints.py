@@ -39,8 +39,8 @@ def test_search_equals_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, score int")
     queries = spark.createDataFrame(asked, "query_id long, text string")
     want = _bm25(rows, asked, 7)
-    for terms, wand, together, chunk in ((10**6, 64, 256, 256), (700, 20, 7, 16), (10**6, 0, 16, 64)):
-        for name, value in (("PASS_TERMS", terms), ("WAND_TERMS", wand), ("TOGETHER", together), ("CHUNK", chunk), ("SHARD_TOKENS", 3000)):
+    for terms, places, together, chunk, shard in ((10**6, 10**6, 256, 256, 10**5), (700, 10**6, 7, 16, 40), (10**6, 100, 16, 64, 1)):
+        for name, value in (("PASS_TERMS", terms), ("PASS_PLACES", places), ("TOGETHER", together), ("CHUNK", chunk), ("SHARD_TOKENS", 3000), ("SHARD_DOCS", shard)):
             monkeypatch.setattr(search, name, value)
         got = [(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in search.bm25_topk(docs.repartition(5), queries, 7).collect()]
         assert sorted(got, key=str) == want
@@ -71,8 +71,8 @@ def test_shards_meet_queries_exactly(monkeypatch):
     asked = [np.unique(rng.choice(1500, n, p=weights / weights.sum())) for n in rng.integers(1, 400, 60)]
     queries = search._Pass(list(range(60)), np.concatenate([[0], np.cumsum([len(a) for a in asked])]), np.concatenate(asked).astype(np.int32), np.arange(1500) * 7, idf)
     names = np.array([n for n, _ in every])
-    for wand, together, chunk, dense in ((64, 256, 256, 1 / 32), (20, 7, 16, 0.2), (0, 16, 64, 2.0), (0, 64, 32, 0.0)):
-        for name, value in (("WAND_TERMS", wand), ("TOGETHER", together), ("CHUNK", chunk), ("DENSE", dense)):
+    for scores, together, chunk, dense in ((1 << 22, 256, 256, 1 / 32), (5000, 7, 16, 0.2), (1, 16, 64, 2.0), (1 << 22, 64, 32, 0.0)):
+        for name, value in (("SCORES", scores), ("TOGETHER", together), ("CHUNK", chunk), ("DENSE", dense)):
             monkeypatch.setattr(search, name, value)
         best = search._Best(60, 10)
         for rows in shards:
@@ -84,22 +84,46 @@ def test_shards_meet_queries_exactly(monkeypatch):
             assert np.allclose(best.score[i][best.score[i] > 0], score[order], atol=2e-9)
 
 
-def test_wand_skips_but_is_exact():
-    rng = np.random.default_rng(7)
-    names = rng.permutation(5000)
-    lists, scores = [], np.zeros(5000)
-    norm = rng.uniform(0.5, 2, 5000)
-    for i, weight in enumerate((4.0, 2.0, 0.3, 0.01)):
-        docs = np.sort(rng.choice(5000, (40, 300, 2500, 5000)[i], replace=False)).astype(np.int32)
-        counts = rng.integers(1, 6, len(docs)).astype(np.int32)
-        part = weight * counts * 2.5 / (counts + norm[docs])
-        starts = np.arange(0, len(docs), search.BLOCK)
-        ends = np.append(starts[1:], len(docs)) - 1
-        lists.append(search._List(i, docs, counts, docs[ends], np.maximum.reduceat(part, starts), weight, norm))
-        scores[docs] += part
-    got = search.block_max_wand(lists, 10, names)
-    want = sorted(zip(-scores, names, strict=True))[:10]
-    assert sorted((round(-s, 9), d) for s, d in got) == [(round(s, 9), int(d)) for s, d in want]
+def test_blocks_are_skipped_by_their_bounds(monkeypatch):
+    """A rare term's few documents lift the floor; blocks without them are never scored for that query."""
+    lengths = np.full(4096, 10)
+    words = np.concatenate([np.array([1] * 10 if d in (5, 70, 4000) else [0] * 10) for d in range(4096)])
+    rows = pa.Table.from_batches([search._shard_rows(0, {"common": 0, "rare": 1}, words, lengths, list(range(4096)))])
+    rows = rows.append_column("ids", pa.array([[{"common": 3, "rare": 9}.get(t) for t in ts] for ts in rows["terms"].to_pylist()], pa.list_(pa.int64())))
+    asked = search._Pass([1], np.array([0, 2]), np.array([0, 1], np.int32), np.array([3, 9]), np.array([0.01, 7.0]))
+    shard, best, entered = search._Shard(rows, asked, 10.0), search._Best(1, 3), []
+    real = np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **b: entered.append(x.shape) or real(x, *a, **b))
+    shard.answer(asked, best)
+    assert best.doc[0].tolist() == [5, 70, 4000] and len(entered) < 4
+
+
+def test_texts_without_terms(spark, monkeypatch):
+    """Alone in a table, in a partition or in a shard, they are documents of no tokens."""
+    nothing = [(1, ""), (2, None), (3, "!!!")]
+    queries = spark.createDataFrame([(1, "cat dog")], "query_id long, text string")
+    schema = "doc_id long, text string"
+    assert search.bm25_topk(spark.createDataFrame(nothing, schema), queries).count() == 0
+    rows = [*nothing, (4, "cat"), (5, "cat dog"), (6, "bird")]
+    for shard in (1, 2, 100):
+        monkeypatch.setattr(search, "SHARD_DOCS", shard)
+        for parts in (1, 6):
+            docs = spark.createDataFrame(rows, schema).repartitionByRange(parts, "doc_id")
+            got = [(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in search.bm25_topk(docs, queries).collect()]
+            assert sorted(got, key=str) == _bm25(rows, [(1, "cat dog")], 10)
+
+
+def test_many_short_texts_take_little_memory():
+    import tracemalloc
+
+    n = search.SHARD_DOCS
+    rows = pa.Table.from_batches([search._shard_rows(0, {"a": 0, "b": 1}, np.arange(n) % 2, np.ones(n, np.int64), list(range(n)))])
+    rows = rows.append_column("ids", pa.array([[{"a": 1, "b": 2}[t] for t in ts] for ts in rows["terms"].to_pylist()], pa.list_(pa.int64())))
+    asked = search._Pass(list(range(1000)), np.arange(1001), np.arange(1000, dtype=np.int32) % 2, np.array([1, 2]), np.array([0.5, 0.6]))
+    tracemalloc.start()
+    search._Shard(rows, asked, 1.0).answer(asked, search._Best(1000, 10))
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
 
 
 def test_entropy_and_features():
