@@ -71,17 +71,17 @@ class ChunkEncoder:
     """keep_blanks: the vocabulary has tokens for blanks (byte-level), so a piece
     keeps the blank before it. limit: pieces in the memo before both memos start anew.
 
-    A file with other rules than _RULES, or a model that draws at random, goes through the library text by text."""
+    Special strings in a text are found as the library finds them. A file with other rules than _RULES, or a model that draws at random, goes through the library text by text."""
 
     def __init__(self, path: str, keep_blanks: bool, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.model = self.lib.model
         self.keep_blanks, self.limit = keep_blanks, limit
         said = json.loads(self.lib.to_str())
-        self.proven = all(said[k] == v for k, v in _RULES[keep_blanks].items()) and said["model"]["type"] == "BPE" and not said["model"]["dropout"] and not said["truncation"]
+        marks = all("<|" in t["content"] for t in said["added_tokens"])  # texts that may hold one are not cut here
+        self.proven = marks and all(said[k] == v for k, v in _RULES[keep_blanks].items()) and said["model"]["type"] == "BPE" and not said["model"]["dropout"] and not said["truncation"]
         self._reset()
 
     def _reset(self) -> None:

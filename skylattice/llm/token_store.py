@@ -84,18 +84,41 @@ class Codes:
             pos = self._rank(level, pos)
         return value
 
+    def _ranks(self, level: int, pos: np.ndarray) -> np.ndarray:
+        """Set bits before each position: the directory's count of the run, and the ones of at most RUN bits behind it."""
+        _, bits, ranks = self.levels[level]
+        if not len(bits):
+            return np.zeros(len(pos), np.int64)
+        run = np.minimum(pos // RUN, len(ranks) - 1)
+        width = RUN // 8
+        at = run[:, None] * width + np.arange(width)  # the bytes of each position's run
+        keep = np.clip(pos[:, None] - 8 * at, 0, 8)
+        ones = _POP[bits[np.minimum(at, len(bits) - 1)] & ((1 << keep) - 1).astype(np.uint8)]
+        return ranks[run].astype(np.int64) + ones.sum(axis=1, dtype=np.int64)
+
+    def spans(self, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids between each of the ascending bounds and the next; a span's chunks are all that it touches.
+
+        The directories place all bounds on a level in one go."""
+        places = [np.asarray(bounds, np.int64)]
+        for level in range(len(self.levels) - 1):
+            places.append(self._ranks(level, places[-1]))
+        for k in range(len(bounds) - 1):
+            edges = [(int(p[k]), int(p[k + 1])) for p in places]
+            begin, end = edges[0]
+            out, where = self.levels[0][0][begin:end].astype(np.uint32), None
+            for level in range(1, len(self.levels)):
+                lo, hi = edges[level]
+                if lo == hi:
+                    break
+                above, up_to = edges[level - 1]
+                more = np.flatnonzero(np.unpackbits(self.levels[level - 1][1][above // 8 : -(-up_to // 8)], bitorder="little")[above % 8 :][: up_to - above])
+                where = more if where is None else where[more]
+                out[where] |= self.levels[level][0][lo:hi].astype(np.uint32) << np.uint32(8 * level)
+            yield out
+
     def span(self, begin: int, end: int) -> np.ndarray:
-        """ids begin to end; touches no chunk outside of the span."""
-        out = np.zeros(end - begin, np.uint32)
-        where = np.arange(end - begin)
-        for level, (chunks, bits, _) in enumerate(self.levels):
-            if end <= begin:
-                break
-            out[where] |= chunks[begin:end].astype(np.uint32) << np.uint32(8 * level)
-            more = np.unpackbits(bits[begin // 8 : -(-end // 8)], bitorder="little")[begin % 8 :][: end - begin].astype(bool)
-            where = where[more]
-            begin, end = self._rank(level, begin), self._rank(level, end)
-        return out
+        return next(self.spans(np.array([begin, end])))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, keep_blanks: bool = False, end_id: int = END_ID, block_tokens: int = 1 << 18) -> None:
@@ -103,7 +126,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, keep_blanks: bool =
 
     One shuffle, by ranges of doc_id; rows are sorted where they land, and a task holds one block at a
     time. Null text: empty (the end id alone). Null doc_id: before all others. Repeated doc_ids are kept,
-    in the order of their texts. Other columns are ignored; an empty table gives an empty store."""
+    in the order of their texts. A long text is a block by itself. Special strings in a text become the special ids that the library gives them; the end id
+    tells nothing apart from them, lengths do. Other columns are ignored; an empty table gives an empty store."""
     ship(docs.sparkSession)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +185,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 codes, lengths = Codes(blobs[i].as_py()), sizes[i].values.to_numpy()
                 ends = np.cumsum(lengths)
-                raw = memoryview(codes.span(0, len(codes)).astype("<u4").tobytes())  # a block is of bounded size
-                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+                sums = [zlib.crc32(ids.astype("<u4", copy=False)) for ids in codes.spans(np.append(0, ends))]  # each document by itself
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(sums), shard[i].as_py(), np.int32)), names[i].values, pa.array(start[i].as_py() + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64()),
                 ], ["shard", "doc_id", "inner", "n_tokens", "ids_crc32"])
