@@ -11,6 +11,7 @@ BLOCK = frozenset("""address article aside blockquote body button caption center
 frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot
 th thead tr ul""".split())
 UNSEEN = frozenset("head iframe math noembed noframes noscript object script style svg template title".split())
+FOREIGN = frozenset({"svg", "math"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag ends an open element of these names, if that is nearer than a container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -22,6 +23,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""(class|id|role|style|aria-label|itemprop|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PART = re.compile(r"[a-z]+|\d+")
+_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in UNSEEN}
 
 
 @dataclass
@@ -50,6 +52,7 @@ def leaves(page: str | None) -> list[Leaf]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
+    endless: set[str] = set()  # names without an end tag from here on, which is looked for once
     page = page or ""
 
     def end_block() -> None:
@@ -79,9 +82,12 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         name = m["name"].lower()
         if name in UNSEEN:
-            if not m["close"] and not (m["attrs"] or "").rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else (len(page) if name in ("script", "style", "template", "title") else at)
+            empty = name in FOREIGN and (m["attrs"] or "").rstrip().endswith("/")  # elsewhere the slash means nothing
+            if not m["close"] and not empty and name not in endless:
+                end = _END[name].search(page, at)
+                if end is None:
+                    endless.add(name)
+                at = end.end() if end else len(page) if name in ("script", "style", "template", "title") else at
         elif name == "br":
             add(" ")
         elif name == "a":

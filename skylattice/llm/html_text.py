@@ -23,7 +23,9 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) for every row of pages(page_id, url, html).
 
     Null or empty html, or a page without main blocks: an empty text. Null ids and urls, and repeated
-    rows, are passed on as they are. The whole page is one sequence, however long. Other columns are ignored."""
+    rows, are passed on as they are. The whole page is one sequence, however long. A script or style without an end goes on to the page's end; other
+    unseen elements without one are read as if their tag were not there; a slash at a tag's end closes svg and math alone. An empty table gives an empty
+    result. Other columns are ignored."""
     ship(pages.sparkSession)
     model = model or trained()
 

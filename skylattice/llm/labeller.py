@@ -188,6 +188,8 @@ class _Author:
         self.r = random.Random(seed)
         bits = "the an er on re th in ou le de en ch sch ung que os ci ar ment tion ha st ly é ö ñ ção ž".split()
         self.words = ["".join(self.r.choices(bits, k=self.r.randint(1, 4))) for _ in range(500)]
+        #: a page of bare divisions or table cells, which tell by their content alone; and what its paragraphs are
+        self.bare, self.leaf = False, "p"
 
     def say(self, lo: int, hi: int, stop: bool = True) -> str:
         n = self.r.randint(lo, hi)
@@ -202,6 +204,8 @@ class _Author:
 
     def named(self, names: list[str], tags: str) -> tuple[str, str]:
         tag, name, r = self.r.choice(tags.split()), self.r.choice(names), self.r.random()
+        if self.bare:
+            return "<div>", "</div>"
         plain = tag not in ("div", "section", "ul", "ol", "p", "span") and r < 0.6
         attr = "" if plain else f' id="{name}"' if r < 0.25 else f' class="{name}"' if r < 0.8 else f' class="{name} {self.r.choice(self.words)}"'
         return f"<{tag}{attr}>", f"</{tag}>"
@@ -209,20 +213,22 @@ class _Author:
     def links(self) -> list[str]:
         n = self.r.randint(2, 9)
         items = [f'<a href="/{self.r.choice(self.words)}">{self.say(1, 3, False)}</a>' for _ in range(n)]
+        if self.bare and self.r.random() < 0.6:
+            return [self.r.choice([" | ", " ", " · ", "<br>"]).join(items if self.r.random() < 0.7 else [self.say(1, 2, False) for _ in items])]
         return ["<ul>", *(f"<li>{i}</li>" for i in items), "</ul>"] if self.r.random() < 0.7 else items if self.r.random() < 0.5 else [f"<p>{' '.join(items)}</p>"]
 
     def prose(self, n: int) -> list[str]:
         out = []
         for _ in range(n):
-            r, long_ = self.r.random(), self.r.choice([3, 12, 60, 140])
-            if r < 0.72:
-                text = self.say(1, long_)
+            r, long_ = self.r.random(), self.r.choice([30, 60, 140] if self.bare else [3, 12, 60, 140])
+            if r < (0.85 if self.bare else 0.72):
+                text = self.say(7 if self.bare else 1, long_)
                 if self.r.random() < 0.2:
                     text = f"<b>{text}<br>" if self.r.random() < 0.5 else f"<em>{text}</em>"
                 if self.r.random() < 0.1:
                     text += f' <a href="#">{self.say(1, 4, False)}</a>'
-                out.append(f"<p>{text}" + ("</p>" if self.r.random() < 0.8 else ""))
-            elif r < 0.8:
+                out.append(f"<div>{text}</div>" if self.leaf == "div" else f"<p>{text}" + ("</p>" if self.r.random() < 0.8 else ""))
+            elif r < (0.93 if self.bare else 0.8):
                 out.append(f"<h{self.r.randint(2, 4)}>{self.say(1, 7, False)}</h3>")
             elif r < 0.87:
                 out += ["<ul>" if self.r.random() < 0.5 else "<ol>", *(f"<li>{self.say(2, 15)}</li>" for _ in range(self.r.randint(2, 5))), "</ul></ol>"]
@@ -246,6 +252,10 @@ class _Author:
             return [a, *([f"<h{r.randint(1, 2)}>{self.say(1, 4, False)}</h1>"] if r.random() < 0.6 else []), *([f"<p>{self.say(2, 8)}</p>"] if r.random() < 0.5 else []), *(self.other("menu") if r.random() < 0.4 else []), b]
         if kind == "bottom":
             a, b = self.named(_BOTTOM, "footer footer footer div")
+            if self.bare:
+                sign = r.choice(["&copy; ", "&copy; 2024 ", "Copyright 2023 ", "(c) 2019 "])
+                lines = [[sign + self.say(1, 5, r.random() < 0.3)], self.links(), [sign + self.say(1, 3, False) + " | " + " | ".join(self.say(1, 2, False) for _ in range(r.randint(1, 4)))]]
+                return [a, *r.choice(lines), b]
             inner = [f"&copy; {r.choice(self.words)}.example.com &middot; {self.say(2, 14)}"] if r.random() < 0.6 else [f"<p>{self.say(2, 16)}</p>"]
             return [a, *inner, *(self.links() if r.random() < 0.3 else []), b]
         if kind == "ad":
@@ -277,10 +287,17 @@ class _Author:
         """The blocks of a page, still marked, and the label of each of its blocks."""
         r = self.r
         pieces: list[tuple[list[str], bool]] = []
+        self.bare = r.random() < 0.3
+        self.leaf = r.choice(["div", "div", "p"]) if self.bare else "p"
+        cells = self.bare and r.random() < 0.4
         some = lambda kinds, p: [(self.other(k), False) for k in kinds if r.random() < p]
         front = some(["notice"], 0.25) + some(["top"], 0.4) + some(["menu"], 0.75) + some(["ad"], 0.45) + some(["form", "side"], 0.12)
+        if self.bare:
+            front = some(["top"], 0.3) + some(["menu"], 0.85)
         if r.random() < 0.5:
             r.shuffle(front)
+        if cells:
+            front = [(["<table><tr>"], False), *((["<td>", *lines, "</td>"], False) for lines, _ in front), (["</tr><tr><td>"] if r.random() < 0.5 else ["<td>"], False)]
         pieces += front
         a, b = self.named(_MAIN, "article article article main div div section")
         if r.random() < 0.2:
@@ -293,11 +310,17 @@ class _Author:
             n = r.randint(2, 12)
             pieces.append((body[at : at + n], True))
             at += n
-            if at < len(body) and r.random() < 0.5:
+            if at < len(body) and r.random() < 0.5 and not self.bare:
                 pieces += [(self.other(r.choice(["ad", "ad", "share", "form", "notice", "side", "hidden"])), False)]
         pieces.append(([b], True))
         back = some(["share"], 0.2) + some(["talk"], 0.4) + some(["side"], 0.4) + some(["ad", "form"], 0.25) + some(["bottom"], 0.8) + some(["hidden"], 0.1)
-        pieces += back + some(["notice"], 0.1)
+        if self.bare:
+            back = some(["share"], 0.15) + some(["bottom"], 0.85)
+            if cells:
+                back = [(["</td></tr>"], False), *((["<tr><td>", *lines, "</td></tr>"], False) for lines, _ in back), (["</table>"], False)]
+            pieces += back
+        else:
+            pieces += back + some(["notice"], 0.1)
         html = ""
         for lines, good in pieces:
             # marks tell later which piece a block came from; they are taken out before learning
