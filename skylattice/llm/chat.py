@@ -131,7 +131,8 @@ def format_windows(turns: DataFrame, tokenizer: str | None = None, budget: int =
     leave room for the first new turn; `repeated` counts them, and the loss covers only the learner's texts among the others, so each is learned once.
 
     A task holds one window at a time, however long a conversation is. Null text or role: empty. Null conv_id: one
-    conversation. Ties in turn: by role, then text. Repeated rows are turns of their own. Other columns are ignored."""
+    conversation. Ties in turn: by role, then text. Repeated rows are turns of their own. An empty table gives no windows. Other columns are ignored.
+    A conversation's windows follow each other, so it is one task's work whatever its length."""
     ship(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

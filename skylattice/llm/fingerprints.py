@@ -253,7 +253,8 @@ def against_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     replaced by as many first characters of the next.
 
     Null text: empty, with an empty fingerprint. Repeated doc_ids follow each other by text. A single row is
-    its own next. Texts below WINDOW bytes are one feature. Other columns are ignored."""
+    its own next. Texts below WINDOW bytes are one feature. A long text is looked at whole, in overlapping parts. An empty
+    table gives an empty result. Other columns are ignored."""
     spark = docs.sparkSession
     ship(spark)
     rank = corpus_ranks(docs)

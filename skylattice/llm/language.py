@@ -17,6 +17,8 @@ ORDERS = (2, 3, 4)
 UNDETERMINED = "und"
 #: Rows learned from, at most, for each language.
 SAMPLE = 600
+#: Languages that are learned at most; the driver holds 20 MB of sample for each.
+LANGUAGES = 24
 #: Families of common ISO 639-1 codes (fixed values); a code not listed belongs to the family "other".
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -181,8 +183,9 @@ def fit(shares: np.ndarray, langs: list[str]) -> Model:
     return Model(families, members, pairs, (w[:-1] * scale[:, None]).astype(np.float64), w[-1].astype(np.float64))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Model:
     """Fit on docs(doc_id, text, lang): at most `sample` different rows of each language, those with the least hashes of doc_id and text.
+    The `most` commonest languages are learned (ties by name): a table's other values of lang are junk, or too many for one driver.
 
     Rows with a null lang or without a letter teach nothing; null and repeated doc_ids do not matter, rows equal in doc_id, text and lang
     teach once. Other columns may have any names. n-gram shares are counted on the executors; the sample's sparse rows
@@ -190,7 +193,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     ship(docs.sparkSession)
     draw = F.xxhash64(F.lit("language"), F.col("doc_id"), F.col("text"))
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", draw.alias("d"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("d").alias("n")).collect()}
+    commonest = rows.groupBy("lang").agg(F.approx_count_distinct("d").alias("n"), F.count("*").alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(most)
+    sizes = {r["lang"]: r["n"] for r in commonest.collect()}
     if not sizes:
         return fit(np.zeros((0, (1 << BUCKETS) + 1), np.float32), [])
     share = F.create_map(*[v for lang, n in sizes.items() for v in (F.lit(lang), F.lit((1.25 * sample + 8) / max(1, n)))])[F.col("lang")]
@@ -229,7 +233,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of docs, lang_pred and score, for every row of docs; only `text` is looked at.
 
-    A null text or one without a letter, and any text if no language was learned: `und`, score 0."""
+    A null text or one without a letter, and any text if no language was learned: `und`, score 0. Equal margins: the family, then the language, that is
+    named first. A long text is looked at whole, alone in its slice; repeated rows get equal results, an empty table an empty one."""
     ship(docs.sparkSession)
     fields = docs.select(*keep).schema
 

@@ -100,7 +100,7 @@ def mix(docs: DataFrame, seed: int = 7, max_epochs: int = MAX_EPOCHS) -> DataFra
     Sources meet in one task, a row each, with bins of theirs: thousands of sources are fine, not one for each document.
 
     Null text: size 0, taken 0. Null source: a source of its own, named last. Repeated rows share
-    a hash and so the decision. Empty input: empty result. Other columns are ignored."""
+    a hash and so the decision. A long text counts whole, and is taken whole or not. Empty input: empty result. Other columns are ignored."""
     slim = _slim(docs, seed)
     by = decisions(slim, max_epochs)
     joined = slim.join(by, slim["source"].eqNullSafe(by["_source"]))

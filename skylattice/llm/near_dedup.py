@@ -375,7 +375,8 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, errors: float | None
     below the threshold a sketch may estimate a pair that is still compared by texts; None compares whatever shares a band.
 
     Null and empty texts are one node without links to others; null doc_ids join classes but do not name
-    them, unless there is no other. Texts below five words are alike only if equal. Other columns are ignored."""
+    them, unless there is no other. Texts below five words are alike only if equal. A long text is signed whole, by
+    the counts of its shingles. An empty table gives an empty result. Other columns are ignored."""
     signed = written(_signed(docs), "dedup-signed")
     distinct = written(signed.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("bands", "sketch", "weight")]), "dedup-nodes")
     members = distinct.select("node", F.explode("bands").alias("bucket"))

@@ -118,7 +118,8 @@ def pack(docs: DataFrame, tokenizer: str, keep_blanks: bool = True, capacity: in
     Each task packs what it scans, in groups of at least group_tokens (and the rest), so nothing is
     shuffled and a group's ids fit in memory; padding is below one sequence a group. The split of the input
     decides the groups: a task that is run again packs the same rows alike. Null text: empty (the end id alone).
-    Null and repeated doc_ids keep their rows; a document that occurs twice is packed twice. `memo` is how many pieces of text a worker
+    Null and repeated doc_ids keep their rows; a document that occurs twice is packed twice. Among documents of equal length the one scanned first goes first.
+    Special strings in a text become the special ids that the library gives them. A long text is a group by itself, cut into sequences; an empty table gives none. `memo` is how many pieces of text a worker
     remembers the ids of: fewer take less memory and more time, and give the same ids."""
     ship(docs.sparkSession)
 
