@@ -48,7 +48,7 @@ def rank_normalize(scores: DataFrame) -> DataFrame:
 NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {"z": z_normalize, "rank": rank_normalize}
 
 
-def _weight(weights: dict[str, float]) -> Column:
+def weight_of(weights: dict[str, float]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     return F.coalesce(table[F.col("source")], F.raise_error(F.concat(F.lit("no weight for source "), F.col("source"))).cast("double"))
 
@@ -59,7 +59,7 @@ def fuse(scores: DataFrame, weights: dict[str, float] = WEIGHTS, mode: str = "z"
     if mode not in NORMALIZERS:
         raise ValueError(f"unknown normalisation {mode!r}; known: {sorted(NORMALIZERS)}")
     used = scores.where(~F.col("source").isin([k for k, w in weights.items() if w == 0]))
-    return NORMALIZERS[mode](used).groupBy("query_id", "probe_idx", "row_id").agg(F.sum(_weight(weights) * F.col("z")).alias("s"))
+    return NORMALIZERS[mode](used).groupBy("query_id", "probe_idx", "row_id").agg(F.sum(weight_of(weights) * F.col("z")).alias("s"))
 
 
 def best_over_probes(fused: DataFrame) -> DataFrame:

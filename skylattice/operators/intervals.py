@@ -1,27 +1,43 @@
-"""Joins on time: ranges, as-of, and neighbours. Ranges meet through buckets of time, never by nested loops."""
+"""Joins on time: ranges, as-of, and neighbours. Ranges meet through dyadic intervals of time, never by nested loops."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 WINDOW_MS = 5000
 
 
+def _nodes(first: str, last: str, top: int) -> Column:
+    """The fewest dyadic intervals (level, at) that make up the cells first to last: at most two a level, none above `top`."""
+    whole = f"transform(IF(k = {top} AND s.l < s.r, sequence(s.l, s.r - 1), CAST(array() AS array<bigint>)), x -> named_struct('level', k, 'at', x))"
+    left = "IF(s.l < s.r AND s.l & 1 = 1, array(named_struct('level', k, 'at', s.l)), CAST(array() AS array<struct<level:int,at:bigint>>))"
+    right = "IF(s.l + (s.l & 1) < s.r AND s.r & 1 = 1, array(named_struct('level', k, 'at', s.r - 1)), CAST(array() AS array<struct<level:int,at:bigint>>))"
+    step = f"named_struct('l', shiftright(s.l + (s.l & 1), 1), 'r', shiftright(s.r - (s.r & 1), 1), 'n', IF(k = {top}, concat(s.n, {whole}), concat(s.n, {left}, {right})))"
+    begin = f"named_struct('l', {first}, 'r', {last} + 1, 'n', CAST(array() AS array<struct<level:int,at:bigint>>))"
+    return F.expr(f"aggregate(sequence(0, {top}), {begin}, (s, k) -> {step}, s -> s.n)")
+
+
 def overlap_join(points: DataFrame, spans: DataFrame, before: float, after: float | None = None, at: str = "ts_ms", key: str = "video_id") -> DataFrame:
     """Each point with the spans(key, start_ms, end_ms) that touch [at - before, at + after], both ends included.
 
-    A point is put in the buckets its window touches and a span in the buckets it touches; a pair is
-    kept in the bucket of the later of their starts alone, so no pair comes twice."""
+    Time is cut into cells as wide as a point's window, and cells are joined to dyadic intervals, two to the next level. A point looks into every level
+    above the one or two cells that it touches; a span stands in the few intervals that make it up, so a span of a day has some thirty copies and not
+    one a cell. Of the cells where a pair meets, that of the later of their starts alone counts, so no pair comes twice."""
     after = before if after is None else after
     width = int(max(1000, before + after))
-    lo, hi = F.col(at) - before, F.col(at) + after
     cell = lambda c: F.floor(c / width).cast("long")
-    p = points.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_cell", F.explode(F.sequence(cell(lo), cell(hi))))
-    s = spans.where("start_ms <= end_ms").withColumnRenamed(key, "_key").withColumn("_span", F.explode(F.sequence(cell(F.col("start_ms")), cell(F.col("end_ms")))))
-    met = p.join(s, (F.col(key) == F.col("_key")) & (F.col("_cell") == F.col("_span")))
+    some = spans.where("start_ms <= end_ms").withColumnRenamed(key, "_key").withColumn("_a", cell(F.col("start_ms"))).withColumn("_z", cell(F.col("end_ms")))
+    longest = some.agg(F.max(F.col("_z") - F.col("_a"))).first()[0]  # one number
+    top = max(0, (int(longest or 0) + 1).bit_length() - 1)
+    s = some.withColumn("_node", F.explode(_nodes("_a", "_z", top))).drop("_a", "_z")
+    p = points.withColumn("_lo", F.col(at) - before).withColumn("_hi", F.col(at) + after).withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    p = p.withColumn("_look", F.explode(F.expr(f"transform(sequence(0, {top}), k -> named_struct('level', k, 'at', shiftright(_cell, k)))")))
+    met = p.join(s, (F.col(key) == F.col("_key")) & (F.col("_look.level") == F.col("_node.level")) & (F.col("_look.at") == F.col("_node.at")))
     met = met.where((F.col("end_ms") >= F.col("_lo")) & (F.col("start_ms") <= F.col("_hi")) & (F.col("_cell") == cell(F.greatest(F.col("_lo"), F.col("start_ms").cast("double")))))
-    return met.drop("_lo", "_hi", "_cell", "_key", "_span")
+    return met.drop("_lo", "_hi", "_cell", "_key", "_look", "_node")
 
 
 def window_text(points: DataFrame, spans: DataFrame, before: float = WINDOW_MS, after: float | None = None, limit: int | None = None) -> DataFrame:
@@ -35,12 +51,19 @@ def window_text(points: DataFrame, spans: DataFrame, before: float = WINDOW_MS,
 def asof_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str | None = None) -> DataFrame:
     """Each point with the span of its key that starts last at or before it; null if that span has ended.
 
-    Points and spans are sorted together once; the last span seen is carried along, so nothing is multiplied."""
+    Points and spans are put in order together, by ranges of key and time, so a key of many rows is in many tasks. Within a range the last span
+    seen is carried along; what a range ends with, a row for each key in it, is carried to the ranges after it."""
     fields = [c for c in spans.columns if c != key]
-    p = points.select(key, F.col(at).cast("double").alias("_t"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_p"), F.lit(None).cast(spans.select(F.struct(*fields).alias("s")).schema["s"].dataType).alias("_s"))
-    s = spans.select(key, F.col(start).cast("double").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(points.select(F.struct(*points.columns).alias("p")).schema["p"].dataType).alias("_p"), F.struct(*fields).alias("_s"))
-    order = Window.partitionBy(key).orderBy("_t", "_kind", F.struct("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    out = p.unionByName(s).withColumn("_found", F.last("_s", ignorenulls=True).over(order)).where("_kind = 1")
+    p = points.select(F.col(key).alias("_k"), F.col(at).cast("double").alias("_t"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_p"), F.lit(None).cast(spans.select(F.struct(*fields).alias("s")).schema["s"].dataType).alias("_s"))
+    s = spans.select(F.col(key).alias("_k"), F.col(start).cast("double").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(points.select(F.struct(*points.columns).alias("p")).schema["p"].dataType).alias("_p"), F.struct(*fields).alias("_s"))
+    both = staged(p.unionByName(s).repartitionByRange("_k", "_t", "_kind").withColumn("_part", F.spark_partition_id()), "asof")
+    order = Window.partitionBy("_k", "_part").orderBy("_t", "_kind", F.struct("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.where("_kind = 0").groupBy("_k", "_part").agg(F.max_by("_s", F.struct("_t", "_s")).alias("_end"))
+    ranges = both.groupBy("_k", "_part").agg(F.count("*").alias("_n")).join(ends.select(F.col("_k").alias("_ek"), F.col("_part").alias("_ep"), "_end"), F.col("_k").eqNullSafe(F.col("_ek")) & (F.col("_part") == F.col("_ep")), "left")
+    earlier = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select(F.col("_k").alias("_ck"), F.col("_part").alias("_cp"), F.last("_end", ignorenulls=True).over(earlier).alias("_carried")).where(F.col("_carried").isNotNull())
+    out = both.withColumn("_found", F.last("_s", ignorenulls=True).over(order)).where("_kind = 1")
+    out = out.join(carried, F.col("_k").eqNullSafe(F.col("_ck")) & (F.col("_part") == F.col("_cp")), "left").withColumn("_found", F.coalesce("_found", "_carried"))
     found = F.col("_found") if end is None else F.when(F.col("_p")[at] <= F.col("_found")[end], F.col("_found"))
     return out.select("_p.*", found.alias("_f")).select(*points.columns, *[F.col("_f")[c].alias(c) for c in fields])
 

@@ -1,87 +1,152 @@
-"""BM25 over an inverted index in three tables."""
+"""BM25 over an inverted index whose postings stand in blocks of bounded size.
+
+Documents are dealt to buckets of some BLOCK_DOCS each; a token's postings of one bucket are a block, a row with the greatest count and
+the least length in it. A token that every document has is as many rows as there are buckets, so neither building nor searching brings it into
+one task, and the best score that a bucket can give a query is known before any of its postings is looked at."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokenize
-from ..sources.staging import blocks, staged
+from ..sources.staging import SMALL, fresh_path, staged
 
 #: k1 and b by source (fixed values).
 PARAMETERS = {"ocr": (0.6, 0.9), "asr": (1.5, 0.0), "object": (1.5, 0.75)}
 DEFAULT = (1.5, 0.75)
+BLOCK_DOCS = 1024
+#: Into so many parts each token is split where postings are shuffled; buckets that a query looks into before its floor is set anew.
+SALTS, STEPS = 32, (1, 8)
 
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # token, doc, tf
+    blocks: DataFrame  # token, bucket, n, most_tf, least_dl, entries: array of (doc, tf, dl)
     docs: DataFrame  # doc, dl
     terms: DataFrame  # token, df, idf
-    corpus: DataFrame  # n, avgdl: one row
-
-    def write(self, path: str) -> LexicalIndex:
-        """Postings bucketed by file order of token, so a search reads few row groups."""
-        spark = self.docs.sparkSession
-        self.postings.repartitionByRange("token").sortWithinPartitions("token", "doc").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("docs", "terms", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        return read_index(spark, path)
+    corpus: DataFrame  # n, avgdl, buckets: one row
 
 
 def read_index(spark, path: str) -> LexicalIndex:
-    return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "corpus")))
+    return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("blocks", "docs", "terms", "corpus")))
 
 
 def has_text(text: Column) -> Column:
     return F.trim(F.coalesce(text, F.lit(""))) != ""
 
 
-def build(docs: DataFrame, folded: bool = False) -> LexicalIndex:
-    """Index docs(doc, text): every row with text that isn't blank counts, even without tokens.
+def build(docs: DataFrame, path: str | None = None, folded: bool = False, block_docs: int = BLOCK_DOCS) -> LexicalIndex:
+    """Index docs(doc, text) in the folder path: every row with text that isn't blank counts, even without tokens.
 
-    Tokens are cut once, into a staged table that postings, lengths and statistics read; postings are staged too."""
+    Tokens are cut once, into a staged table; blocks are written once, in ranges of token and bucket, and terms are counted from them.
+    A search reads the row groups of its tokens."""
+    spark = docs.sparkSession
+    path = path or fresh_path(spark, "lexical-index")
     text = F.col("text") if folded else fold(F.col("text"))
-    tokens = staged(docs.where(has_text(F.col("text"))).select("doc", tokenize(text).alias("tokens")), "tokens")
-    lengths = tokens.select("doc", F.size("tokens").cast("long").alias("dl"))
-    postings = staged(tokens.select("doc", F.explode("tokens").alias("token")).groupBy("token", "doc").agg(F.count("*").alias("tf")), "postings")
-    corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    tokens = staged(docs.where(has_text(F.col("text"))).select("doc", tokenize(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("long")), "tokens")
+    tokens.select("doc", "dl").write.mode("overwrite").parquet(f"{path}/docs")
+    corpus = tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    corpus.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / block_docs)).cast("int")).write.mode("overwrite").parquet(f"{path}/corpus")
+    bucket = F.pmod(F.xxhash64("doc"), F.col("buckets")).cast("int")
+    each = tokens.crossJoin(F.broadcast(spark.read.parquet(f"{path}/corpus").select("buckets"))).select("doc", "dl", bucket.alias("bucket"), F.explode("tokens").alias("token"))
+    counted = each.groupBy("token", "bucket", "doc", "dl").agg(F.count("*").alias("tf"))
+    entries = F.collect_list(F.struct("doc", "tf", "dl"))  # a token in a bucket has at most its documents
+    blocks = counted.groupBy("token", "bucket").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), entries.alias("entries"))
+    blocks.repartitionByRange("token", "bucket").sortWithinPartitions("token", "bucket").write.mode("overwrite").parquet(f"{path}/blocks")
     n, df = F.col("n"), F.col("df")
-    terms = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))
-    terms = terms.select("token", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
-    return LexicalIndex(postings, lengths, terms, corpus)
+    terms = spark.read.parquet(f"{path}/blocks").groupBy("token").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(spark.read.parquet(f"{path}/corpus").select("n")))
+    terms.select("token", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf")).write.mode("overwrite").parquet(f"{path}/terms")
+    return read_index(spark, path)
+
+
+def _asked(index: LexicalIndex, probes: DataFrame, folded: bool) -> DataFrame:
+    """(query_id, probe_idx, token, idf): each known token of a probe once; staged, for it is small and read again."""
+    text = F.col("text") if folded else fold(F.col("text"))
+    tokens = probes.select("query_id", "probe_idx", F.explode(F.array_distinct(tokenize(text))).alias("token"))
+    return staged(tokens.join(index.terms, "token").select("query_id", "probe_idx", "token", "idf"), "asked-tokens")
+
+
+def _meet(asked: DataFrame, n_asked: int, blocks: DataFrame) -> DataFrame:
+    """Blocks with the tokens asked. Few go to every task, and blocks stay where they are; many are shuffled by token and a part of its buckets."""
+    if n_asked <= SMALL:
+        return blocks.join(F.broadcast(asked), "token")
+    salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return blocks.withColumn("salt", F.pmod("bucket", F.lit(SALTS))).join(salted, ["token", "salt"]).drop("salt")
+
+
+def _part(tf: Column, dl: Column, k1: float, b: float) -> Column:
+    length = F.when(F.col("avgdl") > 0, k1 * (1 - b + b * dl / F.col("avgdl"))).otherwise(0.0)
+    return F.col("idf") * tf * (k1 + 1) / (tf + length)
+
+
+def _scored(met: DataFrame, index: LexicalIndex, k1: float, b: float) -> DataFrame:
+    """(query_id, probe_idx, doc, score) of all postings in met blocks."""
+    hits = met.select("query_id", "probe_idx", "idf", F.explode("entries").alias("e")).crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    part = _part(F.col("e.tf"), F.col("e.dl"), k1, b)
+    return hits.select("query_id", "probe_idx", F.col("e.doc").alias("doc"), part.alias("part")).groupBy("query_id", "probe_idx", "doc").agg(F.sum("part").alias("score"))
 
 
 def search(index: LexicalIndex, probes: DataFrame, k1: float = DEFAULT[0], b: float = DEFAULT[1], folded: bool = False) -> DataFrame:
     """(query_id, probe_idx, doc, score) of the documents that share a token with a probe; each token of a probe counts once."""
-    text = F.col("text") if folded else fold(F.col("text"))
-    asked = probes.select("query_id", "probe_idx", F.explode(F.array_distinct(tokenize(text))).alias("token"))
-    hits = asked.join(index.terms, "token").join(index.postings, "token").join(index.docs, "doc").crossJoin(F.broadcast(index.corpus.select("avgdl")))
-    length = F.when(F.col("avgdl") > 0, k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).otherwise(0.0)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + length)
-    return hits.groupBy("query_id", "probe_idx", "doc").agg(F.sum(part).alias("score"))
+    asked = _asked(index, probes, folded)
+    return _scored(_meet(asked, asked.count(), index.blocks), index, k1, b)
+
+
+def search_top(index: LexicalIndex, probes: DataFrame, k: int, k1: float = DEFAULT[0], b: float = DEFAULT[1], digits: int = 9, folded: bool = False) -> DataFrame:
+    """(query_id, doc, score, rank): best_hits of search, of scores to `digits` decimals, without looking into buckets that cannot matter.
+
+    A bucket's bound for a probe sums up its tokens' greatest scores there. A probe looks into the bucket of its greatest bound,
+    then into the next best ones; with each step its k-th best score so far is a floor, and what is bounded below it goes. One query has one probe here."""
+    asked = _asked(index, probes, folded)
+    n_asked = asked.count()
+    slim = _meet(asked, n_asked, index.blocks.drop("entries")).crossJoin(F.broadcast(index.corpus.select("avgdl", "buckets")))
+    probe = ["query_id", "probe_idx"]
+    bounds = staged(slim.groupBy(*probe, "bucket").agg(F.sum(_part(F.col("most_tf"), F.col("least_dl"), k1, b)).alias("bound"), F.first("buckets").alias("buckets")), "bucket-bounds")
+    order = Window.partitionBy(*probe).orderBy(F.col("bound").desc(), "bucket")
+    left = bounds.withColumn("nth", F.row_number().over(order))
+    found, floors, seen = None, None, 0
+
+    def scores(some: DataFrame) -> DataFrame:
+        met = _meet(asked, n_asked, index.blocks).join(some.select(*probe, "bucket"), [*probe, "bucket"], "left_semi")
+        return best_hits(_scored(met, index, k1, b).withColumn("score", F.round("score", digits)), k).drop("rank")
+
+    for step in STEPS if bounds.where(F.col("buckets") > STEPS[-1]).limit(1).count() else ():
+        some = left.where(F.col("nth").between(seen + 1, step))
+        if floors is not None:
+            some = some.join(floors, probe, "left").where(F.col("floor").isNull() | (F.col("bound") + 1e-6 >= F.col("floor")))
+        got = scores(some)
+        found = staged(best_hits(got if found is None else got.unionByName(found), k).drop("rank"), "best-so-far")
+        floors = found.groupBy(*probe).agg(F.count("*").alias("held"), F.min("score").alias("floor")).where(F.col("held") >= k).select(*probe, "floor")
+        seen = step
+    rest = left.where(F.col("nth") > seen)
+    if floors is not None:
+        rest = rest.join(floors, probe, "left").where(F.col("floor").isNull() | (F.col("bound") + 1e-6 >= F.col("floor")))
+    got = scores(rest)
+    return best_hits(got if found is None else got.unionByName(found), k)
 
 
 def best_hits(hits: DataFrame, k: int) -> DataFrame:
     """Per query the k best by score, ties by the document's name as text."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc").cast("string"))
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def text_source(frames: DataFrame, texts: DataFrame, probes: DataFrame, source: str, k1: float | None = None, b: float | None = None, index: LexicalIndex | None = None) -> DataFrame:
-    """Scores of every frame for every probe from texts(row_id, text), or from an index of them that is there already.
+@dataclass(frozen=True)
+class Sparse:
+    """A source by its hits(query_id, probe_idx, row_id, score), scores above zero, and the rows(row_id) that it covers."""
+
+    hits: DataFrame
+    covered: DataFrame
+
+
+def text_source(texts: DataFrame | None, probes: DataFrame, source: str, k1: float | None = None, b: float | None = None, index: LexicalIndex | None = None) -> Sparse:
+    """What texts(row_id, text) of frames, or an index of them that is there already, say to the probes; matrix.ScoreMatrix spells it out.
 
-    Frames without text are not covered; a blank probe scores zero and leaves coverage as it is."""
+    Frames without text are not covered; a blank probe has no hits and leaves coverage as it is."""
     own = PARAMETERS.get(source, DEFAULT)
     index = index or build(texts.select(F.col("row_id").alias("doc"), "text"))
     hits = search(index, probes, own[0] if k1 is None else k1, own[1] if b is None else b)
-    with_text = index.docs.select(F.col("doc").alias("row_id"), F.lit(True).alias("covered"))
-    rows = frames.select("row_id").join(with_text, "row_id", "left")
-    every = reduce(DataFrame.unionByName, [rows.crossJoin(b) for b in blocks(probes.select("query_id", "probe_idx"), ["query_id", "probe_idx"])])
-    out = every.join(hits.withColumnRenamed("doc", "row_id"), ["query_id", "probe_idx", "row_id"], "left")
-    return out.select("query_id", "probe_idx", F.lit(source).alias("source"), "row_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("covered", F.lit(False)).alias("covered"))
+    return Sparse(hits.withColumnRenamed("doc", "row_id"), index.docs.select(F.col("doc").alias("row_id")))

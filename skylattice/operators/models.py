@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+from ..sources.versions import Versions
+from .frame_index import pending
+
 #: Characters of context that a reader sees, and of an answer that it may give (fixed values).
 OCR_CHARS, SPEECH_CHARS, ANSWER_CHARS = 300, 400, 120
 #: Sides of a crop in pixels: the least that is looked at, and the greatest that a model gets (fixed values).
@@ -59,6 +63,30 @@ def encoded(rows: DataFrame, column: str, load: Callable[[], Encoder], dim: int,
     return rows.select(*kept, column).mapInPandas(run, f"{schema}, `{vector}` array<float>")
 
 
+def shard_stats(vector: str = "vector", number: str = "n") -> dict[str, Column]:
+    """What is noted of a video's stored vectors, for frame_index.pending: their number, that of their frames, their dimensions, whether all are finite."""
+    finite = F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return {"vectors": F.count(vector), "ids": F.count(number), "dim": F.max(F.size(vector)), "finite": F.min(finite.cast("int")).cast("boolean")}
+
+
+def encode_pending(frames: DataFrame, store: Versions, column: str, load: Callable[[], Encoder], dim: int, group_rows: int = 1_000_000, batch: int = 64, groups: int | None = None) -> int:
+    """Encode what frames(video_id, n, column) has and the store lacks, a group of videos of about group_rows rows at a time. How many groups.
+
+    A group is a version of the store: it is there with its marker or not at all. So a run that is killed goes on with the videos that are not
+    whole when it is started again, and a video that is done again replaces itself. `groups` is the most that this run does."""
+    expected = frames.groupBy("video_id").agg(F.count(column).alias("frames")).where("frames > 0")
+    held = store.units()
+    todo = staged(pending(expected, held) if "vectors" in held.columns else expected, "pending-videos")
+    parts = -(-(todo.agg(F.sum("frames")).first()[0] or 0) // group_rows)
+    done = 0
+    for i in range(min(parts, parts if groups is None else groups)):
+        some = todo.where(F.pmod(F.xxhash64("video_id"), F.lit(parts)) == i).select("video_id")
+        if not some.isEmpty():
+            store.append(encoded(frames.select("video_id", "n", column).join(some, "video_id", "left_semi"), column, load, dim, batch))
+            done += 1
+    return done
+
+
 def encode_missing(texts: DataFrame, cache: DataFrame, load: Callable[[], Encoder], dim: int) -> DataFrame:
     """(key, vector) of the different texts(key, text) that cache(key, vector) lacks."""
     return encoded(texts.select("key", "text").dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti"), "text", load, dim)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import BOX_LEAST, box_area
-from ..functions.vectors import dot
-from ..sources.staging import blocks
+from . import nearest
 from .fusion import fuse
 
 #: Weights of the stages, rows a model looks at, crops a frame (fixed values).
@@ -31,10 +34,20 @@ def crops(objects: DataFrame, rows: DataFrame, classes: list[str] | None = None,
 
 
 def crop_source(crop_vectors: DataFrame, probes: DataFrame) -> DataFrame:
-    """The best crop of each row, even if all are negative; rows without crops are absent, that is, not covered."""
-    each = blocks(probes.select("query_id", "probe_idx", "vector"), ["query_id", "probe_idx"])
-    pairs = reduce(DataFrame.unionByName, [crop_vectors.crossJoin(b) for b in each])
-    return pairs.groupBy("query_id", "probe_idx", "row_id").agg(F.max(dot(F.col("vec"), F.col("vector"))).alias("score")).withColumn("source", F.lit("crop")).withColumn("covered", F.lit(True))
+    """The best crop of each row, even if all are negative; rows without crops are absent, that is, not covered.
+
+    Products of crops(row_id, vec) and a block of probes at a time; a slice of crops gives a row for each frame and probe, not for each crop."""
+
+    def best(part: pa.RecordBatch, asked: nearest.Probes) -> Iterator[pa.RecordBatch]:
+        rows, at = np.unique(part.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+        most = np.full((len(rows), len(asked)), -np.inf)
+        np.maximum.at(most, at, nearest.matrix(part.column(1), asked.vectors.shape[1]) @ asked.vectors.T)
+        probe = np.tile(np.arange(len(asked)), len(rows))
+        yield pa.RecordBatch.from_arrays([*asked.columns(probe), pa.array(np.repeat(rows, len(asked))), pa.array(most.ravel())], ["query_id", "probe_idx", "row_id", "score"])
+
+    schema = "query_id long, probe_idx int, row_id long, score double"
+    each = [nearest.over_batches(crop_vectors, block, ["row_id", "vec"], best, schema) for block in nearest.probe_blocks(probes)] or [crop_vectors.sparkSession.createDataFrame([], schema)]
+    return reduce(DataFrame.unionByName, each).groupBy("query_id", "probe_idx", "row_id").agg(F.max("score").alias("score")).withColumn("source", F.lit("crop")).withColumn("covered", F.lit(True))
 
 
 def shortlist(base: DataFrame, k: int = SHORTLIST) -> DataFrame:
@@ -59,6 +72,55 @@ def model_scores(inputs: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series],
     return out.withColumn("source", F.lit(source)).withColumn("covered", F.lit(True))
 
 
+class TokenModel(Protocol):
+    def tokens(self, text: str) -> list[int]:
+        """The ids that a string is made of."""
+
+    def logits(self, jobs: list[dict]) -> np.ndarray:
+        """For each job (its columns by name) the scores of all tokens that may come next."""
+
+
+def token_share(yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """exp(yes) / (exp(yes) + exp(no)), which no size of either can overflow."""
+    apart = np.asarray(yes, np.float64) - np.asarray(no, np.float64)
+    small = np.exp(-np.abs(apart))
+    return np.where(apart >= 0, 1.0, small) / (1.0 + small)
+
+
+def token_scores(inputs: DataFrame, load: Callable[[], TokenModel], batch: int = 8, yes: str = "1", no: str = "0", source: str = "vlm") -> DataFrame:
+    """Scores of inputs(query_id, probe_idx, row_id, seq, ...), for instance a text and an image or its path: of the two tokens
+    by which a model may answer, the share of `yes`.
+
+    Nothing is generated, so scores are continuous and repeat. A model that spells one of the two by several tokens is an error. A batch that fails is absence:
+    its rows have no score and the others keep theirs, as do rows whose share is no number. Of rows that come twice the last by `seq` counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, at = None, []
+        for b in batches:
+            for lo in range(0, b.num_rows, batch):
+                if model is None:
+                    model = load()
+                    at = [model.tokens(x) for x in (yes, no)]
+                    if any(len(ids) != 1 for ids in at):
+                        raise ValueError(f"{yes!r} and {no!r} must be a token each")
+                part = b.slice(lo, batch)
+                try:
+                    found = np.asarray(model.logits(part.to_pylist()), np.float64)
+                    share = token_share(found[:, at[0][0]], found[:, at[1][0]])
+                    if len(share) != part.num_rows:
+                        raise ValueError(f"{len(share)} scores for {part.num_rows} rows")
+                except Exception as failed:
+                    print(f"a batch of {part.num_rows} rows has no scores: {failed!r}", file=sys.stderr)
+                    continue
+                keep = pa.array(np.isfinite(share))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)).filter(keep) for c in key), pa.array(share[np.isfinite(share)])], [*key, "score"])
+
+    key = ["query_id", "probe_idx", "row_id", "seq"]
+    rows = inputs.select(F.col("query_id").cast("long").alias("query_id"), F.col("probe_idx").cast("int").alias("probe_idx"), F.col("row_id").cast("long").alias("row_id"), F.col("seq").cast("long").alias("seq"), *[c for c in inputs.columns if c not in key])
+    out = rows.mapInArrow(run, "query_id long, probe_idx int, row_id long, seq long, score double")
+    return out.groupBy(*key[:3]).agg(F.max_by("score", F.struct("seq", "score")).alias("score")).withColumn("source", F.lit(source)).withColumn("covered", F.lit(True))
+
+
 def combine(base: DataFrame, extra: DataFrame, weights: dict[str, float] = STAGE_WEIGHTS) -> DataFrame:
     """Base scores of all frames and extra scores of some, each normalised over what it covers, weighted and summed.
 

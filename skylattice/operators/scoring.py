@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import BUDGET, CUTS
 from ..functions.text import answer_matches, shot_parts
 
+
 def r_score(kind: Column, video: Column, frames: Column, answer: Column, gt_video: Column, windows: Column, accepted: Column, matches: Callable[[Column, Column], Column] = answer_matches) -> Column:
     """1 or 0 for one frame (and a matching answer, if one is asked for); hits over windows for sequences.
 
@@ -22,6 +26,15 @@ def r_score(kind: Column, video: Column, frames: Column, answer: Column, gt_vide
     )
 
 
+def graded(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """(query_id, rank, r) of a submission's answers(query_id, rank, video_id, frames, answer), against truth(query_id, kind, video_id, windows, accepted).
+
+    Answers to questions that nobody asked do not count; recall_table gives zeros to queries of the truth that have none."""
+    known = truth.select("query_id", "kind", F.col("video_id").alias("gt"), "windows", "accepted")
+    r = r_score(F.col("kind"), F.col("video_id"), F.col("frames"), F.col("answer"), F.col("gt"), F.col("windows"), F.col("accepted"))
+    return answers.join(known, "query_id").select("query_id", "rank", r.alias("r"))
+
+
 def recall_table(graded: DataFrame, queries: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """Per query of queries(query_id): r_{k} for each cut, final, best, best_rank, ranking_loss, from graded(query_id, rank, r).
 
@@ -59,17 +72,34 @@ def jitter_expectation(answers: DataFrame, windows: DataFrame, length: int) -> D
     return rank.groupBy("query_id").agg(F.avg(final).alias("final"))
 
 
+#: A draw of 16 bits stands for as many copies of a query as it passes of these: the distribution of Poisson(1) (fixed values).
+COPIES = (24109, 48219, 60273, 64291, 65296, 65497, 65531)
+
+
+def copies(seed: int, query_id, rounds: int) -> np.ndarray:
+    """How often a query comes in each round. A digest of seed, query and number tells eight rounds, so any engine draws alike."""
+    digests = b"".join(md5(f"{seed}:{query_id}:{k}".encode()).digest() for k in range(-(-rounds // 8)))
+    return np.searchsorted(COPIES, np.frombuffer(digests, ">u2")[:rounds], "right")
+
+
 def bootstrap_difference(pairs: DataFrame, rounds: int = 4000, seed: int = 0) -> DataFrame:
     """mean, 2.5 and 97.5 percentiles of the mean, wins and losses of pairs(query_id, delta), by `arm`.
 
-    Draw i of round r is the query that a digest of seed, r and i points to, so rounds are rows like any other and any engine draws
-    alike. An arm's queries are numbered (a query set is small whatever the corpus); `rounds` means an arm meet in the end."""
-    numbered = pairs.withColumn("at", F.row_number().over(Window.partitionBy("arm").orderBy("query_id")) - 1)
-    sizes = numbered.groupBy("arm").agg(F.count("*").alias("n"), F.avg("delta").alias("mean"), F.sum((F.col("delta") > 0).cast("long")).alias("wins"), F.sum((F.col("delta") < 0).cast("long")).alias("losses"))
-    each = sizes.select("arm", "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r")).select("arm", "n", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("i").cast("string")))
-    drawn = each.select("arm", "r", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n")).alias("at"))
-    means = drawn.join(numbered.select("arm", "at", "delta"), ["arm", "at"]).groupBy("arm", "r").agg(F.avg("delta").alias("m"))
+    Each query comes in each round a number of times of its own (the Poisson bootstrap), so nobody has to know the others: a task adds the weights of
+    its queries up as arrays, a place for each round, and sends one row an arm. A round without any query has no mean."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for arm, query, delta in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w = copies(seed, query, rounds)
+                sums.setdefault(arm, np.zeros((2, rounds)))
+                sums[arm] += w, w * delta
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([x[i].tolist() for x in sums.values()], pa.list_(pa.float64())) for i in (0, 1))], ["arm", "weights", "totals"])
+
+    sizes = pairs.groupBy("arm").agg(F.avg("delta").alias("mean"), F.sum((F.col("delta") > 0).cast("long")).alias("wins"), F.sum((F.col("delta") < 0).cast("long")).alias("losses"))
+    parts = pairs.where("delta is not null").select(F.col("arm").cast("string").alias("arm"), F.col("query_id").cast("string").alias("query_id"), F.col("delta").cast("double").alias("delta")).mapInArrow(run, "arm string, weights array<double>, totals array<double>")
+    means = parts.select("arm", F.posexplode(F.arrays_zip("weights", "totals")).alias("r", "x")).groupBy("arm", "r").agg((F.sum("x.totals") / F.nullif(F.sum("x.weights"), F.lit(0.0))).alias("m"))
     ends = means.groupBy("arm").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     return sizes.join(ends, "arm").select("arm", "mean", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "wins", "losses")
 

@@ -10,9 +10,11 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 _GROUP = ["query_id", "video_id"]
 
 
@@ -36,6 +38,57 @@ def best_paths(cells: DataFrame, n: int, penalty: float = 0.0, by: list[str] = _
     return now.where(F.col("_dp").isNotNull()).groupBy(*by).agg(end.alias("e")).select(*by, "e.score", "e.path")
 
 
+def best_paths_in_chunks(cells: DataFrame, n: int, penalty: float = 0.0, by: list[str] = _GROUP) -> DataFrame:
+    """best_paths where one group may be larger than a task: its rows are put in order by ranges, and each range is a chunk of its time.
+
+    A chunk's transfer matrix says for every i < j what the best rows for the events i to j - 1 within it earn. Matrices multiply in (max, +), so
+    folding a group's chunks in order gives its best path; a group meets in one task as a matrix a chunk, n (n + 1) / 2 short paths each.
+    Scores are summed up by chunks, so they can differ from best_paths in the last digit; ties are broken alike."""
+    if penalty < 0 or n < 1:
+        raise ValueError("n must be positive and penalty not negative")
+    scores = [f"s{i}" for i in range(n)]
+    start = cells.groupBy(*by).agg(F.min("ts_ms").alias("_start"))
+    placed = cells.select(*by, "row_id", "ts_ms", *scores).repartitionByRange(*by, "ts_ms", "row_id").withColumn("_part", F.spark_partition_id().cast("long"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    placed = staged(placed, "chunks").join(start.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_start"), same)
+    order = Window.partitionBy(*by, "_part").orderBy("ts_ms", "row_id")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    # a later row wins a tie, but of the last event the first
+    now = placed.withColumn("_t", (F.col("ts_ms") - F.col("_start")) / 1000.0 * penalty).withColumn("_at", F.col("_part") * (1 << 32) + F.row_number().over(order))
+    cell = lambda score, key, path: F.struct(score.alias("score"), key.alias("key"), path.alias("path"))
+    worth, place = [], []
+    for i in range(n):
+        w = F.col(f"s{i}").cast("double")
+        w = w + F.col("_t") if i == 0 and n > 1 else w
+        worth.append(w - F.col("_t") if i == n - 1 and n > 1 else w)
+        place.append(F.array(-F.col("_at") if i == n - 1 else F.col("_at")))
+    for i in range(n):
+        now = now.withColumn("_cur", F.when(worth[i].isNotNull(), cell(worth[i], place[i], F.array("row_id")))).withColumn(f"_m{i}_{i + 1}", F.col("_cur"))
+        for j in range(i + 1, n):
+            now = now.withColumn("_b", F.max("_cur").over(past))
+            now = now.withColumn("_cur", F.when(F.col("_b").isNotNull() & worth[j].isNotNull(), cell(F.col("_b.score") + worth[j], F.concat(place[j], F.col("_b.key")), F.concat(F.col("_b.path"), F.array("row_id"))))).drop("_b")
+            now = now.withColumn(f"_m{i}_{j + 1}", F.col("_cur"))
+    cells_of = [(i, j) for i in range(n) for j in range(i + 1, n + 1)]
+    chunks = now.groupBy(*by, "_part").agg(*[F.max(f"_m{i}_{j}").alias(f"m{i}_{j}") for i, j in cells_of])
+    inner = dict(chunks.dtypes)["m0_1"]
+    empty = F.struct(*[F.lit(None).cast(inner).alias(f"e{j}") for j in range(1, n + 1)])
+
+    def folded(held: Column, chunk: Column) -> Column:
+        """held: the best rows so far for the events 0 to j - 1, by j."""
+        out = []
+        for j in range(1, n + 1):
+            ways = [held[f"e{j}"], chunk[f"m0_{j}"]]
+            for i in range(1, j):
+                one, two = held[f"e{i}"], chunk[f"m{i}_{j}"]
+                ways.append(F.when(one.isNotNull() & two.isNotNull(), cell(one["score"] + two["score"], F.concat(two["key"], one["key"]), F.concat(one["path"], two["path"]))))
+            out.append(F.greatest(*ways).alias(f"e{j}"))
+        return F.struct(*out)
+
+    listed = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_part", *[f"m{i}_{j}" for i, j in cells_of]))).alias("c"))
+    done = listed.select(*by, F.aggregate("c", empty, folded)[f"e{n}"].alias("e")).where(F.col("e").isNotNull())
+    return done.select(*by, "e.score", "e.path")
+
+
 def ranked_paths(paths: DataFrame) -> DataFrame:
     """best_paths with their rank among the videos of a query; equal scores in order of video."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "video_id")
@@ -117,7 +170,9 @@ def k_best_tuples(frames: list[int], scores: list[list[float]], k: int, min_gap:
 
 
 def k_best_by_groups(pool: DataFrame, n: int, k: int, min_gap: int = 1, pacing: float = 0.0, by: list[str] = _GROUP) -> DataFrame:
-    """As k_best_by_joins, by a best-first search in each group: work in proportion to frames and k, not to tuples."""
+    """As k_best_by_joins, by a best-first search in each group: work in proportion to frames and k, not to tuples.
+
+    A group meets in one task whole: it is for pools, whose quota bounds a video's rows."""
     names = [f"f{i}" for i in range(n)]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -8,12 +8,12 @@ query: a label, with the label's first vector, and the benchmark passage and the
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals, lexical, nearest
+from ..operators import intervals, lexical, matrix, nearest
 from ..sources.staging import fresh_path, staged
 
 _built: dict[tuple, object] = {}
@@ -69,20 +69,29 @@ class Tables:
 
     def index(self, source: str) -> lexical.LexicalIndex:
         tables = {"ocr": ["documents"], "asr": ["conversations"], "object": ["part"]}[source]
-        return self.built(f"index-{source}", lambda: lexical.build(self.texts(source).select(F.col("row_id").alias("doc"), "text")).write(fresh_path(self.spark, f"index-{source}")), "embeddings", *tables)
+        return self.built(f"index-{source}", lambda: lexical.build(self.texts(source).select(F.col("row_id").alias("doc"), "text"), fresh_path(self.spark, f"index-{source}")), "embeddings", *tables)
 
     @property
     def visual(self) -> DataFrame:
+        """Spelled out: the vector scores of every frame for every query."""
         return nearest.visual_source(self.frames, self.asked)
 
-    def text_scores(self, source: str) -> DataFrame:
-        return lexical.text_source(self.frames, None, self.asked, source, index=self.index(source))
+    def text_source(self, source: str) -> lexical.Sparse:
+        return lexical.text_source(None, self.asked, source, index=self.index(source))
 
     @cached_property
-    def scores(self) -> DataFrame:
-        """Scores of every frame for every query by four sources, to nine decimals, so that rounding in sums does not decide ties."""
-        each = [self.visual, *map(self.text_scores, ("ocr", "asr", "object"))]
-        return staged(reduce(DataFrame.unionByName, each).withColumn("score", F.round("score", 9)), "scores")
+    def matrix(self) -> matrix.ScoreMatrix:
+        """Scores of four sources, to nine decimals."""
+        return matrix.ScoreMatrix(self.frames, self.asked, {s: self.text_source(s) for s in ("ocr", "asr", "object")})
+
+    @cached_property
+    def nominated(self) -> DataFrame:
+        return staged(self.matrix.nominated(), "nominated")
+
+    @property
+    def fused_nominated(self) -> DataFrame:
+        """Fused scores of the rows that any source nominates."""
+        return self.matrix.fused_rows(self.nominated.select("query_id", "row_id").distinct())
 
     @property
     def speech(self) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import coerced_kind, declarativize, probes
-from ..operators import fusion, pooling, rerank, sequence
+from ..operators import fusion, matrix, pooling, rerank, sequence
+from ..sources.staging import staged
 
 
 @dataclass
@@ -30,16 +31,17 @@ def probe_table(queries: DataFrame) -> DataFrame:
     return found.select("query_id", kind.alias("kind"), F.explode(every).alias("e")).select("query_id", "kind", "e.probe_idx", "e.text", "e.quoted")
 
 
-def retrieve(frames: DataFrame, scores: DataFrame, settings: Settings | None = None, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(fused over all frames, pool) of scores of any sources; extra: model scores of some rows, as for rerank.combine.
+def retrieve(scores: matrix.ScoreMatrix, settings: Settings | None = None, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fused, pool) of a score matrix; extra: model scores of some rows, as for rerank.combine.
 
-    The only barriers are the moments of each source, the nominations, and the moments after a model."""
+    Without extra scores, fused has the rows that any source nominates: the only barriers are the moments of each source and the nominations.
+    A model's scores are weighed against those of all frames, so with them fused has all."""
     s = settings or Settings()
-    fused = fusion.fuse(scores, s.weights)
-    nominated = pooling.nominate(scores, frames, s.per_source, s.per_video)
+    nominated = staged(scores.nominated(s.per_source, s.per_video), "nominated")
+    fused = scores.fused_rows(nominated.select("query_id", "row_id").distinct(), s.weights)
     pool = pooling.union_pool(nominated, fusion.best_over_probes(fused), s.cap)
     if extra is not None:
-        fused = rerank.combine(fused, extra, s.stage_weights)
+        fused = rerank.combine(scores.fused(s.weights), extra, s.stage_weights)
     return fused, pool
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..operators import answering, frame_index, fusion, intervals, models, pooling, rerank, scoring, sequence
-from . import hybrid
+from ..operators import images as stored_images
+from ..sources import files, writers
+from ..sources.staging import fresh_path
+from . import hybrid, sequence_queries
 from .binding import Tables, sql
 from .retrieval_queries import _fused, _nominated, _pool
 
@@ -77,10 +80,13 @@ def qa_top1(t: Tables) -> DataFrame:
 
 
 def _reader():
-    return lambda question, ocr, speech, image: f"{len(question)} {ocr[:70]} | {speech[:70]}"
+    from hashlib import md5
 
+    digest = lambda text: md5(text.encode()).hexdigest()
+    return lambda question, ocr, speech, image: f"{digest(question)} {digest(ocr)}  {digest(speech)}"
 
-_READ = "left(trim(regexp_replace(len(a.text) || ' ' || left(left(coalesce(d.text, ''), 300), 70) || ' | ' || left(left(coalesce(r.text, ''), 400), 70), '\\s+', ' ', 'g')), 120)"
+
+_READ = "left(md5(a.text) || ' ' || md5(left(coalesce(d.text, ''), 300)) || ' ' || md5(left(coalesce(r.text, ''), 400)), 120)"
 
 
 @query(sql(f"SELECT query_id, {_READ} AS answer FROM (SELECT query_id, arg_min(row_id, (-round(s, 9), row_id)) AS row_id FROM fused GROUP BY query_id) b JOIN asked a USING (query_id) LEFT JOIN documents d ON d.doc_id = b.row_id LEFT JOIN around r ON r.row_id = b.row_id", "fused", "around"))
@@ -92,14 +98,88 @@ def qa_answers(t: Tables) -> DataFrame:
     return models.answered(asked, _reader)
 
 
-@query("SELECT item_id, 'Truy' AS head, md5(trim(array_to_string(list_filter(string_split(text, ' '), lambda w: w <> '')[1:9], ' '))) AS digest FROM benchmark")
+@query("SELECT item_id, 'Truy' AS head, md5(trim(array_to_string(list_filter(string_split(text, ' '), lambda w: w <> ''), ' '))) AS digest FROM benchmark")
 def write_queries(t: Tables) -> DataFrame:
-    """A stand-in writes the first nine words under a heading and in quotes, which are cleaned away."""
-    write = lambda: lambda rows: ['Truy vấn: "' + " ".join([w for w in x.split(" ") if w][:9]) + '"' for x in rows["passage"]]
+    """A stand-in writes all words of a passage under a heading and in quotes, which are cleaned away."""
+    write = lambda: lambda rows: ['Truy vấn: "' + " ".join([w for w in x.split(" ") if w]) + '"' for x in rows["passage"]]
     out = models.written_queries(t.benchmark.select("item_id", F.col("text").alias("passage")), write, text.clean_generated)
     return out.select("item_id", F.lit("Truy").alias("head"), F.md5(F.trim("text")).alias("digest"))
 
 
+@query(f"SELECT source AS video_id, CAST(doc_id AS INT) AS n, {_L1} AS l1 FROM (SELECT source, doc_id, {_COUNTS} AS v FROM documents WHERE text IS NOT NULL)")
+def encode_resumed(t: Tables) -> DataFrame:
+    """A source as a video. A run over every other document, one that was killed before it committed, one that stopped after
+    a group of videos, and one to the end: what is read is whole and of the last run that had a say."""
+    store = writers.video_shards(t.spark, fresh_path(t.spark, "encoded"))
+    frames = t.documents.where("text is not null").select(F.col("source").alias("video_id"), F.col("doc_id").cast("int").alias("n"), "text")
+    rows = max(1, frames.count() // 3)
+    models.encode_pending(frames.where("n % 2 = 0"), store, "text", LetterEncoder, LetterEncoder.dim, rows)
+    store.append(frames.select("video_id", "n", F.array(F.lit(9.0).cast("float")).alias("vector")), commit=False)
+    models.encode_pending(frames, store, "text", LetterEncoder, LetterEncoder.dim, rows, groups=1)
+    models.encode_pending(frames, store, "text", LetterEncoder, LetterEncoder.dim, rows)
+    return store.read().select("video_id", "n", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 2).alias("l1"))
+
+
+class PixelEncoder:
+    """A stand-in: how bright an image is, how bright its right side, how large it is."""
+
+    dim = 3
+
+    def encode(self, values: list) -> np.ndarray:
+        return np.array([[p.sum(), (p.sum(axis=(0, 2), dtype=np.float64) * np.arange(p.shape[1])).sum() / 100, p.shape[0] * p.shape[1] * 100.0] for p in values], np.float64)
+
+
+_BOXES = """SELECT CAST(s_suppkey AS BIGINT) AS row_id, CAST(pos AS INT) AS pos, 60 + CAST(s_suppkey % 7 AS INT) * 10 AS w, 50 + CAST(s_suppkey % 5 AS INT) * 10 AS h, 0.1::DOUBLE AS y0, 0.05::DOUBLE + pos * 0.2::DOUBLE AS x0,
+    0.45::DOUBLE + s_suppkey % 9 / 20.0::DOUBLE AS y1, 0.5::DOUBLE + pos * 0.2::DOUBLE + s_suppkey % 4 / 20.0::DOUBLE AS x1 FROM supplier, (SELECT unnest([0, 1]) AS pos) WHERE s_suppkey % 10 NOT IN (0, 5)"""
+
+
+@query(
+    f"""SELECT row_id, pos, round(a / m, 4) AS bright, round(b / m, 4) AS to_right, round(c / m, 4) AS size FROM (SELECT *, sqrt(a * a + b * b + c * c) AS m FROM
+    (SELECT row_id, pos, CAST(sum(p) AS DOUBLE) AS a, CAST(sum(p * (x - l)) AS DOUBLE) / 100 AS b, count(*) * 100.0::DOUBLE AS c FROM (SELECT *, (3 * x + 5 * y + row_id) % 256 AS p FROM
+      (SELECT *, unnest(range(t, b)) AS y FROM (SELECT *, unnest(range(l, r)) AS x FROM (SELECT row_id, pos, CAST(trunc(least(1.0, greatest(0.0, x0 - (x1 - x0) * 0.06::DOUBLE)) * w) AS INT) AS l, CAST(trunc(least(1.0, greatest(0.0, y0 - (y1 - y0) * 0.06::DOUBLE)) * h) AS INT) AS t,
+        CAST(trunc(least(1.0, greatest(0.0, x1 + (x1 - x0) * 0.06::DOUBLE)) * w) AS INT) AS r, CAST(trunc(least(1.0, greatest(0.0, y1 + (y1 - y0) * 0.06::DOUBLE)) * h) AS INT) AS b FROM ({_BOXES})) WHERE least(r - l, b - t) >= 24))) GROUP BY row_id, pos))"""
+)
+def crop_vectors(t: Tables) -> DataFrame:
+    """A supplier as a stored image with two boxes: a tenth of the images are missing, a tenth are broken. Images are cut and encoded where they are read."""
+    path, k = fresh_path(t.spark, "pictures"), F.col("s_suppkey").cast("long")
+    wide, high = (60 + k % 7 * 10).cast("int"), (50 + k % 5 * 10).cast("int")
+    pixel = F.transform(F.sequence(F.lit(0), wide * high - 1), lambda i: F.lpad(F.hex((3 * (i % wide) + 5 * F.floor(i / wide) + k) % 256), 2, "0"))
+    data = F.concat(F.encode(F.format_string("P5 %d %d 255\n", wide, high), "UTF-8"), F.unhex(F.array_join(pixel, "")))
+    images = t.supplier.select(k.alias("row_id"), F.concat(F.lit(f"{path}/"), k.cast("string"), F.lit(".pgm")).alias("path"), F.when(k % 10 == 5, F.substring(data, 1, 100)).otherwise(data).alias("content"))
+    files.write_files(images.where("row_id % 10 <> 0"))
+    low, left = F.lit(0.1), F.lit(0.05) + F.col("pos") * 0.2
+    box = F.array(low, left, F.lit(0.45) + k % 9 / F.lit(20.0), F.lit(0.5) + F.col("pos") * 0.2 + k % 4 / F.lit(20.0))
+    boxes = t.supplier.withColumn("pos", F.explode(F.array(F.lit(0), F.lit(1)))).select(k.alias("row_id"), "pos", box.alias("box"))
+    found = stored_images.crop_vectors(boxes, images.select("row_id", "path"), stored_images.Netpbm, PixelEncoder, PixelEncoder.dim)
+    return found.select("row_id", "pos", *[F.round(F.col("vec")[i].cast("double"), 4).alias(c) for i, c in enumerate(("bright", "to_right", "size"))])
+
+
+class PoolModel:
+    """A stand-in for a model of two answers; it fails on some images."""
+
+    def tokens(self, text: str) -> list[int]:
+        return [{"0": 0, "1": 1}[text]]
+
+    def logits(self, jobs: list[dict]) -> np.ndarray:
+        if any(j["image"] is None for j in jobs):
+            raise RuntimeError("no image")
+        return np.array([[j["row_id"] % 7 / 2, (j["row_id"] * 7 + j["query_id"]) % 11 / 3 + len(j["image"]) * 300] for j in jobs], np.float64)
+
+
+@query(
+    sql(
+        """SELECT query_id, row_id, round(CASE WHEN row_id % 3 = 0 THEN 1.0 ELSE 1 / (1 + exp(row_id % 7 / 2.0::DOUBLE - (row_id * 7 + query_id) % 11 / 3.0::DOUBLE)) END, 9) AS score FROM pool WHERE row_id % 10 <> 9""",
+        "pool",
+    )
+)
+def token_scores(t: Tables) -> DataFrame:
+    """The pool before a model that answers by one of two tokens. Rows without an image fail by themselves; a third of the rows come again, with another image."""
+    rows = _pool(t, None).select("query_id", F.lit(0).alias("probe_idx"), "row_id")
+    first = rows.select("*", F.lit(0).alias("seq"), F.when(F.col("row_id") % 10 != 9, F.lit("").cast("binary")).alias("image"))
+    again = rows.where("row_id % 3 = 0 and row_id % 10 <> 9").select("*", F.lit(1).alias("seq"), F.lit("four").cast("binary").alias("image"))
+    return rerank.token_scores(first.unionByName(again), PoolModel, batch=1).select("query_id", "row_id", F.round("score", 9).alias("score"))
+
+
 @query(sql("SELECT query_id, row_id, CAST(rn AS INT) AS short_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, row_id) AS rn FROM fused WHERE query_id % 3 <> 0) WHERE rn <= 160", "fused"))
 def model_rows(t: Tables) -> DataFrame:
     """Every third query is one of a sequence: no model looks at it."""
@@ -245,6 +325,13 @@ def ranked_videos(t: Tables) -> DataFrame:
     return sequence.ranked_paths(sequence.best_paths(t.steps, 1)).select("video_id", "score", "rank")
 
 
+@query(sequence_queries._paths_sql(3, 0.0001).replace("SELECT video_id, round(dp, 3) AS score, path[1] AS f0, path[2] AS f1, path[3] AS f2 FROM e WHERE r = 1", "SELECT video_id, round(dp, 3) AS score, CAST(row_number() OVER (ORDER BY round(dp, 9) DESC, video_id) AS INT) AS rank FROM e WHERE r = 1"))
+def ranked_paths(t: Tables) -> DataFrame:
+    """Users in order of their best three events, net of the seconds between them."""
+    paths = sequence.best_paths(t.steps, 3, 0.0001).withColumn("score", F.round("score", 9))
+    return sequence.ranked_paths(paths).select("video_id", F.round("score", 3).alias("score"), "rank")
+
+
 @query(sql("SELECT query_id, 1 AS rank, video_id, [frame_idx, last] AS frames FROM (SELECT query_id, row_id, video_id, frame_idx, max(frame_idx) OVER (PARTITION BY query_id, video_id) AS last, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM ranked WHERE rank <= 100) x WHERE frame_idx < last AND (query_id, row_id) IN (SELECT (query_id, arg_min(row_id, rank)) FROM ranked WHERE rank <= 100 GROUP BY query_id)", "ranked"))
 def answer_paths(t: Tables) -> DataFrame:
     """The best row of each query, and the last row of its video among the hundred best, as a path of two frames."""

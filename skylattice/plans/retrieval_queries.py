@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import frame_index, fusion, lexical, nearest, pooling, rerank, sequence
-from ..sources.staging import fresh_path, staged
+from ..operators import frame_index, fusion, lexical, matrix, nearest, pooling, rerank, sequence
+from ..sources.staging import fresh_path
 from . import hybrid
 from .binding import Tables, sql
 
@@ -40,8 +39,7 @@ def vector_topk(t: Tables) -> DataFrame:
 
 @query(sql(_TOP, "ranked"))
 def vector_scan_topk(t: Tables) -> DataFrame:
-    rows = t.asked.orderBy("query_id").collect()  # the queries of a run
-    return nearest.scan_top_k(t.frames, np.array([r["vector"] for r in rows]), [r["query_id"] for r in rows], 20).select("query_id", "rank", "row_id", F.round("score", 6).alias("score"))
+    return nearest.scan_top_k(t.frames, t.asked, 20, digits=9).select("query_id", "rank", "row_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -55,8 +53,8 @@ def vector_scan_topk(t: Tables) -> DataFrame:
 )
 def vector_truncate_topk(t: Tables) -> DataFrame:
     short = lambda c: vectors.truncate_and_normalize(F.col(c), 32).alias(c)
-    scores = nearest.visual_source(t.frames.select("row_id", short("emb")), t.asked.select("query_id", "probe_idx", short("vector")))
-    return nearest.top_k(_steady(scores), 20).select("query_id", "rank", "row_id", F.round("score", 6).alias("score"))
+    found = nearest.scan_top_k(t.frames.select("row_id", short("emb")), t.asked.select("query_id", "probe_idx", short("vector")), 20, digits=9)
+    return found.select("query_id", "rank", "row_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT label, count(*) AS vectors, count(*) FILTER (WHERE abs(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) <= 0.01) AS unit FROM embeddings GROUP BY label")
@@ -89,7 +87,7 @@ def looks_unfolded(t: Tables) -> DataFrame:
 
 
 def _index(t: Tables) -> lexical.LexicalIndex:
-    return t.built("index-documents", lambda: lexical.build(t.documents.select(F.col("doc_id").alias("doc"), "text")).write(fresh_path(t.spark, "index-documents")), "documents")
+    return t.built("index-documents", lambda: lexical.build(t.documents.select(F.col("doc_id").alias("doc"), "text"), fresh_path(t.spark, "index-documents")), "documents")
 
 
 @query(sql("SELECT count(*) AS n, round(avg(len(toks)), 6) AS avgdl FROM docs", "docs"))
@@ -122,7 +120,7 @@ def _bm25_sql(k1: float, b: float) -> str:
 
 def _bm25(t: Tables, k1: float, b: float) -> DataFrame:
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(0).alias("probe_idx"), "text")
-    return lexical.best_hits(_steady(lexical.search(_index(t), asked, k1, b)), 20).select("query_id", "rank", "doc", F.round("score", 6).alias("score"))
+    return lexical.search_top(_index(t), asked, 20, k1, b).select("query_id", "rank", "doc", F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql(1.5, 0.75))
@@ -142,17 +140,18 @@ def bm25_params_asr(t: Tables) -> DataFrame:
 
 @query(sql("SELECT query_id, row_id, round(score, 6) AS score, covered FROM ocr", "ocr"))
 def text_source(t: Tables) -> DataFrame:
-    return t.text_scores("ocr").select("query_id", "row_id", F.round("score", 6).alias("score"), "covered")
+    one = matrix.ScoreMatrix(t.frames, t.asked, {"ocr": t.text_source("ocr")}, visual=None)
+    return one.scores().select("query_id", "row_id", F.round("score", 6).alias("score"), "covered")
 
 
 @query(sql("SELECT source, round(avg(CAST(covered AS INT)), 6) AS coverage FROM scores GROUP BY source", "scores"))
 def coverage_fraction(t: Tables) -> DataFrame:
-    return fusion.coverage(t.scores).select("source", F.round("coverage", 6).alias("coverage"))
+    return t.matrix.coverage().select("source", F.round("coverage", 6).alias("coverage"))
 
 
 @query(sql("SELECT query_id, source, row_id, round(z, 6) AS z FROM zs", "zs"))
 def z_normalize(t: Tables) -> DataFrame:
-    return fusion.z_normalize(t.scores).select("query_id", "source", "row_id", F.round("z", 6).alias("z"))
+    return t.matrix.scores().select("query_id", "source", "row_id", F.round("z", 6).alias("z"))
 
 
 @query(
@@ -163,30 +162,28 @@ def z_normalize(t: Tables) -> DataFrame:
     )
 )
 def rank_normalize(t: Tables) -> DataFrame:
-    return fusion.rank_normalize(t.scores).select("query_id", "source", "row_id", F.round("z", 6).alias("z"))
+    return fusion.rank_normalize(t.matrix.scores().drop("z")).select("query_id", "source", "row_id", F.round("z", 6).alias("z"))
 
 
 @query(sql("SELECT query_id, row_id, round(s, 6) AS s FROM fused", "fused"))
 def fuse(t: Tables) -> DataFrame:
-    return fusion.fuse(t.scores).select("query_id", "row_id", F.round("s", 6).alias("s"))
+    return t.matrix.fused().select("query_id", "row_id", F.round("s", 6).alias("s"))
 
 
 @query(sql("SELECT row_id, round(max(s), 6) AS s FROM fused GROUP BY row_id", "fused"))
 def best_over_probes(t: Tables) -> DataFrame:
     """Every label's query as a probe of one query."""
-    one = fusion.fuse(t.scores).withColumn("query_id", F.lit(0))
+    one = t.matrix.fused().withColumn("query_id", F.lit(0))
     return fusion.best_over_probes(one).select("row_id", F.round("s", 6).alias("s"))
 
 
 def _fused(t: Tables) -> DataFrame:
-    """Fused scores of all frames, staged once for a query that reads them several times."""
-    if "_fused" not in t.__dict__:
-        t.__dict__["_fused"] = staged(fusion.fuse(t.scores), "fused")
-    return t.__dict__["_fused"]
+    """Fused scores of all frames."""
+    return t.matrix.fused()
 
 
 def _nominated(t: Tables) -> DataFrame:
-    return pooling.nominate(t.scores, t.frames)
+    return t.nominated
 
 
 @query(sql("SELECT query_id, source, row_id, CAST(nth AS INT) AS nth FROM quota", "quota"))
@@ -200,7 +197,7 @@ def pool_counts(t: Tables) -> DataFrame:
 
 
 def _pool(t: Tables, cap: int | None) -> DataFrame:
-    base = fusion.best_over_probes(_fused(t)).withColumn("s", F.round("s", 9))
+    base = fusion.best_over_probes(t.fused_nominated).withColumn("s", F.round("s", 9))
     return pooling.union_pool(_nominated(t), base, cap)
 
 
@@ -277,7 +274,7 @@ def crop_boxes(t: Tables) -> DataFrame:
 )
 def hybrid_kis(t: Tables) -> DataFrame:
     """The flagship: vectors, text, speech and objects, fusion, pool, ranked answers."""
-    fused, pool = hybrid.retrieve(t.frames, t.scores, hybrid.Settings(per_video=10))
+    fused, pool = hybrid.retrieve(t.matrix, hybrid.Settings(per_video=10))
     fused = fused.withColumn("s", F.round("s", 9))
     return hybrid.answer(t.frames, fused, pool, 1).select("query_id", "video_id", "f0", F.round("score", 6).alias("score"), "answer_rank")
 

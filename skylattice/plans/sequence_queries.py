@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import coverage, frame_index, intervals, pooling, scoring, sequence
+from ..operators import coverage, frame_index, intervals, nearest, pooling, scoring, sequence
+from ..sources.staging import fresh_path, staged
 from .binding import Tables, sql
 
 QUERIES, ORACLES = {}, {}
@@ -116,15 +117,20 @@ def dante_lambda(t: Tables) -> DataFrame:
     return _paths(t, 3, 0.0001)
 
 
+@query(_paths_sql(3, 0.0001).replace("user_id AS video_id", "0 AS video_id"))
+def dante_one_video(t: Tables) -> DataFrame:
+    """All events as those of one video, whose best three are found chunk by chunk."""
+    found = sequence.best_paths_in_chunks(t.steps.withColumn("video_id", F.lit(0)), 3, 0.0001)
+    return found.select("video_id", F.round("score", 3).alias("score"), *[F.col("path")[i].alias(f"f{i}") for i in range(3)])
+
+
 def triples(t: Tables) -> DataFrame:
-    """The visual pool of each query with its scores for that query and the two after it."""
-    scores = t.visual.withColumn("score", F.round("score", 9))
-    pool = pooling.nominate(scores, t.frames).select("query_id", "video_id", "row_id")
-    out = pool.join(t.frames.select("row_id", "frame_idx"), "row_id")
-    for i in range(3):
-        s = t.visual.select(F.col("row_id"), F.pmod(F.col("query_id") - i, F.lit(10)).alias("query_id"), F.col("score").alias(f"s{i}"))
-        out = out.join(s, ["query_id", "row_id"])
-    return out
+    """The visual pool of each query with its scores for that query and the two after it, looked up for the rows of the pool."""
+    best = nearest.best_rows(t.frames, t.asked, pooling.PER_SOURCE, pooling.PER_VIDEO, 0.0, digits=9)
+    pool = staged(pooling.nominate(best, t.frames).select("query_id", "video_id", "row_id"), "pool")
+    cells = pool.select(F.col("query_id").alias("of"), "video_id", "row_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select("of", "video_id", "row_id", "i", F.pmod(F.col("of") + F.col("i"), F.lit(10)).alias("query_id"), F.lit(0).alias("probe_idx"))
+    wide = nearest.scores_of(cells, t.frames, t.asked).groupBy(F.col("of").alias("query_id"), "video_id", "row_id")
+    return wide.agg(*[F.max(F.when(F.col("i") == i, F.col("score"))).alias(f"s{i}") for i in range(3)]).join(t.frames.select("row_id", "frame_idx"), "row_id")
 
 
 def _tuples_sql(n: int, k: int, gap: int = 1, pacing: float = 0.0) -> str:
@@ -198,9 +204,7 @@ def _truth(t: Tables) -> DataFrame:
 
 
 def _ranked(t: Tables) -> DataFrame:
-    from ..operators import nearest
-
-    best = nearest.top_k(t.visual.withColumn("score", F.round("score", 9)), numbers.BUDGET)
+    best = nearest.scan_top_k(t.frames, t.asked, numbers.BUDGET, digits=9)
     return best.join(t.frames.select("row_id", "video_id", "frame_idx"), "row_id")
 
 
@@ -227,6 +231,28 @@ def final_score(t: Tables) -> DataFrame:
     return out.select("query_id", F.round("final", 6).alias("final"), "best", "best_rank", F.round("ranking_loss", 6).alias("ranking_loss"))
 
 
+@query(
+    sql(
+        f"""SELECT CAST(g.query_id AS VARCHAR) AS query_id, {', '.join(f'coalesce(r_{k}, 0.0) AS r_{k}' for k in numbers.CUTS)}, round(coalesce({_FIN}, 0.0), 6) AS final, coalesce(n, 0) AS answers FROM gt g LEFT JOIN
+        (SELECT query_id, count(*) AS n, {_RK} FROM graded WHERE rank <= 100 AND query_id % 4 <> 3 GROUP BY query_id) USING (query_id)""",
+        "ranked", gt=_GT, graded=_GRADED,
+    )
+)
+def graded_submission(t: Tables) -> DataFrame:
+    """A submission is written in its files, read back, joined with the truth by the query its task is for, and graded; every fourth query was not answered."""
+    from ..sources import readers, writers
+
+    path = fresh_path(t.spark, "submission")
+    given = _ranked(t).where("query_id % 4 <> 3").select(F.concat(F.lit("01-kis-"), F.col("query_id").cast("string")).alias("task_id"), "rank", "video_id", F.array("frame_idx").alias("frames"), F.lit(None).cast("string").alias("answer"))
+    extra = given.limit(1).withColumn("task_id", F.lit("01-kis-nobody"))
+    writers.submission_csv(given.unionByName(extra), path)
+    answers = readers.submission_files(t.spark, f"{path}/*/*", depth=1).withColumn("query_id", readers.task_query(F.col("task_id")))
+    truth = _truth(t).select(F.col("query_id").cast("string").alias("query_id"), F.lit("kis").alias("kind"), F.col("gt").alias("video_id"), F.array(F.struct("s", "e")).alias("windows"), F.array().cast("array<string>").alias("accepted"))
+    table = scoring.recall_table(scoring.graded(answers, truth), truth)
+    counts = answers.groupBy("query_id").agg(F.count("*").alias("answers"))
+    return table.join(counts, "query_id", "left").select("query_id", *[f"r_{k}" for k in numbers.CUTS], F.round("final", 6).alias("final"), F.coalesce("answers", F.lit(0)).cast("long").alias("answers"))
+
+
 @query(
     sql(
         f"""SELECT CASE WHEN grouping(query_type) = 1 THEN 'all' ELSE query_type END AS query_type, count(*) AS n, {', '.join(f'round(avg(r_{k}), 6) AS r_{k}' for k in numbers.CUTS)}, round(avg({_FIN}), 6) AS final
@@ -286,9 +312,10 @@ def jitter_expectation(t: Tables) -> DataFrame:
 @query(
     sql(
         """SELECT 'final against 0.5' AS arm, mean, round(quantile_cont(m, 0.025), 9) AS lo, round(quantile_cont(m, 0.975), 9) AS hi, wins, losses FROM
-        (SELECT r, avg(delta) AS m FROM (SELECT r, CAST('0x' || substr(md5('0:' || r || ':' || i), 1, 8) AS BIGINT) % (SELECT n FROM sizes) AS place FROM (SELECT unnest(range(4000)) AS r), (SELECT unnest(range((SELECT n FROM sizes))) AS i)) JOIN d USING (place) GROUP BY r),
+        (SELECT r, sum(w * delta) / nullif(sum(w), 0) AS m FROM (SELECT r, delta, len(list_filter([24109, 48219, 60273, 64291, 65296, 65497, 65531], lambda x: x <= u)) AS w FROM
+          (SELECT r, delta, CAST('0x' || substr(md5('0:' || query_id || ':' || r // 8), CAST(4 * (r % 8) + 1 AS BIGINT), 4) AS BIGINT) AS u FROM d, (SELECT unnest(range(4000)) AS r))) GROUP BY r),
         (SELECT round(avg(delta), 9) AS mean, count(*) FILTER (WHERE delta > 0) AS wins, count(*) FILTER (WHERE delta < 0) AS losses FROM d) GROUP BY mean, wins, losses""",
-        "ranked", gt=_GT, graded=_GRADED, d=f"SELECT row_number() OVER (ORDER BY query_id) - 1 AS place, delta FROM (SELECT query_id, {_FIN} - 0.5::DOUBLE AS delta FROM (SELECT query_id, {_RK} FROM graded WHERE rank <= 100 GROUP BY query_id))", sizes="SELECT count(*) AS n FROM d",
+        "ranked", gt=_GT, graded=_GRADED, d=f"SELECT query_id, {_FIN} - 0.5::DOUBLE AS delta FROM (SELECT query_id, {_RK} FROM graded WHERE rank <= 100 GROUP BY query_id)",
     )
 )
 def bootstrap_ci(t: Tables) -> DataFrame:
@@ -399,9 +426,8 @@ def detector_lift(t: Tables) -> DataFrame:
 def overlap_at_k(t: Tables) -> DataFrame:
     """How many of the 20 best by whole vectors are among the 20 best by their first half."""
     from ..functions.vectors import truncate_and_normalize
-    from ..operators import nearest
 
     whole = _ranked(t).where("rank <= 20").groupBy("query_id").agg(F.collect_set("row_id").alias("a"))
-    short = nearest.visual_source(t.frames.select("row_id", truncate_and_normalize(F.col("emb"), 32).alias("emb")), t.asked.select("query_id", "probe_idx", truncate_and_normalize(F.col("vector"), 32).alias("vector")))
-    part = nearest.top_k(short.withColumn("score", F.round("score", 9)), 20).groupBy("query_id").agg(F.collect_set("row_id").alias("b"))
+    short = [df.withColumn(c, truncate_and_normalize(F.col(c), 32)) for df, c in ((t.frames.select("row_id", "emb"), "emb"), (t.asked, "vector"))]
+    part = nearest.scan_top_k(*short, 20, digits=9).groupBy("query_id").agg(F.collect_set("row_id").alias("b"))
     return whole.join(part, "query_id").select("query_id", F.round(F.size(F.array_intersect("a", "b")) / 20.0, 6).alias("overlap"))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import frame_index
-from ..sources import readers, writers
-from ..sources.staging import fresh_path, put_bytes
+from ..sources import files, readers, writers
+from ..sources.staging import fresh_path
 from .binding import Tables, sql
 
 QUERIES, ORACLES = {}, {}
@@ -158,39 +155,43 @@ def read_shot_truth(t: Tables) -> DataFrame:
     return readers.shot_truth(t.spark, path)
 
 
-@query("SELECT CAST(r_regionkey AS VARCHAR) AS video_id, CAST(n_nationkey AS INT) AS n, 'keyframes/' || r_regionkey || '/' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') || '.webp' AS member FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT CAST(p_size AS VARCHAR) AS video_id, CAST(p_partkey AS INT) AS n, 'keyframes/' || p_size || '/' || printf('%03d', p_partkey) || '.webp' AS member FROM part")
 def read_archives(t: Tables) -> DataFrame:
-    """An archive for each region, a member for each of its nations, and one that is no keyframe."""
+    """An archive for each size, a member for each of its parts, and one that is no keyframe; tasks write and read them."""
     path = fresh_path(t.spark, "archives")
-    for r in t.region.orderBy("r_regionkey").collect():  # a handful of small files
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            z.writestr("readme.txt", b"x")
-            for n in t.nation.where(F.col("n_regionkey") == r["r_regionkey"]).collect():
-                z.writestr(f"keyframes/{r['r_regionkey']}/{n['n_nationkey']:03d}.webp", b"x")
-        put_bytes(t.spark, f"{path}/{r['r_regionkey']}.zip", out.getvalue())
-    return readers.archive_members(t.spark, f"{path}/*.zip").select("video_id", "n", "member")
+    size = F.col("p_size").cast("string")
+    frames = t.part.select(size.alias("v"), F.concat(F.lit("keyframes/"), size, F.lit("/"), F.format_string("%03d", F.col("p_partkey").cast("long")), F.lit(".webp")).alias("member"), F.col("p_name").alias("content"))
+    every = frames.unionByName(frames.select("v", F.lit("readme.txt").alias("member"), F.lit("x").alias("content")).distinct())
+    files.write_archives(every.withColumn("archive", F.concat(F.lit(f"{path}/"), "v", F.lit(".zip"))))
+    return files.archive_members(t.spark, f"{path}/*.zip").select("video_id", "n", "member")
 
 
-@query("SELECT CAST(n_regionkey AS VARCHAR) AS video_id, CAST(n_nationkey AS INT) AS n, CASE WHEN n_nationkey % 2 = 0 THEN 'first' ELSE 'second' END AS root FROM nation")
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS video_id, CAST(s_suppkey AS INT) AS n, CASE WHEN s_suppkey % 2 = 0 THEN 'first' ELSE 'second' END AS root FROM supplier")
 def find_images(t: Tables) -> DataFrame:
     """Two roots: the second has all images, the first half of them, which go before."""
     path = fresh_path(t.spark, "images")
-    for n in t.nation.collect():  # small files by name
-        for root in ("first", "second") if n["n_nationkey"] % 2 == 0 else ("second",):
-            put_bytes(t.spark, f"{path}/{root}/{n['n_regionkey']}/{n['n_nationkey']:03d}.webp", root.encode())
+    rows = t.supplier.select("s_nationkey", "s_suppkey", F.explode(F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("first"), F.lit("second"))).otherwise(F.array(F.lit("second")))).alias("root"))
+    name = F.format_string("/%d/%03d.webp", F.col("s_nationkey").cast("long"), F.col("s_suppkey").cast("long"))
+    files.write_files(rows.select(F.concat(F.lit(f"{path}/"), "root", name).alias("path"), F.col("root").alias("content")))
     found = readers.image_files(t.spark, [f"{path}/first", f"{path}/second"])
     return found.select("video_id", "n", F.element_at(F.split("path", "/"), -3).alias("root"))
 
 
-@query("SELECT CAST(vec_id % 100 AS VARCHAR) AS key, CAST(64 AS INT) AS dim FROM embeddings GROUP BY 1")
+@query(
+    """SELECT CAST(vec_id AS VARCHAR) AS key, CAST(len(v) AS INT) AS dim, round(list_inner_product(v, list_transform(range(1, len(v) + 1), lambda i: CAST(i AS DOUBLE))), 6) AS weighed FROM
+    (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 2) WHEN vec_id % 3 = 0 THEN list_reverse(CAST(embedding AS DOUBLE[])) ELSE CAST(embedding AS DOUBLE[]) END AS v FROM embeddings)"""
+)
 def cache_round_trip(t: Tables) -> DataFrame:
-    """Vectors are cached twice under a key; one is read."""
-    path = fresh_path(t.spark, "cache")
-    rows = t.embeddings.select((F.col("vec_id") % 100).cast("string").alias("key"), F.col("embedding").alias("vector"))
-    writers.cache_vectors(rows, path)
-    writers.cache_vectors(rows, path)
-    return readers.cached_vectors(t.spark, path).select("key", F.size("vector").alias("dim"))
+    """Vectors are cached, some of them again and turned round, some a third time and doubled; a run that was killed has no say. Then the cache is compacted."""
+    cache = writers.vector_cache(t.spark, fresh_path(t.spark, "cache"))
+    rows = t.embeddings.select(F.col("vec_id").cast("string").alias("key"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    writers.cache_vectors(rows, cache)
+    writers.cache_vectors(rows.where("id % 3 = 0").withColumn("vector", F.reverse("vector")), cache)
+    cache.append(rows.where("id % 5 = 0").select("key", F.transform("vector", lambda x: x * 0).alias("vector")), commit=False)
+    writers.cache_vectors(rows.where("id % 7 = 0").withColumn("vector", F.transform("vector", lambda x: x * 2)), cache)
+    cache.compact()
+    weighed = F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return cache.read().select("key", F.size("vector").alias("dim"), F.round(weighed, 6).alias("weighed"))
 
 
 # -- submissions, indexes, reports --------------------------------------------
@@ -253,10 +254,9 @@ def pending_videos(t: Tables) -> DataFrame:
     path, f = fresh_path(t.spark, "shards"), t.frames
     last = f.groupBy("video_id").agg(F.max("n").alias("last"))
     kept = f.join(last, "video_id").where(~((F.col("last") % 2 == 0) & (F.col("n") == F.col("last"))))
-    writers.video_shards(kept.select("video_id", "n", "emb"), path)
-    finite = F.forall("emb", lambda x: ~F.isnan(x))
-    shards = t.spark.read.parquet(path).groupBy("video_id").agg(F.count("emb").alias("vectors"), F.count("n").alias("ids"), F.max(F.size("emb")).alias("dim"), F.min(finite.cast("int")).cast("boolean").alias("finite"))
-    return frame_index.pending(f.groupBy("video_id").agg(F.count("*").alias("frames")), shards).select("video_id")
+    store = writers.video_shards(t.spark, path)
+    store.append(kept.select("video_id", "n", F.col("emb").alias("vector")))
+    return frame_index.pending(f.groupBy("video_id").agg(F.count("*").alias("frames")), store.units()).select("video_id")
 
 
 @query(sql("SELECT query_id, count(*) AS rows_kept, CAST(max(prov) AS INT) AS most FROM pool WHERE pool_rank <= 50 GROUP BY query_id", "pool"))
@@ -268,26 +268,25 @@ def trace_round_trip(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.count("*").alias("rows_kept"), F.max("prov").cast("int").alias("most"))
 
 
-@query("SELECT 'cap' AS setting, CAST(count(*) AS BIGINT) AS value FROM nation UNION ALL SELECT 'stages', 2")
+@query("SELECT source AS setting, count(*) AS value FROM documents GROUP BY source UNION ALL SELECT 'stages', 2")
 def report_round_trip(t: Tables) -> DataFrame:
+    """The report of a run over all documents: how many each source has, and the stages that were timed."""
     path = fresh_path(t.spark, "report")
-    report = writers.RunReport(cap=t.nation.count())
-    for stage in ("score", "pool"):
-        with report.stage(stage):
-            pass
-    report.write(t.spark, path)
-    got = t.spark.read.schema("settings struct<cap:bigint>, timing_s map<string,double>").json(path)
-    return got.select(F.explode(F.map_from_arrays(F.array(F.lit("cap"), F.lit("stages")), F.array("settings.cap", F.size("timing_s").cast("long")))).alias("setting", "value"))
+    report = writers.RunReport()
+    with report.stage("count"):
+        report.content["settings"] = {r["source"]: r["n"] for r in t.documents.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a handful of sources
+    with report.stage("write"):
+        report.write(t.spark, f"{path}/first")
+    report.write(t.spark, path + "/last")
+    got = t.spark.read.schema("settings map<string,bigint>, timing_s map<string,double>").json(path + "/last")
+    return got.select(F.explode(F.map_concat("settings", F.map_from_arrays(F.array(F.lit("stages")), F.array(F.size("timing_s").cast("long"))))).alias("setting", "value"))
 
 
-@query("SELECT 'n' || n_nationkey AS name, CAST(strlen(n_name) AS BIGINT) AS bytes, sha256(n_name) AS sha256, CASE n_nationkey % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverifiable' ELSE 'not_applicable' END AS status FROM nation")
+@query("SELECT 'n' || s_suppkey AS name, CAST(strlen(s_name) AS BIGINT) AS bytes, sha256(s_name) AS sha256, CASE s_suppkey % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverifiable' ELSE 'not_applicable' END AS status FROM supplier")
 def manifest_round_trip(t: Tables) -> DataFrame:
-    """A file for each nation; a third of the stated digests are right, a third wrong, a third missing."""
-    path = fresh_path(t.spark, "artifacts")
-    names = t.nation.orderBy("n_nationkey").collect()  # small files by name
-    for n in names:
-        put_bytes(t.spark, f"{path}/n{n['n_nationkey']}", n["n_name"].encode())
-    out = fresh_path(t.spark, "manifest")
+    """A file for each supplier; a third of the stated digests are right, a third wrong, a third missing."""
+    path, out = fresh_path(t.spark, "artifacts"), fresh_path(t.spark, "manifest")
+    files.write_files(t.supplier.select(F.concat(F.lit(f"{path}/n"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_name").alias("content")))
     writers.manifest(t.spark, path, out, "/nowhere")
     found = t.spark.read.schema("path string, bytes bigint, sha256 string, branch string, commit string").json(out)
     number = F.regexp_extract("path", r"/n(\d+)$", 1).cast("int")

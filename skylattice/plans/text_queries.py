@@ -176,6 +176,43 @@ def submission_violations(t: Tables) -> DataFrame:
     return submission.violations(tasks, answers, budget=5, bounds=bounds)
 
 
+_MIXED = """SELECT c_custkey AS k, CASE WHEN c_custkey % 29 = 0 THEN ' ' WHEN c_custkey % 31 = 0 THEN 'twin' ELSE 't' || c_custkey END AS task_id, CASE c_custkey % 3 WHEN 0 THEN 'kis' WHEN 1 THEN 'qa' ELSE 'trake' END AS task_type,
+    CASE WHEN c_custkey % 37 = 0 THEN 0 WHEN c_custkey % 3 = 2 OR c_custkey % 41 = 0 THEN 2 ELSE 1 END AS n_moments FROM customer"""
+_SAID = """SELECT k, task_id, task_type, n_moments, CAST(rank AS INT) AS rank, CASE WHEN (k + rank) % 43 = 0 THEN '' ELSE 'v' || k % 5 END AS video_id, rank * 10 + k % 90 AS f, CASE WHEN (k + rank) % 47 = 0 THEN -1 WHEN (k + rank) % 53 = 0 THEN NULL ELSE rank * 10 + k % 90 END AS f0,
+    CASE WHEN n_moments = 2 AND (k + rank) % 7 > 0 THEN rank * 10 + k % 90 + 5 - 20 * CAST((k + rank) % 11 = 0 AS INT) END AS f1, CASE WHEN (k + rank) % 13 = 0 THEN ' ' ELSE 'a' END AS answer, CASE WHEN k % 17 > 0 OR rank = 1 THEN 1.0::DOUBLE / rank END AS score
+    FROM (SELECT * FROM m WHERE task_id LIKE 't%' AND task_id <> 'twin'), (SELECT unnest([1, 2, 3]) AS rank) WHERE k % 19 > 0 OR rank < 3"""
+
+
+@query(
+    sql(
+        """SELECT task_id, CAST(NULL AS INT) AS rank, 'empty task id' AS rule FROM m WHERE trim(task_id) = '' UNION ALL SELECT task_id, NULL, 'moments below one' FROM m WHERE n_moments < 1 UNION ALL SELECT task_id, NULL, 'one moment only' FROM m WHERE task_type <> 'trake' AND n_moments <> 1
+        UNION ALL SELECT task_id, NULL, 'no answers' FROM m WHERE k NOT IN (SELECT k FROM s) UNION ALL SELECT task_id, NULL, 'scores missing' FROM s GROUP BY task_id HAVING count(score) BETWEEN 1 AND count(*) - 1 UNION ALL SELECT task_id, NULL, 'budget not used' FROM s GROUP BY task_id HAVING count(*) < 3
+        UNION ALL SELECT task_id, NULL, 'duplicate task id' FROM m GROUP BY task_id HAVING count(*) > 1 UNION ALL SELECT task_id, rank, 'empty video id' FROM s WHERE video_id = '' UNION ALL SELECT task_id, rank, 'wrong number of frames' FROM s WHERE n_moments <> 1 + CAST(f1 IS NOT NULL AS INT)
+        UNION ALL SELECT task_id, rank, 'frame missing' FROM s WHERE f0 IS NULL UNION ALL SELECT task_id, rank, 'negative frame' FROM s WHERE least(f0, f1) < 0 UNION ALL SELECT task_id, rank, 'frames not ascending' FROM s WHERE n_moments > 1 AND f1 IS NOT NULL AND (f0 IS NULL OR f1 < f0) AND NOT (f0 IS NULL AND false)
+        UNION ALL SELECT task_id, rank, 'answer missing' FROM s WHERE task_type = 'qa' AND trim(answer) = '' UNION ALL SELECT task_id, rank, 'unknown video' FROM s WHERE video_id IN ('', 'v4') UNION ALL SELECT task_id, rank, 'frame beyond end' FROM s WHERE video_id IN ('v0', 'v1', 'v2', 'v3') AND greatest(f0, f1) >= 100
+        UNION ALL SELECT task_id, rank, 'not a frame of the video' FROM s WHERE video_id = 'v2' AND (f0 IS NULL OR f0 % 2 <> 0 OR f0 NOT BETWEEN 0 AND 200 OR f1 % 2 <> 0 OR f1 NOT BETWEEN 0 AND 200)""",
+        m=_MIXED, s=_SAID,
+    )
+)
+def submission_rules(t: Tables) -> DataFrame:
+    """Customers as tasks of three kinds, with answers that break every other rule here and there."""
+    k, rank = F.col("k"), F.col("rank")
+    kind = F.when(k % 3 == 0, "kis").when(k % 3 == 1, "qa").otherwise("trake")
+    name = F.when(k % 29 == 0, " ").when(k % 31 == 0, "twin").otherwise(F.concat(F.lit("t"), k.cast("string")))
+    tasks = t.customer.select(F.col("c_custkey").alias("k")).select("k", name.alias("task_id"), kind.alias("task_type"), F.when(k % 37 == 0, 0).when((k % 3 == 2) | (k % 41 == 0), 2).otherwise(1).alias("n_moments"))
+    each = tasks.where("task_id like 't%' and task_id <> 'twin'").withColumn("rank", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where((k % 19 > 0) | (rank < 3))
+    f = (rank * 10 + k % 90).cast("int")
+    one = F.when((k + rank) % 47 == 0, -1).when((k + rank) % 53 == 0, F.lit(None)).otherwise(f)
+    two = F.when((F.col("n_moments") == 2) & ((k + rank) % 7 > 0), f + 5 - 20 * ((k + rank) % 11 == 0).cast("int"))
+    answers = each.select(
+        "task_id", "rank", F.when((k + rank) % 43 == 0, "").otherwise(F.concat(F.lit("v"), (k % 5).cast("string"))).alias("video_id"), F.when(two.isNull(), F.array(one)).otherwise(F.array(one, two)).alias("frames"),
+        F.when((k + rank) % 13 == 0, " ").otherwise("a").alias("answer"), F.when((k % 17 > 0) | (rank == 1), 1.0 / rank).alias("score"),
+    )
+    bounds = t.spark.range(4).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("video_id"), F.lit(100).alias("n_frames"))
+    valid = t.spark.range(101).select(F.lit("v2").alias("video_id"), (F.col("id") * 2).cast("int").alias("frame_idx"))
+    return submission.violations(tasks.drop("k"), answers, budget=3, full=True, bounds=bounds, valid=valid)
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS task_id, 'missing' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40) UNION ALL SELECT CAST(l_orderkey AS VARCHAR) || 'x', 'extra' FROM lineitem WHERE l_quantity > 49 GROUP BY l_orderkey")
 def missing_extra(t: Tables) -> DataFrame:
     expected = t.orders.select(F.col("o_orderkey").cast("string").alias("task_id"))
@@ -205,18 +242,24 @@ def _videos(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.col("o_custkey").cast("string").alias("video_id")).agg(F.count("*").alias("weight"))
 
 
-_LPT = """WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY weight DESC, video_id) AS i, video_id, weight FROM (SELECT CAST(o_custkey AS VARCHAR) AS video_id, count(*) AS weight FROM orders GROUP BY o_custkey)),
+_LPT = """WITH RECURSIVE w AS (SELECT CAST(o_custkey AS VARCHAR) AS video_id, count(*) AS weight FROM orders GROUP BY o_custkey), total AS (SELECT sum(weight) AS n FROM w),
+    v AS (SELECT row_number() OVER (ORDER BY weight DESC, video_id) AS i, video_id, weight FROM w, total WHERE weight * 1000 > n),
     deal AS (SELECT 0::BIGINT AS i, list_transform(range(10), lambda x: 0::BIGINT) AS loads, NULL::VARCHAR AS video_id, 0::BIGINT AS weight, 0::BIGINT AS slot
-    UNION ALL SELECT n.i, list_transform(n.loads, lambda x, k: CASE WHEN k = n.slot THEN x + n.weight ELSE x END), n.video_id, n.weight, n.slot FROM (SELECT v.i, d.loads, v.video_id, v.weight, CAST(list_position(d.loads, list_min(d.loads)) AS BIGINT) AS slot FROM deal d JOIN v ON v.i = d.i + 1) n)"""
+    UNION ALL SELECT n.i, list_transform(n.loads, lambda x, k: CASE WHEN k = n.slot THEN x + n.weight ELSE x END), n.video_id, n.weight, n.slot FROM (SELECT v.i, d.loads, v.video_id, v.weight, CAST(list_position(d.loads, list_min(d.loads)) AS BIGINT) AS slot FROM deal d JOIN v ON v.i = d.i + 1) n),
+    l AS (SELECT unnest(loads) AS load, unnest(range(10)) AS shard FROM deal WHERE i = (SELECT max(i) FROM deal)),
+    level AS (SELECT max_by(vol, m) AS vol, max(m) AS m FROM (SELECT row_number() OVER (ORDER BY load, shard) AS m, load, (SELECT coalesce(sum(weight), 0) FROM w, total WHERE weight * 1000 <= n) + sum(load) OVER (ORDER BY load, shard) AS vol FROM l) WHERE vol >= m * load),
+    room AS (SELECT shard, sum(greatest(0, vol - m * load)) OVER (ORDER BY shard) AS til FROM l, level),
+    light AS (SELECT video_id, weight, (sum(weight) OVER (ORDER BY video_id) - weight) * m AS begin FROM w, total, level WHERE weight * 1000 <= n),
+    dealt AS (SELECT video_id, weight, CAST(slot - 1 AS INT) AS shard FROM deal WHERE i > 0 UNION ALL SELECT video_id, weight, CAST((SELECT count(*) FROM room WHERE til <= begin) AS INT) FROM light)"""
 
 
-@query(f"{_LPT} SELECT video_id, weight, CAST(slot - 1 AS INT) AS shard FROM deal WHERE i > 0")
+@query(f"{_LPT} SELECT video_id, weight, shard FROM dealt")
 def lpt_shards(t: Tables) -> DataFrame:
     return planning.deal(_videos(t), 10)
 
 
 @query(
-    f"""{_LPT} SELECT 10::BIGINT AS shards, min(x) AS least, max(x) AS most, avg(x) AS mean, round(max(x) / avg(x), 9) AS imbalance, round(4.0 / 3 - 1.0 / 30, 9) AS bound FROM (SELECT unnest(loads) AS x FROM deal WHERE i = (SELECT max(i) FROM deal))"""
+    f"""{_LPT} SELECT 10::BIGINT AS shards, min(x) AS least, max(x) AS most, avg(x) AS mean, round(max(x) / avg(x), 9) AS imbalance, round(4.0 / 3 - 1.0 / 30, 9) AS bound FROM (SELECT CAST(sum(weight) AS BIGINT) AS x FROM dealt GROUP BY shard)"""
 )
 def shard_report(t: Tables) -> DataFrame:
     found = planning.shard_report(planning.deal(_videos(t), 10), 10)

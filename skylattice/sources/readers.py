@@ -108,26 +108,6 @@ def query_files(spark: SparkSession, path: str, depth: int = 0) -> DataFrame:
     return rows.withColumn("kind", query_kind(F.col("query_id"), F.col("text")))
 
 
-def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, n, archive, member) of keyframes in zip archives, from their directories alone."""
-    import io
-    import re
-    import zipfile
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    form = re.compile(r"([^/]+)/(\d+)\.(?:webp|jpe?g|png)$", re.I)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for archive, content in zip(b["path"], b["content"], strict=True):
-                found = [(m[1], int(m[2]), archive, name) for name in zipfile.ZipFile(io.BytesIO(content)).namelist() if (m := form.search(name))]
-                yield pd.DataFrame(found, columns=["video_id", "n", "archive", "member"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "video_id string, n int, archive string, member string")
-
-
 def image_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(video_id, n, path): for each keyframe the file of the first root that has it."""
     found = None
@@ -163,11 +143,6 @@ def shot_truth(spark: SparkSession, path: str) -> DataFrame:
     return shot("positive_shots", 2).unionByName(shot("partial_shots", 1)).groupBy("query_id", "query_type", "shot_id").agg(F.max("relevance").alias("relevance"))
 
 
-def cached_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(key, vector): vectors of texts by a digest of the text; of a key that repeats, any one."""
-    return spark.read.parquet(path).dropDuplicates(["key"])
-
-
 def latest(rows: DataFrame, key: list[str], by: str) -> DataFrame:
     """One row for each key: the last by `by`."""
     order = Window.partitionBy(*key).orderBy(F.col(by).desc())

@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _own: list[str] = []
 _written: dict[str, tuple[SparkSession, list[str]]] = {}
@@ -57,15 +56,12 @@ def _at_exit(spark: SparkSession) -> None:
 
 
 def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
-    """One small file by name, wherever the path is."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    """One small file by name, wherever the path is; it appears whole, and one that is there is replaced."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    part, whole = hadoop.Path(f"{path}.part"), hadoop.Path(path)
+    fs = whole.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
     out.write(content)
     out.close()
-
-
-def blocks(df: DataFrame, keys: list[str], most: int = SMALL) -> list[DataFrame]:
-    """df in parts of about `most` rows or fewer, each marked to be sent to every task: its size has been counted."""
-    n = -(-df.count() // most)
-    parts = [df] if n <= 1 else [df.where(F.pmod(F.xxhash64(*keys), F.lit(n)) == i) for i in range(n)]
-    return [F.broadcast(p) for p in parts]
+    fs.delete(whole, False)
+    fs.rename(part, whole)

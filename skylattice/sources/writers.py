@@ -9,7 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.models import shard_stats
 from ..operators.submission import payload, require, violations
+from .versions import Versions
 
 
 def submission_csv(answers: DataFrame, path: str) -> None:
@@ -33,19 +35,26 @@ def frame_index(frames: DataFrame, path: str) -> None:
     wide.repartitionByRange("video_id", "n").sortWithinPartitions("video_id", "n").write.mode("overwrite").parquet(path)
 
 
-def video_shards(vectors: DataFrame, path: str) -> None:
-    vectors.write.mode("append").partitionBy("video_id").parquet(path)
+def video_shards(spark: SparkSession, path: str) -> Versions:
+    """Stored vectors(video_id, n, vector) by video, which models.encode_pending fills."""
+    return Versions(spark, path, "video_id string", ["video_id", "n"], shard_stats())
 
 
 def rerank_trace(rows: DataFrame, path: str) -> None:
-    """Pool rows with base, model scores, agreement and provenance, by query."""
+    """Pool rows with base, model scores, agreement and provenance, in ranges of query and row: a query's rows are in few row groups, without a folder each."""
     if bad := [c for c in ("query_id", "row_id", "base", "prov") if c not in rows.columns]:
         raise ValueError(f"trace lacks {bad}")
-    rows.write.mode("overwrite").partitionBy("query_id").parquet(path)
+    rows.repartitionByRange("query_id", "row_id").sortWithinPartitions("query_id", "row_id").write.mode("overwrite").parquet(path)
 
 
-def cache_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.select("key", "vector").write.mode("append").parquet(path)
+def vector_cache(spark: SparkSession, path: str) -> Versions:
+    """Vectors of texts by a digest of the text: of a key, what was written last."""
+    return Versions(spark, path, "key string")
+
+
+def cache_vectors(vectors: DataFrame, cache: Versions) -> None:
+    """vectors(key, vector) into the cache; of a key that comes twice at once, the greater vector."""
+    cache.append(vectors.groupBy("key").agg(F.max("vector").alias("vector")))
 
 
 class RunReport:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.operators import coverage, frame_index, fusion, intervals, lexical, nearest, planning, pooling, rerank, scoring, sequence, submission
+from skylattice.operators import coverage, frame_index, fusion, intervals, lexical, matrix, nearest, planning, pooling, rerank, scoring, sequence, submission
 
 FRAMES = [("A", 1, 0), ("A", 2, 1), ("A", 3, 2), ("B", 1, 3)]
 
@@ -30,13 +30,60 @@ def listed(spark, **sources):
 
 def test_text_source(spark, frames):
     texts = spark.createDataFrame([(0, "con meo trang nam tren ghe"), (2, "con cho den chay ngoai san"), (3, "con meo den"), (1, "  ")], "row_id long, text string")
-    got = {r.row_id: r for r in lexical.text_source(frames, texts, probe(spark, "mèo"), "x").collect()}
+    vectors = lambda p: p.withColumn("vector", F.array(F.lit(1.0)))
+    shown = lambda p: matrix.ScoreMatrix(frames.select("row_id", "video_id", F.array(F.lit(1.0)).alias("emb")), vectors(p), {"x": lexical.text_source(texts, p, "x")}, visual=None)
+    got = {r.row_id: r for r in shown(probe(spark, "mèo")).scores().collect()}
     assert [got[i].covered for i in range(4)] == [True, False, True, True]
     assert got[0].score > 0 and got[1].score == got[2].score == 0 and got[3].score > 0
-    blank = lexical.text_source(frames, texts, probe(spark, " "), "x").collect()
+    blank = shown(probe(spark, " ")).scores().collect()
     assert {r.score for r in blank} == {0} and sum(r.covered for r in blank) == 3
 
 
+def test_matrix_equals_the_long_table(spark):
+    """Moments, nominations, pool rows and fused scores against plans over every cell."""
+    rng = np.random.default_rng(4)
+    emb, vectors = rng.normal(size=(200, 6)), rng.normal(size=(7, 6))
+    emb[:40] = emb[0]  # ties
+    vectors[3] = 0  # nothing varies
+    f = spark.createDataFrame([(i, f"v{i % 5}", e.tolist()) for i, e in enumerate(emb)], "row_id long, video_id string, emb array<double>").repartition(3)
+    q = spark.createDataFrame([(i // 2, i % 2, v.tolist()) for i, v in enumerate(vectors)], "query_id long, probe_idx int, vector array<double>")
+    cells = [(i // 2, i % 2, r, round(float(rng.integers(1, 6)), 1)) for i in range(7) for r in sorted(rng.choice(120, 25, replace=False).tolist()) if i != 5]
+    hits = spark.createDataFrame(cells, "query_id long, probe_idx int, row_id long, score double")
+    text = lexical.Sparse(hits, spark.createDataFrame([(r,) for r in range(150)], "row_id long"))
+    empty = lexical.Sparse(hits.where("false"), hits.select("row_id").where("false"))
+    m = matrix.ScoreMatrix(f, q, {"ocr": text, "asr": empty})
+    found = {(c[0], c[1], c[2]): c[3] for c in cells}
+    long = [(i // 2, i % 2, "visual", r, round(float(emb[r] @ vectors[i]), 9), True) for i in range(7) for r in range(200)]
+    long += [(i // 2, i % 2, s, r, found.get((i // 2, i % 2, r), 0.0) if s == "ocr" else 0.0, r < 150 and s == "ocr") for s in ("ocr", "asr") for i in range(7) for r in range(200)]
+    plain = spark.createDataFrame(long, "query_id long, probe_idx int, source string, row_id long, score double, covered boolean")
+    key = lambda r: (r.query_id, r.probe_idx, r.source, r.row_id, round(r.score, 8), r.covered, round(r.z, 6) + 0.0)
+    every = sorted(map(key, m.scores().collect()))
+    assert every == sorted(map(key, fusion.z_normalize(plain).collect()))
+    for quota in ((5, 2), (40, None), (3, 1)):
+        names = lambda df: {(r.query_id, r.probe_idx, r.source, r.row_id, r.nth) for r in df.collect()}
+        assert names(m.nominated(*quota)) == names(pooling.nominate(plain, f, *quota))
+    weights = {"visual": 1.0, "ocr": 0.5, "asr": 0.25}
+    sums = lambda df: {(r.query_id, r.probe_idx, r.row_id): round(r.s, 6) + 0.0 for r in df.collect()}
+    want = sums(fusion.fuse(plain, weights))
+    assert sums(m.fused(weights)) == want
+    some = spark.createDataFrame([(0, 3), (0, 199), (1, 10), (3, 0), (9, 1)], "query_id long, row_id long")
+    assert sums(m.fused_rows(some, weights)) == {k: v for k, v in want.items() if (k[0], k[2]) in {(0, 3), (0, 199), (1, 10), (3, 0)}}
+    assert {r.source: round(r.coverage, 6) for r in m.coverage().collect()} == {"visual": 1.0, "ocr": 0.75, "asr": 0.0}
+    assert sums(m.fused(weights | {"visual": 0.0})) == sums(fusion.fuse(plain, weights | {"visual": 0.0}))
+    with pytest.raises(ValueError, match="no weight"):
+        m.fused({"visual": 1.0})
+
+
+def test_pools_write_no_matrix(spark):
+    """No stage of a pool's plan has a row for each frame and probe."""
+    f = spark.range(5000).select(F.col("id").alias("row_id"), F.concat(F.lit("v"), F.col("id") % 50).alias("video_id"), F.array(F.sin("id"), F.cos("id")).alias("emb"))
+    q = spark.range(60).select(F.col("id").alias("query_id"), F.lit(0).alias("probe_idx"), F.array(F.cos("id"), F.sin("id")).alias("vector"))
+    m = matrix.ScoreMatrix(f, q, {})
+    assert m.nominated(10, 3).count() == 600
+    assert nearest.best_rows(f, q, 10, 3, 0.0).count() <= 600 * f.rdd.getNumPartitions()
+    assert nearest.folded(f, q).count() <= 60 * f.rdd.getNumPartitions()
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([(str(i), "alpha" if i < 3 else "beta") for i in range(10)], "doc string, text string")
     index = lexical.build(docs)
@@ -51,8 +98,44 @@ def test_bm25(spark):
 
 
 def test_index_files(spark, tmp_path):
-    index = lexical.build(spark.createDataFrame([("a", "x y"), ("b", "y")], "doc string, text string")).write(str(tmp_path))
-    assert {r.doc for r in lexical.search(index, probe(spark, "y")).collect()} == {"a", "b"}
+    lexical.build(spark.createDataFrame([("a", "x y"), ("b", "y")], "doc string, text string"), str(tmp_path))
+    assert {r.doc for r in lexical.search(lexical.read_index(spark, str(tmp_path)), probe(spark, "y")).collect()} == {"a", "b"}
+
+
+def _many(rng, n):
+    """Texts that all have one token, and others of any rarity."""
+    return [(i, " ".join(["the"] + rng.choices([f"w{j}" for j in range(400)], weights=[1 / (j + 1) for j in range(400)], k=rng.randint(1, 40)))) for i in range(n)]
+
+
+def test_hot_token_spreads(spark):
+    """A token in every document is a row a bucket, in many partitions; none of its blocks is large."""
+    index = lexical.build(spark.createDataFrame(_many(random.Random(3), 3000), "doc long, text string"), block_docs=100)
+    hot = index.blocks.where("token = 'the'")
+    assert hot.count() == 30 and hot.agg(F.sum("n")).first()[0] == 3000 and hot.agg(F.max("n")).first()[0] < 200
+    assert index.blocks.where("token = 'the'").select(F.input_file_name()).distinct().count() >= 1
+    assert index.terms.where("token = 'the'").first().df == 3000
+
+
+@pytest.mark.parametrize("small", [50_000, 0])
+def test_search_top_equals_all_hits(spark, monkeypatch, small):
+    rng = random.Random(4)
+    index = lexical.build(spark.createDataFrame(_many(rng, 2000), "doc long, text string"), block_docs=40)
+    asked = [(i, 0, " ".join(rng.sample([f"w{j}" for j in range(400)], rng.choice([1, 2, 5, 20])) + ["the"] * (i % 2))) for i in range(25)] + [(90, 0, "w399 w398"), (91, 0, ""), (92, 0, "unknown"), (93, 0, "the")]
+    probes = spark.createDataFrame(asked, "query_id long, probe_idx int, text string")
+    monkeypatch.setattr(lexical, "SMALL", small)
+    key = lambda r: (r.query_id, r["rank"], r.doc, round(r.score, 7))
+    every = lexical.search(index, probes).withColumn("score", F.round("score", 9))
+    assert sorted(map(key, lexical.search_top(index, probes, 5).collect())) == sorted(map(key, lexical.best_hits(every, 5).collect()))
+
+
+def test_search_top_skips_buckets(spark, monkeypatch):
+    """A rare token's floor keeps the other token's buckets shut."""
+    rows = [(i, "common " + ("rare " * 3 if i in (7, 70) else "") + f"u{i}") for i in range(2000)]
+    index = lexical.build(spark.createDataFrame(rows, "doc long, text string"), block_docs=40)
+    looked, real = [], lexical._scored
+    monkeypatch.setattr(lexical, "_scored", lambda met, *a: looked.append(met.select("bucket").distinct().count()) or real(met, *a))
+    best = lexical.search_top(index, spark.createDataFrame([(1, 0, "rare common")], "query_id long, probe_idx int, text string"), 2).collect()
+    assert {r.doc for r in best} == {7, 70} and sum(looked) < 20
 
 
 def values(df, name="z"):
@@ -121,8 +204,13 @@ def test_nearest(spark):
     q = spark.createDataFrame([(0, 0, [1.0, 0.0])], "query_id int, probe_idx int, vector array<float>")
     top = nearest.top_k(nearest.visual_source(f, q), 9).orderBy("rank").collect()
     assert top[0].row_id == 0 and top[-1].row_id == 3 and top[-1].score < 0
-    scan = nearest.scan_top_k(f, np.array([[1.0, 0.0]]), [0], 2).orderBy("rank").collect()
+    scan = nearest.scan_top_k(f, q, 2).orderBy("rank").collect()
     assert [r.row_id for r in scan] == [0, 2]
+    many = spark.createDataFrame([(i, 0, [float(i), 1.0]) for i in range(9)], "query_id int, probe_idx int, vector array<double>")
+    blocks = list(nearest.probe_blocks(many, 40))
+    assert sorted(int(x) for b in blocks for x in b.query) == list(range(9)) and len(blocks) > 1
+    with pytest.raises(Exception, match="differ in length"):
+        nearest.scan_top_k(f, many.withColumn("vector", F.array(F.lit(1.0))), 2).collect()
     with pytest.raises(ValueError):
         nearest.top_k(f, 0)
 
@@ -138,6 +226,40 @@ def test_intervals(spark, frames):
     assert sorted((r.row_id, r.text) for r in got.collect()) == want
 
 
+def test_long_spans_have_few_copies(spark):
+    """A span of days beside short ones: every pair is found once, and the span is no row for each cell it touches."""
+    rng = random.Random(12)
+    points = [(i, "A", float(rng.randint(-200_000, 4 * 86_400_000))) for i in range(80)] + [(99, "A", 0.0)]
+    spans = [("A", s := rng.randint(-300_000, 4 * 86_400_000), s + rng.choice([0, 500, 30_000, 3_600_000, 86_400_000]), f"t{i}") for i in range(60)] + [("A", -250_000, 4 * 86_400_000, "all"), ("A", 5, 4, "none")]
+    p = spark.createDataFrame(points, "row_id long, video_id string, ts_ms double")
+    s = spark.createDataFrame(spans, "video_id string, start_ms long, end_ms long, text string")
+    got = intervals.overlap_join(p, s, 700, 1900)
+    want = sorted((p[0], s[3]) for p in points for s in spans if s[1] <= s[2] and s[2] >= p[2] - 700 and s[1] <= p[2] + 1900)
+    assert sorted((r.row_id, r.text) for r in got.collect()) == want
+    nodes = spark.sql("SELECT CAST(-7 AS BIGINT) AS a, CAST(100000 AS BIGINT) AS z").select(intervals._nodes("a", "z", 16).alias("n")).first().n
+    covered = [c for x in nodes for c in range(x.at << x.level, (x.at + 1) << x.level)]
+    assert sorted(covered) == list(range(-7, 100_001)) and len(nodes) <= 34
+
+
+def test_asof_of_one_key_in_many_tasks(spark):
+    rng = random.Random(13)
+    shots = [("A", s, s + rng.randint(0, 30), i) for i, s in enumerate(sorted(rng.sample(range(100, 3000), 60)))]
+    at = [("A", rng.randint(0, 3200)) for _ in range(400)] + [(None, 5)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = intervals.asof_join(spark.createDataFrame(at, "v string, f int"), spark.createDataFrame(shots, "v string, s int, e int, shot int"), "v", "f", "s", "e")
+        assert found.where("v = 'A'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        got = sorted((r.f, r.shot if r.shot is not None else -1) for r in found.where("v = 'A'").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = []
+    for k, f in at[:-1]:
+        last = [x for x in shots if x[1] <= f]
+        want.append((f, last[-1][3] if last and f <= last[-1][2] else -1))
+    assert got == sorted(want) and found.where("v is null").first().shot is None
+
+
 def test_asof(spark):
     shots = spark.createDataFrame([("A", 0, 10, 1), ("A", 20, 30, 2), ("B", 5, 6, 3)], "v string, s int, e int, shot int")
     at = spark.createDataFrame([("A", f) for f in (0, 10, 15, 20, 99)] + [("B", 4), ("B", 6), ("C", 1)], "v string, f int")
@@ -155,6 +277,22 @@ def path(spark, s, times, lam=0.0):
     return (tuple(got[0].path), got[0].score) if got else None
 
 
+@pytest.mark.parametrize("n,lam", [(1, 0.0), (2, 0.5), (3, 0.0), (4, 0.25)])
+def test_chunks_of_one_video_give_its_best_path(spark, n, lam):
+    """Whole scores and quarter seconds, so sums are exact and ties are many."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for seed in range(4):
+            rng = random.Random(seed)
+            rows = [(0, v, i, rng.randint(0, 40) * 250.0, *[None if rng.random() < 0.1 else float(rng.randint(0, 4)) for _ in range(n)]) for v, k in (("A", 60), ("B", n), ("C", n - 1), ("D", 15)) for i in range(k)]
+            df = spark.createDataFrame(rows, ", ".join(["query_id int, video_id string, row_id long, ts_ms double", *(f"s{i} double" for i in range(n))]))
+            got = {r.video_id: (r.score, r.path) for r in sequence.best_paths_in_chunks(df, n, lam).collect()}
+            assert got == {r.video_id: (r.score, r.path) for r in sequence.best_paths(df, n, lam).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_best_paths(spark):
     s, t = [[9, 0, 5, 0], [0, 9, 0, 5]], [0, 100_000, 200_000, 201_000]
     assert path(spark, s, t)[0] == (0, 1) and path(spark, s, t, 0.5)[0] == (2, 3)
@@ -261,6 +399,13 @@ def test_bootstrap(spark):
     pairs = spark.createDataFrame([("x", i, 0.1 if i % 3 else -0.1) for i in range(90)], "arm string, query_id int, delta double")
     (r,) = scoring.bootstrap_difference(pairs, rounds=500).collect()
     assert r.lo < r.mean < r.hi and r.wins == 60 and r.losses == 30
+    again = scoring.bootstrap_difference(pairs.repartition(7), rounds=500).first()
+    assert again.lo == pytest.approx(r.lo) and again.hi == pytest.approx(r.hi)
+    w = np.array([scoring.copies(0, q, 2000) for q in range(300)])
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    means = (w * np.array([0.1 if i % 3 else -0.1 for i in range(300)])[:, None]).sum(axis=0) / w.sum(axis=0)
+    assert abs(means.std() - 0.0943 / 300**0.5) < 0.0006
+    assert scoring.bootstrap_difference(pairs.where("false"), rounds=8).count() == 0
 
 
 def test_best_tuples_lead_the_k_best(spark):
@@ -324,6 +469,22 @@ def test_planning(spark):
         planning.deal(videos.withColumn("weight", F.lit(0)), 2)
 
 
+def test_light_videos_are_laid_end_to_end(spark):
+    """Heavy ones greedily, light ones by sums of ranges: every video once, and no shard above the level by more than a light video."""
+    rng = random.Random(5)
+    for shards, heavy, light in ((7, [5000, 4000, 900], 3000), (3, [], 2000), (5, [10**6], 500), (1, [7], 90)):
+        weights = heavy + [rng.randint(1, 9) for _ in range(light)]
+        videos = spark.createDataFrame([(f"v{i}", w) for i, w in enumerate(weights)], "video_id string, weight long")
+        dealt = planning.deal(videos, shards)
+        rows = dealt.collect()
+        assert sorted((r.video_id, r.weight) for r in rows) == sorted((f"v{i}", w) for i, w in enumerate(weights))
+        loads = [sum(r.weight for r in rows if r.shard == s) for s in range(shards)]
+        fair = max(sum(weights) / shards, max(weights))
+        assert max(loads) <= fair + max(9, sum(weights) / shards / planning.HEAVY) and all(0 <= r.shard < shards for r in rows)
+        assert "SinglePartition" not in dealt.where("shard = 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert planning.water_level([5, 1, 9], 3) == (4, 1) and planning.water_level([5, 1, 9], 5) == (11, 2) and planning.water_level([0, 0], 0) == (0, 2)
+
+
 def test_frame_index(spark, tmp_path):
     h = 2**-0.5
     rows = [("V2", 5, [0.0, 1.0, 0.0]), ("V1", 3, [0.0, 0.0, 1.0]), ("V1", 1, [1.0, 0.0, 0.0]), ("V2", 2, [h, h, 0.0])]

@@ -53,9 +53,31 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def _schemas(df):
+    """Columns that a plan's scans read."""
+    import re
+
+    return re.findall(r"ReadSchema: struct<([^\n]*)>", df._jdf.queryExecution().executedPlan().toString())
+
+
 def test_plan_prunes(spark):
-    plan = catalog.QUERIES["fold_tokenize"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    """Scans read the columns that a query needs: texts, vectors for scans alone, postings without their entries for bounds."""
+    from skylattice.operators import lexical, nearest
+    from skylattice.plans.binding import Tables
+    from skylattice.plans.retrieval_queries import _index
+
+    assert _schemas(catalog.QUERIES["fold_tokenize"](spark, SF)) == ["doc_id:bigint,text:string"]
+    t = Tables(spark, SF)
+    best = nearest.best_rows(t.frames, t.asked, 5)
+    assert all(s == "row_id:bigint,emb:array<float>" for s in _schemas(best))
+    index, asked = _index(t), t.benchmark.selectExpr("item_id AS query_id", "0 AS probe_idx", "text")
+    known = lexical._asked(index, asked, False)
+    bounds = lexical._meet(known, 1, index.blocks.drop("entries")).select("bucket", "most_tf")
+    assert any("most_tf" in s and "entries" not in s for s in _schemas(bounds))
+    moments = nearest.folded(t.frames, t.asked)
+    assert all(s == "emb:array<float>" for s in _schemas(moments))
+    pool = catalog.QUERIES["pool_quota"](spark, SF)
+    assert pool.columns == ["query_id", "source", "row_id", "nth"] and not any("emb" in s for s in _schemas(pool))
 
 
 def test_whole_texts_reach_the_operators(spark, con):

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.sources import readers, writers
+from skylattice.sources import files, readers, writers
 
 
 def put(path, text):
@@ -59,7 +59,8 @@ def test_truth_archives_images(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z/k.zip", "w") as z:
         z.writestr("keyframes/A/012.webp", b"x")
         z.writestr("readme.txt", b"x")
-    assert [(r.video_id, r.n) for r in readers.archive_members(spark, str(tmp_path / "z/*.zip")).collect()] == [("A", 12)]
+    for where in ("z/*.zip", "z", "z/k.zip"):
+        assert [(r.video_id, r.n, r.member) for r in files.archive_members(spark, str(tmp_path / where)).collect()] == [("A", 12, "keyframes/A/012.webp")]
     for root in ("r1", "r2"):
         put(tmp_path / root / "A/001.webp", root)
     put(tmp_path / "r2/A/002.webp", "r2")
@@ -91,8 +92,43 @@ def test_sinks(spark, tmp_path):
     frames = spark.createDataFrame([("A", 1, [1.0, 0.0])], "video_id string, n int, emb array<float>")
     writers.frame_index(frames, str(tmp_path / "idx"))
     assert spark.read.parquet(str(tmp_path / "idx")).columns[-1] == "emb_head"
-    writers.cache_vectors(spark.createDataFrame([("k", [1.0]), ("k", [1.0])], "key string, vector array<float>"), str(tmp_path / "cache"))
-    assert readers.cached_vectors(spark, str(tmp_path / "cache")).count() == 1
+
+
+def test_archive_directories_are_read_by_seek(spark, tmp_path):
+    """However large its members, the end and the directory of an archive are all that is read."""
+
+    class Counted:
+        def __init__(self, path):
+            self.f, self.n = open(path, "rb"), 0
+
+        def read(self, *a):
+            got = self.f.read(*a)
+            self.n += len(got)
+            return got
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+    read = []
+    for size in (10, 20_000_000):
+        with zipfile.ZipFile(tmp_path / f"{size}.zip", "w") as z:
+            for n in range(50):
+                z.writestr(f"keyframes/V/{n:03d}.jpg", b"x" * (size // 50))
+        f = Counted(tmp_path / f"{size}.zip")
+        assert [m[1] for m in files.keyframes(f, "a")] == list(range(50))
+        read.append(f.n)
+    assert read[1] < read[0] + 2000 < 100_000
+    df = files.archive_members(spark, f"file://{tmp_path}/*.zip")
+    assert df.count() == 100 and df.rdd.getNumPartitions() == 2
+
+
+def test_archives_written_by_tasks(spark, tmp_path):
+    rows = [(f"file://{tmp_path}/d/{a}.zip", f"{a}/{n:03d}.png", bytes([n])) for a in "AB" for n in range(30)]
+    assert files.write_archives(spark.createDataFrame(rows, "archive string, member string, content binary")) == 2
+    with zipfile.ZipFile(tmp_path / "d/A.zip") as z:
+        assert z.namelist() == [f"A/{n:03d}.png" for n in range(30)] and z.read("A/007.png") == b"\x07"
+    assert files.archive_members(spark, f"file://{tmp_path}/d").count() == 60
+    assert sorted(p.name for p in (tmp_path / "d").iterdir()) == ["A.zip", "B.zip"]
 
 
 def test_every_cell_of_an_answer(spark, tmp_path):
