@@ -106,25 +106,27 @@ class Best:
     def __init__(self, probes: int, k: int, per_video: int | None):
         self.k, self.per_video = k, per_video
         self.floor = np.full(probes, -np.inf)
-        self.held: list[tuple[np.ndarray, ...]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object))] * probes
+        self.held: list[tuple[np.ndarray, ...]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * probes
+        self.numbers: dict[str, int] = {}
 
     def add(self, scores: np.ndarray, rows: np.ndarray, videos: np.ndarray | None, least: float) -> None:
         """scores: a line for each probe. Those that do not exceed `least` are passed over.
 
         What the quota cuts here it would cut among all rows: whoever is ahead of a row here is matched by as many of the same video there."""
+        named = np.zeros(len(rows), np.int64) if videos is None else np.fromiter((self.numbers.setdefault(v, len(self.numbers)) for v in videos), np.int64, len(rows))
         for i, line in enumerate(scores):
             some = np.flatnonzero((line >= self.floor[i]) & (line > least))
             if not len(some):
                 continue
             s, r, v = self.held[i]
             s, r = np.concatenate([s, line[some]]), np.concatenate([r, rows[some]])
-            v = np.concatenate([v, videos[some]]) if videos is not None else np.zeros(len(r), object)
+            v = np.concatenate([v, named[some]])
             order = np.lexsort((r, -s))
             if self.per_video is not None:
-                _, named = np.unique(v[order].astype(str), return_inverse=True)
-                by_video = np.argsort(named, kind="stable")
+                by_video = np.argsort(v[order], kind="stable")
+                own = v[order][by_video]
                 nth = np.empty(len(order), np.int64)
-                nth[by_video] = np.arange(len(order)) - np.searchsorted(named[by_video], named[by_video])
+                nth[by_video] = np.arange(len(order)) - np.searchsorted(own, own)
                 order = order[nth < self.per_video]
             order = order[: self.k]
             self.held[i] = s[order], r[order], v[order]

@@ -95,7 +95,7 @@ def token_scores(inputs: DataFrame, load: Callable[[], TokenModel], batch: int =
     its rows have no score and the others keep theirs, as do rows whose share is no number. Of rows that come twice the last by `seq` counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, at = None, []
+        model, at, failures = None, [], 0
         for b in batches:
             for lo in range(0, b.num_rows, batch):
                 if model is None:
@@ -110,10 +110,14 @@ def token_scores(inputs: DataFrame, load: Callable[[], TokenModel], batch: int =
                     if len(share) != part.num_rows:
                         raise ValueError(f"{len(share)} scores for {part.num_rows} rows")
                 except Exception as failed:
-                    print(f"a batch of {part.num_rows} rows has no scores: {failed!r}", file=sys.stderr)
+                    failures += 1
+                    if failures == 1:  # the others of this task are counted
+                        print(f"a batch of {part.num_rows} rows has no scores: {failed!r}", file=sys.stderr)
                     continue
                 keep = pa.array(np.isfinite(share))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)).filter(keep) for c in key), pa.array(share[np.isfinite(share)])], [*key, "score"])
+        if failures > 1:
+            print(f"{failures} batches have no scores", file=sys.stderr)
 
     key = ["query_id", "probe_idx", "row_id", "seq"]
     rows = inputs.select(F.col("query_id").cast("long").alias("query_id"), F.col("probe_idx").cast("int").alias("probe_idx"), F.col("row_id").cast("long").alias("row_id"), F.col("seq").cast("long").alias("seq"), *[c for c in inputs.columns if c not in key])

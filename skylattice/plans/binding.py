@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals, lexical, matrix, nearest
+from ..sources.shipping import ship
 from ..sources.staging import fresh_path, staged
 
 _built: dict[tuple, object] = {}
@@ -25,6 +26,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        ship(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

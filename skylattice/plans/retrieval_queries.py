@@ -140,7 +140,7 @@ def bm25_params_asr(t: Tables) -> DataFrame:
 
 @query(sql("SELECT query_id, row_id, round(score, 6) AS score, covered FROM ocr", "ocr"))
 def text_source(t: Tables) -> DataFrame:
-    one = matrix.ScoreMatrix(t.frames, t.asked, {"ocr": t.text_source("ocr")}, visual=None)
+    one = matrix.ScoreMatrix(t.frames, t.asked, {"ocr": t.text_source("ocr")}, visual=None, digits=12)
     return one.scores().select("query_id", "row_id", F.round("score", 6).alias("score"), "covered")
 
 

@@ -44,7 +44,8 @@ def shot_ids(spark: SparkSession, path: str) -> DataFrame:
 def frame_table(spark: SparkSession, path: str, depth: int = 0) -> DataFrame:
     """All columns of the frame CSVs and the video_id from the file's name, or that of a folder above it (depth 1); byte-order marks and blank lines are skipped.
 
-    The header is matched by name in each file, so column order may differ."""
+    The header is matched by name in each file, so column order may differ. A file is one value while its lines are split: it is the table of one
+    video, and may have up to 2 GB."""
     names = [c.split()[0] for c in FRAMES.split(", ")]
     lines = spark.read.text(path, wholetext=True).select(_stem(depth).alias("video_id"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
     lines = lines.withColumn("lines", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""))
@@ -119,7 +120,9 @@ def image_files(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def submission_files(spark: SparkSession, path: str, depth: int = 0) -> DataFrame:
-    """(task_id, rank, video_id, frames, answer): numeric cells are frames, a last cell that isn't a number is an answer."""
+    """(task_id, rank, video_id, frames, answer): numeric cells are frames, a last cell that isn't a number is an answer.
+
+    A file is one value while its lines are split: it holds one task's answers, some hundred lines."""
     rows = spark.read.text(path, wholetext=True).select(_stem(depth).alias("task_id"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
     quoted = F.regexp_extract("line", r'^[^"]*,"((?:[^"]|"")*)"\s*$', 1)
     bare = F.when(quoted != "", F.regexp_replace("line", r',"(?:[^"]|"")*"\s*$', "")).otherwise(F.col("line"))
