@@ -41,13 +41,15 @@ def cut_offsets(cuts: DataFrame, unit: str = CODE_POINT) -> DataFrame:
     """(key, offsets): the code points before each cut, for every different key of cuts(key, text, ordinals array<long>).
 
     An ordinal asks for the place after so many units; 0 is the beginning. Equal keys have equal texts
-    and ordinals; repeated ones are looked at once, and go before they are shuffled. Only block rows, with the text of those that hold a cut, are shuffled.
+    and ordinals; repeated ones are looked at once, and go before they are shuffled. Only the lengths of blocks, and the text of those that hold a cut, are shuffled.
     A key without an ordinal above 0 has no row."""
-    asked = cuts.select("key", F.posexplode("ordinals").alias("which", "ordinal")).where("ordinal > 0")
-    asked = asked.select("key", "which", F.expr(f"(ordinal - 1) div {BLOCK}").alias("within"), ((F.col("ordinal") - 1) % BLOCK).alias("last")).distinct()
-    held = F.transform("ordinals", lambda o: F.floor((o - 1) / F.lit(BLOCK)))
-    rows = cuts.select("key", held.alias("held"), F.posexplode(_blocks(F.col("text"), unit)).alias("block", "piece"))
-    rows = rows.select("key", F.col("block").cast("long").alias("block"), F.length("piece").alias("chars"), F.when(F.array_contains("held", F.col("block").cast("long")), F.col("piece")).alias("piece")).distinct()
+    once = cuts.select("key", "ordinals").dropDuplicates(["key"])
+    asked = once.select("key", F.posexplode("ordinals").alias("which", "ordinal")).where("ordinal > 0")
+    asked = asked.select("key", "which", F.expr(f"(ordinal - 1) div {BLOCK}").alias("within"), ((F.col("ordinal") - 1) % BLOCK).alias("last"))
+    held = F.transform("ordinals", lambda o: F.floor((o - 1) / F.lit(BLOCK)).cast("int"))
+    slim = lambda piece, i: F.struct(F.length(piece).alias("chars"), F.when(F.array_contains("held", i), piece).alias("piece"))
+    found = cuts.select("key", held.alias("held"), _blocks(F.col("text"), unit).alias("pieces")).select("key", F.transform("pieces", slim).alias("blocks"))
+    rows = found.dropDuplicates(["key"]).select("key", F.posexplode("blocks").alias("block", "b")).select("key", "block", "b.*")
     before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.withColumn("before", F.coalesce(F.sum("chars").over(before), F.lit(0))).where(F.col("piece").isNotNull())
     met = blocks.join(asked, "key").where(F.col("block") - F.col("within") == 0)  # a key has as many of both as it has cuts; joined by it alone, blocks stay where they are
