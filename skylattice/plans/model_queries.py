@@ -134,8 +134,8 @@ _BOXES = """SELECT CAST(s_suppkey AS BIGINT) AS row_id, CAST(pos AS INT) AS pos,
 
 
 @query(
-    f"""SELECT row_id, pos, round(a / m, 4) AS bright, round(b / m, 4) AS to_right, round(c / m, 4) AS size FROM (SELECT *, sqrt(a * a + b * b + c * c) AS m FROM
-    (SELECT row_id, pos, CAST(sum(p) AS DOUBLE) AS a, CAST(sum(p * (x - l)) AS DOUBLE) / 100 AS b, count(*) * 100.0::DOUBLE AS c FROM (SELECT *, (3 * x + 5 * y + row_id) % 256 AS p FROM
+    f"""SELECT row_id, pos, round(CAST(a / m AS FLOAT)::DOUBLE, 4) AS bright, round(CAST(b / m AS FLOAT)::DOUBLE, 4) AS to_right, round(CAST(c / m AS FLOAT)::DOUBLE, 4) AS size FROM (SELECT *, sqrt(a * a + b * b + c * c) AS m FROM
+    (SELECT row_id, pos, CAST(sum(p) AS FLOAT)::DOUBLE AS a, CAST(CAST(sum(p * (x - l)) AS DOUBLE) / 100 AS FLOAT)::DOUBLE AS b, CAST(count(*) * 100 AS FLOAT)::DOUBLE AS c FROM (SELECT *, (3 * x + 5 * y + row_id) % 256 AS p FROM
       (SELECT *, unnest(range(t, b)) AS y FROM (SELECT *, unnest(range(l, r)) AS x FROM (SELECT row_id, pos, CAST(trunc(least(1.0, greatest(0.0, x0 - (x1 - x0) * 0.06::DOUBLE)) * w) AS INT) AS l, CAST(trunc(least(1.0, greatest(0.0, y0 - (y1 - y0) * 0.06::DOUBLE)) * h) AS INT) AS t,
         CAST(trunc(least(1.0, greatest(0.0, x1 + (x1 - x0) * 0.06::DOUBLE)) * w) AS INT) AS r, CAST(trunc(least(1.0, greatest(0.0, y1 + (y1 - y0) * 0.06::DOUBLE)) * h) AS INT) AS b FROM ({_BOXES})) WHERE least(r - l, b - t) >= 24))) GROUP BY row_id, pos))"""
 )
