@@ -62,7 +62,7 @@ def _frame_files(t: Tables) -> DataFrame:
         "video_id", "n", "frame_idx", F.when(F.col("n") % 5 > 0, 25.0).alias("fps"), F.when(F.col("n") % 4 > 0, F.floor(F.col("n") / 6)).alias("shot_id"),
         F.when(F.col("n") % 9 > 0, F.floor(F.col("frame_idx") / 40) * 40).alias("shot_start_frame"), F.when(F.col("n") % 9 > 0, F.floor(F.col("frame_idx") / 40) * 40 + 39).alias("shot_end_frame"),
     )
-    rows.repartition("video_id").sortWithinPartitions("video_id", "n").write.partitionBy("video_id").option("header", True).csv(path)
+    rows.repartitionByRange("video_id", "n").sortWithinPartitions("video_id", "n").write.partitionBy("video_id").option("header", True).csv(path)  # a long video has several files
     return readers.frame_table(t.spark, f"{path}/*/*", depth=1)
 
 

@@ -44,15 +44,15 @@ def shot_ids(spark: SparkSession, path: str) -> DataFrame:
 def frame_table(spark: SparkSession, path: str, depth: int = 0) -> DataFrame:
     """All columns of the frame CSVs and the video_id from the file's name, or that of a folder above it (depth 1); byte-order marks and blank lines are skipped.
 
-    The header is matched by name in each file, so column order may differ. A file is one value while its lines are split: it is the table of one
-    video, and may have up to 2 GB."""
-    names = [c.split()[0] for c in FRAMES.split(", ")]
-    lines = spark.read.text(path, wholetext=True).select(_stem(depth).alias("video_id"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
-    lines = lines.withColumn("lines", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""))
-    table = lines.select("video_id", F.split(F.element_at("lines", 1), ",").alias("head"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("pos", "line")).withColumn("cells", F.split("line", ","))
+    The header is matched by name in each file, so column order may differ. Files are read by lines and split like any other, so a video of any length
+    is many tasks; `pos` orders rows by file, place of the split, and line. Where each file has its columns, a row a file, goes to every task."""
     kinds = dict(c.split() for c in FRAMES.split(", "))
-    cell = lambda name: F.when(F.array_contains(F.transform("head", lambda x: F.trim(x)), name), F.expr(f"try_cast(nullif(trim(get(cells, int(array_position(transform(head, x -> trim(x)), '{name}')) - 1)), '') as {kinds[name]})"))
-    return table.select("video_id", "pos", *[cell(n).alias(n) for n in names])
+    place = F.struct(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(_stem(depth).alias("video_id"), place.alias("pos"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value")).where(F.trim("value") != "")
+    head = F.transform(F.split("h.value", ","), lambda x: F.trim(x))
+    heads = lines.groupBy("pos.file").agg(F.min(F.struct("pos", "value")).alias("h")).select("file", F.col("h.pos").alias("first"), *[F.array_position(head, c).cast("int").alias(f"at_{c}") for c in kinds])
+    rows = lines.withColumn("file", F.col("pos.file")).join(F.broadcast(heads), "file").where(F.col("pos") > F.col("first")).withColumn("cells", F.split("value", ","))
+    return rows.select("video_id", "pos", *[F.expr(f"try_cast(nullif(trim(get(cells, at_{c} - 1)), '') as {kind})").alias(c) for c, kind in kinds.items()])
 
 
 def shot_bounds(frames: DataFrame) -> DataFrame:

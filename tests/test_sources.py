@@ -31,6 +31,20 @@ def test_frame_tables(spark, tmp_path):
     assert {(r.shot_id, r.start, r.end) for r in readers.shot_frames(t).collect() if r.shot_id == 0} == {(0, 0, 40)}
 
 
+def test_long_frame_tables_are_split(spark, tmp_path):
+    """A video's table is several tasks; a shot's first row in the file decides, wherever the splits are, and the header is known in each of them."""
+    put(tmp_path / "m/A.csv", "frame_idx,n,shot_id,shot_start_frame\n" + "".join(f"{2 * i},{i},{i // 1500},{i}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        t = readers.frame_table(spark, str(tmp_path / "m/*.csv"))
+        assert t.rdd.getNumPartitions() > 2
+        assert sorted((r.n, r.frame_idx) for r in readers.frame_numbers(t).collect()) == [(i, 2 * i) for i in range(3000)]
+        assert {(r.shot_id, r.start) for r in readers.shot_frames(t).collect()} == {(0, 0), (1, 1500)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_objects_and_speech(spark, tmp_path):
     put(tmp_path / "obj/A/007.json", json.dumps({"layout_folded": "x", "count_folded": " ", "classes_folded": "y", "classes": ["C"], "detection_class_entities": ["C", "D"], "entities_vi": ["c", "d"], "detection_boxes": [[0, 0, 1, 1], [0, 0, 1, 1]]}))
     o = readers.object_records(spark, str(tmp_path / "obj"))
