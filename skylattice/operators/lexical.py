@@ -6,6 +6,7 @@ one task, and the best score that a bucket can give a query is known before any
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,8 @@ DEFAULT = (1.5, 0.75)
 BLOCK_DOCS = 1024
 #: Into so many parts each token is split where postings are shuffled; buckets that a query looks into before its floor is set anew.
 SALTS, STEPS = 32, (1, 8)
+#: In place of a token that every document with text has: its blocks are the documents of the buckets. Pairs of probe and bucket that may be sent to every task.
+EVERY, PAIRS = "", 1_000_000
 
 
 @dataclass
@@ -31,33 +34,61 @@ class LexicalIndex:
 
 
 def read_index(spark, path: str) -> LexicalIndex:
-    return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("blocks", "docs", "terms", "corpus")))
+    blocks, docs, terms, corpus = (spark.read.parquet(f"{path}/{name}") for name in ("blocks", "docs", "terms", "corpus"))
+    return LexicalIndex(blocks.where(F.col("token") != EVERY), docs, terms, corpus)
 
 
 def has_text(text: Column) -> Column:
     return F.trim(F.coalesce(text, F.lit(""))) != ""
 
 
+def lengths(docs: DataFrame, folded: bool = False) -> DataFrame:
+    """(doc, dl): the tokens of every row of docs(doc, text) with text that isn't blank. Nothing is shuffled or written."""
+    text = F.col("text") if folded else fold(F.col("text"))
+    return docs.where(has_text(F.col("text"))).select("doc", F.size(tokenize(text)).cast("long").alias("dl"))
+
+
+def corpus_of(docs: DataFrame) -> DataFrame:
+    """(n, avgdl) of docs(doc, dl): one row."""
+    return docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+
+
 def build(docs: DataFrame, path: str | None = None, folded: bool = False, block_docs: int = BLOCK_DOCS) -> LexicalIndex:
     """Index docs(doc, text) in the folder path: every row with text that isn't blank counts, even without tokens.
 
-    Tokens are cut once, into a staged table; blocks are written once, in ranges of token and bucket, and terms are counted from them.
-    A search reads the row groups of its tokens."""
-    spark = docs.sparkSession
-    path = path or fresh_path(spark, "lexical-index")
+    Texts are shuffled once, by bucket; they are cut, counted and put in blocks where their bucket is."""
+    some = docs.where(has_text(F.col("text")))
     text = F.col("text") if folded else fold(F.col("text"))
-    tokens = staged(docs.where(has_text(F.col("text"))).select("doc", tokenize(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("long")), "tokens")
-    tokens.select("doc", "dl").write.mode("overwrite").parquet(f"{path}/docs")
-    corpus = tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    corpus.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / block_docs)).cast("int")).write.mode("overwrite").parquet(f"{path}/corpus")
-    bucket = F.pmod(F.xxhash64("doc"), F.col("buckets")).cast("int")
-    each = tokens.crossJoin(F.broadcast(spark.read.parquet(f"{path}/corpus").select("buckets"))).select("doc", "dl", bucket.alias("bucket"), F.explode("tokens").alias("token"))
-    counted = each.groupBy("token", "bucket", "doc", "dl").agg(F.count("*").alias("tf"))
+
+    def counted(dealt: DataFrame) -> DataFrame:
+        cut = dealt.select("bucket", "doc", tokenize(text).alias("tokens")).select("bucket", "doc", F.size("tokens").cast("long").alias("dl"), F.explode_outer(F.concat(F.array(F.lit(EVERY)), "tokens")).alias("token"))  # never empty; outer, or Spark would cut texts once more to see that
+        return cut.groupBy("bucket", "token", "doc", "dl").agg(F.count("*").alias("tf"))
+
+    return _built(some.select("doc", "text"), some.count(), counted, path, block_docs)
+
+
+def build_counted(counts: DataFrame, path: str | None = None, block_docs: int = BLOCK_DOCS) -> LexicalIndex:
+    """The same from counts(doc, token, tf), different tokens of each doc, which are folded; a doc's row of the token EVERY says that it has text."""
+    counts = staged(counts.select("doc", "token", F.col("tf").cast("long").alias("tf")), "token-counts")
+    own = counts.groupBy("doc").agg(F.sum(F.when(F.col("token") != EVERY, F.col("tf")).otherwise(0)).alias("dl"))
+    return _built(counts.join(own, "doc"), counts.where(F.col("token") == EVERY).count(), lambda dealt: dealt, path, block_docs)
+
+
+def _built(rows: DataFrame, n_docs: int, counted: Callable[[DataFrame], DataFrame], path: str | None, block_docs: int) -> LexicalIndex:
+    """Rows with a doc are dealt to buckets; counted makes (bucket, doc, dl, token, tf) of them where they are."""
+    spark = rows.sparkSession
+    path = path or fresh_path(spark, "lexical-index")
+    buckets = max(1, -(-n_docs // block_docs))
+    parts = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int")).repartition(parts, "bucket")
     entries = F.collect_list(F.struct("doc", "tf", "dl"))  # a token in a bucket has at most its documents
-    blocks = counted.groupBy("token", "bucket").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), entries.alias("entries"))
-    blocks.repartitionByRange("token", "bucket").sortWithinPartitions("token", "bucket").write.mode("overwrite").parquet(f"{path}/blocks")
+    blocks = counted(dealt).groupBy("bucket", "token").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), entries.alias("entries"))
+    blocks.select("token", "bucket", "n", "most_tf", "least_dl", "entries").sortWithinPartitions("token", "bucket").write.mode("overwrite").parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks.where(F.col("token") == EVERY).select(F.explode("entries").alias("e")).select("e.doc", "e.dl").write.mode("overwrite").parquet(f"{path}/docs")
+    corpus_of(spark.read.parquet(f"{path}/docs")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/corpus")
     n, df = F.col("n"), F.col("df")
-    terms = spark.read.parquet(f"{path}/blocks").groupBy("token").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(spark.read.parquet(f"{path}/corpus").select("n")))
+    terms = blocks.where(F.col("token") != EVERY).groupBy("token").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(spark.read.parquet(f"{path}/corpus").select("n")))
     terms.select("token", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf")).write.mode("overwrite").parquet(f"{path}/terms")
     return read_index(spark, path)
 
@@ -109,10 +140,15 @@ def search_top(index: LexicalIndex, probes: DataFrame, k: int, k1: float = DEFAU
     left = bounds.withColumn("nth", F.row_number().over(order))
     found, floors, seen = None, None, 0
 
-    def scores(some: DataFrame) -> DataFrame:
-        met = _meet(asked, n_asked, index.blocks).join(some.select(*probe, "bucket"), [*probe, "bucket"], "left_semi")
+    def scores(some: DataFrame | None) -> DataFrame:
+        met = _meet(asked, n_asked, index.blocks)
+        if some is not None:  # blocks stay where they are
+            met = met.join(F.broadcast(some.select(*probe, "bucket")), [*probe, "bucket"], "left_semi")
         return best_hits(_scored(met, index, k1, b).withColumn("score", F.round("score", digits)), k).drop("rank")
 
+    n_pairs = bounds.count()
+    if n_pairs > PAIRS:  # too many to be told apart in every task: all are looked into
+        return best_hits(scores(None), k)
     for step in STEPS if bounds.where(F.col("buckets") > STEPS[-1]).limit(1).count() else ():
         some = left.where(F.col("nth").between(seen + 1, step))
         if floors is not None:

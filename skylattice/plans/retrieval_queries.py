@@ -92,12 +92,12 @@ def _index(t: Tables) -> lexical.LexicalIndex:
 
 @query(sql("SELECT count(*) AS n, round(avg(len(toks)), 6) AS avgdl FROM docs", "docs"))
 def corpus_lengths(t: Tables) -> DataFrame:
-    return _index(t).corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
+    return lexical.corpus_of(doc_lengths(t)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(sql("SELECT row_id AS doc, CAST(len(toks) AS BIGINT) AS dl FROM docs", "docs"))
 def doc_lengths(t: Tables) -> DataFrame:
-    return _index(t).docs
+    return lexical.lengths(t.documents.select(F.col("doc_id").alias("doc"), "text"))
 
 
 _TF = "SELECT row_id, tok, count(*) AS tf FROM (SELECT row_id, unnest(toks) AS tok FROM docs) GROUP BY ALL"

@@ -510,3 +510,40 @@ def test_frame_index(spark, tmp_path):
     todo = spark.createDataFrame([("V1", 2), ("V2", 2)], "video_id string, frames long")
     done = spark.createDataFrame([("V1", 2, 2, 3, True), ("V2", 2, 1, 3, True)], "video_id string, vectors long, ids long, dim int, finite boolean")
     assert [r.video_id for r in frame_index.pending(todo, done).collect()] == ["V2"]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lengths_need_no_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b b"), (2, " "), (3, "?!"), (4, None)], "doc long, text string")
+    found = lexical.lengths(docs)
+    assert sorted(map(tuple, found.collect())) == [(1, 3), (3, 0)] and "Exchange" not in _plan(found)
+    assert tuple(lexical.corpus_of(found).first()) == (2, 1.5)
+    index = lexical.build(docs, str(tmp_path))
+    assert sorted(map(tuple, index.docs.collect())) == [(1, 3), (3, 0)] and {r.token for r in index.blocks.collect()} == {"a", "b"}
+
+
+def test_blocks_of_a_bucket_stand_together(spark, tmp_path):
+    """Texts are shuffled by bucket, postings are not: a bucket is in one file, and every file has rare and common tokens."""
+    index = lexical.build(spark.createDataFrame([(i, f"the w{i % 7}") for i in range(400)], "doc long, text string"), str(tmp_path), block_docs=50)
+    files = index.blocks.select("bucket", F.input_file_name().alias("f")).distinct().groupBy("bucket").count().collect()
+    assert len(files) == 8 and all(r["count"] == 1 for r in files)
+
+
+def test_speech_is_counted_once(spark):
+    """The index of what is said around points is that of its text, for texts without tokens too."""
+    from skylattice.functions import text
+
+    points = spark.createDataFrame([(i, "v", i * 700.0) for i in range(40)], "row_id long, video_id string, ts_ms double")
+    rows = [("v", 4000 * (i % 5), 4000 * (i % 5) + 3000, ["Đá x", "x y x", "?", " "][i % 4]) for i in range(19)] + [("v", 90000, 91000, "far"), ("v", 24000, 25000, "!")]
+    spans = spark.createDataFrame(rows, "video_id string, start_ms long, end_ms long, text string")
+    plain = lexical.build(intervals.window_text(points, spans).select(F.col("row_id").alias("doc"), "text"))
+    time = ["video_id", "start_ms", "end_ms"]
+    tokens = spans.where(lexical.has_text(F.col("text"))).select(*time, F.explode(F.concat(F.array(F.lit(lexical.EVERY)), text.tokenize(text.fold(F.col("text"))))).alias("token"))
+    counts = tokens.groupBy(*time, "token").agg(F.count("*").alias("tf"))
+    index = lexical.build_counted(intervals.window_counts(points, counts.select(*time).distinct(), counts).withColumnRenamed("row_id", "doc"))
+    entry = lambda i: sorted((r.token, e.doc, e.tf, e.dl) for r in i.blocks.collect() for e in r.entries)
+    assert entry(index) == entry(plain) and sorted(map(tuple, index.docs.collect())) == sorted(map(tuple, plain.docs.collect()))
+    assert sorted(map(str, index.terms.collect())) == sorted(map(str, plain.terms.collect()))
