@@ -53,25 +53,37 @@ def corpus_of(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def build(docs: DataFrame, path: str | None = None, folded: bool = False, block_docs: int = BLOCK_DOCS) -> LexicalIndex:
+def asked_tokens(probes: DataFrame, folded: bool = False) -> DataFrame | None:
+    """(token) of all probes(text), and EVERY; None if they are too many to be sent to every task."""
+    text = F.col("text") if folded else fold(F.col("text"))
+    found = staged(probes.select(F.explode_outer(F.concat(F.array(F.lit(EVERY)), tokenize(F.coalesce(text, F.lit(""))))).alias("token")).distinct(), "asked-tokens")
+    return found if found.count() <= SMALL else None
+
+
+def of_tokens(rows: DataFrame, only: DataFrame | None) -> DataFrame:
+    return rows if only is None else rows.join(F.broadcast(only), "token", "left_semi")
+
+
+def build(docs: DataFrame, path: str | None = None, folded: bool = False, block_docs: int = BLOCK_DOCS, only: DataFrame | None = None) -> LexicalIndex:
     """Index docs(doc, text) in the folder path: every row with text that isn't blank counts, even without tokens.
 
-    Texts are shuffled once, by bucket; they are cut, counted and put in blocks where their bucket is."""
+    Texts are shuffled once, by bucket; they are cut, counted and put in blocks where their bucket is. With only (asked_tokens of the probes that are
+    to come) the other tokens count for lengths alone, which changes no score."""
     some = docs.where(has_text(F.col("text")))
     text = F.col("text") if folded else fold(F.col("text"))
 
     def counted(dealt: DataFrame) -> DataFrame:
         cut = dealt.select("bucket", "doc", tokenize(text).alias("tokens")).select("bucket", "doc", F.size("tokens").cast("long").alias("dl"), F.explode_outer(F.concat(F.array(F.lit(EVERY)), "tokens")).alias("token"))  # never empty; outer, or Spark would cut texts once more to see that
-        return cut.groupBy("bucket", "token", "doc", "dl").agg(F.count("*").alias("tf"))
+        return of_tokens(cut, only).groupBy("bucket", "token", "doc", "dl").agg(F.count("*").alias("tf"))
 
     return _built(some.select("doc", "text"), some.count(), counted, path, block_docs)
 
 
 def build_counted(counts: DataFrame, path: str | None = None, block_docs: int = BLOCK_DOCS) -> LexicalIndex:
-    """The same from counts(doc, token, tf), different tokens of each doc, which are folded; a doc's row of the token EVERY says that it has text."""
+    """The same from counts(doc, token, tf), different tokens of each doc, which are folded; the row of EVERY, which each doc with text has, holds its length."""
     counts = staged(counts.select("doc", "token", F.col("tf").cast("long").alias("tf")), "token-counts")
-    own = counts.groupBy("doc").agg(F.sum(F.when(F.col("token") != EVERY, F.col("tf")).otherwise(0)).alias("dl"))
-    return _built(counts.join(own, "doc"), counts.where(F.col("token") == EVERY).count(), lambda dealt: dealt, path, block_docs)
+    own = counts.where(F.col("token") == EVERY).select("doc", F.col("tf").alias("dl"))
+    return _built(counts.join(own, "doc"), own.count(), lambda dealt: dealt, path, block_docs)
 
 
 def _built(rows: DataFrame, n_docs: int, counted: Callable[[DataFrame], DataFrame], path: str | None, block_docs: int) -> LexicalIndex:

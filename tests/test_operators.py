@@ -533,17 +533,16 @@ def test_blocks_of_a_bucket_stand_together(spark, tmp_path):
 
 
 def test_speech_is_counted_once(spark):
-    """The index of what is said around points is that of its text, for texts without tokens too."""
-    from skylattice.functions import text
-
+    """The index of what is said around points is that of its text, for texts without tokens too; one of the tokens asked for has the same lengths."""
     points = spark.createDataFrame([(i, "v", i * 700.0) for i in range(40)], "row_id long, video_id string, ts_ms double")
     rows = [("v", 4000 * (i % 5), 4000 * (i % 5) + 3000, ["Đá x", "x y x", "?", " "][i % 4]) for i in range(19)] + [("v", 90000, 91000, "far"), ("v", 24000, 25000, "!")]
     spans = spark.createDataFrame(rows, "video_id string, start_ms long, end_ms long, text string")
-    plain = lexical.build(intervals.window_text(points, spans).select(F.col("row_id").alias("doc"), "text"))
-    time = ["video_id", "start_ms", "end_ms"]
-    tokens = spans.where(lexical.has_text(F.col("text"))).select(*time, F.explode(F.concat(F.array(F.lit(lexical.EVERY)), text.tokenize(text.fold(F.col("text"))))).alias("token"))
-    counts = tokens.groupBy(*time, "token").agg(F.count("*").alias("tf"))
-    index = lexical.build_counted(intervals.window_counts(points, counts.select(*time).distinct(), counts).withColumnRenamed("row_id", "doc"))
-    entry = lambda i: sorted((r.token, e.doc, e.tf, e.dl) for r in i.blocks.collect() for e in r.entries)
-    assert entry(index) == entry(plain) and sorted(map(tuple, index.docs.collect())) == sorted(map(tuple, plain.docs.collect()))
-    assert sorted(map(str, index.terms.collect())) == sorted(map(str, plain.terms.collect()))
+    texts = intervals.window_text(points, spans).select(F.col("row_id").alias("doc"), "text")
+    plain = lexical.build(texts)
+    only = lexical.asked_tokens(spark.createDataFrame([("X?",), (None,)], "text string"))
+    counted = lambda only: lexical.build_counted(intervals.window_counts(points, spans, only=only).withColumnRenamed("row_id", "doc"))
+    entry = lambda i, some: sorted((r.token, e.doc, e.tf, e.dl) for r in i.blocks.collect() if r.token in some for e in r.entries)
+    for index, tokens in ((counted(None), {"da", "x", "y"}), (counted(only), {"x"}), (lexical.build(texts, only=only), {"x"})):
+        assert entry(index, {"da", "x", "y", "far"}) == entry(plain, tokens)
+        assert sorted(map(tuple, index.docs.collect())) == sorted(map(tuple, plain.docs.collect())) and index.corpus.first() == plain.corpus.first()
+        assert {r.token: r.idf for r in index.terms.collect()} == {r.token: r.idf for r in plain.terms.collect() if r.token in tokens}
