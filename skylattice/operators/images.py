@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pixel_box
-from ..sources.files import content
+from ..sources.files import content, dealt
 from .models import Encoder, LazyEncoder, crop_plan
 
 #: Bytes at the head of a file that tell an image's size.
@@ -84,7 +84,7 @@ def image_sizes(images: DataFrame, codec: Callable[[], Codec]) -> DataFrame:
                     continue
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["row_id", "width", "height"])
 
-    return images.select("row_id", "path").mapInArrow(run, "row_id long, width int, height int")
+    return dealt(images.select("row_id", "path"), "path").mapInArrow(run, "row_id long, width int, height int")
 
 
 def _cuts(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -106,7 +106,8 @@ def planned(crops: DataFrame, images: DataFrame, codec: Callable[[], Codec]) ->
     """crops(row_id, pos, box) of images(row_id, path) with their pixels, an image's crops in one task, one after the other."""
     plan = crop_plan(crops.select("row_id", "pos", "box"), image_sizes(images, codec), pixel_box)
     fields = ["path", "row_id", "pos", "left", "top", "right", "bottom", "crop_width", "crop_height"]
-    return plan.join(images.select("row_id", "path"), "row_id").select(*fields).repartition("path").sortWithinPartitions("path", "row_id", "pos")
+    rows = plan.join(images.select("row_id", "path"), "row_id").select(*fields)
+    return dealt(rows, "path").sortWithinPartitions("path", "row_id", "pos")
 
 
 def cut_crops(crops: DataFrame, images: DataFrame, codec: Callable[[], Codec], most: int = 4 << 20) -> DataFrame:

@@ -143,9 +143,11 @@ def crop_vectors(t: Tables) -> DataFrame:
     """A supplier as a stored image with two boxes: a tenth of the images are missing, a tenth are broken. Images are cut and encoded where they are read."""
     path, k = fresh_path(t.spark, "pictures"), F.col("s_suppkey").cast("long")
     wide, high = (60 + k % 7 * 10).cast("int"), (50 + k % 5 * 10).cast("int")
-    pixel = F.transform(F.sequence(F.lit(0), wide * high - 1), lambda i: F.lpad(F.hex((3 * (i % wide) + 5 * F.floor(i / wide) + k) % 256), 2, "0"))
-    data = F.concat(F.encode(F.format_string("P5 %d %d 255\n", wide, high), "UTF-8"), F.unhex(F.array_join(pixel, "")))
-    images = t.supplier.select(k.alias("row_id"), F.concat(F.lit(f"{path}/"), k.cast("string"), F.lit(".pgm")).alias("path"), F.when(k % 10 == 5, F.substring(data, 1, 100)).otherwise(data).alias("content"))
+    # pixel (x, y) is 3 x + 5 y + k (mod 256): each line is a part of one run of threes, from 171 (5 y + k), as 3 times 171 is 1
+    threes = F.lit("".join(f"{3 * x % 256:02X}" for x in range(256 + 120)))
+    line = F.transform(F.sequence(F.lit(0), high - 1), lambda y: F.substring(threes, (171 * (5 * y + k) % 256 * 2 + 1).cast("int"), wide * 2))
+    data = F.concat(F.encode(F.format_string("P5 %d %d 255\n", wide, high), "UTF-8"), F.unhex(F.array_join(line, "")))
+    images = files.dealt(t.supplier, "s_suppkey").select(k.alias("row_id"), F.concat(F.lit(f"{path}/"), k.cast("string"), F.lit(".pgm")).alias("path"), F.when(k % 10 == 5, F.substring(data, 1, 100)).otherwise(data).alias("content"))
     files.write_files(images.where("row_id % 10 <> 0"))
     low, left = F.lit(0.1), F.lit(0.05) + F.col("pos") * 0.2
     box = F.array(low, left, F.lit(0.45) + k % 9 / F.lit(20.0), F.lit(0.5) + F.col("pos") * 0.2 + k % 4 / F.lit(20.0))

@@ -86,6 +86,12 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format(ArchiveDirectories.name()).load(path)
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Light rows that stand for heavy work (a file each) over all cores, by a key: they are so few bytes that a scan, or adaptive execution after a shuffle, puts them in one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *by)
+
+
 def write_files(files: DataFrame) -> int:
     """files(path, content) one by one, where their rows are; a file appears whole, and one that is there is replaced. How many."""
 

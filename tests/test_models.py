@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skylattice.operators import models
 from skylattice.plans.model_queries import LetterEncoder
@@ -147,3 +148,14 @@ def test_crops_from_stored_images(spark, tmp_path):
     for k, v in vectors.items():
         own = PixelEncoder().encode([cut[k]])[0]
         assert np.allclose(v, own / np.linalg.norm(own), atol=1e-6)
+
+
+def test_images_are_dealt_over_tasks(spark):
+    """A few bytes of paths are hours of decoding: neither one scan nor adaptive execution may leave them to one task."""
+    from skylattice.operators import images
+
+    rows = spark.range(400).coalesce(1).select(F.col("id").alias("row_id"), F.format_string("file:///nowhere/%d.ppm", "id").alias("path"))
+    crops = rows.select("row_id", F.lit(0).alias("pos"), F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))).alias("box"))
+    least = 2 * spark.sparkContext.defaultParallelism
+    assert images.image_sizes(rows, images.Netpbm).rdd.getNumPartitions() >= least
+    assert images.planned(crops, rows, images.Netpbm).rdd.getNumPartitions() >= least
