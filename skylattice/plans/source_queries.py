@@ -103,12 +103,13 @@ def read_expected_frames(t: Tables) -> DataFrame:
 def _object_files(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "objects")
     entities = F.array(F.col("s_name"), F.concat(F.lit("Brand"), F.col("s_nationkey").cast("string")))
-    rows = t.supplier.select(
-        F.col("s_nationkey").alias("video_id"), F.col("s_suppkey").alias("n"), F.lower("s_name").alias("layout_folded"), F.when(F.col("s_suppkey") % 2 == 0, " ").otherwise("two").alias("count_folded"), F.lit("c").alias("classes_folded"),
+    rows = files.dealt(t.supplier, "s_suppkey").select(
+        F.col("s_nationkey").cast("string").alias("video_id"), F.col("s_suppkey").cast("string").alias("n"), F.lower("s_name").alias("layout_folded"), F.when(F.col("s_suppkey") % 2 == 0, " ").otherwise("two").alias("count_folded"), F.lit("c").alias("classes_folded"),
         entities.alias("classes"), entities.alias("detection_class_entities"), F.transform(entities, lambda x: F.concat(F.lit("một "), x)).alias("entities_vi"), F.array(F.array(*[F.lit(x) for x in (0.0, 0.0, 0.5, 0.5)]), F.array(*[F.lit(x) for x in (0.1, 0.1, 0.9, 0.9)])).alias("detection_boxes"),
     )
-    rows.repartition("video_id").write.partitionBy("video_id", "n").json(path)
-    return readers.object_records(t.spark, path, depth=1)
+    record = F.to_json(F.struct(*[c for c in rows.columns if c not in ("video_id", "n")]))
+    files.write_files(rows.select(F.concat(F.lit(f"{path}/"), "video_id", F.lit("/"), "n", F.lit(".json")).alias("path"), record.alias("content")))
+    return readers.object_records(t.spark, path)
 
 
 @query("SELECT CAST(s_nationkey AS VARCHAR) AS video_id, CAST(s_suppkey AS INT) AS n, lower(s_name) || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE ' two' END || ' c' AS text FROM supplier")
@@ -170,7 +171,7 @@ def read_archives(t: Tables) -> DataFrame:
 def find_images(t: Tables) -> DataFrame:
     """Two roots: the second has all images, the first half of them, which go before."""
     path = fresh_path(t.spark, "images")
-    rows = t.supplier.select("s_nationkey", "s_suppkey", F.explode(F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("first"), F.lit("second"))).otherwise(F.array(F.lit("second")))).alias("root"))
+    rows = files.dealt(t.supplier, "s_suppkey").select("s_nationkey", "s_suppkey", F.explode(F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("first"), F.lit("second"))).otherwise(F.array(F.lit("second")))).alias("root"))
     name = F.format_string("/%d/%03d.webp", F.col("s_nationkey").cast("long"), F.col("s_suppkey").cast("long"))
     files.write_files(rows.select(F.concat(F.lit(f"{path}/"), "root", name).alias("path"), F.col("root").alias("content")))
     found = readers.image_files(t.spark, [f"{path}/first", f"{path}/second"])
@@ -286,7 +287,7 @@ def report_round_trip(t: Tables) -> DataFrame:
 def manifest_round_trip(t: Tables) -> DataFrame:
     """A file for each supplier; a third of the stated digests are right, a third wrong, a third missing."""
     path, out = fresh_path(t.spark, "artifacts"), fresh_path(t.spark, "manifest")
-    files.write_files(t.supplier.select(F.concat(F.lit(f"{path}/n"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_name").alias("content")))
+    files.write_files(files.dealt(t.supplier, "s_suppkey").select(F.concat(F.lit(f"{path}/n"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_name").alias("content")))
     writers.manifest(t.spark, path, out, "/nowhere")
     found = t.spark.read.schema("path string, bytes bigint, sha256 string, branch string, commit string").json(out)
     number = F.regexp_extract("path", r"/n(\d+)$", 1).cast("int")

@@ -78,10 +78,15 @@ def shot_frames(frames: DataFrame) -> DataFrame:
     return rows.groupBy("video_id", "shot_id").agg(first.alias("f")).select("video_id", "shot_id", "f.start", "f.end")
 
 
-def object_records(spark: SparkSession, root: str, depth: int = 0) -> DataFrame:
-    """Detector records with keys from the path root/video/n.json, or from folders root/video/n/ (depth 1)."""
-    read = spark.read.schema(OBJECTS).option("multiLine", True).json(f"{root}/*/*" + ("/*" * depth if depth else ".json"))
-    return read.withColumn("video_id", _stem(depth + 1)).withColumn("n", _stem(depth).cast("int"))
+def object_records(spark: SparkSession, root: str) -> DataFrame:
+    """Detector records with keys from the path root/video/n.json.
+
+    Folders of videos are listed, not files one by one: there is a file for each frame. What stands higher or deeper is left out."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    depth = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).depth()
+    read = spark.read.schema(OBJECTS).option("multiLine", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(f"{root}/*")
+    parts = F.split(F.regexp_replace(F.input_file_name(), "^[^:/]+:(//[^/]*)?/", ""), "/")
+    return read.where(F.size(parts) == depth + 2).withColumn("video_id", _stem(1)).withColumn("n", _stem().cast("int"))
 
 
 def object_text(records: DataFrame) -> DataFrame:

@@ -55,6 +55,27 @@ def test_objects_and_speech(spark, tmp_path):
     assert [tuple(r) for r in readers.speech(spark, str(tmp_path / "asr/*.json")).collect()] == [("B", 1, 2, "a")]
 
 
+def test_object_records_are_those_of_videos(spark, tmp_path):
+    """root/video/n.json and nothing else, whatever folders are called."""
+    for name in ("A/1.json", "_B/02.json", "video_id=3/3.json", "4.json", "A/deep/5.json", "A/k=v/6.json", "A/7.txt"):
+        put(tmp_path / "obj" / name, json.dumps({"layout_folded": name, "classes": ["C"]}))
+    for root in (str(tmp_path / "obj"), f"file://{tmp_path}/obj/", f"file:{tmp_path}/o*"):
+        got = {(r.video_id, r.n, r.layout_folded) for r in readers.object_records(spark, root).collect()}
+        assert got == {("A", 1, "A/1.json"), ("_B", 2, "_B/02.json"), ("3", 3, "video_id=3/3.json")}
+
+
+def test_small_files_are_written_by_many_tasks(spark, monkeypatch):
+    """A few bytes a file do not make one task of all files."""
+    from skylattice.plans import source_queries
+    from skylattice.plans.binding import Tables
+
+    seen, write = [], source_queries.files.write_files
+    monkeypatch.setattr(source_queries.files, "write_files", lambda rows: seen.append(rows.rdd.getNumPartitions()) or write(rows))
+    for name in ("read_object_text", "read_object_classes", "read_class_phrases", "find_images", "manifest_round_trip"):
+        source_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 5 and min(seen) >= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_queries_and_submissions(spark, tmp_path):
     put(tmp_path / "q/01-qa-x.txt", " a\n b ")
     put(tmp_path / "q/02.txt", "E1: a E2: b")
