@@ -546,3 +546,13 @@ def test_speech_is_counted_once(spark):
         assert entry(index, {"da", "x", "y", "far"}) == entry(plain, tokens)
         assert sorted(map(tuple, index.docs.collect())) == sorted(map(tuple, plain.docs.collect())) and index.corpus.first() == plain.corpus.first()
         assert {r.token: r.idf for r in index.terms.collect()} == {r.token: r.idf for r in plain.terms.collect() if r.token in tokens}
+
+
+def test_missing_and_extra_in_many_tasks(spark):
+    """Both sides meet once, in tasks that are not put together; a null is on no other side."""
+    frame = lambda *ids: spark.createDataFrame([(i,) for i in ids], "task_id string")
+    found = submission.missing_and_extra(frame("a", "b", "b", None, None), frame("b", "c", "c", None))
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", "missing"), ("c", "extra"), (None, "extra"), (None, "missing")]
+    assert {tuple(r) for r in submission.missing_and_extra(frame("a", None), frame()).collect()} == {("a", "missing"), (None, "missing")}
+    assert found.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
