@@ -48,6 +48,31 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert search.bm25_topk(docs, queries.where("false")).count() == 0
 
 
+def test_copies_are_scored_once(spark, monkeypatch):
+    """Each of 20 copies has its rows, as a document and as a query, but one text meets one query once for all of them."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(3, 20))) for _ in range(25)] + ["", None]
+    rows = [(i * 100 + j, text) for i in range(20) for j, text in enumerate(texts)]
+    rows += [(None, texts[0]), (None, texts[0]), (3, texts[0]), (3, texts[3]), (5000, texts[1].upper())]
+    asked = [*rows[:60], (-1, " ".join(reversed(texts[2].split()))), (None, texts[4]), (-2, "w1"), (-3, "w1 w1")]
+    made, real = {}, search.written
+
+    def seen(df, name):
+        made.setdefault(name, []).append(out := real(df, name))
+        return out
+
+    monkeypatch.setattr(search, "written", seen)
+    monkeypatch.setattr(search, "SHARD_DOCS", 37)
+    docs, queries = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(asked, "query_id long, text string")
+    for k in (1, 4, 30):
+        got = [(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in search.bm25_topk(docs, queries, k).collect()]
+        assert sorted(got, key=str) == sorted(_bm25(rows, asked, k), key=str)
+        (found,) = made.pop("search-pass")
+        assert found.select("query_id").distinct().count() == 26  # 25 texts and w1
+        assert found.groupBy("query_id", "high", "low").count().where("count > 1").isEmpty()
+
+
 def test_shards_meet_queries_exactly(monkeypatch):
     """Long and short queries against shards one after the other, for several sizes of blocks, against all scores."""
     rng = np.random.default_rng(3)
