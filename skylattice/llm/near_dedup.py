@@ -206,7 +206,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     ["doc_id", "node", "bands", "sketch", "weight"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, node long, bands array<long>, sketch binary, weight long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>, sketch binary, weight long")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -376,7 +376,7 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, errors: float | None
 
     Null and empty texts are one node without links to others; null doc_ids join classes but do not name
     them, unless there is no other. Texts below five words are alike only if equal. A long text is signed whole, by
-    the counts of its shingles. An empty table gives an empty result. Other columns are ignored."""
+    the counts of its shingles. A doc_id may be of any type that has an order. An empty table gives an empty result. Other columns are ignored."""
     signed = written(_signed(docs), "dedup-signed")
     distinct = written(signed.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("bands", "sketch", "weight")]), "dedup-nodes")
     members = distinct.select("node", F.explode("bands").alias("bucket"))
@@ -411,8 +411,7 @@ def representatives(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     Among rows of that doc_id the least node goes first; of rows that repeat in both, one stays. A doc_id that
     one row has tells that row; where several have it (or none, if null), their words are looked at again."""
     rows = written(near_classes(docs, similar), "dedup-rows")
-    last = F.coalesce("doc_id", F.lit(2**63 - 1))
-    chosen = rows.groupBy("group").agg(F.min(F.struct(last.alias("k"), F.col("doc_id").alias("doc"), F.col("node").alias("of"))).alias("c")).select("c.doc", "c.of")
+    chosen = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col("node").alias("of"))).alias("c")).select("c.doc", "c.of")
     times = rows.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("times"))
     chosen = written(chosen.join(times, F.col("doc").eqNullSafe(F.col("id"))).select("doc", "of", (F.col("times") == 1).alias("alone")), "dedup-chosen")
     alone, shared = chosen.where("alone").select("doc"), chosen.where("not alone").select("doc", "of")

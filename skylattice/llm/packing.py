@@ -113,7 +113,7 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
 
 
 def pack(docs: DataFrame, tokenizer: str, keep_blanks: bool = True, capacity: int = CAPACITY, end_id: int = END_ID, group_tokens: int = 2_000_000, memo: int = 1_000_000) -> DataFrame:
-    """A row for each piece of each row of docs(doc_id, text); see PIECES.
+    """A row for each piece of each row of docs(doc_id, text); see PIECES. A doc_id keeps its type.
 
     Each task packs what it scans, in groups of at least group_tokens (and the rest), so nothing is
     shuffled and a group's ids fit in memory; padding is below one sequence a group. The split of the input
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, keep_blanks: bool = True, capacity: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seq = chunk_encoder(tokenizer, keep_blanks, memo), TaskContext.get().partitionId() << 32
-        names: list[int | None] = []
+        names, kind = [], None
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, keep_blanks: bool = True, capacity: in
             sums = [zlib.crc32(held[i][a : a + n].astype("<u4").tobytes()) for i, a, n, _, _ in pieces]
             item, start, length, local, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
             all_ = pa.RecordBatch.from_arrays([
-                pa.array([names[i] for i in item], pa.int64()), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.array(lengths, np.int64)[item]), pa.array(seq + local), pa.array(offset),
+                pa.array([names[i] for i in item], kind), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.array(lengths, np.int64)[item]), pa.array(seq + local), pa.array(offset),
             ], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             seq += int(local.max()) + 1
             names.clear(), held.clear()
@@ -147,6 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, keep_blanks: bool = True, capacity: in
             for part in slices(batch, 1):
                 flat, counts = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum(counts)
+                kind = part.column(0).type
                 names += part.column(0).to_pylist()
                 held += [np.append(flat[a:b], np.uint32(end_id)) for a, b in zip(ends - counts, ends, strict=True)]
                 size += len(flat) + len(counts)
@@ -156,4 +157,4 @@ def pack(docs: DataFrame, tokenizer: str, keep_blanks: bool = True, capacity: in
         if names:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES.replace("long", docs.schema["doc_id"].dataType.simpleString(), 1))

@@ -85,3 +85,22 @@ def test_stages_with_odd_rows(spark):
     assert [r.doc_tokens for r in fifth if r.doc_id in (900, 901)] == [1, 1]
     for _, stage in pipe.STAGES:
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_stages_with_other_types_of_doc_id(spark, tmp_path):
+    """Copies with shifted keys may come with doc_ids of another type than long: no stage fails on them, and each keeps its type."""
+    from pyspark.sql import functions as F
+
+    for kind, spelled in (("int", "doc_id"), ("string", "concat('d', doc_id)")):
+        for table in ("documents", "labels"):
+            read(spark, SF, table).withColumn("doc_id", F.expr(spelled).cast(kind)).write.parquet(f"{tmp_path}/{kind}/{table}.parquet")
+        docs = read(spark, f"{tmp_path}/{kind}", "documents").where("length(text) < 3000")
+        given = docs.select("doc_id", "text")
+        third = pipe.drop_near_duplicates(spark, docs, f"{tmp_path}/{kind}").cache()
+        assert third.schema == docs.schema and third.exceptAll(docs).isEmpty()
+        assert third.count() == near_dedup.near_classes(given).select("class_id").distinct().count()
+        for _, stage in pipe.STAGES:
+            docs = stage(spark, docs, f"{tmp_path}/{kind}")
+            assert dict(docs.dtypes)["doc_id"] == kind
+        packed = docs.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of")).collect()
+        assert packed and all(r.n % r.of == 0 for r in packed)
